@@ -57,7 +57,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lost = later.unionByName(beaten).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
     runs = """filter(concat(
         transform(lost, (p, i) -> struct(if(i = 0, 0, element_at(lost, greatest(i, 1)) + 1) AS first, p - if(i = 0, 0, element_at(lost, greatest(i, 1)) + 1) AS n)),
-        array(struct(element_at(lost, -1) + 1 AS first, 2147483647 AS n))), r -> r.n > 0)"""
+        array(struct(element_at(lost, -1) + 1 AS first, 1000000000 AS n))), r -> r.n > 0)"""
     return lost.select("doc_id", "row", F.size("lost").alias("n_dropped"), F.expr(runs).alias("keep"))
 
 
