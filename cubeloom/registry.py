@@ -1,6 +1,42 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the DuckDB SQL that gives the same rows.
+
+A plan module registers its queries with ``query``; ``load`` imports all plan modules."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import importlib
+import pkgutil
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under a name, with its oracle where SQL can express it."""
+
+    def add(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    from . import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"{plans.__name__}.{m.name}")
+
+
+load()
