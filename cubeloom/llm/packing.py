@@ -17,47 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import wordbpe
 from .common import Scratch
 
 END_ID = 1
 LENGTH = 2048
-#: Words whose ids a Python worker remembers; beyond that it begins anew.
-REMEMBERED = 400_000
-_tokenizers: dict[str, tuple] = {}
-
-
-def tokenizer(path: str):
-    """The tokenizer and the ids of words seen before, once in each Python worker."""
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        _tokenizers[path] = own, {}
-    return _tokenizers[path]
-
-
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers.
-
-    The tokenizer never lets a token span white space, so a text's ids are those of its words, and
-    each distinct word is encoded once."""
-    own, known = tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [t.encode().split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
-    at_hand = known
-    for w, e in zip(new, own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-        at_hand[w] = np.array(e.ids, "<u4").tobytes()
-    out = [b"".join(map(at_hand.__getitem__, ws)) for ws in split]
-    for w in new:
-        if len(w) > 64:
-            del known[w]
-    return out
+#: Partitions up to which the table of their offsets (16 bytes a row) is broadcast; beyond, it is shuffled.
+BROADCAST_PARTS = 500_000
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
@@ -65,14 +34,12 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                ids = [x + end for x in encode([t or "" for t in some.column(1).to_pylist()], vocabulary)]
+                known = wordbpe.load(vocabulary)
+                ids = [known.encode(t or "") + end for t in some.column(1).to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
@@ -89,6 +56,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
     ids = scratch.save(tokenized(docs, vocabulary, end_id), "ids")
     totals = ids.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    before = scratch.save(before, "before")
+    before = F.broadcast(before) if before.count() <= BROADCAST_PARTS else before
     placed = ids.join(before, "part").withColumn("at", F.col("at") + F.col("base"))
     return placed.select(
         "doc_id",
