@@ -78,7 +78,7 @@ def pack_parallel(samples: list[tuple], degree: int, capacity: int, per_image: i
 def pack_for_parallel(df: DataFrame, group: str, key: str, degree: int, capacity: int = CAPACITY, ring: str | None = None) -> DataFrame:
     """pack_parallel for each group; df has tokens, images and is_video."""
 
-    def run(name, batch: pd.DataFrame) -> pd.DataFrame:
+    def run(name: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         rows = pack_parallel(list(zip(batch[key].tolist(), batch["tokens"].tolist(), batch["images"].tolist(), batch["is_video"].tolist())), degree, capacity, ring=ring)
         return pd.DataFrame([(name[0], *r) for r in rows], columns=[group, key, "bin", "start", "length"]).astype({key: "Int64"})
 
@@ -115,7 +115,7 @@ def split_heavy(lengths: list[int], gap: int, allowance: int = 1000, rounds: int
 def balanced_batches(df: DataFrame, group: str, key: str, length: str, gap: int, allowance: int = 1000) -> DataFrame:
     """split_heavy for each group, in key order: a batch number for each row."""
 
-    def run(name, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, kind="stable")
         keys = rows[key].tolist()
         found = split_heavy(rows[length].tolist(), gap, allowance)
