@@ -168,7 +168,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             nonlocal out, made
             if out is None:
                 done.append([f"{folder}/{name}-{len(done):04d}.warc.zst", 0, 0])
-                out, made = fs.open_output_stream(f"{base}/{name}-{len(done) - 1:04d}.warc.zst"), 0
+                out, made = fs.open_output_stream(f"{base}/{name}-{len(done) - 1:04d}.warc.zst", compression=None), 0
                 out.write(frame)
             packed = compressor.compress(data)
             out.write(packed)
@@ -221,7 +221,7 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, at = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     try:
                         for data in frames(f.read):
                             try:
