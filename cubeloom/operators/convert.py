@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Partitions up to which the table of their offsets is broadcast.
+BROADCAST_PARTS = 500_000
+
 
 def turn(role: str, value: Column) -> Column:
     return F.struct(F.lit(role).alias("from"), value.alias("value"))
@@ -39,11 +42,13 @@ def numbered(df: DataFrame, name: str, *order: str, by: tuple[str, ...] = ()) ->
     partition, so that no task holds the table."""
     if by:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_id", 33))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_low")).alias("_shift"))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
+    before = F.broadcast(before) if parts <= BROADCAST_PARTS else before  # a row of 16 bytes for each partition
+    return placed.join(before, "_part").withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
 
 
 def uid(prefix: str, category: Column, number: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,11 @@ def in_ranges(points: DataFrame, ranges: DataFrame, key: str, point: str, low: s
     return points.join(ranges, key).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
 
 
-def best_of(rows: DataFrame, options: list[tuple], names: list[str], worth: Column) -> DataFrame:
-    """Each row with the option of greatest worth, the first of equals. options is a fixed list, so it is a literal array: no join."""
-    fields = [F.struct(F.lit(i).alias("_i"), *[F.lit(v).alias(n) for n, v in zip(names, o)]) for i, o in enumerate(options)]
-    each = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_o", F.explode(F.array(*fields))).select("*", "_o.*").withColumn("_worth", worth)
-    return each.groupBy("_row", *rows.columns).agg(F.max_by(F.struct(*names), F.struct("_worth", -F.col("_i"))).alias("_b")).select(*rows.columns, "_b.*")
+def best_of(rows: DataFrame, options: list[tuple], names: list[str], worth: Callable[[Column], Column]) -> DataFrame:
+    """Each row with the option of greatest worth, the first of equals.
 
+    options is a fixed list, so it is an array literal and the best is found inside each row: no join, no shuffle.
+    worth: a comparable column of an option (a struct with the given names)."""
+    fields = [F.struct(F.lit(-i).alias("_order"), *[F.lit(v).alias(n) for n, v in zip(names, o)]) for i, o in enumerate(options)]
+    ranked = F.transform(F.array(*fields), lambda o: F.struct(worth(o).alias("_worth"), o["_order"].alias("_order"), *[o[n].alias(n) for n in names]))
+    return rows.withColumn("_best", F.array_max(ranked)).select(*rows.columns, *[F.col("_best")[n].alias(n) for n in names])

@@ -97,8 +97,9 @@ def join11(spark, sf_dir):
     from ..functions.spatial import effective_area
 
     rows = spark.sql(_SIZES.replace("FROM part", "FROM {p}"), p=table(spark, sf_dir, "part"))
-    area = effective_area(F.col("width"), F.col("height"), F.col("best_w"), F.col("best_h"))
-    return J.best_of(rows, _RES, ["best_w", "best_h"], F.struct(area, area - F.col("best_w") * F.col("best_h"))).select("p_partkey", "best_w", "best_h")
+    area = lambda o: effective_area(F.col("width"), F.col("height"), o["best_w"], o["best_h"])
+    worth = lambda o: F.struct(area(o), area(o) - o["best_w"] * o["best_h"])
+    return J.best_of(rows, _RES, ["best_w", "best_h"], worth).select("p_partkey", "best_w", "best_h")
 
 
 @query("join12_stored_or_decoded", f"SELECT d.doc_id, coalesce(c.path, 'decoded/' || d.doc_id) AS frames FROM documents d LEFT JOIN {_CAT} c ON d.doc_id = c.doc_id")
