@@ -34,9 +34,9 @@ def pick(values: Column, indices: Column) -> Column:
 
 
 def bounded_indices(frames: Column, segments: int, frame_rate: Column, start: Column, end: Column, first: int = 1) -> Column:
-    """Frame numbers for ``segments`` even parts of a clip in a folder of numbered frames."""
+    """Frame numbers for ``segments`` even parts of a clip in a folder of ``frames`` numbered files."""
     low = F.greatest(F.lit(first), F.bround(start * frame_rate).cast("int"))
-    high = F.least(F.bround(end * frame_rate).cast("int"), (frames - 1).cast("int"))
+    high = F.least(F.bround(end * frame_rate).cast("int"), frames.cast("int"))
     size = (high - low).cast("double") / segments
     return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.floor(low + size / 2 + F.bround(size * i)).cast("long"))
 

@@ -63,17 +63,37 @@ def option_letters(options: Column) -> Column:
     return F.transform(options, lambda c, i: F.concat(F.lit("("), F.chr(i + 65), F.lit(") "), c))
 
 
-def question_prompt(question: Column, options: Column) -> Column:
-    return F.concat(F.lit("Question: "), question, F.lit("\nOptions:\n"), F.array_join(option_letters(options), "\n"), F.lit("\n"))
+def question_prompt(question: Column, options: Column, instruction: str = "") -> Column:
+    """The question, its lettered options, and an instruction if given; no white space at the end."""
+    whole = F.concat(F.lit("Question: "), question, F.lit("\nOptions:\n"), F.array_join(option_letters(options), "\n"), F.lit("\n" + instruction))
+    return F.regexp_replace(whole, r"(?U)\s+$", "")
 
 
-def answer_choice(answer: Column, options: Column) -> Column:
-    """'(B) text' of the answer among the options; the letter before A if it isn't one of them."""
-    return F.concat(F.lit("("), F.chr((F.array_position(options, answer) + 64).cast("int")), F.lit(") "), answer)
+def answer_choice(answer: Column, options: Column, bare: bool = False) -> Column:
+    """'(B)', or 'B', of the answer among the options; the sign before A if it isn't one of them. Of equal options, the last."""
+    last = F.when(F.array_contains(options, answer), F.size(options) + 1 - F.array_position(F.reverse(options), answer)).otherwise(0)
+    letter = F.chr((last + 64).cast("int"))
+    return letter if bare else F.concat(F.lit("("), letter, F.lit(")"))
 
 
-def option_list(options: Column, separator: str = "\n") -> Column:
-    return F.array_join(options, separator)
+def option_list(options: Column, lettered: bool = False) -> Column:
+    """Each option on a line of its own after 'Options:', as it is or as 'A. first'."""
+    each = F.transform(options, lambda c, i: F.concat(F.lit(" "), F.chr(i + 65), F.lit(". "), c)) if lettered else options
+    return F.concat(F.lit("Options:\n"), F.array_join(each, "\n"))
+
+
+#: How options are numbered. Every mark is followed by '. '.
+OPTION_STYLES = ("1", "(1)", "(a)", "(A)", "Option 1:")
+
+
+def styled_options(options: Column, style: Column) -> Column:
+    """'Options:' and a numbered line for each option, in one of OPTION_STYLES."""
+    digit = lambda i: (i + 1).cast("string")
+    mark = lambda i: (
+        F.when(style == "1", digit(i)).when(style == "(1)", F.concat(F.lit("("), digit(i), F.lit(")"))).when(style == "(a)", F.concat(F.lit("("), F.chr(i + 97), F.lit(")")))
+        .when(style == "(A)", F.concat(F.lit("("), F.chr(i + 65), F.lit(")"))).otherwise(F.concat(F.lit("Option "), digit(i), F.lit(":")))
+    )
+    return F.concat(F.lit("Options:\n"), F.array_join(F.transform(options, lambda c, i: F.concat(mark(i), F.lit(". "), c)), "\n"))
 
 
 def name_from_path(path: Column) -> Column:
@@ -96,8 +116,9 @@ def has_suffix(name: Column, suffixes: tuple[str, ...]) -> Column:
     return F.lower(name).rlike(rf"\.({'|'.join(suffixes)})$")
 
 
-VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv", "wmv", "flv", "webm", "m4v")
-IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "tiff", "webp")
+#: The suffixes of videos and images.
+VIDEO_SUFFIXES = ("mp4", "mkv", "avi", "mov", "flv", "wmv", "webm", "m4v")
+IMAGE_SUFFIXES = ("jpg", "png", "jpeg", "bmp", "tiff", "webp")
 
 
 def is_video(name: Column) -> Column:
@@ -133,36 +154,3 @@ def path_suffix(path: Column) -> Column:
 def ends_or_contains(text: Column, keyword: str) -> Column:
     """A stop keyword has been reached."""
     return text.endswith(keyword) | text.contains(keyword)
-
-
-# Chat templates: each style is (system, separators, how a turn looks).
-
-
-def render_chat(style: str, system: Column, turns: Column, stop: str = "</s>") -> Column:
-    """A dialogue (array of struct from, value; roles human and gpt) as one prompt."""
-    name = lambda t: F.when(t["from"] == "human", F.lit("USER")).otherwise(F.lit("ASSISTANT"))
-    human = lambda t: t["from"] == "human"
-    if style == "single":
-        return F.concat(system, F.lit("###"), F.array_join(F.transform(turns, lambda t: F.concat(name(t), F.lit(": "), t["value"], F.lit("###"))), ""))
-    if style == "two":
-        return F.concat(system, F.lit(" "), F.array_join(F.transform(turns, lambda t: F.concat(name(t), F.lit(": "), t["value"], F.when(human(t), F.lit(" ")).otherwise(F.lit(stop)))), ""))
-    if style == "mpt":
-        return F.concat(system, F.lit("<|im_end|>"), F.array_join(F.transform(turns, lambda t: F.concat(F.when(human(t), F.lit("<|im_start|>user\n")).otherwise(F.lit("<|im_start|>assistant\n")), t["value"], F.lit("<|im_end|>"))), ""))
-    if style == "llama_2":
-        first = lambda t, i: F.when(i == 0, F.concat(F.lit("<<SYS>>\n"), system, F.lit("\n<</SYS>>\n\n"), t["value"])).otherwise(t["value"])
-        return F.array_join(F.transform(turns, lambda t, i: F.when(human(t), F.concat(F.lit("<s>[INST] "), first(t, i), F.lit(" [/INST]"))).otherwise(F.concat(F.lit(" "), t["value"], F.lit(" </s>")))), "")
-    if style == "llama_3":
-        head = lambda r: F.concat(F.lit("<|start_header_id|>"), r, F.lit("<|end_header_id|>\n\n"))
-        role = lambda t: F.when(human(t), F.lit("user")).otherwise(F.lit("assistant"))
-        return F.concat(F.lit("<|begin_of_text|>"), head(F.lit("system")), system, F.lit("<|eot_id|>"), F.array_join(F.transform(turns, lambda t: F.concat(head(role(t)), t["value"], F.lit("<|eot_id|>"))), ""))
-    if style == "qwen2":
-        role = lambda t: F.when(human(t), F.lit("user")).otherwise(F.lit("assistant"))
-        return F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n"), F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|im_start|>"), role(t), F.lit("\n"), t["value"], F.lit("<|im_end|>\n"))), ""))
-    if style == "plain":
-        return F.concat(system, F.array_join(F.transform(turns, lambda t: F.concat(t["value"], F.when(human(t), F.lit("\n")).otherwise(F.lit(stop)))), ""))
-    raise ValueError(f"unknown chat style: {style}")
-
-
-STYLES = ("single", "two", "mpt", "llama_2", "llama_3", "qwen2", "plain")
-#: Named templates: each has its style.
-TEMPLATES = {"default": "two", "v0": "single", "v1": "two", "vicuna_v1": "two", "llama_2": "llama_2", "llama_3": "llama_3", "mpt": "mpt", "qwen2": "qwen2", "plain": "plain"}

@@ -22,17 +22,30 @@ def with_image_ids(text: Column, tokenizer: Callable[[Column], Column] = whitesp
     return joined if bos is None else F.concat(F.array(F.lit(bos)), joined)
 
 
-def expand_images(text: Column, patches: Column, tag: str = "<image>", start: str = "<im_start>", end: str = "<im_end>") -> Column:
-    """The i-th tag becomes start, as many tags as its image has patches, end."""
-    chunks = F.split(text, tag, -1)
-    fill = lambda i: F.concat(F.lit(start), F.repeat(F.lit(tag), F.coalesce(F.get(patches, i - 1), F.lit(1)).cast("int")), F.lit(end))
-    return F.array_join(F.transform(chunks, lambda c, i: F.when(i > 0, F.concat(fill(i), c)).otherwise(c)), "")
+def expand_images(text: Column, patches: Column, before: Column | None = None, tag: str = "<image>", start: str = "", end: str = "") -> Column:
+    """Each tag becomes start, as many tags as its image has patches, end; a tag beyond the images stays.
 
+    before: images that earlier turns have used. A text with a tag is stripped."""
+    before = F.lit(0) if before is None else before
+    chunks = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), tag, -1)
+    known = lambda i: F.get(patches, (before + i - 1).cast("int"))
+    fill = lambda i: F.when(known(i).isNull(), F.lit(tag)).otherwise(F.concat(F.lit(start), F.repeat(F.lit(tag), known(i).cast("int")), F.lit(end)))
+    joined = F.array_join(F.transform(chunks, lambda c, i: F.when(i > 0, F.concat(fill(i), c)).otherwise(c)), "")
+    return F.when(text.contains(tag), joined).otherwise(text)
 
-def expand_video(text: Column, seconds: Column, tag: str = "<image>", thumbnail: bool = False, start: str = "", end: str = "") -> Column:
-    """The tag becomes a timestamp and a tag for each frame."""
-    frames = F.array_join(F.transform(seconds, lambda t: F.concat(F.format_string("%.1fs", t.cast("double")), F.lit(tag))), "")
-    return F.replace(text, F.lit(tag), F.concat(F.lit(start), F.lit(tag if thumbnail else ""), frames, F.lit(end)))
+
+def expand_dialogue(turns: Column, patches: Column, tag: str = "<image>", start: str = "", end: str = "") -> Column:
+    """expand_images over the turns (struct from, value) of a dialogue; images go on from turn to turn."""
+    used = lambda i: F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda n, t: n + F.regexp_count(t["value"], F.lit(tag)))
+    return F.transform(turns, lambda t, i: F.struct(t["from"].alias("from"), expand_images(t["value"], patches, used(i), tag, start, end).alias("value")))
+
+
+def expand_video(text: Column, labels: Column, tag: str = "<image>", thumbnail: bool = False, start: str = "", end: str = "", thumbnail_start: str = "", thumbnail_end: str = "") -> Column:
+    """The tag becomes a label (its time as text) and a tag for each frame, after the thumbnail's tag if there is one."""
+    frames = F.array_join(F.transform(labels, lambda t: F.concat(t.cast("string"), F.lit(tag))), "")
+    small = thumbnail_start + tag + thumbnail_end if thumbnail else ""
+    stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(text.contains(tag), F.replace(stripped, F.lit(tag), F.concat(F.lit(start + small), frames, F.lit(end)))).otherwise(text)
 
 
 def expand_slots(ids: Column, slots: int, fill: int) -> Column:
@@ -65,9 +78,9 @@ def divisible_padding(length: Column, parts: int, zigzag: bool = False) -> Colum
 
 
 def with_enough_tags(text: Column, images: Column, tag: str = "<image>") -> Column:
-    """A text whose tags are as many as its images, or else all tags first and its own removed."""
+    """A text whose tags are as many as its images; else one tag for each image and a line break come first."""
     own = F.regexp_count(text, F.lit(tag))
-    return F.when(own == images, text).otherwise(F.concat(F.repeat(F.lit(tag), images.cast("int")), F.replace(text, F.lit(tag), F.lit(""))))
+    return F.when(own == images, text).otherwise(F.concat(F.repeat(F.lit(tag), images.cast("int")), F.lit("\n"), text))
 
 
 def video_tag_as_image(text: Column) -> Column:

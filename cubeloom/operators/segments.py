@@ -68,6 +68,35 @@ def context_turns(df: DataFrame, key: str, order: list[str], is_media: Column, o
     return df.withColumn("_m", is_media).withColumn("_o", opens.cast("int")).withColumn(out, F.sum("_o").over(w)).drop("_m", "_o")
 
 
+def interleaved_turns(df: DataFrame, key: str, order: str, text: str, image: str, tag: str = "<image>") -> DataFrame:
+    """Slots (text or image, one of them null) as turns: a run of images is a human turn of tags, a run of texts a gpt turn.
+
+    A dialogue begins with images and ends with text: of more than two turns, a first text and last images
+    are dropped; of two turns in the wrong order, the order is turned. Slots with neither end a run. Adds turn (from 0)."""
+    kind = F.when(F.col(image).isNotNull(), "human").when(F.col(text).isNotNull(), "gpt").otherwise("none")
+    runs = change_groups(df.withColumn("_kind", kind), key, [order], F.col("_kind"), "_g").where("_kind <> 'none'")
+    rows = runs.groupBy(key, "_g", "_kind").agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce(text, F.lit(tag)).alias("v")))).alias("_v"))
+    value = F.when(F.col("_kind") == "gpt", F.array_join(F.transform("_v", lambda x: x["v"]), " ")).otherwise(F.repeat(F.lit(tag), F.size("_v")))
+    turns = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_g", F.col("_kind").alias("from"), value.alias("value")))).alias("_t"))
+    t = F.col("_t")
+    starts = F.when(t[0]["from"] != "gpt", t).when(F.size(t) > 2, F.slice(t, F.lit(2), F.size(t) - 1)).otherwise(F.reverse(t))
+    turns = turns.withColumn("_t", starts)
+    turns = turns.withColumn("_t", F.when((F.element_at(t, -1)["from"] == "human") & (F.size(t) > 2), F.slice(t, F.lit(1), F.size(t) - 1)).otherwise(t))
+    return turns.select(key, F.posexplode("_t").alias("turn", "_x")).select(key, F.col("turn").cast("long").alias("turn"), "_x.from", "_x.value")
+
+
+def dialogue_rounds(df: DataFrame, key: str, order: list[str], is_media: Column, value: str) -> DataFrame:
+    """Messages of a flat context: each round's media and first text are one human message, the texts after it alternate from gpt on.
+
+    Adds turn (the round), message (from 1), from and values."""
+    rounds = context_turns(df.withColumn("_media", is_media), key, order, is_media, "turn")
+    w = Window.partitionBy(key, "turn").orderBy(*order)
+    placed = rounds.withColumn("message", F.greatest(F.count_if(~F.col("_media")).over(w), F.lit(1)))
+    values = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    out = placed.groupBy(key, "turn", "message").agg(values.alias("_v"))
+    return out.select(key, "turn", "message", F.when(F.col("message") % 2 == 1, "human").otherwise("gpt").alias("from"), F.transform("_v", lambda x: x["_v"]).alias("values"))
+
+
 def sample_lengths(df: DataFrame, key: str, order: list[str], position: str) -> DataFrame:
     """Lengths of packed samples from their position ids: a sample begins where the id isn't above the sample's first; padding (-1) doesn't count.
 

@@ -46,7 +46,7 @@ def frm04(spark, sf_dir):
 @query(
     "frm05_bounded_indices",
     """SELECT p_partkey, array_to_string(list_transform(range(8), lambda i: CAST(floor(lo + (hi - lo) / 8.0 / 2 + round_even((hi - lo) / 8.0 * i, 0)) AS BIGINT)), ',') AS idx
-       FROM (SELECT p_partkey, CAST(greatest(1, round_even(p_size % 5 * 3.0, 0)) AS INT) AS lo, CAST(least(round_even((p_size + 5) * 3.0, 0), p_size * 3 + 9) AS INT) AS hi FROM part)""",
+       FROM (SELECT p_partkey, CAST(greatest(1, round_even(p_size % 5 * 3.0, 0)) AS INT) AS lo, CAST(least(round_even((p_size + 5) * 3.0, 0), p_size * 3 + 10) AS INT) AS hi FROM part)""",
 )
 def frm05(spark, sf_dir):
     s = F.col("p_size")
@@ -190,16 +190,27 @@ def tok01(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(TK.with_image_ids(text, _lengths, bos=1), ",").alias("ids"))
 
 
-@query("tok02_expand_images", "SELECT conv_id, turn, 'one <im_start>' || repeat('<image>', CAST(turn % 3 + 1 AS INT)) || '<im_end> ' || text || ' <im_start><image><im_end>' AS text FROM conversations")
+@query("tok02_expand_images", "SELECT conv_id, turn, 'one <s>' || repeat('<image>', CAST(turn % 3 + 1 AS INT)) || '</s> ' || trim(text) || ' <image>' AS text FROM conversations")
 def tok02(spark, sf_dir):
-    text = F.concat(F.lit("one <image> "), "text", F.lit(" <image>"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", TK.expand_images(text, F.array(F.col("turn") % 3 + 1)).alias("text"))
+    text = F.concat(F.lit(" one <image> "), F.trim("text"), F.lit(" <image>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", TK.expand_images(text, F.array(F.col("turn") % 3 + 1), start="<s>", end="</s>").alias("text"))
+
+
+@query(
+    "tok02_expand_dialogue",
+    """SELECT conv_id, string_agg(text || CASE WHEN turn % 2 = 0 THEN ' ' || CASE WHEN turn // 2 < 2 THEN repeat('<image>', CAST(turn // 2 + 2 AS INT)) ELSE '<image>' END ELSE '' END, '|' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id""",
+)
+def tok02_dialogue(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").withColumn("value", F.expr("if(turn % 2 = 0, concat(text, ' <image>'), text)"))
+    turns = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("from"), "value"))).alias("t"))
+    out = TK.expand_dialogue(F.col("t"), F.array(F.lit(2), F.lit(3)))
+    return turns.select("conv_id", F.array_join(F.transform(out, lambda x: x["value"]), "|").alias("joined"))
 
 
-@query("tok03_expand_video", "SELECT conv_id, turn, '<image>0.0s<image>' || CAST(turn AS VARCHAR) || '.5s<image>' || chr(10) || text AS text FROM conversations")
+@query("tok03_expand_video", "SELECT conv_id, turn, '<v><image>0.0<image>' || CAST(turn AS VARCHAR) || '.5<image></v>' || chr(10) || rtrim(text) AS text FROM conversations")
 def tok03(spark, sf_dir):
-    seconds = F.array(F.lit(0.0), F.col("turn") + 0.5)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", TK.expand_video(F.concat(F.lit("<image>\n"), "text"), seconds, thumbnail=True).alias("text"))
+    labels = F.array(F.lit(0.0).cast("double"), F.col("turn") + F.lit(0.5).cast("double"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", TK.expand_video(F.concat(F.lit("<image>\n"), "text"), labels, thumbnail=True, start="<v>", end="</v>").alias("text"))
 
 
 def _spans(spark, sf_dir, extra=0):
@@ -265,7 +276,7 @@ def tok09(spark, sf_dir):
     return _id_rows(spark, sf_dir).select("l_orderkey", F.array_join(p, ",").alias("left_padded"), n.alias("n_attended"))
 
 
-@query("tok11_enough_tags", "SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '<image> ' || text ELSE repeat('<image>', CAST(turn % 3 AS INT)) || ' ' || text END AS text FROM conversations")
+@query("tok11_enough_tags", "SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '<image> ' || text ELSE repeat('<image>', CAST(turn % 3 AS INT)) || chr(10) || '<image> ' || text END AS text FROM conversations")
 def tok11(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", TK.with_enough_tags(F.concat(F.lit("<image> "), "text"), F.col("turn") % 3).alias("text"))
 

@@ -104,6 +104,39 @@ def win08(spark, sf_dir):
     return S.context_turns(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], F.col("turn") % 4 == 0, "turn_no").select("conv_id", "turn", "turn_no")
 
 
+_KIND = "CASE WHEN (turn + conv_id) % 3 = 0 THEN 'gpt' WHEN (turn + conv_id) % 7 = 1 THEN 'none' ELSE 'human' END"
+
+
+@query(
+    "win07_interleaved_turns",
+    f"""WITH s AS (SELECT conv_id, turn, text, {_KIND} AS k FROM conversations),
+        c AS (SELECT *, CASE WHEN k <> lag(k) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS c FROM s),
+        g AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM c),
+        r AS (SELECT conv_id, g, k, CASE WHEN k = 'gpt' THEN string_agg(text, ' ' ORDER BY turn) ELSE repeat('<image>', CAST(count(*) AS INT)) END AS value FROM g WHERE k <> 'none' GROUP BY conv_id, g, k),
+        l AS (SELECT conv_id, list({{'k': k, 'v': value}} ORDER BY g) AS t FROM r GROUP BY conv_id),
+        a AS (SELECT conv_id, CASE WHEN t[1]['k'] <> 'gpt' THEN t WHEN len(t) > 2 THEN t[2:] ELSE list_reverse(t) END AS t FROM l),
+        z AS (SELECT conv_id, CASE WHEN t[-1]['k'] = 'human' AND len(t) > 2 THEN t[:len(t) - 1] ELSE t END AS t FROM a)
+        SELECT conv_id, unnest(range(len(t))) AS turn, unnest(list_transform(t, lambda x: x['k'])) AS "from", unnest(list_transform(t, lambda x: x['v'])) AS value FROM z""",
+)
+def win07_interleaved(spark, sf_dir):
+    slots = table(spark, sf_dir, "conversations").withColumn("k", F.expr(_KIND)).select("conv_id", F.col("turn").alias("slot"), F.expr("if(k = 'gpt', text, NULL)").alias("caption"), F.expr("if(k = 'human', 'x.jpg', NULL)").alias("image"))
+    return S.interleaved_turns(slots, "conv_id", "slot", "caption", "image")
+
+
+@query(
+    "win08_dialogue_rounds",
+    """WITH m AS (SELECT conv_id, turn AS pos, text, turn % 4 = 0 AS media FROM conversations),
+        o AS (SELECT *, CASE WHEN media AND NOT coalesce(lag(media) OVER (PARTITION BY conv_id ORDER BY pos), true) THEN 1 ELSE 0 END AS o FROM m),
+        r AS (SELECT *, sum(o) OVER (PARTITION BY conv_id ORDER BY pos) AS turn FROM o),
+        k AS (SELECT *, greatest(count(*) FILTER (WHERE NOT media) OVER (PARTITION BY conv_id, turn ORDER BY pos), 1) AS message FROM r)
+        SELECT conv_id, turn, message, CASE WHEN message % 2 = 1 THEN 'human' ELSE 'gpt' END AS "from", string_agg(text, '|' ORDER BY pos) AS joined FROM k GROUP BY conv_id, turn, message""",
+)
+def win08_rounds(spark, sf_dir):
+    flat = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), "text")
+    out = S.dialogue_rounds(flat, "conv_id", ["pos"], F.col("pos") % 4 == 0, "text")
+    return out.select("conv_id", "turn", "message", "from", F.array_join("values", "|").alias("joined"))
+
+
 @query("win09_sample_lengths", "SELECT l_orderkey, sample, CAST(len AS BIGINT) AS length FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS sample, l_quantity AS len FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL))")
 def win09(spark, sf_dir):
     """Position ids of packed samples (a sample of l_quantity tokens for each line), and back."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chat
 from ..functions import text as T
+from ..operators.convert import hash_choice
 from ..registry import query, table
 from . import inputs
 
@@ -37,20 +39,26 @@ def _options():
     return F.array(*[F.coalesce(F.get(part, F.lit(i)), F.lit("")) for i in range(3)], F.col("source"))
 
 
+_ANSWER = "CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE source END"
+
+
 @query(
     "txt04_choice_prompt",
-    f"""SELECT doc_id, 'Question: ' || lang || chr(10) || 'Options:' || chr(10) || '(A) ' || o[1] || chr(10) || '(B) ' || o[2] || chr(10) || '(C) ' || o[3] || chr(10) || '(D) ' || o[4] || chr(10) AS prompt,
-        '(' || chr(64 + coalesce(list_position(o, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE source END), 0)) || ') ' || CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE source END AS answer
+    f"""SELECT doc_id, rtrim('Question: ' || lang || chr(10) || 'Options:' || chr(10) || '(A) ' || o[1] || chr(10) || '(B) ' || o[2] || chr(10) || '(C) ' || o[3] || chr(10) || '(D) ' || o[4]) AS prompt,
+        '(' || CASE WHEN doc_id % 3 = 0 THEN '@' ELSE 'D' END || ')' AS answer, CASE WHEN doc_id % 3 = 0 THEN '@' ELSE 'D' END AS letter
     FROM (SELECT *, {_OPTIONS} AS o FROM documents)""",
 )
 def txt04(spark, sf_dir):
-    o, answer = _options(), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE source END")
-    return table(spark, sf_dir, "documents").select("doc_id", T.question_prompt(F.col("lang"), o).alias("prompt"), T.answer_choice(answer, o).alias("answer"))
+    o, answer = _options(), F.expr(_ANSWER)
+    return table(spark, sf_dir, "documents").select("doc_id", T.question_prompt(F.col("lang"), o).alias("prompt"), T.answer_choice(answer, o).alias("answer"), T.answer_choice(answer, o, bare=True).alias("letter"))
 
 
-@query("txt05_option_list", f"SELECT doc_id, array_to_string({_OPTIONS}, chr(10)) AS options FROM documents")
+@query(
+    "txt05_option_list",
+    f"SELECT doc_id, 'Options:' || chr(10) || array_to_string({_OPTIONS}, chr(10)) AS options, 'Options:' || chr(10) || array_to_string(list_transform({_OPTIONS}, lambda c, i: ' ' || chr(CAST(64 + i AS INT)) || '. ' || c), chr(10)) AS lettered FROM documents",
+)
 def txt05(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.option_list(_options()).alias("options"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.option_list(_options()).alias("options"), T.option_list(_options(), lettered=True).alias("lettered"))
 
 
 @query("txt06_wide_to_long", "SELECT p_partkey, unnest(range(4)) AS idx, unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS choice FROM part")
@@ -80,32 +88,33 @@ def txt08(spark, sf_dir):
     return j.select("doc_id", T.judge_prediction(F.col("j")).alias("pred"), T.judge_score(F.col("j")).alias("score"))
 
 
-def _rendered(pieces: str, head: str = "", join: str = "") -> str:
-    return f"""SELECT conv_id, {head} array_to_string(list_transform(conversations, lambda t, i: {pieces}), '{join}') AS prompt FROM ({inputs.DIALOGUES})"""
+def _rendered(pieces: str, head: str = "") -> str:
+    return f"""SELECT conv_id, {head} array_to_string(list_transform(conversations, lambda t, i: {pieces}), '') AS prompt FROM ({inputs.DIALOGUES})"""
 
 
-_USER = "CASE WHEN t['from'] = 'human' THEN 'USER' ELSE 'ASSISTANT' END"
-_ROLE = "CASE WHEN t['from'] = 'human' THEN 'user' ELSE 'assistant' END"
+_NAME = "CASE WHEN t['from'] = 'human' THEN '{0}' ELSE '{1}' END"
+_ROLE = _NAME.format("user", "assistant")
+_SAYS = "'A chat between a curious {0} and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the {0}''s questions."
 _RENDER = {
-    "single": _rendered(f"{_USER} || ': ' || t['value'] || '###'", "'Be brief.###' ||"),
-    "two": _rendered(f"{_USER} || ': ' || t['value'] || CASE WHEN t['from'] = 'human' THEN ' ' ELSE '</s>' END", "'Be brief. ' ||"),
-    "mpt": _rendered(f"'<|im_start|>' || {_ROLE} || chr(10) || t['value'] || '<|im_end|>'", "'Be brief.<|im_end|>' ||"),
-    "llama_2": _rendered("CASE WHEN t['from'] = 'human' THEN '<s>[INST] ' || CASE WHEN i = 1 THEN '<<SYS>>' || chr(10) || 'Be brief.' || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || t['value'] || ' [/INST]' ELSE ' ' || t['value'] || ' </s>' END"),
-    "llama_3": _rendered(f"'<|start_header_id|>' || {_ROLE} || '<|end_header_id|>' || chr(10) || chr(10) || t['value'] || '<|eot_id|>'", "'<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || 'Be brief.<|eot_id|>' ||"),
-    "qwen2": _rendered(f"'<|im_start|>' || {_ROLE} || chr(10) || t['value'] || '<|im_end|>' || chr(10)", "'<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) ||"),
-    "plain": _rendered("t['value'] || CASE WHEN t['from'] = 'human' THEN chr(10) ELSE '</s>' END", "'Be brief.' ||"),
+    "v0": _rendered(f"{_NAME.format('Human', 'Assistant')} || ': ' || t['value'] || '###'", f"{_SAYS.format('human')}###' ||"),
+    "v1": _rendered(f"{_NAME.format('USER', 'ASSISTANT')} || ': ' || t['value'] || CASE WHEN i % 2 = 1 THEN ' ' ELSE '</s>' END", f"{_SAYS.format('user')} ' ||"),
+    "mpt": _rendered(f"'<|im_start|>' || {_ROLE} || chr(10) || t['value'] || '<|im_end|>'", "'<|im_start|>system' || chr(10) || 'A conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers.<|im_end|>' ||"),
+    "llama_2": _rendered("CASE WHEN i = 1 THEN '[INST] ' || t['value'] || ' [/INST]' WHEN i % 2 = 1 THEN '<s>[INST] ' || t['value'] || ' [/INST]' ELSE ' ' || t['value'] || ' </s>' END"),
+    "llama_3_chat": _rendered(f"'<|start_header_id|>' || {_NAME.format('user', 'system')} || '<|end_header_id|>' || chr(10) || chr(10) || t['value'] || '<|eot_id|>'"),
+    "qwen2": _rendered(f"'<|im_start|>' || {_ROLE} || chr(10) || t['value'] || '<|im_end|>' || chr(10)"),
+    "plain": _rendered("t['value'] || CASE WHEN i % 2 = 1 THEN chr(10) ELSE '' END"),
 }
 
 
-def _chat(style):
+def _chat(name):
     def run(spark, sf_dir):
-        return inputs.dialogues(spark, sf_dir).select("conv_id", T.render_chat(style, F.lit("Be brief."), F.col("conversations")).alias("prompt"))
+        return inputs.dialogues(spark, sf_dir).select("conv_id", chat.render(chat.TEMPLATES[name], F.col("conversations")).alias("prompt"))
 
     return run
 
 
-for _style in T.STYLES:
-    query(f"txt09_chat_{_style}", _RENDER[_style])(_chat(_style))
+for _name, _sql in _RENDER.items():
+    query(f"txt09_chat_{_name}", _sql)(_chat(_name))
 
 
 @query("txt10_model_name", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '_checkpoint-' || doc_id ELSE source END AS name FROM documents")
@@ -116,8 +125,8 @@ def txt10(spark, sf_dir):
 
 @query("txt12_template_registry")
 def txt12(spark, sf_dir):
-    rows = [(name, style) for name, style in sorted(T.TEMPLATES.items())]
-    return spark.createDataFrame(rows, "template string, style string")
+    rows = [(name, t.style, *t.roles, t.sep, t.sep2, t.system) for name, t in sorted(chat.TEMPLATES.items())]
+    return spark.createDataFrame(rows, "template string, style string, human string, gpt string, sep string, sep2 string, system string")
 
 
 @query("txt13_base64", "SELECT doc_id, base64(encode(text[1:30])) AS encoded, text[1:30] AS decoded FROM documents")
@@ -148,7 +157,7 @@ _NAMES = "concat('Clip_', CAST(doc_id AS STRING), CASE CAST(doc_id % 5 AS INT) W
 
 @query(
     "flt01_media_suffix",
-    f"""SELECT doc_id, regexp_matches(lower(n), '\\.(mp4|avi|mov|mkv|wmv|flv|webm|m4v)$') AS video, regexp_matches(lower(n), '\\.(jpg|jpeg|png|bmp|gif|tiff|webp)$') AS image,
+    f"""SELECT doc_id, regexp_matches(lower(n), '\\.(mp4|avi|mov|mkv|wmv|flv|webm|m4v)$') AS video, regexp_matches(lower(n), '\\.(jpg|png|jpeg|bmp|tiff|webp)$') AS image,
         lower(split_part(n, '.', -1)) IN ('mp4', 'mkv', 'avi', 'mov', 'wmv', 'flv', 'mjpeg') AS listed FROM (SELECT doc_id, {_NAMES} AS n FROM documents)""",
 )
 def flt01(spark, sf_dir):
@@ -173,16 +182,10 @@ def tok10(spark, sf_dir):
 
 @query("txt11_option_styles")
 def txt11(spark, sf_dir):
-    from ..operators.convert import hash_choice
-
-    style = hash_choice(["A", "(A)", "a", "1", "(1)"], F.col("doc_id"))
-    mark = lambda i: F.when(F.col("style") == "A", F.chr(i + 65)).when(F.col("style") == "(A)", F.concat(F.lit("("), F.chr(i + 65), F.lit(")"))).when(F.col("style") == "a", F.chr(i + 97)).when(F.col("style") == "1", (i + 1).cast("string")).otherwise(F.concat(F.lit("("), (i + 1).cast("string"), F.lit(")")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", style.alias("style"), _options().alias("o"))
-    return rows.select("doc_id", "style", F.array_join(F.transform("o", lambda c, i: F.concat(mark(i), F.lit(". "), c)), "\n").alias("options"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", hash_choice(list(T.OPTION_STYLES), F.col("doc_id")).alias("style"), _options().alias("o"))
+    return rows.select("doc_id", "style", T.styled_options(F.col("o"), F.col("style")).alias("options"))
 
 
 @query("prj08_prompt_override")
 def prj08(spark, sf_dir):
-    from ..operators.convert import hash_choice
-
     return table(spark, sf_dir, "documents").select("doc_id", hash_choice(["Describe the image.", "What is shown here?", "Give a short caption."], F.col("doc_id"), 3).alias("prompt"))

@@ -32,3 +32,53 @@ def frame_store(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 def stored_or(df: DataFrame, store: DataFrame, key: str, decoded: str) -> DataFrame:
     """df with frames from the store, or else its own decoded ones."""
     return df.join(store.select(F.col("key").alias(key), F.col("frames").alias("_f")), key, "left").withColumn("frames", F.coalesce("_f", decoded)).drop("_f")
+
+
+def lines_at(store: DataFrame, lines: list[int], number: str = "line") -> DataFrame:
+    """The rows with the given line numbers: a filter that a Parquet store answers from its statistics."""
+    return store.where(F.col(number).isin(*lines))
+
+
+def write_tsv(df: DataFrame, path: str, name: str, frames: str) -> None:
+    """Lines of a name, a tab, and a JSON array of base64 payloads."""
+    payload = F.to_json(F.transform(frames, lambda x: F.base64(x)))
+    df.select(F.concat_ws("\t", F.col(name).cast("string"), payload).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """name and frames (binary) of such lines."""
+    part = F.split("value", "\t", 2)
+    return spark.read.text(path).select(part[0].alias("name"), F.transform(F.from_json(part[1], "array<string>"), lambda x: F.unbase64(x)).alias("frames"))
+
+
+def existing_frames(clips: DataFrame, listing: DataFrame, key: str) -> DataFrame:
+    """Each clip's wanted frame numbers that have a file, ascending, in frames; clips without any are left out.
+
+    clips: key and wanted (an array). listing: key and frame."""
+    each = clips.select(key, F.explode("wanted").alias("frame")).join(listing, [key, "frame"], "left_semi")
+    return each.groupBy(key).agg(F.sort_array(F.collect_list("frame")).alias("frames"))
+
+
+def write_media(df: DataFrame, folder: str, name: str, payload: str) -> DataFrame:
+    """Writes each payload to folder/name unless it is there, when run; name and whether it was written.
+
+    The folder is any that pyarrow's file systems reach. A file appears under its name only when whole."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            new = []
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                there = fs.get_file_info(f"{base}/{n}").type != pafs.FileType.NotFound
+                if not there:
+                    with fs.open_output_stream(f"{base}/.{n}.part", compression=None) as f:
+                        f.write(data)
+                    fs.move(f"{base}/.{n}.part", f"{base}/{n}")
+                new.append(not there)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new)], ["name", "written"])
+
+    return df.select(F.col(name).cast("string").alias("name"), F.col(payload).cast("binary").alias("payload")).mapInArrow(run, "name string, written boolean")

@@ -64,9 +64,9 @@ def union_tasks(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def result_shards(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Result shards by a glob; each is a JSON array or JSON lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(pattern)
+def result_shards(spark: SparkSession, pattern: str, schema: str, lines: bool = False) -> DataFrame:
+    """Result shards by a glob; each is a JSON array, or JSON lines."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(pattern)
 
 
 def string_or_array(field: Column) -> Column:
@@ -78,3 +78,14 @@ def checked_type(df: DataFrame, types: tuple[str, ...] = ("conversations", "capt
     """df; a row of another data_type ends the query with an error."""
     bad = F.raise_error(F.concat(F.lit("unknown data_type "), F.coalesce("data_type", F.lit("null"))))
     return df.withColumn("data_type", F.when(F.col("data_type").isin(*types), F.col("data_type")).otherwise(bad.cast("string")))
+
+
+def in_batches(df: DataFrame, function, schema: str, rows: int = 32) -> DataFrame:
+    """function applied to Arrow batches of at most ``rows`` rows, so that a task holds few large payloads at once."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                yield function(batch.slice(lo, rows))
+
+    return df.mapInArrow(run, schema)

@@ -91,3 +91,10 @@ def test_catalogue_specs(spark):
     (turns,) = catalogue.convert(catalogue.SOURCES["webvid"], ann, cat).collect()
     assert [t.value for t in turns.conversations] == ["<video>\nlook", "y", "see", "z"]
     assert catalogue.convert(catalogue.SOURCES["moviechat"], ann, cat).count() == 3
+
+
+def test_write_media_once(spark, tmp_path):
+    df = spark.createDataFrame([("a.bin", bytearray(b"1")), ("b.bin", bytearray(b"22"))], "name string, data binary")
+    assert {r.written for r in blobs.write_media(df, f"file://{tmp_path}/m", "name", "data").collect()} == {True}
+    assert {r.written for r in blobs.write_media(df, f"file://{tmp_path}/m", "name", "data").collect()} == {False}
+    assert (tmp_path / "m" / "b.bin").read_bytes() == b"22"
