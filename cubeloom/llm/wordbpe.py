@@ -20,7 +20,7 @@ from array import array
 
 END = b"\xff"
 #: Words remembered; beyond that a worker begins anew. Longer words than KEPT bytes aren't remembered.
-REMEMBERED, KEPT = 600_000, 64
+REMEMBERED, KEPT = 300_000, 64
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _loaded: dict[str, "WordIds"] = {}
 
