@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 50, 3, 50
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.4, 150
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 20, 0.3, 100
 SYMBOLS = "#*$%&|<>"
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
