@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MIN_CHARS = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,13 +41,14 @@ def held_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return long.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.reverse("key")).alias("h2"))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, row, n_dropped and keep of the documents that lose a line.
 
     keep is the document's bitmap of kept lines, run-length compressed: (first, n) of each run, the
-    last one open to the end."""
+    last one open to the end. The hashes are written first: a range partitioning reads its input twice."""
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = held_lines(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    salted = scratch.save(held_lines(docs, min_chars), "hashes").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     ranged = salted.repartitionByRange(parts, "h1", "salt")
     stream = Window.partitionBy("h1", "salt", "h2").orderBy("doc_id", "pos")
     first = ranged.withColumn("first", F.first("doc_id").over(stream))
