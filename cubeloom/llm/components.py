@@ -22,10 +22,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     step = 0
     while True:
-        # Stars: no smaller end of an edge is the larger end of another.
-        smallest = now.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
-        loose = now.select(F.col("b").alias("a")).join(smallest.select("a"), "a", "left_semi")
-        if smallest.where("m <> most").limit(1).count() == 0 and loose.limit(1).count() == 0:
+        # Stars: a larger end has one smaller end only, and a smaller end is no larger end of another.
+        ends = now.select(F.col("a").alias("u"), "b").unionAll(now.select(F.col("b").alias("u"), F.lit(None).cast("long").alias("b")))
+        seen = ends.groupBy("u").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count_if(F.col("b").isNull()).alias("below"))
+        if seen.where("low <> high OR (low IS NOT NULL AND below > 0)").limit(1).count() == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = _both(now)
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     shared = at.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
     members = scratch.save(at.join(shared, "bucket"), "members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = scratch.save(full_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), k).distinct(), "sets")
+    sets = scratch.save(full_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), k), "sets")
     star = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     links = scratch.save(confirmed(star, sets, percent), "links")
     found = components(links, scratch, "first")
@@ -207,10 +207,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     rest = rest.select("bucket", "node", "component", "center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
     rest = rest.join(sets, "node").join(nodes.select("node", "bands", F.col("n").alias("_n")), "node").where("n = _n").drop("_n")
     more = rest.groupBy("bucket", "i", "j").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
-    links = links.unionByName(scratch.save(more.distinct(), "more"))
-    final = components(links, scratch, "second")
-    named = nodes.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
-    for name in ("members", "sets", "links", "more"):
+    more = scratch.save(more.distinct(), "more")
+    final = nodes.select("set_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if more.limit(1).count():  # the components that the second step joins
+        label = final.select("node", "component")
+        across = more.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(across, scratch, "second").toDF("component", "lowest")
+        final = final.join(joined, "component", "left").withColumn("component", F.coalesce("lowest", "component"))
+    named = scratch.save(final.select("set_id", F.col("component").alias("component_id")), "named")
+    for name in ("nodes", "members", "sets", "links", "more"):
         scratch.drop(name)
     linked = every.join(named, "set_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id")))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
