@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..workspace import Scratch, scope, shared_dir
+from ..workspace import Scratch, importable, scope, shared_dir
 
-__all__ = ["Scratch", "scope", "shared_dir", "table"]
+__all__ = ["Scratch", "importable", "scope", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
