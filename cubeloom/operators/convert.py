@@ -35,11 +35,16 @@ def caption_and_qa(caption: Column, qa: Column, caption_prompt: str) -> Column:
     return F.concat(F.array(pair(F.lit(caption_prompt), caption)), F.transform(qa, lambda x: pair(x["question"], x["answer"])))
 
 
-def numbered(df: DataFrame, name: str, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order: str, by: tuple[str, ...] = (), large: bool = False) -> DataFrame:
     """df with a running number from 0 in the given order, inside each key where keys are given.
 
     Without keys the number is global. It is then made of a range sort and counts before each
-    partition, so that no task holds the table."""
+    partition, so that no task holds the table. large: keys may hold a large part of the table, so that
+    the number comes from a global one less the key's first."""
+    if by and large:
+        every = numbered(df, "_all", *by, *order)
+        first = every.groupBy(*by).agg(F.min("_all").alias("_first"))
+        return every.join(first, list(by)).withColumn(name, F.col("_all") - F.col("_first")).drop("_all", "_first")
     if by:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
@@ -114,7 +114,7 @@ def megabatches(df: DataFrame, length: str, key: str, size: int, chunks: int, se
     from .convert import numbered
 
     mixed = shuffled(df, key, seed)
-    placed = numbered(mixed, "_n", "shuffle", key, by=by)
+    placed = numbered(mixed, "_n", "shuffle", key, by=by, large=True)
     placed = placed.withColumn("megabatch", F.floor(F.col("_n") / size).cast("long")).drop("_n", "shuffle")
     rows = F.sort_array(F.collect_list(F.struct((-F.col(length)).alias("_l"), F.col(key).alias("_k"))))
     grouped = placed.groupBy(*by, "megabatch").agg(rows.alias("_rows"))  # a megabatch is size rows at most
@@ -149,6 +149,6 @@ def modality_megabatches(df: DataFrame, signed: str, key: str, size: int, chunks
     Adds slot, the megabatch's place in a shuffle of full ones; the two last partial ones come together at the end."""
     signs = df.withColumn("modality", F.signum(F.col(signed).cast("double")).cast("int")).withColumn("_abs", F.abs(signed))
     out = megabatches(signs, "_abs", key, size, chunks, seed, by=("modality",))
-    last = F.max("megabatch").over(Window.partitionBy("modality"))
-    out = out.withColumn("tail", F.col("megabatch") == last)
+    last = out.groupBy("modality").agg(F.max("megabatch").alias("_last"))  # two rows
+    out = out.join(last, "modality").withColumn("tail", F.col("megabatch") == F.col("_last")).drop("_last")
     return out.withColumn("slot", F.when(~F.col("tail"), shuffle_key(F.col("megabatch") * 2 + (F.col("modality") > 0).cast("long"), seed)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,13 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """spark, whose Python workers on this machine find this package wherever the driver was started."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *paths]))
+    return spark
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and survive the loss of an executor.
 
     They stay until ``drop``, the end of the ``scope`` they were made in, or the end of the driver's Python."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = importable(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _live.append(self)
 

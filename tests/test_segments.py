@@ -85,3 +85,34 @@ def test_merge_placeholders(spark):
     bounds = spark.createDataFrame([(0, 0, 2), (0, 2, 6)], "k int, low long, high long")
     got = [r.i for r in merge_placeholders(df, "k", ["i"], F.col("v") == 1, 3, bounds).orderBy("position").collect()]
     assert got == [0, 1, 4, 5, 10]
+
+
+def test_numbered_in_large_keys(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000).alias("v"))
+    a = convert.numbered(df, "n", "v", by=("k",), large=True)
+    b = convert.numbered(df, "n", "v", by=("k",))
+    assert a.count() == 1000 and a.select("k", "v", "n").exceptAll(b.select("k", "v", "n")).count() == 0
+
+
+def test_megabatches_are_dealt_evenly(spark):
+    from cubeloom.operators import mixture
+
+    df = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") * 37 % 101 + 1).alias("n"))
+    rows = mixture.megabatches(df, "n", "doc_id", 32, 4, 1).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(200))
+    length = {r.doc_id: r.n for r in df.collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.megabatch, []).append(r)
+    for g in groups.values():
+        by_place = sorted(g, key=lambda r: r.place)
+        assert [length[r.doc_id] for r in by_place] == sorted((length[r.doc_id] for r in g), reverse=True)
+        if len(g) % 4 == 0:  # greedy: the least loaded chunk that isn't full
+            loads, counts = [0.0] * 4, [0] * 4
+            for r in by_place:
+                pick = loads.index(min(loads))
+                assert r.chunk == pick
+                loads[pick] += length[r.doc_id]
+                counts[pick] += 1
+                if counts[pick] == len(g) // 4:
+                    loads[pick] = float("inf")
