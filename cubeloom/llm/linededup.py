@@ -67,7 +67,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch |
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with the kept lines as text (null texts stay null), and n_lines and n_dropped.
 
-    Columns of these two names in docs are replaced."""
+    Columns of these two names in docs are replaced; columns named _id, _row, _n or _keep are dropped."""
+    docs = docs.drop("_id", "_row", "_n", "_keep")
     keep = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
     joined = docs.join(keep.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
     split = lines(F.col("text"))

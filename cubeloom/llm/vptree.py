@@ -11,8 +11,9 @@ that a task holds a bounded number of either. Distances are Euclidean in double
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, take no
 part, and neither do null ids. Vectors of another length are never neighbours. Equal distances go to
-the smaller id. Rows that share an id are rows of their own, but a query never meets its own id.
-Other columns are ignored.
+the smaller id. Candidates that share an id are rows of their own, but a query never meets its own
+id. Equal queries (id and vector) are one; queries of one id with different vectors each have a
+list. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, BLOCK, LEAF = 16_384, 4_096, 128
-FACTOR = 0.5
+FACTOR = 0.25
 
 
 class Tree:
@@ -109,7 +110,7 @@ def _matrix(column) -> np.ndarray:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest found. queries: vec_id and embedding."""
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = usable(vectors), usable(queries).withColumn("twin", F.xxhash64("embedding")).dropDuplicates(["vec_id", "twin"])
     n_rows, n_asked = rows.count(), asked.count()
     shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_asked // block))
     deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
@@ -117,17 +118,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     right = asked.withColumn("block", deal(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "twin": [], "vec_id": [], "score": []}
         if len(rows) and len(asked):
             ids, by = asked.column("vec_id").to_numpy(), asked.column("embedding")
             tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding")))
             score, found = tree.search(ids, _matrix(by), k, factor)
-            full = found >= np.iinfo(np.int64).min
-            full &= np.isfinite(score)
-            out = {"query_id": np.repeat(ids, k)[full.ravel()], "vec_id": found[full], "score": score[full]}
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+            full = np.isfinite(score)
+            twins = asked.column("twin").to_numpy()
+            out = {"query_id": np.repeat(ids, k)[full.ravel()], "twin": np.repeat(twins, k)[full.ravel()], "vec_id": found[full], "score": score[full]}
+        return pa.table({n: pa.array(v, pa.float64() if n == "score" else pa.int64()) for n, v in out.items()})
 
     key = ("dim", "shard", "block")
-    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query_id long, twin long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy("score", "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
