@@ -58,7 +58,7 @@ def frm06(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", FR.resample_rate(F.col("p_size") % 4, F.lit(1)).alias("fps"))
 
 
-@query("frm07_timecode", "SELECT p_partkey, p_size % 3 * 3600.0 + p_size % 60 * 60.0 + p_size * 0.5 AS seconds FROM part")
+@query("frm07_timecode", "SELECT p_partkey, CAST(p_size % 3 * 3600.0 + p_size % 60 * 60.0 + p_size * 0.5 AS DOUBLE) AS seconds FROM part")
 def frm07(spark, sf_dir):
     code = F.format_string("%d:%d:%.3f", F.col("p_size") % 3, F.col("p_size") % 60, F.col("p_size") * 0.5)
     return table(spark, sf_dir, "part").select("p_partkey", FR.timecode_seconds(code).alias("seconds"))

@@ -80,7 +80,7 @@ def smp02(spark, sf_dir):
 _W = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
 
 
-@query("len01_rough_length", f"SELECT doc_id, {_W} * 1.5 + CASE WHEN doc_id % 3 = 0 THEN 64 + (doc_id % 420) * 0.5 * 64 WHEN doc_id % 3 = 1 THEN 256 ELSE 0 END + 42 AS length FROM documents")
+@query("len01_rough_length", f"SELECT doc_id, CAST({_W} * 1.5 + CASE WHEN doc_id % 3 = 0 THEN 64 + (doc_id % 420) * 0.5 * 64 WHEN doc_id % 3 = 1 THEN 256 ELSE 0 END + 42 AS DOUBLE) AS length FROM documents")
 def len01(spark, sf_dir):
     k = F.col("doc_id") % 3
     return table(spark, sf_dir, "documents").select("doc_id", M.rough_length(F.lit("caption"), F.col("text"), k == 1, k == 0, F.col("doc_id") % 420).alias("length"))

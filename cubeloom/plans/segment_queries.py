@@ -25,7 +25,7 @@ def win01(spark, sf_dir):
 
 @query(
     "win02_flag_segments",
-    f"""SELECT user_id, seg - 1 AS segment, min(i) AS start, max(i) + 1 AS stop FROM (
+    f"""SELECT user_id, CAST(seg - 1 AS BIGINT) AS segment, min(i) AS start, max(i) + 1 AS stop FROM (
         SELECT *, sum(CASE WHEN i = 0 OR event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS seg FROM {_N}) GROUP BY user_id, seg""",
 )
 def win02(spark, sf_dir):
@@ -68,7 +68,7 @@ def win05(spark, sf_dir):
 
 @query(
     "win04_05_02_cubes",
-    f"""{_M}{_FLAGS}, g AS (SELECT *, sum(flag) OVER (PARTITION BY user_id ORDER BY i) - 1 AS segment FROM b)
+    f"""{_M}{_FLAGS}, g AS (SELECT *, CAST(sum(flag) OVER (PARTITION BY user_id ORDER BY i) - 1 AS BIGINT) AS segment FROM b)
         SELECT user_id, segment, min(i) AS start, max(i) + 1 AS stop, count(*) AS n_frames, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us, round(avg(x), 6) AS mean_x FROM g GROUP BY user_id, segment""",
 )
 def cubes(spark, sf_dir):
@@ -85,7 +85,7 @@ def win06(spark, sf_dir):
 
 @query(
     "win07_merge_turns",
-    """SELECT conv_id, grp, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS text FROM (
+    """SELECT conv_id, CAST(grp AS BIGINT) AS grp, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS text FROM (
         SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM (
             SELECT *, CASE WHEN (turn % 3 = 0) <> lag(turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS c FROM conversations)) GROUP BY conv_id, grp""",
 )
@@ -97,7 +97,7 @@ def win07(spark, sf_dir):
 
 @query(
     "win08_context_turns",
-    """SELECT conv_id, turn, sum(o) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM (
+    """SELECT conv_id, turn, CAST(sum(o) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_no FROM (
         SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND NOT coalesce(lag(turn % 4 = 0) OVER (PARTITION BY conv_id ORDER BY turn), true) THEN 1 ELSE 0 END AS o FROM conversations)""",
 )
 def win08(spark, sf_dir):
@@ -127,7 +127,7 @@ def win07_interleaved(spark, sf_dir):
     "win08_dialogue_rounds",
     """WITH m AS (SELECT conv_id, turn AS pos, text, turn % 4 = 0 AS media FROM conversations),
         o AS (SELECT *, CASE WHEN media AND NOT coalesce(lag(media) OVER (PARTITION BY conv_id ORDER BY pos), true) THEN 1 ELSE 0 END AS o FROM m),
-        r AS (SELECT *, sum(o) OVER (PARTITION BY conv_id ORDER BY pos) AS turn FROM o),
+        r AS (SELECT *, CAST(sum(o) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS turn FROM o),
         k AS (SELECT *, greatest(count(*) FILTER (WHERE NOT media) OVER (PARTITION BY conv_id, turn ORDER BY pos), 1) AS message FROM r)
         SELECT conv_id, turn, message, CASE WHEN message % 2 = 1 THEN 'human' ELSE 'gpt' END AS "from", string_agg(text, '|' ORDER BY pos) AS joined FROM k GROUP BY conv_id, turn, message""",
 )
