@@ -160,10 +160,9 @@ def block_links(table: pa.Table, percent: int) -> pa.Table:
     group = np.arange(len(names))  # components joined in this task
     across = len(np.unique(side)) > 1
     links = []
-    mark = np.zeros(len(values), bool)
+    mark = np.zeros(len(values), np.int32)
     for x in np.flatnonzero(comp_ids != largest).tolist():
-        mine = group[comp_ids[x]]
-        other = (group[comp_ids] != mine) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        other = (group[comp_ids] != group[comp_ids[x]]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
         other &= (node != center) & (node[x] != center[x])  # the star's pairs have been tested
         other &= (comp_ids == largest) | (node > node[x])
         if across:
@@ -172,15 +171,16 @@ def block_links(table: pa.Table, percent: int) -> pa.Table:
         at = at[~(bands[at, :band] == bands[x, :band]).any(1)] if len(at) else at
         if not len(at):
             continue
-        mark[where[of[x] : of[x + 1]]] = True
-        for y in at.tolist():
-            if group[comp_ids[y]] == group[comp_ids[x]]:
-                continue
-            common = int(mark[where[of[y] : of[y + 1]]].sum())
-            if _similar(common, int(n[x]), int(n[y]), percent):
+        mark[where[of[x] : of[x + 1]]] = 1
+        sizes = of[at + 1] - of[at]
+        ends = np.cumsum(sizes)
+        places = np.repeat(of[at] - ends + sizes, sizes) + np.arange(ends[-1])
+        common = np.add.reduceat(mark[where[places]], ends - sizes)
+        mark[where[of[x] : of[x + 1]]] = 0
+        for y in at[_similar(common, n[x], n[at], percent)].tolist():
+            if group[comp_ids[y]] != group[comp_ids[x]]:
                 links.append((int(node[x]), int(node[y])))
                 group[group == group[comp_ids[y]]] = group[comp_ids[x]]
-        mark[where[of[x] : of[x + 1]]] = False
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
