@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm import linededup, neardup, packing, repetition, secrets
-from cubeloom.llm.common import Scratch, scope
+from cubeloom.llm.common import Scratch, scope, spread, table
 from cubeloom.llm.queries import WORD_VOCABULARY, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -50,7 +50,7 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_d
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and read again; a stage's own tables and its input go when it is written."""
     scratch = Scratch(spark, "pipeline")
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(table(spark, sf_dir, "documents")), None
     for name, stage in STAGES:
         with scope():
             docs = scratch.save(stage(spark, docs, sf_dir), name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, linededup, neardup, packing, repetition, secrets, sharding, vptree, warc
-from .common import table
+from .common import spread, table
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 SHARDS = {f"shard-{i:02d}": 1 for i in range(64)}
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.findings(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), F.col("ordinal").cast("long"), "kind", F.col("start").cast("long"), F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("secret_sha256"), "score", "is_secret")
@@ -28,12 +32,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
+    pieces = packing.pack(documents(spark, sf_dir), vocabulary(WORD_VOCABULARY))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return neardup.near_duplicates(documents(spark, sf_dir), k=2)
 
 
 def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +61,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.rules(table(spark, sf_dir, "documents"))
+    return repetition.rules(documents(spark, sf_dir))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN)
+    out = bpe.encode_decode(documents(spark, sf_dir), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
