@@ -159,3 +159,57 @@ def cat_conversion(spark, sf_dir):
 @query("cat_source_specs")
 def cat_specs(spark, sf_dir):
     return spark.createDataFrame([(s.name, s.miss, s.form, s.output) for s in catalogue.SOURCES.values()], "name string, miss string, form string, output string")
+
+
+def _as_files(rows, name, payload, folder):
+    """Writes a file for each row, and gives the folder."""
+    blobs.write_media(rows.select(name.alias("name"), payload.cast("binary").alias("payload")), folder, "name", "payload").agg(F.count("*")).collect()
+    return folder
+
+
+@query("src04_json_folder", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS caption FROM nation WHERE n_nationkey % 5 <> 0")
+def src04(spark, sf_dir):
+    """Every fifth file is broken, and left out."""
+    rows = table(spark, sf_dir, "nation")
+    text = F.when(F.col("n_nationkey") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("n_name").alias("caption"))))
+    folder = _as_files(rows, F.concat(F.col("n_nationkey").cast("string"), F.lit(".json")), text, Scratch(spark, "src04").path("files"))
+    return readers.json_folder(spark, folder, "caption string").select("key", "caption")
+
+
+@query("src07_parquet_columns", "SELECT doc_id, lang FROM documents WHERE lang = 'en'")
+def src07(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang")
+
+
+@query("src14_sidecar_ids", "SELECT n_name AS id FROM nation WHERE n_nationkey % 4 <> 0")
+def src14(spark, sf_dir):
+    """Every fourth file has an empty id."""
+    found = F.when(F.col("n_nationkey") % 4 == 0, F.lit("")).otherwise(F.col("n_name"))
+    text = F.to_json(F.struct(F.struct(F.struct(found.alias("id")).alias("info")).alias("yt_meta_dict")))
+    folder = _as_files(table(spark, sf_dir, "nation"), F.concat(F.col("n_nationkey").cast("string"), F.lit(".json")), text, Scratch(spark, "src14").path("files"))
+    return readers.sidecar_catalogue(spark, folder).select("id")
+
+
+@query("snk01_overwrite", "SELECT doc_id FROM documents WHERE doc_id % 2 = 1")
+def snk01(spark, sf_dir):
+    path, d = Scratch(spark, "snk01").path("out"), _docs(spark, sf_dir).select("doc_id")
+    writers.write_json_lines(d, path)
+    writers.write_json_lines(d.where("doc_id % 2 = 1"), path)
+    return readers.json_lines(spark, path, "doc_id long")
+
+
+@query("snk08_media_if_absent", "SELECT CAST(n_nationkey AS VARCHAR) || '.bin' AS name, strlen(n_name) AS length FROM nation")
+def snk08(spark, sf_dir):
+    folder, rows = Scratch(spark, "snk08").path("media"), table(spark, sf_dir, "nation")
+    name = F.concat(F.col("n_nationkey").cast("string"), F.lit(".bin"))
+    _as_files(rows, name, F.col("n_name"), folder)
+    _as_files(rows, name, F.lit("another payload"), folder)  # all are there: nothing changes
+    return readers.media_listing(spark, folder, suffixes=("bin",)).select("name", "length")
+
+
+@query("snk11_compaction", "SELECT 3 AS n_files, count(*) AS n_rows FROM documents")
+def snk11(spark, sf_dir):
+    path = Scratch(spark, "snk11").path("out")
+    writers.write_json_lines(_docs(spark, sf_dir).repartition(12), path, partitions=3)
+    read = spark.read.schema("doc_id long").json(path)
+    return read.agg(F.countDistinct("_metadata.file_path").cast("int").alias("n_files"), F.count("*").alias("n_rows"))
