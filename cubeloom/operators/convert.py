@@ -77,5 +77,6 @@ def slice_rows(df: DataFrame, number: str, first: int, last: int = -1) -> DataFr
 
 
 def hash_choice(options: list[str], key: Column, seed: int = 0) -> Column:
-    """One of the options by a hash of the key: a choice that is the same in every run."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(options))) + 1).cast("int"))
+    """One of the options by 32 bits of an MD5 of seed and key: a choice that is the same in every run and engine."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (bits % len(options) + 1).cast("int"))

@@ -145,7 +145,14 @@ def spc10(spark, sf_dir):
     return _images(spark, sf_dir).select("p_partkey", size.alias("size"))
 
 
-@query("spc11_bilinear_resample")
+_NEAR = "CAST(embedding[CAST({r} * 8 + {c} + 1 AS INT)] AS DOUBLE)"
+
+
+@query(
+    "spc11_bilinear_resample",
+    f"""SELECT vec_id, p, round({_NEAR.format(r='y0', c='x0')} * 0.25 + {_NEAR.format(r='y0', c='(x0 + 1)')} * 0.25 + {_NEAR.format(r='(y0 + 1)', c='x0')} * 0.25 + {_NEAR.format(r='(y0 + 1)', c='(x0 + 1)')} * 0.25, 6) AS v
+        FROM (SELECT *, p // 4 * 2 AS y0, p % 4 * 2 AS x0 FROM (SELECT vec_id, embedding, unnest(range(16)) AS p FROM embeddings))""",
+)
 def spc11(spark, sf_dir):
     """8 x 8 token grids resampled to 4 x 4: each new point from its four neighbours."""
     v = lambda r, c: F.element_at("embedding", (r * 8 + c + 1).cast("int")).cast("double")

@@ -49,3 +49,9 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOGUE_SQL = CATALOGUE.replace("{documents}", "documents")
+
+
+def choice_sql(options: list[str], key: str, seed: int = 0) -> str:
+    """DuckDB's form of operators.convert.hash_choice."""
+    listed = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
+    return f"[{listed}][CAST('0x' || md5('{seed}-' || {key})[1:8] AS BIGINT) % {len(options)} + 1]"

@@ -13,6 +13,7 @@ from ..operators import packing as P
 from ..operators import partition as PA
 from ..operators.convert import hash_choice, numbered
 from ..registry import query, table
+from .inputs import choice_sql
 
 _DOCS = "(SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)"
 
@@ -32,7 +33,10 @@ def mix01(spark, sf_dir):
     return M.repeated_slice(d, "i", n, s).select("doc_id", F.col("position").cast("long").alias("position"))
 
 
-@query("mix01_spec_grammar")
+@query(
+    "mix01_spec_grammar",
+    """SELECT * FROM (VALUES ('data/image_sft.jsonl', 0, 100, 2), ('data/video_sft.jsonl', 0, 100, 2), ('extra.jsonl', 0, -1, 1), ('ego4d/a.jsonl', 0, -1, 3)) t(path, first, last, repeat)""",
+)
 def mix01_grammar(spark, sf_dir):
     spec = "data/{image,video}_sft.jsonl#0_100*2;extra.jsonl;ego4d/a.jsonl*3"
     return spark.createDataFrame([(s.path, s.first, s.last, s.repeat) for s in M.parse_mixture(spec)], "path string, first int, last int, repeat int")
@@ -72,9 +76,12 @@ def smp01(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", F.array_join(FR.uniform_indices(F.col("n_chars"), 8), ",").alias("idx"))
 
 
-@query("smp02_template_choice")
+_TEMPLATES = ["Describe the clip.", "What happens?", "Summarise the video.", "Tell the story."]
+
+
+@query("smp02_template_choice", f"SELECT doc_id, {choice_sql(_TEMPLATES, 'doc_id', 1)} AS prompt FROM documents")
 def smp02(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", hash_choice(["Describe the clip.", "What happens?", "Summarise the video.", "Tell the story."], F.col("doc_id"), 1).alias("prompt"))
+    return table(spark, sf_dir, "documents").select("doc_id", hash_choice(_TEMPLATES, F.col("doc_id"), 1).alias("prompt"))
 
 
 _W = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
@@ -189,12 +196,39 @@ def pck07(spark, sf_dir):
     return P.balanced_batches(d, "grp", "doc_id", "n_chars", 8)
 
 
-@query("bkt01_02_length_grouped")
+_ZEROS = ", ".join(["0.0"] * 8)
+
+
+def _dealt_sql(rows: str) -> str:
+    """Greedy chunks: rows has modality, doc_id, len and g, the place in its modality's shuffle."""
+    return f"""WITH RECURSIVE r AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY modality, megabatch ORDER BY len DESC, doc_id) - 1 AS place, count(*) OVER (PARTITION BY modality, megabatch) AS n FROM (SELECT *, g // 64 AS megabatch FROM {rows})),
+        f AS (SELECT DISTINCT modality, megabatch, CAST(-1 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS chunk, CAST([{_ZEROS}] AS DOUBLE[]) AS loads, CAST([{_ZEROS}] AS DOUBLE[]) AS counts FROM r
+            UNION ALL SELECT r.modality, r.megabatch, r.place, r.doc_id, CASE WHEN r.n % 8 = 0 THEN k - 1 ELSE r.place % 8 END,
+                list_transform(loads, lambda x, i: CASE WHEN i <> k THEN x WHEN counts[k] + 1 >= r.n / 8 THEN CAST('infinity' AS DOUBLE) ELSE x + r.len END), list_transform(counts, lambda x, i: CASE WHEN i = k THEN x + 1 ELSE x END)
+            FROM (SELECT *, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS k FROM f) f JOIN r ON r.modality = f.modality AND r.megabatch = f.megabatch AND r.place = f.place + 1)"""
+
+
+_SHUFFLED = "((doc_id % 2147483647) * 48271 + 5) % 2147483647"
+
+
+@query(
+    "bkt01_02_length_grouped",
+    _dealt_sql(f"(SELECT 1 AS modality, doc_id, n_chars AS len, row_number() OVER (ORDER BY {_SHUFFLED}, doc_id) - 1 AS g FROM documents)") + " SELECT megabatch, doc_id, place, chunk FROM f WHERE place >= 0",
+)
 def bkt02(spark, sf_dir):
     return M.megabatches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 64, 8, 5)
 
 
-@query("bkt03_modality_grouped")
+_MODALITY = "CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE -1 END"
+
+
+@query(
+    "bkt03_modality_grouped",
+    _dealt_sql(f"(SELECT {_MODALITY} AS modality, doc_id, n_chars AS len, row_number() OVER (PARTITION BY {_MODALITY} ORDER BY {_SHUFFLED}, doc_id) - 1 AS g FROM documents WHERE n_chars > 0)")
+    + """ SELECT modality, megabatch, doc_id, place, chunk, megabatch = most AS tail, CASE WHEN megabatch <> most THEN ((megabatch * 2 + CASE WHEN modality > 0 THEN 1 ELSE 0 END) * 48271 + 5) % 2147483647 END AS slot
+        FROM (SELECT *, max(megabatch) OVER (PARTITION BY modality) AS most FROM f) WHERE place >= 0""",
+)
 def bkt03(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", M.signed_length(F.col("n_chars"), F.col("doc_id") % 3 != 0).alias("signed"))
     return M.modality_megabatches(d, "signed", "doc_id", 64, 8, 5)

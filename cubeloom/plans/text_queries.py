@@ -180,12 +180,22 @@ def tok10(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.ends_or_contains(F.col("text"), "the").alias("stopped"))
 
 
-@query("txt11_option_styles")
+_MARK = "CASE style WHEN '1' THEN CAST(i AS VARCHAR) WHEN '(1)' THEN '(' || i || ')' WHEN '(a)' THEN '(' || chr(CAST(96 + i AS INT)) || ')' WHEN '(A)' THEN '(' || chr(CAST(64 + i AS INT)) || ')' ELSE 'Option ' || i || ':' END"
+
+
+@query(
+    "txt11_option_styles",
+    f"""SELECT doc_id, style, 'Options:' || chr(10) || array_to_string(list_transform(o, lambda c, i: {_MARK} || '. ' || c), chr(10)) AS options
+        FROM (SELECT doc_id, {inputs.choice_sql(list(T.OPTION_STYLES), 'doc_id')} AS style, {_OPTIONS} AS o FROM documents)""",
+)
 def txt11(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", hash_choice(list(T.OPTION_STYLES), F.col("doc_id")).alias("style"), _options().alias("o"))
     return rows.select("doc_id", "style", T.styled_options(F.col("o"), F.col("style")).alias("options"))
 
 
-@query("prj08_prompt_override")
+_PROMPTS = ["Describe the image.", "What is shown here?", "Give a short caption."]
+
+
+@query("prj08_prompt_override", f"SELECT doc_id, {inputs.choice_sql(_PROMPTS, 'doc_id', 3)} AS prompt FROM documents")
 def prj08(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", hash_choice(["Describe the image.", "What is shown here?", "Give a short caption."], F.col("doc_id"), 3).alias("prompt"))
+    return table(spark, sf_dir, "documents").select("doc_id", hash_choice(_PROMPTS, F.col("doc_id"), 3).alias("prompt"))
