@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Scratch
+
 #: Partitions up to which the table of their offsets is broadcast.
 BROADCAST_PARTS = 500_000
 
@@ -49,7 +51,8 @@ def numbered(df: DataFrame, name: str, *order: str, by: tuple[str, ...] = (), la
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    # Written, since it is read twice: a second range partitioning would sample anew and cut elsewhere.
+    placed = Scratch(df.sparkSession, "numbered").save(placed, "rows").withColumn("_part", F.shiftright("_id", 33))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_low")).alias("_shift"))
     before = F.broadcast(before) if parts <= BROADCAST_PARTS else before  # a row of 16 bytes for each partition

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Scratch
+
 
 def line_index(df: DataFrame, line: str, order: str) -> DataFrame:
     """df with byte_offset and line: where each line would begin in one file, a newline after each.
 
     Offsets inside a sorted partition, then the partitions' totals before it: no task holds the table."""
-    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    # Written, since it is read twice: a second range partitioning would sample anew and cut elsewhere.
+    placed = Scratch(df.sparkSession, "lines").save(placed, "rows").withColumn("_part", F.shiftright("_id", 33))
     size = (F.octet_length(line) + 1).cast("long")
-    inside = placed.withColumns({"_size": size, "_at": F.sum(size).over(Window.partitionBy("_part").orderBy(order)) - size, "_n": F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1})
-    totals = inside.groupBy("_part").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows"))
+    inside = Window.partitionBy("_part").orderBy("_id")
+    here = placed.withColumns({"_size": size, "_at": F.sum(size).over(inside) - size, "_n": F.row_number().over(inside) - 1})
+    totals = placed.groupBy("_part").agg(F.sum(size).alias("_total"), F.count("*").alias("_rows"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_part", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_base"), F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_first"))
-    out = inside.join(before, "_part").withColumns({"byte_offset": F.col("_at") + F.col("_base"), "line": F.col("_n") + F.col("_first")})
+    out = here.join(before, "_part").withColumns({"byte_offset": F.col("_at") + F.col("_base"), "line": F.col("_n") + F.col("_first")})
     return out.select(*df.columns, "byte_offset", "line")
 
 

@@ -87,6 +87,18 @@ def test_merge_placeholders(spark):
     assert got == [0, 1, 4, 5, 10]
 
 
+def test_numbered_beyond_the_sample(spark):
+    """More rows than a range partitioning samples, and a column that only one of the two readings needs."""
+    df = spark.range(300_000).select((F.col("id") * 7919 % 300_007).alias("v"), F.md5(F.col("id").cast("string")).alias("text")).repartition(6)
+    rows = convert.numbered(df, "n", "v").select("v", "n", "text")
+    assert rows.select("n").distinct().count() == 300_000
+    assert rows.agg(F.max("n")).first()[0] == 299_999
+    from pyspark.sql import Window
+
+    w = Window.orderBy("v")
+    assert rows.withColumn("r", F.row_number().over(w) - 1).where("r <> n").count() == 0
+
+
 def test_numbered_in_large_keys(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000).alias("v"))
     a = convert.numbered(df, "n", "v", by=("k",), large=True)
