@@ -18,12 +18,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts, for the operators that run in Python."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.findings(documents(spark, sf_dir, "source"))
+    found = secrets.findings(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), F.col("ordinal").cast("long"), "kind", F.col("start").cast("long"), F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("secret_sha256"), "score", "is_secret")
 
 
@@ -56,7 +57,7 @@ def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(documents(spark, sf_dir))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
