@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        return qualified(spark, found)
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -28,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system's scheme, as Hadoop's and pyarrow's file systems both take it."""
+    if "://" not in path:
+        given = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    return (path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path).rstrip("/")
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """spark, whose Python workers on this machine find this package wherever the driver was started."""
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
@@ -77,4 +86,6 @@ def _drop_all() -> None:
         try:
             made.drop()
         except Exception:  # the JVM has ended before
-            return
+            break
+    if "dir" in _own:
+        shutil.rmtree(_own["dir"].removeprefix("file://"), ignore_errors=True)

@@ -2,7 +2,7 @@
 
 import os
 
-from cubeloom.workspace import Scratch, scope
+from cubeloom.workspace import Scratch, qualified, scope
 
 
 def test_scope_drops_what_it_made(spark):
@@ -17,3 +17,9 @@ def test_scope_drops_what_it_made(spark):
     assert kept.count() == 5
     outer.drop("a")
     assert not os.path.exists(outer.path("a").removeprefix("file://"))
+
+
+def test_qualified(spark):
+    assert qualified(spark, "/shared/x/") == "file:///shared/x"
+    assert qualified(spark, "file:/shared/x") == "file:///shared/x"
+    assert qualified(spark, "hdfs://n/x/") == "hdfs://n/x"
