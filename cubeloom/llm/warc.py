@@ -31,6 +31,8 @@ from .common import Scratch
 #: The skippable frame's magic number for a dictionary, and those of a plain dictionary and of a compressed one.
 SKIPPABLE, DICTIONARY, FRAME = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
 SAMPLE, DICT_BYTES, ARCHIVE_BYTES = 200, 32_768, 64_000_000
+#: Rows of about 60 bytes.
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, error string"
@@ -138,11 +140,17 @@ def frames(read) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (the html), refers_to and revisit."""
+def with_revisits(pages: DataFrame, min_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
+    """page_id, url, payload (the html), refers_to and revisit.
+
+    The payloads that several pages have are counted first; a table of up to BROADCAST_ROWS of them is
+    broadcast, so that pages aren't shuffled, and a larger one is joined by a shuffle."""
+    scratch = scratch or Scratch(pages.sparkSession, "revisits")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     base = base.withColumn("key", F.when(F.octet_length("payload") >= min_bytes, F.sha1("payload")))
     several = base.where("key IS NOT NULL").groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "first")
+    several = scratch.save(several, "several")
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     joined = base.join(several, F.col("key") == F.col("_key"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
@@ -245,7 +253,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, payloads: bool = False, scr
     """The records read back from archives written of pages; an invalid record ends the query with its error."""
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark, "warc")
-    manifest = scratch.save(write_archives(with_revisits(pages, min_bytes), scratch.path("archives")), "manifest")
+    manifest = scratch.save(write_archives(with_revisits(pages, min_bytes, scratch), scratch.path("archives")), "manifest")
     spread = manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = read_archives(spread, payloads)
     return read.withColumn("record_type", F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error("error")))
