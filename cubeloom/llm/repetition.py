@@ -9,8 +9,10 @@ the longest repeated substring that begins there; the union of these spans over
 union of the maximal repeats' spans, occurrences that overlap included.
 
 A text is kept if the base rules hold (50 words or more, and no more than half of the words in
-3-word windows that occur twice), its repeats of MIN_REPEAT words or more cover at most MAX_COVERED
-of its words, and the longest has at most MAX_LONGEST words.
+3-word windows that occur twice), its repeats cover at most MAX_COVERED of its words, and the longest
+has at most MAX_LONGEST words. Repeats of MIN_REPEAT words or more count; those of SHORT_REPEAT words
+or more count where they occur three times, or if all of the text's cover more words than one pair of
+short repeats can, so that a clean short text may end with the line it begins with.
 
 Defined results: a null or empty text, or one of white space, has no words, fails the base rules and
 isn't kept. Rows are independent; repeated rows and equal or null doc_ids each give a row.
@@ -29,6 +31,7 @@ from . import textvec as tv
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 50, 3, 50
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 20, 0.3, 100
+SHORT_REPEAT = 8
 SYMBOLS = "#*$%&|<>"
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
@@ -37,9 +40,14 @@ def longest_repeats(symbols: np.ndarray, of: np.ndarray) -> np.ndarray:
     """For each place in concatenated sequences, the longest sequence that begins there and begins elsewhere in the same text too.
 
     symbols: a number for each word. of: the first place of each text, and the end."""
+    return repeats_of(symbols, of)[0]
+
+
+def repeats_of(symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """longest_repeats, and the same for sequences that begin at two other places or more."""
     n = len(symbols)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(of) - 1), np.diff(of))
     end = of[1:][text]
     # Level 0: the text and the word. A place that is the only one of its rank is settled: it has no repeat.
@@ -86,7 +94,14 @@ def longest_repeats(symbols: np.ndarray, of: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.int64)
     np.maximum.at(out, a, lcp)
     np.maximum.at(out, b, lcp)
-    return out
+    # Three suffixes in a row share the lesser of their two LCPs.
+    thrice, row = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    row[near] = lcp
+    three = np.minimum(row[:-2], row[1:-1])
+    for k in range(3):
+        at = suffixes[k : k + len(three)]
+        thrice[at] = np.maximum(thrice[at], three)
+    return out, thrice
 
 
 def _tied(order: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -120,10 +135,12 @@ def measure(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """The columns of SCHEMA but the verdicts, for texts given as bytes."""
     first, last, of = tv.words(data, starts)
     hashes = tv.span_hashes(data, first, last)
-    repeats = longest_repeats(hashes.view(np.int64), of)
+    repeats, thrice = repeats_of(hashes.view(np.int64), of)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     symbol = np.isin(data, np.frombuffer(SYMBOLS.encode(), np.uint8))
-    long = np.where(repeats >= MIN_REPEAT, repeats, 0)
+    short = np.where(repeats >= SHORT_REPEAT, repeats, 0)
+    many = np.repeat(_sums(covered(short, of), of) > 2 * (MIN_REPEAT - 1), np.diff(of))
+    long = np.where(many | (repeats >= MIN_REPEAT), short, np.where(thrice >= SHORT_REPEAT, thrice, 0))
     return {
         "n_words": np.diff(of),
         "word_chars": _sums(points[last] - points[first], of),

@@ -152,6 +152,32 @@ def test_rules_verdict(spark):
     assert {r.doc_id: r.kept for r in repetition.rules(df).collect()} == {0: True, 1: False, 2: False, 3: True}
 
 
+def test_rules_judge_short_repeats(spark):
+    line, lines = prose(19, 20), [prose(15, 40 + i) for i in range(10)]
+    texts = [
+        " ".join(f"{line} {prose(21, 60 + i)}" for i in range(10)),  # 19 words ten times in 400
+        " ".join(f"{x} {prose(30, 80 + i)}" for i, x in enumerate(lines + lines)),  # ten pairs
+        f"{prose(17, 21)} {prose(60, 22)} {prose(17, 21)}",  # the first line is the last
+        " ".join(f"{prose(7, 23)} {prose(33, 24 + i)}" for i in range(10)),
+    ]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in repetition.rules(df).collect()}
+    assert {i: r.kept for i, r in got.items()} == {0: False, 1: False, 2: True, 3: True} and not any(r.base_failed for r in got.values())
+    assert got[0].covered_words >= 190 and got[0].longest_repeat >= 19 and got[1].covered_words >= 300 and got[2].covered_words == got[3].covered_words == 0
+
+
+def test_threefold_repeats_against_brute_force():
+    r = random.Random(9)
+    for _ in range(100):
+        texts = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 25))] for _ in range(r.randint(1, 5))]
+        of = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        want = []
+        for t in texts:
+            same = lambda i, j: next((k for k in range(len(t)) if max(i, j) + k >= len(t) or t[i + k] != t[j + k]), len(t))  # noqa: B023, E731
+            want += [sorted([0, 0] + [same(i, j) for j in range(len(t)) if j != i])[-2] for i in range(len(t))]
+        assert repetition.repeats_of(np.array([ord(c) for t in texts for c in t], np.int64), of)[1].tolist() == want
+
+
 def test_rules_query_against_brute_force(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op9_repetition(spark, sf_dir).collect():
