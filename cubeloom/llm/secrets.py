@@ -1,7 +1,8 @@
 """Secret scan: candidates by patterns, false positives removed by a random forest.
 
-One regular expression finds candidates: known key formats, values assigned to telling names, and
-long bare tokens. Each is described by its length, its character classes and transitions, the part
+One regular expression finds candidates: known key formats, values assigned to telling names (which
+may have a prefix, as in DB_PASSWORD=), values of NAME=value where that is long, and long bare
+tokens; a name is no part of its value. Each is described by its length, its character classes and transitions, the part
 covered by dictionary words, its path, and the neighbouring words; a random forest trained on
 labelled findings says whether it is a secret. All of it is SQL expressions and the JVM's forest.
 
@@ -28,13 +29,17 @@ MARK = "[SECRET]"
 CONTEXT = 48
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?"
 _KNOWN = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,255}|\bxox[abprs]-[A-Za-z0-9-]{10,255}|\bsk_live_[0-9A-Za-z]{16,255}|\bAIza[0-9A-Za-z_-]{35}|\beyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000}"
-_ASSIGNED = rf"""(?i:{_NAMES})["']?\s{{0,3}}[:=]\s{{0,3}}["']?[^\s"'<>,;]{{8,}}+"""
-_BARE = "(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"
-PATTERN = f"{_KNOWN}|{_ASSIGNED}|{_BARE}"
+#: A long name in front is a bare match of its own, so the name can lie before the match. Looking ahead first is what's cheap.
+_ASSIGNED = rf"""(?:(?i:{_NAMES})|(?=["'\s:=])(?<=(?i:{_NAMES})))["']?\s{{0,3}}[:=]\s{{0,3}}["']?[^\s"'<>,;]{{8,}}+"""
+#: NAME=value of 20 characters or more under any other name; telling names and known keys inside it are left to their own patterns.
+_PAIR = rf"""(?:(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/=-]{{20}})(?![A-Za-z0-9_+/=-]*?(?:(?i:{_NAMES})["']?\s{{0,3}}[:=]|=(?:{_KNOWN})))[A-Za-z0-9_+/-]{{0,19}}|(?==)(?<=[A-Za-z0-9_+/-]{{20}})(?!=(?:{_KNOWN})))=[A-Za-z0-9_+/=-]{{8,}}+"""
+#: '=' is padding at the end only, not what stands between a name and a value.
+_BARE = r"""(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?:={1,2}(?!=|["']?[^\s"'<>,;:.)\]}&]))?"""
+PATTERN = f"{_KNOWN}|{_ASSIGNED}|{_PAIR}|{_BARE}"
 #: Whatever PATTERN matches has a sign of an assignment, or one of these: a test that is much cheaper, for texts that have none.
 _HINT = r"[A-Za-z0-9_+/=-]{20}|xox[abprs]-|eyJ|-----BEGIN"
 #: The part of an assignment before its value.
-_PREFIX = rf"""^(?i:{_NAMES})["']?\s{{0,3}}[:=]\s{{0,3}}["']?"""
+_PREFIX = rf"""^(?:(?i:{_NAMES})?["']?\s{{0,3}}[:=]\s{{0,3}}["']?|[A-Za-z0-9_+/-]{{0,19}}=(?=.{{8}}))"""
 _WORDS = "password|secret|example|sample|test|token|your|here|changeme|placeholder|dummy|insert|default|value|none|null|true|false|admin|user|name|config|file|path|version|service|server|client|data|image|public|module|component|controller|handler|manager|function|string|number|index|build|release|master|main|branch|commit|system|local|host|http|https|www|html|json|xml|usr|lib|home|node|java|python|src"
 _BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le"
 _models: dict[str, Model] = {}
@@ -83,6 +88,10 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
     name, quote = pick("name", "token = \"", "secret: \"", "api_key=", "password = \"", "access_key: ", "auth_key = '"), pick("quote", "\"", "'", " ", "\n")
     hash_ = pick("hash", "commit ", "sha1 ", "md5: ", "sha256-", "checksum = ", "uuid ", "revision: ", "etag=\"")
     words = lambda *sep: f"concat_ws({pick('sep', *sep)}, {', '.join(pick(f'w{i}', 'service', 'client', 'user', 'data', 'config', 'module', 'handler', 'value', 'index', 'public', 'version', 'component', 'sample', 'there', 'other', 'entire', 'station') for i in range(5))}, cast(id % 97 AS string))"
+    env = pick("env", "DB_PASSWORD=", "AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN=", "export API_KEY=", "STRIPE_SECRET='", "MY_SERVICE_AUTH_KEY=\"")
+    plain = pick("plain", "LOG_LEVEL=", "class=", "DATA_DIR=", "export MODULE=", "target='", "href=\"")
+    phrase = f"concat({', '.join(pick(f'x{i}', 'correct', 'horse', 'battery', 'staple', 'purple', 'monkey', 'dragon', 'winter', 'coffee', 'guitar', 'pepper', 'velvet', 'zebra', 'cactus', 'quartz', 'jigsaw') for i in range(4))})"
+    prose = f"concat({', '.join(pick(f'y{i}', 'ein', 'heit', 'ver', 'erbe', 'be', 'keit', 'en', 'ung', 'tion', 'ing', 'than', 'and', 'ly', 'ment', 'ge', 'der', 'schaft', 'ist', 're', 'con') for i in range(8))})"
     long = "least(64, 20 + id % 44)"
     kinds = [
         (1, name, f"substring({key('a')}, 1, element_at(array(32, 40, 64), cast(id % 3 AS int) + 1))"),
@@ -99,6 +108,13 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
         (0, pick("n", "id ", "", "number ", "tel "), f"substring(conv(substring({key('i')}, 1, 15), 16, 10) || conv(substring({key('j')}, 1, 15), 16, 10), 1, cast(20 + id % 8 AS int))"),
         (0, "'data:image/png;base64,'", b64("l", 80)),
         (0, pick("n2", "", "in ", "row ", "the "), f"substring({key('m')}, 1, 40)"),
+        (1, env, b64("o", "12 + id % 40")),
+        (1, env, phrase),
+        (1, pick("k2", "", "stripe ", "STRIPE_KEY=", "key: "), f"concat('sk_live_', translate(substring({key('q')}, 1, cast(16 + id % 9 AS int)), '0123456789', element_at(array('ghijklmnop', '0123456789'), cast(id % 2 AS int) + 1)))"),
+        (0, env, words("_", "-", "")),
+        (0, plain, words("_", "-", "/", "")),
+        (0, pick("n5", "", "the ", "mit ", "of "), prose),
+        (0, pick("n4", "", "export ", "\n", "$"), f"upper({words('_')})"),
         (0, pick("n3", "", "=== ", "\n"), pick("rule", "--------------------1", "====================2", "____________________3", "////////////////////4")),
     ]
     case = lambda i: "CASE " + " ".join(f"WHEN id % {len(kinds)} = {n} THEN {k[i]}" for n, k in enumerate(kinds)) + " END"
@@ -137,19 +153,21 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     hinted = F.contains("text", F.lit(":")) | F.contains("text", F.lit("=")) | F.col("text").rlike(_HINT)
     base = docs.where(hinted & F.col("text").rlike(PATTERN)).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.coalesce(own, F.lit("")).alias("path"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("hits"), F.split("text", PATTERN, -1).alias("gaps"))
     context = f"""transform(hits, (h, i) -> struct(h AS hit, length(gaps[i]) AS gap, right(gaps[i], {CONTEXT}) AS left, left(gaps[i + 1], {CONTEXT}) AS right))"""
+    # A value right behind a match (its long name) has that for its left.
+    context = context.replace("right(gaps[i],", "right(if(i > 0 AND gaps[i] = '', hits[i - 1], gaps[i]),")
     each = base.select("_id", "_row", "path", F.posexplode(F.expr(context)).alias("ordinal", "c")).select("_id", "_row", "path", "ordinal", "c.*")
     each = each.withColumn("prefix", F.regexp_extract("hit", _PREFIX, 0)).withColumn("candidate", F.expr("substring(hit, length(prefix) + 1)"))
     kind = F.when(F.length("prefix") > 0, "assigned").when(F.col("hit").rlike(f"^(?:{_KNOWN})$"), "known").otherwise("bare")
     # Equal rows have equal matches: distinct, and a text's matches are summed once each.
     along = Window.partitionBy("_id", "_row").orderBy("ordinal")
     each = each.distinct().withColumn("start", F.sum(F.col("gap") + F.length("hit")).over(along) - F.length("candidate"))
-    return each.select("_id", "_row", "ordinal", "start", kind.alias("kind"), "candidate", F.concat("left", "prefix").alias("left"), "right", "path").where("kind <> 'bare' OR candidate RLIKE '[0-9]'")
+    return each.select("_id", "_row", "ordinal", "start", kind.alias("kind"), "candidate", F.concat("left", "prefix").alias("left"), "right", "path")
 
 
 def findings(docs: DataFrame, model: Model | None = None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """_id (the doc_id), _row, ordinal, start (from 0, in code points), kind, candidate, score and is_secret.
 
-    Every candidate has a row (equal rows of docs share it); a bare token without a digit is no candidate."""
+    Every candidate has a row (equal rows of docs share it)."""
     model = model or default_model(docs.sparkSession)
     found = scored(candidates(docs, path), model)
     return found.select("_id", "_row", "ordinal", "start", "kind", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
