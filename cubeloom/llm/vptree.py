@@ -3,7 +3,7 @@
 A tree splits its rows at the median distance from a vantage row. A search goes to the nearer half
 first; the other half can hold a nearer row only if the query is closer to the split than to the
 nearest found so far (the triangle inequality). It is entered if |distance - split| < factor *
-found: factor 1 restores exact search, less prunes more. Every row is in a tree, and every query
+found: factor 1, the default, is exact search; less prunes more and loses neighbours. Every row is in a tree, and every query
 searches every shard; the shards' results are merged by rank.
 
 Shards have about ``shard_rows`` rows, dealt by a hash, and queries go in blocks of ``block`` rows, so
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, BLOCK, LEAF = 16_384, 4_096, 128
-FACTOR = 0.25
+FACTOR = 1.0
 
 
 class Tree:

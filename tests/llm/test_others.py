@@ -205,6 +205,17 @@ def test_vptree_relaxed_recall(spark, sf_dir):
     assert vptree.nearest(empty, empty).count() == 0
 
 
+def test_vptree_default_finds_all_over_shards_of_structured_vectors(spark):
+    r = np.random.default_rng(8)
+    rows = r.normal(size=(6000, 8)) @ r.normal(size=(8, 64))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.vec_id) for x in vptree.nearest(df, df.where("vec_id % 100 = 0"), 10, shard_rows=2000).collect()}
+    asked = np.arange(0, 6000, 100)
+    d = vptree.distances(rows[asked], rows)
+    d[np.arange(len(asked)), asked] = np.inf
+    assert got == {(int(q), int(i)) for q, near in zip(asked, np.argsort(d, 1)[:, :10]) for i in near}
+
+
 def test_vptree_relaxed_recall_in_one_large_shard():
     r = np.random.default_rng(3)
     rows = r.normal(size=(8000, 64))
