@@ -140,7 +140,7 @@ def win08_rounds(spark, sf_dir):
 @query("win09_sample_lengths", "SELECT l_orderkey, sample, CAST(len AS BIGINT) AS length FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS sample, l_quantity AS len FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL))")
 def win09(spark, sf_dir):
     """Position ids of packed samples (a sample of l_quantity tokens for each line), and back."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("n"))
     ids = rows.select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "pos")
     return S.sample_lengths(ids.withColumn("at", F.row_number().over(w)), "l_orderkey", ["at"], "pos")
