@@ -60,9 +60,16 @@ def by_priority(rows: DataFrame, candidates: DataFrame, key: str, suffix: str, o
     return rows.join(best.select(key, "_c.*"), key)
 
 
-def in_ranges(points: DataFrame, ranges: DataFrame, key: str, point: str, low: str, high: str) -> DataFrame:
-    """Points with the range [low, high) that holds them; an equal key comes first, so that only a key's own pairs are tested."""
-    return points.join(ranges, key).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
+def in_ranges(points: DataFrame, ranges: DataFrame, key: str, point: str, low: str, high: str, cell: int | None = None) -> DataFrame:
+    """Points with the range [low, high) that holds them; an equal key comes first, so that only a key's own pairs are tested.
+
+    cell: the usual width of a range, for integers. Only pairs in an equal cell are tested then, not all of a key."""
+    on = [key]
+    if cell:
+        on.append("_cell")
+        points = points.withColumn("_cell", F.floor(F.col(point) / cell))
+        ranges = ranges.where(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(high) - 1) / cell))))
+    return points.join(ranges, on).drop("_cell").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
 
 
 def best_of(rows: DataFrame, options: list[tuple], names: list[str], worth: Callable[[Column], Column]) -> DataFrame:

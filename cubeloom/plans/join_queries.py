@@ -79,8 +79,9 @@ def join10(spark, sf_dir):
     from ..operators.convert import numbered
 
     points = numbered(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "f", "ts", "event_id", by=("user_id",))
-    ranges = points.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("bound")).withColumns({"low": F.col("bound") * 10, "high": F.col("bound") * 10 + 10})
-    return J.in_ranges(points, ranges, "user_id", "f", "low", "high").select("user_id", "event_id", "bound")
+    last = points.groupBy("user_id").agg(F.max("f").alias("last"))
+    ranges = last.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("last div 10"))).alias("bound")).withColumns({"low": F.col("bound") * 10, "high": F.col("bound") * 10 + 10})
+    return J.in_ranges(points, ranges, "user_id", "f", "low", "high", 10).select("user_id", "event_id", "bound")
 
 
 _RES = [(336, 672), (672, 336), (672, 672), (1008, 336), (336, 1008)]

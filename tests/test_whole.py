@@ -7,6 +7,7 @@ from cubeloom import registry
 
 PARTS = {
     "win09_sample_lengths": ["WHERE l_orderkey % 10 = 0 "],
+    "join10_range_member": [" WHERE f < 50"],
 }
 
 
