@@ -8,6 +8,8 @@ from cubeloom import registry
 PARTS = {
     "win09_sample_lengths": ["WHERE l_orderkey % 10 = 0 "],
     "join10_range_member": [" WHERE f < 50"],
+    "join08_contained_name": [" WHERE c_custkey % 3 = 0"],
+    "join04_nested_annotation": [" WHERE a.l_linenumber % 2 = 1"],
 }
 
 
