@@ -10,6 +10,7 @@ PARTS = {
     "join10_range_member": [" WHERE f < 50"],
     "join08_contained_name": [" WHERE c_custkey % 3 = 0"],
     "join04_nested_annotation": [" WHERE a.l_linenumber % 2 = 1"],
+    "txt13_base64": ["[1:30]"],
 }
 
 
