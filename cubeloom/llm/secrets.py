@@ -53,22 +53,20 @@ def _count(text: Column, pattern: str) -> Column:
 def described(found: DataFrame) -> DataFrame:
     """found (candidate, left, right, path) with the columns FEATURES."""
     c, size = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1)).cast("double")
-    head = F.substring("candidate", 1, 400)  # ratios of a long key come from its beginning
-    part = F.least(size, F.lit(400.0))
     left, right, path = F.lower("left"), F.lower("right"), F.lower("path")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return found.withColumns(
         {
             "length": F.log2(size),
-            "digits": _count(head, "[0-9]") / part,
-            "uppers": _count(head, "[A-Z]") / part,
+            "digits": _count(c, "[0-9]") / size,
+            "uppers": _count(c, "[A-Z]") / size,
             "hex": flag(c.rlike("^[0-9a-fA-F]+$")),
             "classes": flag(c.rlike("[0-9]")) + flag(c.rlike("[a-z]")) + flag(c.rlike("[A-Z]")) + flag(c.rlike("[^A-Za-z0-9]")),
-            "transitions": _count(head, "(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]") / part,
-            "bigrams": _count(F.lower(head), f"(?={_BIGRAMS})") / part,
-            "variety": F.size(F.array_distinct(F.split(head, ""))) / F.least(part, F.lit(64.0)),
+            "transitions": _count(c, "(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]") / size,
+            "bigrams": _count(F.lower(c), f"(?={_BIGRAMS})") / size,
+            "variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(size, F.lit(64.0)),
             "runs": flag(c.rlike(r"(.)\1{3,}")),
-            "words": (part - F.length(F.regexp_replace(F.lower(head), _WORDS, ""))) / part,
+            "words": (size - F.length(F.regexp_replace(F.lower(c), _WORDS, ""))) / size,
             "known": flag(c.rlike(f"^(?:{_KNOWN})$")),
             "assigned": flag(left.rlike("[:=]\\s{0,3}[\"']?$")),
             "near_key": flag(left.rlike(f"(?:{_NAMES}|bearer|auth)[^\\n]{{0,12}}$")),
