@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.findings(table(spark, sf_dir, "documents"))
-    return found.select(F.col("_id").alias("doc_id"), F.col("ordinal").cast("long"), "kind", F.col("start").cast("long"), F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("secret_sha256"), "score", "is_secret")
+    return found.select(F.col("_id").alias("doc_id"), F.col("ordinal").cast("long"), "kind", "start", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("secret_sha256"), "score", "is_secret")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
