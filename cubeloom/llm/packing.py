@@ -6,7 +6,8 @@ prefix sum. Second pass: each document knows its place in the one long stream of
 windows that it crosses; one record per document and window says where the piece lies.
 
 Defined results: a null or empty text is the end id alone. Documents keep the order in which they
-are read; equal or null doc_ids are documents of their own. Other columns of the input are ignored,
+are read; equal or null doc_ids are documents of their own. The literal text of a special token is
+that token, unless ``literals`` is false. Other columns of the input are ignored,
 whatever their names. An empty table gives no pieces.
 """
 
@@ -29,7 +30,7 @@ LENGTH = 2048
 BROADCAST_PARTS = 500_000
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID, literals: bool = True) -> DataFrame:
     """doc_id, ids (with the end id), part (the partition) and at (ids before it in the partition)."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -38,7 +39,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                known = wordbpe.load(vocabulary)
+                known = wordbpe.load(vocabulary, literals)
                 ids = [known.encode(t or "") + end for t in some.column(1).to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 before = at + np.cumsum(n) - n
@@ -48,12 +49,12 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long, part long, at long")
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, literals: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """A row per piece: doc_id, start, length, ids (binary, 4 bytes each), doc_tokens, sequence_id, offset.
 
     Every sequence but the last is full, so that only the last is padded."""
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    ids = scratch.save(tokenized(docs, vocabulary, end_id), "ids")
+    ids = scratch.save(tokenized(docs, vocabulary, end_id, literals), "ids")
     totals = ids.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     before = scratch.save(before, "before")

@@ -8,8 +8,10 @@ Merges are done by tiktoken's core over the same vocabulary, with the end mark a
 that no text has. It merges the pair whose union has the lowest id, the library the pair of the
 first merge rule. For a vocabulary whose tokens are made by one rule each, in the order of their
 ids, these are the same pair: when all merges before a token's rule are done, a stretch that spells
-the token is in the state that the token alone would be in. A file of another kind, and words of
-other than printable ASCII and Latin letters, go to the tokenizer itself.
+the token is in the state that the token alone would be in. A file of another kind, words of other
+than printable ASCII and Latin letters, and words that hold a special token's literal text go to the
+tokenizer itself. By default a literal becomes that special token, as the library has it; with
+``literals`` false it is ordinary text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ END = b"\xff"
 #: Words remembered; beyond that a worker begins anew. Longer words than KEPT bytes aren't remembered.
 REMEMBERED, KEPT = 300_000, 64
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_loaded: dict[str, "WordIds"] = {}
+_loaded: dict[tuple[str, bool], "WordIds"] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,7 +37,7 @@ def byte_letters() -> dict[str, int]:
 class WordIds(dict):
     """A word's ids (4 bytes each, little-endian) by the word's UTF-8 bytes; words are free of ASCII white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literals: bool = True):
         import regex
         import tiktoken
         from tokenizers import Tokenizer
@@ -44,10 +46,11 @@ class WordIds(dict):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not literals
         vocabulary, mark = file["model"]["vocab"], file["model"]["end_of_word_suffix"]
         split = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")
         special = {t["content"] for t in file["added_tokens"]}
+        self.literals = [t.encode() for t in special]
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token.removesuffix(mark)) + END * token.endswith(mark): i for token, i in vocabulary.items() if token not in special}
         made = [vocabulary[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"])]
@@ -62,7 +65,7 @@ class WordIds(dict):
         low = word.lower()
         if self.fast and low.isalpha():
             ids = array("I", self.core(low + END))
-        elif self.fast and self.simple(text := word.decode()):
+        elif self.fast and self.simple(text := word.decode()) and not any(t in word for t in self.literals):
             ids = array("I", [i for p in self.pieces(text.lower()) for i in self.core(p.encode() + END)])
         else:
             ids = array("I", self.whole.encode(word.decode(), add_special_tokens=False).ids)
@@ -77,10 +80,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
-def load(path: str) -> WordIds:
+def load(path: str, literals: bool = True) -> WordIds:
     """The vocabulary's ids, once in each Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    if len(_loaded[path]) > REMEMBERED:
-        _loaded[path].clear()
-    return _loaded[path]
+    key = path, literals
+    if key not in _loaded:
+        _loaded[key] = WordIds(path, literals)
+    if len(_loaded[key]) > REMEMBERED:
+        _loaded[key].clear()
+    return _loaded[key]

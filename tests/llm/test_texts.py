@@ -15,22 +15,24 @@ from cubeloom.llm import bpe, packing, queries, repetition, wordbpe
 WORD_FILE, BYTE_FILE = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 
 
-def plain_ids(texts):
+def plain_ids(texts, literals=True):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_FILE)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not literals
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_word_ids_equal_the_tokenizer():
     r = random.Random(4)
-    texts = [prose(50, i) for i in range(20)] + ["<|endoftext|> it's ΑΣ Σ İ ǅ 10½ 中文 \U0001f600", "x" * 5000, "'LL 'll don't"]
+    texts = [prose(50, i) for i in range(20)] + ["<|endoftext|> it's ΑΣ Σ İ ǅ 10½ 中文 \U0001f600", "x" * 5000, "'LL 'll don't", "hello <|startoftext|> there", "a<|endoftext|>b<|startoftext|>", "<|StartOfText|> é<|endoftext|>", "<|endoftext|"]
     texts += ["".join(r.choice([chr(r.randrange(32, 127)), chr(r.randrange(0xA0, 0x250)), chr(r.choice([0x1C, 0x85, 0x3000, 0x301, 0x212B, 0x4E2D])), "a", " "]) for _ in range(40)) for _ in range(500)]
-    own = wordbpe.load(WORD_FILE)
-    assert own.fast
-    for t, ids in zip(texts, plain_ids(texts)):
-        assert own.encode(t) == np.array(ids, "<u4").tobytes(), t
+    for literals in (True, False):
+        own = wordbpe.load(WORD_FILE, literals)
+        assert own.fast
+        for t, ids in zip(texts, plain_ids(texts, literals)):
+            assert own.encode(t) == np.array(ids, "<u4").tobytes(), t
+    assert np.frombuffer(wordbpe.load(WORD_FILE).encode("hello <|startoftext|> there"), "<u4").tolist() == [3306, 49406, 997]
 
 
 def test_packing_pieces(spark):
