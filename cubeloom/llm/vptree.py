@@ -1,13 +1,18 @@
 """Nearest neighbours by vantage-point trees, one for each shard of the vectors.
 
-A tree splits its rows at the median distance from a vantage row. A search goes to the nearer half
-first; the other half can hold a nearer row only if the query is closer to the split than to the
-nearest found so far (the triangle inequality). It is entered if |distance - split| < factor *
-found: factor 1, the default, is exact search; less prunes more and loses neighbours. Every row is in a tree, and every query
-searches every shard; the shards' results are merged by rank.
+A tree splits its rows in halves by their distance from a vantage row, and keeps the least and the
+largest distance of each half. By the triangle inequality a half holds nothing nearer to a query
+than the gap between the query's distance and that range. A search goes to the half with the
+smaller gap first, and enters a half if gap <= factor * (distance of the k-th found so far): factor
+1, the default, is exact search; less prunes more and loses neighbours.
 
-Shards have about ``shard_rows`` rows, dealt by a hash, and queries go in blocks of ``block`` rows, so
-that a task holds a bounded number of either. Distances are Euclidean in double precision.
+Shards come from a tree of the same kind over SAMPLE rows at most (the documented sample), whose
+leaves, LEAVES at most, divide space; every row is routed to its leaf, and a leaf of more than
+``shard_rows`` rows is dealt out over several shards, each with a tree of its own. Trees are built
+once and written to the shared folder. A query searches its own leaf first; the distance that it
+finds there rules out other leaves and bounds the search in the rest. Queries meet a shard in blocks
+of ``block`` at most, so that a task holds a bounded number of either. Distances are Euclidean
+in double precision; matrix products only find out which are worth computing.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, take no
 part, and neither do null ids. Vectors of another length are never neighbours. Equal distances go to
@@ -18,74 +23,130 @@ list. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, BLOCK, LEAF = 16_384, 4_096, 128
+from .common import Scratch
+
+SHARD_ROWS, BLOCK, LEAF = 16_384, 16_384, 128
+#: Rows from which space is divided, its parts, and components in a shard (128 MB).
+SAMPLE, LEAVES, SHARD_CELLS = 4_096, 256, 1 << 24
 FACTOR = 1.0
+#: Rounding never prunes what lies on the bound.
+SLACK = 1 - 1e-12
+_KEY = ("dim", "leaf", "part")
 
 
 class Tree:
-    """rows in tree order; a node is (low, high, vantage row, split, left, right) or a leaf (low, high)."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
-        order = np.lexsort((*rows.T[::-1], ids))
-        self.ids, self.rows = ids[order], rows[order].astype(np.float64)
-        self.root = self._build(0, len(ids), leaf, np.random.default_rng(len(ids)))
-
-    def _build(self, low: int, high: int, leaf: int, random) -> tuple:
-        if high - low <= leaf:
-            return low, high
-        pick = low + int(random.integers(high - low))
-        vantage = self.rows[pick].copy()
-        d = distances(self.rows[low:high], vantage[None])[:, 0]
-        order = low + np.argsort(d, kind="stable")
-        self.rows[low:high], self.ids[low:high] = self.rows[order], self.ids[order]
-        d = d[order - low]
-        middle = (high - low) // 2
-        split = d[middle]
-        if d[0] == d[-1]:  # all as far: nothing to prune by
-            return low, high
-        middle = low + max(1, int(np.searchsorted(d, split, "left")) or int(np.searchsorted(d, split, "right")))
-        split = d[middle - low]
-        return low, high, vantage, split, self._build(low, middle, leaf, random), self._build(middle, high, leaf, random)
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of each query's k nearest, nearest first; missing ones are inf and -1."""
-        queries = queries.astype(np.float64)
-        best, found = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
+    """rows in tree order; inner nodes are numbered level by level, each with a vantage row and its halves' ranges of distance."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF, built: tuple[np.ndarray, np.ndarray] | None = None):
+        self.rows, self.ids = np.array(rows, np.float64), np.array(ids)
+        self.depth = max(0, int(np.ceil(np.log2(max(len(ids), 1) / leaf))))
+        self.vantages, self.ranges = built or (np.zeros(2**self.depth - 1, np.int64), np.zeros((2**self.depth - 1, 4)))
+        if built is None:
+            self._build(np.random.default_rng(len(ids)))
+        self.norms = (self.rows**2).sum(1)
 
-        def leaf(low: int, high: int, at: np.ndarray) -> None:
-            step = max(1, 2_000_000 // max(1, (high - low) * queries.shape[1]))
-            for lo in range(0, len(at), step):
-                q = at[lo : lo + step]
-                d = distances(queries[q], self.rows[low:high])
-                d[ids[q][:, None] == self.ids[None, low:high]] = np.inf
-                all_d, all_i = np.concatenate([best[q], d], 1), np.concatenate([found[q], np.broadcast_to(self.ids[low:high], d.shape)], 1)
-                by = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best[q], found[q] = np.take_along_axis(all_d, by, 1), np.take_along_axis(all_i, by, 1)
-
-        def visit(node: tuple, at: np.ndarray) -> None:
+    def _build(self, random) -> None:
+        order = np.argsort(self.ids, kind="stable")
+        points = np.empty((len(self.vantages), self.rows.shape[1] if self.rows.ndim == 2 else 0))
+        for level in range(self.depth):
+            for node, low, high in self.level(level):
+                points[node] = self.rows[order[low + int(random.integers(high - low))]]
+                d = distances(self.rows[order[low:high]], points[node][None])[:, 0]
+                by = np.argsort(d, kind="stable")
+                order[low:high], d, middle = order[low:high][by], d[by], (high - low) // 2
+                self.ranges[node] = d[0], d[middle - 1], d[middle], d[-1]
+        self.rows, self.ids = self.rows[order], self.ids[order]
+        for level in range(self.depth):  # a vantage row stays inside its node's range
+            for node, low, high in self.level(level):
+                self.vantages[node] = low + np.flatnonzero((self.rows[low:high] == points[node]).all(1))[0]
+
+    def level(self, level: int) -> Iterator[tuple[int, int, int]]:
+        """Node, low and high of a level's nodes."""
+        spans = [(0, len(self.ids))]
+        for _ in range(level):
+            spans = [s for low, high in spans for s in ((low, low + (high - low) // 2), (low + (high - low) // 2, high))]
+        return ((2**level - 1 + i, low, high) for i, (low, high) in enumerate(spans))
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of each query's k nearest, nearest first; missing ones are inf and -1. Rows farther than reach aren't needed."""
+        queries = np.asarray(queries, np.float64)
+        reach = np.full(len(ids), np.inf) if reach is None else reach
+        norms = (queries**2).sum(1)
+        best, found = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
+        todo = [(0, 0, len(self.ids), 0, np.arange(len(ids)), np.zeros(len(ids)))] if len(self.ids) else []
+        while todo:
+            node, low, high, level, at, gap = todo.pop()
+            enter = gap * SLACK <= factor * np.minimum(best[at, k - 1], reach[at])
+            at, gap = at[enter], gap[enter]
             if not len(at):
-                return
-            if len(node) == 2:
-                return leaf(*node, at)
-            _, _, vantage, split, left, right = node
-            d = distances(queries[at], vantage[None])[:, 0]
-            near = d < split
-            visit(left, at[near])
-            visit(right, at[~near])
-            # <= at the exact factor, for ties that the smaller id wins
-            enter = np.abs(d - split) * (1 - 1e-12) <= factor * best[at, k - 1]
-            visit(right, at[near & enter])
-            visit(left, at[~near & enter])
-
-        visit(self.root, np.arange(len(ids)))
+                continue
+            if level == self.depth:
+                self._leaf(low, high, at, ids, queries, norms, best, found, reach)
+                continue
+            d = distances(queries[at], self.rows[self.vantages[node]][None])[:, 0]
+            a, b, c, e = self.ranges[node]
+            left, right = np.maximum(gap, np.maximum(a - d, d - b)), np.maximum(gap, np.maximum(c - d, d - e))
+            middle, first = low + (high - low) // 2, left <= right
+            halves = (2 * node + 1, low, middle, level + 1), (2 * node + 2, middle, high, level + 1)
+            for (one, one_gap), who in (((halves[1], right), first), ((halves[0], left), ~first), ((halves[0], left), first), ((halves[1], right), ~first)):
+                todo.append((*one, at[who], one_gap[who]))
         found[~np.isfinite(best)] = -1
         return best, found
 
+    def _leaf(self, low, high, every, ids, queries, norms, best, found, reach) -> None:
+        k, rows, row_ids = best.shape[1], self.rows[low:high], self.ids[low:high]
+        step = max(1, 4_000_000 // max(1, high - low))
+        for lo in range(0, len(every), step):
+            at = every[lo : lo + step]
+            near = norms[at][:, None] + self.norms[None, low:high] - 2 * (queries[at] @ rows.T)
+            error = 8 * (rows.shape[1] + 8) * np.finfo(float).eps * (norms[at] + self.norms[low:high].max())
+            own = ids[at][:, None] == row_ids[None]
+            near[own] = np.inf
+            limit = np.minimum(best[at, k - 1], reach[at]) ** 2 * (1 + 1e-12) + error
+            if high - low > k:
+                limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * error)
+            q, r = np.nonzero(~(near > limit[:, None]) & ~own)  # what overflows is computed, too
+            if not len(q):
+                continue
+            exact = np.full(near.shape, np.inf)
+            some = max(1, 2_000_000 // max(1, rows.shape[1]))
+            for i in range(0, len(q), some):
+                exact[q[i : i + some], r[i : i + some]] = np.sqrt(((queries[at[q[i : i + some]]] - rows[r[i : i + some]]) ** 2).sum(-1))
+            better = np.unique(q)
+            exact, at = exact[better], at[better]
+            all_d = np.concatenate([best[at], exact], 1)
+            all_i = np.concatenate([found[at], np.broadcast_to(row_ids, exact.shape)], 1)
+            by = np.lexsort((all_i, all_d), axis=1)[:, :k]
+            best[at], found[at] = np.take_along_axis(all_d, by, 1), np.take_along_axis(all_i, by, 1)
+
+
+class Space:
+    """A tree over a sample, whose leaves divide space: each split is halfway between the sample's halves."""
+
+    def __init__(self, rows: np.ndarray, leaves: int):
+        tree = Tree(np.arange(len(rows)), rows, max(1, -(-len(rows) // leaves)))
+        self.depth, self.points = tree.depth, tree.rows[tree.vantages]
+        self.splits = (tree.ranges[:, 1] + tree.ranges[:, 2]) / 2
+
+    def route(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each row, and the least distance that a row of each leaf can have from it."""
+        home, gaps = np.zeros(len(rows), np.int64), np.zeros((len(rows), 1))
+        for level in range(self.depth):
+            first, d = 2**level - 1, np.empty((len(rows), 2**level))
+            for i in range(2**level):
+                d[:, i] = distances(rows, self.points[first + i][None])[:, 0] - self.splits[first + i]
+            home = 2 * home + (d[np.arange(len(rows)), home] > 0)
+            gaps = np.stack([np.maximum(gaps, d), np.maximum(gaps, -d)], 2).reshape(len(rows), -1)
+        return home, gaps
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), len(b)))
@@ -103,32 +164,112 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(finite & some, F.lit(False))).select(F.col("vec_id").cast("long"), e.alias("embedding"), F.size("embedding").alias("dim"))
 
 
-def _matrix(column) -> np.ndarray:
-    rows = [np.asarray(x.values) for x in column]
-    return np.stack(rows) if rows else np.zeros((0, 0))
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length, from a column of binaries."""
+    parts = [np.frombuffer(x.as_buffer(), np.float64) for x in column]
+    return np.stack(parts) if parts else np.zeros((0, 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest found. queries: vec_id and embedding."""
-    rows, asked = usable(vectors), usable(queries).withColumn("twin", F.xxhash64("embedding")).dropDuplicates(["vec_id", "twin"])
-    n_rows, n_asked = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_asked // block))
-    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
-    left = rows.withColumn("shard", deal(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", deal(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+def spaces(rows: DataFrame, leaves: int) -> dict[int, Space]:
+    """A division of space for each length of vector that the sample holds."""
+    sample = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE).select("embedding").toArrow().column("embedding")
+    found: dict[int, list] = {}
+    for x in sample:
+        found.setdefault(len(x.values), []).append(np.asarray(x.values))
+    return {dim: Space(np.stack(some), leaves) for dim, some in found.items()}
+
+
+def routed(rows: DataFrame, parts_of: dict[int, Space], twin: str) -> DataFrame:
+    """vec_id, twin, dim, vector (binary), leaf, gaps (to each leaf, for queries) and spot (a number that deals a leaf's rows out, whatever they hold)."""
+    asked = twin != "0L"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                some = batch.filter(pa.array(dims == dim))
+                for lo in range(0, len(some), 1024):
+                    each = some.slice(lo, 1024)
+                    rows = np.asarray(each.column(3).flatten()).reshape(-1, dim)
+                    home, gaps = parts_of[dim].route(rows) if dim in parts_of else (np.zeros(len(rows), np.int64), np.zeros((len(rows), 1)))
+                    spot = np.arange(n, n + len(rows), dtype=np.int64) + part * 7919
+                    n += len(rows)
+                    gaps = pa.array(list(gaps) if asked else [None] * len(rows), pa.list_(pa.float64()))
+                    vectors = pa.array([x.tobytes() for x in rows], pa.binary())
+                    yield pa.RecordBatch.from_arrays([each.column(0), each.column(1), each.column(2), vectors, pa.array(home), gaps, pa.array(spot)], ["vec_id", "twin", "dim", "vector", "leaf", "gaps", "spot"])
+
+    columns = rows.select("vec_id", F.expr(twin).alias("twin"), "dim", "embedding")
+    return columns.mapInArrow(run, "vec_id long, twin long, dim int, vector binary, leaf long, gaps array<double>, spot long")
+
+
+def built(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """Trees: their rows with dim, leaf, part, place (in tree order), and, at the first place, vantages and ranges."""
+    most = F.least(F.lit(shard_rows), F.greatest(F.lit(1), F.floor(F.lit(SHARD_CELLS) / F.col("dim"))))
+    parts = rows.groupBy("dim", "leaf").agg(F.count("*").alias("n")).select("dim", "leaf", F.ceil(F.col("n") / most).cast("long").alias("parts"))
+    dealt = rows.join(parts, ["dim", "leaf"]).withColumn("part", F.pmod("spot", "parts"))
+
+    def run(table: pa.Table) -> pa.Table:
+        tree, n = Tree(table.column("vec_id").to_numpy(), _matrix(table.column("vector"))), len(table)
+        same = {c: table.column(c) for c in (*_KEY, "parts")}
+        first = lambda x: pa.array([x.tobytes()] + [None] * (n - 1), pa.binary())
+        own = {"place": pa.array(np.arange(n)), "vec_id": pa.array(tree.ids), "vector": pa.array([x.tobytes() for x in tree.rows], pa.binary()), "vantages": first(tree.vantages), "ranges": first(tree.ranges)}
+        return pa.table(same | own)
+
+    return dealt.select(*_KEY, "parts", "vec_id", "vector").groupBy(*_KEY).applyInArrow(run, "dim int, leaf long, part long, parts long, place long, vec_id long, vector binary, vantages binary, ranges binary")
+
+
+def searched(asked: DataFrame, trees: DataFrame, k: int, factor: float, block: int) -> DataFrame:
+    """query_id, twin, vec_id and score of the k nearest that each query (vec_id, twin, vector, reach) finds in the leaf that it names."""
+    shards = trees.where("place = 0").select("dim", "leaf", "parts").distinct()
+    load = asked.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("blocks"))
+    left = trees.join(load, ["dim", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    right = asked.join(load, ["dim", "leaf"]).join(shards, ["dim", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "twin"), "blocks"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"query_id": [], "twin": [], "vec_id": [], "score": []}
         if len(rows) and len(asked):
-            ids, by = asked.column("vec_id").to_numpy(), asked.column("embedding")
-            tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding")))
-            score, found = tree.search(ids, _matrix(by), k, factor)
+            place = rows.column("place").to_numpy()
+            order, top = np.argsort(place), int(np.flatnonzero(place == 0)[0])
+            vantages = np.frombuffer(rows.column("vantages")[top].as_buffer(), np.int64)
+            ranges = np.frombuffer(rows.column("ranges")[top].as_buffer(), np.float64).reshape(-1, 4)
+            tree = Tree(rows.column("vec_id").to_numpy()[order], _matrix(rows.column("vector"))[order], built=(vantages, ranges))
+            ids, twins = asked.column("vec_id").to_numpy(), asked.column("twin").to_numpy()
+            score, found = tree.search(ids, _matrix(asked.column("vector")), k, factor, asked.column("reach").to_numpy())
             full = np.isfinite(score)
-            twins = asked.column("twin").to_numpy()
             out = {"query_id": np.repeat(ids, k)[full.ravel()], "twin": np.repeat(twins, k)[full.ravel()], "vec_id": found[full], "score": score[full]}
         return pa.table({n: pa.array(v, pa.float64() if n == "score" else pa.int64()) for n, v in out.items()})
 
-    key = ("dim", "shard", "block")
-    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query_id long, twin long, vec_id long, score double")
+    left = left.select(*_KEY, "block", "place", "vec_id", "vector", "vantages", "ranges")
+    right = right.select(*_KEY, "block", "vec_id", "twin", "vector", "reach")
+    key = (*_KEY, "block")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query_id long, twin long, vec_id long, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy("score", "vec_id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest found. queries: vec_id and embedding."""
+    scratch = scratch or Scratch(vectors.sparkSession, "vptree")
+    rows, asked = usable(vectors), usable(queries).withColumn("twin", F.xxhash64("embedding")).dropDuplicates(["vec_id", "twin"])
+    leaves = min(LEAVES, -(-rows.count() // shard_rows))
+    parts_of = spaces(rows, leaves) if leaves > 1 else {}
+    rows, asked = routed(rows, parts_of, "0L"), routed(asked, parts_of, "twin").withColumn("reach", F.lit(float("inf")))
+    if leaves <= 1:  # one shard for each length of vector
+        return _ranked(searched(asked, built(rows, shard_rows), k, factor, block), k).select("query_id", "rank", "vec_id", "score")
+    trees = scratch.save(built(scratch.save(rows, "rows"), shard_rows), "trees")
+    scratch.drop("rows")
+    asked = scratch.save(asked, "asked")
+    home = scratch.save(_ranked(searched(asked, trees, k, factor, block), k).drop("rank"), "home")
+    reach = home.groupBy(F.col("query_id").alias("vec_id"), "twin").agg(F.when(F.count("*") == k, F.max("score")).otherwise(float("inf")).alias("reach"))
+    wider = asked.drop("reach").join(reach, ["vec_id", "twin"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    wider = wider.select("vec_id", "twin", "dim", "vector", "reach", F.col("leaf").alias("home"), F.posexplode("gaps").alias("leaf", "gap"))
+    wider = wider.where((F.col("leaf") != F.col("home")) & (F.col("gap") * SLACK <= factor * F.col("reach"))).withColumn("leaf", F.col("leaf").cast("long"))
+    away = scratch.save(searched(wider, trees, k, factor, block), "away")
+    for name in ("trees", "asked"):
+        scratch.drop(name)
+    return _ranked(home.unionByName(away), k).select("query_id", "rank", "vec_id", "score")

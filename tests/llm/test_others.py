@@ -328,16 +328,55 @@ def test_vptree_default_finds_all_over_shards_of_structured_vectors(spark):
     assert got == {(int(q), int(i)) for q, near in zip(asked, np.argsort(d, 1)[:, :10]) for i in near}
 
 
-def test_vptree_relaxed_recall_in_one_large_shard():
-    r = np.random.default_rng(3)
-    rows = r.normal(size=(8000, 64))
-    tree = vptree.Tree(np.arange(8000), rows)
-    asked = np.arange(0, 8000, 100)
-    _, found = tree.search(asked, rows[asked], 10, vptree.FACTOR)
+def found_and_wanted(spark, rows, **how):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in vptree.nearest(df, df.where("vec_id % 100 = 0"), 10, **how).collect()}
+    asked = np.arange(0, len(rows), 100)
     d = vptree.distances(rows[asked], rows)
     d[np.arange(len(asked)), asked] = np.inf
-    want = np.argsort(d, 1)[:, :10]
-    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, want)]) >= 0.9
+    near = np.lexsort((np.broadcast_to(np.arange(len(rows)), d.shape), d), axis=1)[:, :10]
+    return got, {(int(q), r + 1): (int(i), d[n, i]) for n, (q, some) in enumerate(zip(asked, near)) for r, i in enumerate(some)}
+
+
+@pytest.mark.parametrize("kind", ["alike", "low", "clusters", "one hot vector", "far"])
+def test_vptree_is_exact_over_leaves_parts_and_blocks(spark, kind):
+    r = np.random.default_rng(8)
+    rows = {
+        "alike": lambda: np.eye(2048),  # all as far from each other
+        "low": lambda: r.normal(size=(3000, 2)),
+        "clusters": lambda: r.normal(size=(40, 16))[r.integers(40, size=3000)] + 0.01 * r.normal(size=(3000, 16)),
+        "one hot vector": lambda: np.where(r.random(3000)[:, None] < 0.4, np.ones(8), r.normal(size=(3000, 8))),
+        "far": lambda: 1e8 + r.normal(size=(1500, 4)),
+    }[kind]()
+    got, want = found_and_wanted(spark, rows, shard_rows=200, block=3)
+    assert got.keys() == want.keys()
+    assert [got[x][1] for x in want] == pytest.approx([want[x][1] for x in want], rel=1e-12)
+    assert all(got[x][0] == want[x][0] for x in want)
+
+
+def test_vptree_leaves_are_ruled_out():
+    """The gap to a leaf never exceeds the distance of a row in it, and rules out most leaves of clustered rows."""
+    r = np.random.default_rng(2)
+    rows = r.normal(size=(50, 8))[r.integers(50, size=4000)] + 0.05 * r.normal(size=(4000, 8))
+    space = vptree.Space(rows[:1000], 32)
+    home, gaps = space.route(rows)
+    assert gaps.shape[1] == 32 and (gaps[np.arange(4000), home] == 0).all()
+    d = vptree.distances(rows[:50], rows)
+    assert all((gaps[:50, leaf, None] <= d[:, home == leaf] + 1e-9).all() for leaf in range(32))
+    assert (gaps[:50] > 0.5).mean() > 0.5
+
+
+@pytest.mark.parametrize("dim, structured", [(8, False), (16, False), (64, False), (64, True), (128, True)])
+def test_vptree_recall_in_a_full_shard(dim, structured):
+    r = np.random.default_rng(3)
+    rows = r.normal(size=(16_384, 8)) @ r.normal(size=(8, dim)) if structured else r.normal(size=(16_384, dim))
+    tree = vptree.Tree(np.arange(len(rows)), rows)
+    asked = tree.ids.argsort()[::400]
+    _, found = tree.search(tree.ids[asked], tree.rows[asked], 10, vptree.FACTOR)
+    d = vptree.distances(tree.rows[asked], tree.rows)
+    d[np.arange(len(asked)), asked] = np.inf
+    want = tree.ids[np.argsort(d, 1)[:, :10]]
+    assert (found == want).all()
 
 
 def brute_table(shards, size):
