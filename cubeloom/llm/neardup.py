@@ -1,22 +1,24 @@
 """Near-duplicate documents: one-permutation MinHash with optimal densification, exact confirmation.
 
 1. Every text becomes the set of its word shingles. Sets that are equal form a class, found by a
-   128-bit hash of the set; only one document of each class, the smallest, goes on.
+   128-bit hash of the set; each class is one node, whose set is made from one of its texts.
 2. One permutation: each shingle falls in one of bands * rows bins, which keeps its smallest value.
    An empty bin takes the value of a full one, tried in an order that depends on the bin alone
-   (optimal densification). Bins are hashed by bands; documents with an equal band share a bucket.
-3. Star-shaped candidate edges: in each bucket every member is paired with the smallest one only, so
-   that pairs grow with the members. Each pair is confirmed on the full sets, and components found.
+   (optimal densification). Bins are hashed by bands; nodes with an equal band share a bucket.
+3. Star-shaped candidate edges: in each bucket every member is paired with the first one only, so
+   that pairs grow with the members. Pairs of too different sizes go at once; the others send the
+   member's set to the star's, which is copied for so many members each. Components are found.
 4. Where a bucket still holds members of different components, pairs that aren't of the star are
-   tested on the full sets, each pair in its first shared bucket only: members outside of the
-   bucket's largest component against those of other components, block by block for large buckets.
-   Only links that join two components leave the task. Then components are final.
+   tested on the full sets, each pair in its first shared bucket only: strays (members outside of
+   the bucket's largest component) against those of other components. Members go in blocks to each
+   block of strays, so that rows and time grow with strays times members, and with members alone
+   where a bucket's strays fit in a block. Only links that join two components leave the task.
 
 With 32 bands of 5 rows, a pair at similarity 0.8 misses all buckets with a chance of 3e-6.
 
 Defined results: null texts, and texts without words, have an empty set and are linked with
 nothing. Rows with a null doc_id are linked with nothing, have a null component and are kept. Equal
-rows are judged alike; rows that share a doc_id are one node of the graph. Other columns are
+rows are judged alike, and rows that share a doc_id each by their own text. Other columns are
 ignored.
 """
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -34,8 +36,8 @@ from .common import Scratch
 from .components import components
 
 BANDS, ROWS, PERCENT = 32, 5, 80
-#: Shingles and members in a block of a bucket.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 4_000
+#: Shingles and members in a block of a bucket, and members that one copy of a star's set meets.
+BLOCK_SHINGLES, BLOCK_MEMBERS, STAR_MEMBERS = 250_000, 1_000, 500
 _C = [np.uint64(c) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -95,23 +97,27 @@ def _binary(column: np.ndarray) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (set size), set_id (16 bytes), bands (longs) of every text."""
+    """doc_id, text_hash, n (set size), set_id (16 bytes), bands (longs) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = tv.text_bytes(batch.column(1))
+            data, starts = tv.text_bytes(batch.column(2))
             for i, j in tv.slices(starts):
                 sets, of = shingle_sets(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], k)
                 hashes = band_hashes(signatures(sets, of, bands * rows), bands, rows).view(np.int64)
                 offsets = pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * bands)
                 listed = pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(of)), pa.array(_binary(set_hashes(sets, of)), pa.binary()), listed], ["doc_id", "n", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(of)), pa.array(_binary(set_hashes(sets, of)), pa.binary()), listed], ["doc_id", "text_hash", "n", "set_id", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, set_id binary, bands array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_id binary, bands array<long>")
 
+def text_hash() -> Column:
+    return F.xxhash64("text")
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node (the doc_id), n and set (sorted 64-bit hashes in binary) of every text."""
+
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """node, n and set (sorted 64-bit hashes in binary) of every row of texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +126,12 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets, of = shingle_sets(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(of)), pa.array([sets[a:b].tobytes() for a, b in zip(of[:-1], of[1:])], pa.binary())], ["node", "n", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(run, "node long, n long, set binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, set binary")
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    """One row for each node; repeated rows of a document have given several. The join that follows is dealt by the same key."""
+    return sets.groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _similar(common, n_a, n_b, percent: int):
@@ -128,9 +139,7 @@ def _similar(common, n_a, n_b, percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"), F.col("n").alias("n_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"), F.col("n").alias("n_b"))
+    """Of pairs (a, b, n_a, n_b), those whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,31 +151,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(_similar(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(right, "b").join(left, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    close = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
+    load = close.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR_MEMBERS)).cast("int").alias("copies"))
+    stars = _once(sets.join(load.select(F.col("b").alias("node")), "node", "left_semi")).select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    stars = stars.join(load, "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    sent = close.join(load, "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).drop("copies")
+    sent = sent.join(_once(sets).select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    return sent.join(stars, ["b", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def block_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join components among a block's rows: node, component, n, set, bands, center, bucket, side."""
-    node, comp, n, center = (table.column(c).to_numpy() for c in ("node", "component", "n", "center"))
-    side = table.column("side").to_numpy()
+    """Links that join components among a block's rows: node, component, n, set, bands, bucket, stray, and asks (a stray's row for its side of the block)."""
+    node, comp, n, stray, asks = (table.column(c).to_numpy() for c in ("node", "component", "n", "stray", "asks"))
     bands = np.stack([np.asarray(x.values) for x in table.column("bands")])
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
     values, where = np.unique(np.concatenate(sets), return_inverse=True)
     of = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     band = int(np.flatnonzero((bands == bands[0]).all(0) & (bands[0] == table.column("bucket")[0].as_py()))[0])
-    names, comp_ids, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    largest = int(np.argmax(counts))
+    names, comp_ids = np.unique(comp, return_inverse=True)
     group = np.arange(len(names))  # components joined in this task
-    across = len(np.unique(side)) > 1
     links = []
     mark = np.zeros(len(values), np.int32)
-    for x in np.flatnonzero(comp_ids != largest).tolist():
-        other = (group[comp_ids] != group[comp_ids[x]]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-        other &= (node != center) & (node[x] != center[x])  # the star's pairs have been tested
-        other &= (comp_ids == largest) | (node > node[x])
-        if across:
-            other &= side != side[x]
+    for x in np.flatnonzero(asks).tolist():
+        other = ~asks & (group[comp_ids] != group[comp_ids[x]]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        other &= ~stray | (node > node[x])  # two strays meet twice
         at = np.flatnonzero(other)
         at = at[~(bands[at, :band] == bands[x, :band]).any(1)] if len(at) else at
         if not len(at):
@@ -184,38 +192,52 @@ def block_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
+def strays_and_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the blocks of each bucket that holds several components: bucket, i, j, node, component, stray, asks. The star has been tested."""
+    labelled = members.where("node <> center").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("bucket", "node", "n", "component")
+    held = labelled.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("m", "n", "component"))
+    open_ = held.groupBy("bucket").agg(largest.alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda m, n: F.ceil(F.greatest(n / F.lit(BLOCK_SHINGLES), m / F.lit(BLOCK_MEMBERS))).cast("int")
+    open_ = open_.select("bucket", F.col("top.component").alias("top"), blocks(F.col("m"), F.col("n")).alias("js"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("is"))
+    rest = labelled.join(open_, "bucket").withColumn("stray", F.col("component") != F.col("top"))
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    answer = rest.select("bucket", "node", "component", "stray", F.lit(False).alias("asks"), own("js").alias("j"), every("is").alias("i"))
+    ask = rest.where("stray").select("bucket", "node", "component", "stray", F.lit(True).alias("asks"), own("is").alias("i"), every("js").alias("j"))
+    return answer.unionByName(ask)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs."""
+    """doc_id, n_shingles, component_id, kept, set_id and text_hash of every row of docs."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "neardup")
     every = scratch.save(sketches(docs, k, bands, rows), "sketches")
     whole = every.where("doc_id IS NOT NULL AND n > 0")
-    nodes = scratch.save(whole.groupBy("set_id").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select("set_id", F.col("r.doc_id").alias("node"), "r.n", "r.bands"), "nodes")
+    nodes = whole.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("r"))
+    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "set_id", "r.*"), "nodes")
     at = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = at.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
-    members = scratch.save(at.join(shared, "bucket"), "members")
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = scratch.save(full_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), k), "sets")
-    star = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    shared = at.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
+    members = scratch.save(at.join(shared.select("bucket", F.col("c.node").alias("center"), F.col("c.n").alias("n_center")), "bucket"), "members")
+    involved = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "text_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", text_hash()).join(involved, ["doc_id", "text_hash"])
+    sets = scratch.save(full_sets(texts, k), "sets")
+    star = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"), F.col("n").alias("n_a"), F.col("n_center").alias("n_b"))
     links = scratch.save(confirmed(star, sets, percent), "links")
     found = components(links, scratch, "first")
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    blocks = F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count("*") / F.lit(BLOCK_MEMBERS))).cast("int")
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), blocks.alias("blocks")).where("m > 2 AND low <> high").select("bucket", "blocks")
-    rest = labelled.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("bucket", "node", "component", "center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    rest = rest.join(sets, "node").join(nodes.select("node", "bands", F.col("n").alias("_n")), "node").where("n = _n").drop("_n")
+    rest = strays_and_members(members, found).join(_once(sets), "node").join(nodes.select("node", "n", "bands"), "node")
     more = rest.groupBy("bucket", "i", "j").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
     more = scratch.save(more.distinct(), "more")
-    final = nodes.select("set_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    final = nodes.select("set_id", "doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if more.limit(1).count():  # the components that the second step joins
         label = final.select("node", "component")
         across = more.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         joined = components(across, scratch, "second").toDF("component", "lowest")
         final = final.join(joined, "component", "left").withColumn("component", F.coalesce("lowest", "component"))
-    named = scratch.save(final.select("set_id", F.col("component").alias("component_id")), "named")
-    for name in ("nodes", "members", "sets", "links", "more"):
+    final = scratch.save(final.select("set_id", "doc_id", "component"), "final")
+    first = final.groupBy("component").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    named = scratch.save(final.join(first, "component", "left").select("set_id", F.coalesce("first", "doc_id").alias("component_id")), "named")
+    for name in ("nodes", "members", "sets", "links", "more", "final"):
         scratch.drop(name)
     linked = every.join(named, "set_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id")))
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "set_id", "text_hash")

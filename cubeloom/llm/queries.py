@@ -38,7 +38,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), k=2)
+    return neardup.near_duplicates(documents(spark, sf_dir), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,8 +103,23 @@ def test_near_large_group_with_strays(spark):
     check_near(spark, rows)
 
 
+def test_near_repeated_rows(spark):
+    """Two similar documents, each many times, are two sets; rows of one id are judged each by their own text."""
+    a = prose(100, 70)
+    texts = [a, edited(a, 3, 71), a.upper()]
+    rows = [(i, texts[i]) for i in range(2) for _ in range(2000)] + [(2, texts[2])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == 4001 and all(r.component_id == 0 and r.kept == (r.doc_id == 0) for r in got)
+    b, c = prose(100, 72), prose(100, 73)
+    rows = [(5, a), (3, texts[1]), (5, b), (5, c), (9, edited(c, 2, 74)), (9, b), (None, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    by_set = {(r.doc_id, r.text_hash): (r.component_id, r.kept) for r in got}
+    assert len(by_set) == 7 and sorted(by_set.values(), key=str) == sorted([(3, False), (3, True), (5, True), (5, True), (5, False), (5, False), (None, True)], key=str)
+
+
 def test_near_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 20)
+    monkeypatch.setattr(neardup, "STAR_MEMBERS", 7)
     base = prose(100, 56)
     check_near(spark, [(i, edited(base, i % 14, 8000 + i)) for i in range(120)])
 
