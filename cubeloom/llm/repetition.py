@@ -1,12 +1,15 @@
 """Quality rules by suffix arrays: how much of a text is repeated inside it, and the longest repeat.
 
-Each text is a sequence of words. The suffix array of many texts at once is made by doubling: ranks
-of the first 2**i words give those of the first 2**(i+1), and only suffixes that still tie are
-sorted again. No repeat reaches over the end of its text. From the ranks of each level comes the
-longest common prefix (LCP) of neighbours in the array. A suffix lies in an LCP interval of depth d
-or more if either neighbour shares d words with it, so the longest of its two LCPs is the length of
-the longest repeated substring that begins there; the union of these spans over all places is the
-union of the maximal repeats' spans, occurrences that overlap included.
+Each text is a sequence of words. The suffixes of many texts at once are sorted by doubling: ranks of
+the first 2**i words give those of the first 2**(i+1), and only suffixes that still tie are sorted
+again. No repeat reaches over the end of its text. Suffixes that share d words are an interval of
+the suffix array whose longest common prefix (LCP) is d or more; ranks of w words give the intervals of
+any depth d from w to 2w, as equal pairs of ranks at a place and at d - w words behind it. So two
+levels of ranks are held at a time, and memory is in proportion to the text, however it repeats.
+
+If d + 1 words repeat at a place, then d words do at it and at the next one; so the union of all
+maximal repeats of d words or more is the union of the d words at each place of an interval of depth d.
+The longest repeat of a text lies between the last two levels, and is found there by halving.
 
 A text is kept if the base rules hold (50 words or more, and no more than half of the words in
 3-word windows that occur twice), its repeats cover at most MAX_COVERED of its words, and the longest
@@ -33,122 +36,146 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 50, 3, 50
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 20, 0.3, 100
 SHORT_REPEAT = 8
 SYMBOLS = "#*$%&|<>"
+#: Values a text from which they are counted text by text, without sums over all.
+MANY = 100_000
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 
-def longest_repeats(symbols: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """For each place in concatenated sequences, the longest sequence that begins there and begins elsewhere in the same text too.
-
-    symbols: a number for each word. of: the first place of each text, and the end."""
-    return repeats_of(symbols, of)[0]
-
-
-def repeats_of(symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """longest_repeats, and the same for sequences that begin at two other places or more."""
-    n = len(symbols)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(of) - 1), np.diff(of))
-    end = of[1:][text]
-    # Level 0: the text and the word. A place that is the only one of its rank is settled: it has no repeat.
-    order = np.lexsort((symbols, text))
-    new = np.ones(n, bool)
-    new[1:] = (symbols[order[1:]] != symbols[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels = [(1, rank)]
-    tied = _tied(order, new)
-    width = 1
-    while len(tied):
-        # tied: places in order of rank whose rank another has too; they are sorted by the rank of the next ``width`` words.
-        old, ahead = levels[-1][1], tied + width
-        inside = ahead < end[tied]
+class Repeats:
+    """What repeats inside each of several sequences of numbers (words), each by itself.
+
+    places(depth, times): a boolean for each place, true where ``depth`` words begin that begin at ``times`` places or more of the text.
+    longest[times]: for each text, the most words that begin at ``times`` places; 0 if fewer than ``least``."""
+
+    def __init__(self, symbols: np.ndarray, of: np.ndarray, depths: dict[int, tuple[int, ...]], least: int):
+        n, texts = len(symbols), len(of) - 1
+        self.text, self.end = np.repeat(np.arange(texts, dtype=np.int32), np.diff(of)), of[1:]
+        self.found = {(d, t): np.zeros(n, bool) for d, times in depths.items() for t in times}
+        self.longest = {t: np.zeros(texts, np.int64) for t in (2, 3)}
+        if not n:
+            return
+        # Level 0: the text and the word. A place that is the only one of its rank is settled: it has no repeat.
+        order = np.lexsort((symbols, self.text))
+        new = np.ones(n, bool)
+        new[1:] = (symbols[order[1:]] != symbols[order[:-1]]) | (self.text[order[1:]] != self.text[order[:-1]])
+        rank = np.empty(n, np.int64 if n >= 2**31 else np.int32)
+        rank[order] = _starts(new)
+        tied, counts = _tied(order, new)
+        width = 1
+        del order, new
+        while len(tied):
+            for d in depths:
+                if width <= d < 2 * width:
+                    repeated = self._times(rank, tied, counts, np.full(texts, d - width))
+                    for t in depths[d]:
+                        self.found[d, t][tied[repeated >= t]] = True
+            higher, tied_higher, counts_higher = self._doubled(rank, tied, width)
+            for t in (2, 3):
+                now, then = (np.bincount(self.text[x[c >= t]], minlength=texts) > 0 for x, c in ((tied, counts), (tied_higher, counts_higher)))
+                last = now & ~then
+                if 2 * width > least and last.any():
+                    self._between(rank, tied, counts, width, t, last)
+            rank, tied, counts = higher, tied_higher, counts_higher
+            width *= 2
+        for t in (2, 3):
+            self.longest[t][self.longest[t] < least] = 0
+
+    def places(self, depth: int, times: int = 2) -> np.ndarray:
+        return self.found[depth, times]
+
+    def _doubled(self, rank: np.ndarray, tied: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks of twice as many words, and what ties still. tied has places in the order of rank."""
+        own, ahead = rank[tied], tied + width
         # A suffix that ends first comes first; two of one text never end at the same length.
-        follow = np.where(inside, old[np.minimum(ahead, n - 1)], -1)
-        own = old[tied]
+        follow = np.where(ahead < self.end[self.text[tied]], rank[np.minimum(ahead, len(rank) - 1)], -1)
         by = np.lexsort((follow, own))
         at, own, follow = tied[by], own[by], follow[by]
         start = np.ones(len(at), bool)
         start[1:] = own[1:] != own[:-1]
         new = start.copy()
         new[1:] |= (follow[1:] != follow[:-1]) | (follow[1:] < 0)
-        first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        group = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        rank = old.copy()
-        rank[at] = own + group - first
-        width *= 2
-        levels.append((width, rank))
-        tied = _tied(at, new)
-    final = levels[-1][1]
-    suffixes = np.empty(n, np.int64)
-    suffixes[final] = np.arange(n)
-    a, b = suffixes[:-1], suffixes[1:]
-    near = np.flatnonzero(levels[0][1][a] == levels[0][1][b])
-    a, b = a[near], b[near]
-    lcp = np.zeros(len(near), np.int64)
-    for width, rank in reversed(levels):  # the common prefix is a sum of powers of two, the largest first
-        x, y = a + lcp, b + lcp
-        inside = (x < end[a]) & (y < end[a])
-        same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]) & (np.maximum(x, y) + width <= end[a])
-        lcp[same] += width
-    out = np.zeros(n, np.int64)
-    np.maximum.at(out, a, lcp)
-    np.maximum.at(out, b, lcp)
-    # Three suffixes in a row share the lesser of their two LCPs.
-    thrice, row = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    row[near] = lcp
-    three = np.minimum(row[:-2], row[1:-1])
-    for k in range(3):
-        at = suffixes[k : k + len(three)]
-        thrice[at] = np.maximum(thrice[at], three)
-    return out, thrice
-
-
-def _tied(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Of places in order, those that aren't alone in their rank."""
-    last = np.ones(len(new), bool)
-    last[:-1] = new[1:]
-    return order[~(new & last)]
-
-
-def covered(lengths: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Places that lie in a span: lengths has the span that begins at each place, or 0."""
-    n = len(lengths)
-    reach = np.maximum.accumulate(np.where(lengths > 0, np.arange(n) + lengths, 0))
-    return reach > np.arange(n)  # a span ends inside its text, so none reaches into the next
+        out = rank.copy()
+        out[at] = own + (_starts(new) - _starts(start)).astype(rank.dtype)
+        return out, *_tied(at, new)
+
+    def _times(self, rank: np.ndarray, tied: np.ndarray, counts: np.ndarray, further: np.ndarray) -> np.ndarray:
+        """How often the words that begin at each tied place, those of rank's width and so many further ones for each text, begin in the text; 0 if they aren't all in it."""
+        text = self.text[tied]
+        if not further.any():
+            return counts
+        ahead = tied + further[text]
+        inside = ahead < self.end[text]
+        follow = np.where(inside, rank[np.minimum(ahead, len(rank) - 1)], -1)
+        own = rank[tied]
+        by = np.lexsort((follow, own))
+        new = np.ones(len(by), bool)
+        new[1:] = (own[by[1:]] != own[by[:-1]]) | (follow[by[1:]] != follow[by[:-1]])
+        out = np.empty(len(by), np.int64)
+        out[by] = _sizes(new)
+        return np.where(inside, out, 0)
+
+    def _between(self, rank: np.ndarray, tied: np.ndarray, counts: np.ndarray, width: int, times: int, last: np.ndarray) -> None:
+        """The longest of the texts ``last``, whose words repeat at this width but not at its double."""
+        some = last[self.text[tied]] & (counts >= times)
+        tied, counts = tied[some], counts[some]
+        low, high = np.zeros(len(last), np.int64), np.where(last, width - 1, 0)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            enough = self._times(rank, tied, counts, middle) >= times
+            full = np.bincount(self.text[tied[enough]], minlength=len(last)) > 0
+            low, high = np.where(full & (low < high), middle, low), np.where(~full & (low < high), middle - 1, high)
+        self.longest[times][last] = width + low[last]
+
+
+def _starts(new: np.ndarray) -> np.ndarray:
+    """For each place in an order, where its group begins; new is true at each group's first."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _sizes(new: np.ndarray) -> np.ndarray:
+    first = np.flatnonzero(new)
+    return np.repeat(np.diff(np.append(first, len(new))), np.diff(np.append(first, len(new))))
+
+
+def _tied(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in order, those that aren't alone in their group, and their groups' sizes."""
+    sizes = _sizes(new)
+    return order[sizes > 1], sizes[sizes > 1]
+
+
+def spread(places: np.ndarray, words: int) -> np.ndarray:
+    """Places that lie in ``words`` words from a true one on; those end inside their text."""
+    edge = np.zeros(len(places) + words, np.int32)
+    edge[: len(places)] += places
+    edge[words:] -= places
+    return np.cumsum(edge[: len(places)], dtype=np.int32) > 0
 
 
 def _sums(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many of a boolean array's values are true in each text."""
+    if len(values) > MANY * (len(of) - 1):
+        return np.array([np.count_nonzero(values[i:j]) for i, j in zip(of[:-1].tolist(), of[1:].tolist())], np.int64)
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[of[1:]] - total[of[:-1]]
 
 
-def _maxima(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(of) - 1, np.int64)
-    full = of[1:] > of[:-1]
-    if full.any():
-        out[full] = np.maximum.reduceat(values, of[:-1][full])
-    return out
-
-
 def measure(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """The columns of SCHEMA but the verdicts, for texts given as bytes."""
     first, last, of = tv.words(data, starts)
     hashes = tv.span_hashes(data, first, last)
-    repeats, thrice = repeats_of(hashes.view(np.int64), of)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    symbol = np.isin(data, np.frombuffer(SYMBOLS.encode(), np.uint8))
-    short = np.where(repeats >= SHORT_REPEAT, repeats, 0)
-    many = np.repeat(_sums(covered(short, of), of) > 2 * (MIN_REPEAT - 1), np.diff(of))
-    long = np.where(many | (repeats >= MIN_REPEAT), short, np.where(thrice >= SHORT_REPEAT, thrice, 0))
+    found = Repeats(hashes.view(np.int64), of, {WINDOW: (2,), SHORT_REPEAT: (2, 3), MIN_REPEAT: (2,)}, SHORT_REPEAT)
+    short, long = spread(found.places(SHORT_REPEAT), SHORT_REPEAT), spread(found.places(MIN_REPEAT), MIN_REPEAT)
+    thrice = spread(found.places(SHORT_REPEAT, 3), SHORT_REPEAT)
+    many = _sums(short, of) > 2 * (MIN_REPEAT - 1)
+    twice = found.longest[2]
     return {
         "n_words": np.diff(of),
-        "word_chars": _sums(points[last] - points[first], of),
-        "n_symbols": _sums(symbol, starts),
+        "word_chars": _sums(tv.solid(data) & ((data & 0xC0) != 0x80), starts),
+        "n_symbols": _sums(np.isin(data, np.frombuffer(SYMBOLS.encode(), np.uint8)), starts),
         "n_dup_lines": duplicate_lines(data, starts, first),
-        "n_repeat_words": _sums(covered(np.where(repeats >= WINDOW, WINDOW, 0), of), of),
-        "covered_words": _sums(covered(long, of), of),
-        "longest_repeat": _maxima(long, of),
+        "n_repeat_words": _sums(spread(found.places(WINDOW), WINDOW), of),
+        "covered_words": np.where(many, _sums(short, of), _sums(long | thrice, of)),
+        "longest_repeat": np.where(many | (twice >= MIN_REPEAT), twice, found.longest[3]),
     }
 
 

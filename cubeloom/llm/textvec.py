@@ -12,6 +12,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes that are hashed at a time, at 24 bytes each.
+PIECE = 1 << 22
 _P = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -62,17 +64,22 @@ def slices(starts: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, in
         i = min(j, n)
 
 
+def solid(data: np.ndarray) -> np.ndarray:
+    """True for bytes of words."""
+    return ~_SPACE[data]
+
+
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last byte (exclusive) of each word [^\\x20\\x09-\\x0D]+, and the first word of each text."""
-    solid = ~_SPACE[data]
+    full = solid(data)
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = True
-    before, after = np.empty_like(solid), np.empty_like(solid)
-    if len(solid):
-        before[0], before[1:] = False, solid[:-1]
-        after[-1], after[:-1] = False, solid[1:]
-    first = np.flatnonzero(solid & (~before | edge[:-1]))
-    last = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    before, after = np.empty_like(full), np.empty_like(full)
+    if len(full):
+        before[0], before[1:] = False, full[:-1]
+        after[-1], after[:-1] = False, full[1:]
+    first = np.flatnonzero(full & (~before | edge[:-1]))
+    last = np.flatnonzero(full & (~after | edge[1:])) + 1
     return first, last, np.searchsorted(first, starts)
 
 
@@ -81,11 +88,30 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
+    """A 64-bit hash of each span of bytes, the same wherever the span stands. Spans are in order and don't overlap."""
+    if len(data) <= PIECE:
+        return mix(_span_sums(data, first, last) + (last - first).astype(np.uint64))
+    out, i = np.empty(len(first), np.uint64), 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + PIECE, "right")))
+        low = int(first[i])
+        if j == i + 1:  # a long span, piece by piece
+            total = 0
+            for at in range(low, int(last[i]), PIECE):
+                piece = data[at : min(at + PIECE, int(last[i]))]
+                total += int(_span_sums(piece, np.zeros(1, np.int64), np.full(1, len(piece)))[0]) * pow(_P, at - low, 1 << 64)
+            out[i] = total % (1 << 64)
+        else:
+            out[i:j] = _span_sums(data[low : last[j - 1]], first[i:j] - low, last[i:j] - low)
+        i = j
+    return mix(out + (last - first).astype(np.uint64))
+
+
+def _span_sums(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     power, inverse = _of_p(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+    return (sums[last] - sums[first]) * inverse[first]
 
 
 def shingles(hashes: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

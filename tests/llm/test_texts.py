@@ -103,25 +103,52 @@ def test_bpe_query(spark, sf_dir):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-def brute_repeats(words):
-    n = len(words)
-    out = [0] * n
-    for i in range(n):
-        for j in range(n):
-            k = 0
-            while i != j and i + k < n and j + k < n and words[i + k] == words[j + k]:
-                k += 1
-            out[i] = max(out[i], k)
-    return out
-
-
-def test_suffix_arrays_against_brute_force():
+def shared_words(words, i, j):
+    return next((k for k in range(len(words)) if max(i, j) + k >= len(words) or words[i + k] != words[j + k]), len(words))
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_suffix_arrays_against_brute_force(least):
     r = random.Random(8)
-    for _ in range(100):
-        texts = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 25))] for _ in range(r.randint(1, 5))]
+    depths = {d: (2, 3) for d in (1, 2, 3, 5, 8, 13)}
+    for _ in range(150):
+        texts = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 30))] for _ in range(r.randint(1, 5))]
         of = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        got = repetition.longest_repeats(np.array([ord(c) for t in texts for c in t], np.int64), of).tolist()
-        assert got == [x for t in texts for x in brute_repeats(t)]
+        got = repetition.Repeats(np.array([ord(c) for t in texts for c in t], np.int64), of, depths, least)
+        for times in (2, 3):
+            want = [[sorted([0, 0, *(shared_words(t, i, j) for j in range(len(t)) if j != i)])[1 - times] for i in range(len(t))] for t in texts]
+            for d in depths:
+                assert got.places(d, times).tolist() == [x >= d for w in want for x in w], (texts, d)
+            assert got.longest[times].tolist() == [m if (m := max(w, default=0)) >= least else 0 for w in want]
+
+
+def test_a_very_long_text_takes_memory_in_proportion():
+    import tracemalloc
+
+    from cubeloom.llm import textvec
+
+    r = np.random.default_rng(4)
+    words = np.array([f"w{i:05d}" for i in range(50_000)])
+    for text in (" ".join(words[r.integers(len(words), size=1_000_000)]), "same words again " * 400_000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        textvec.span_hashes(np.zeros(textvec.PIECE, np.uint8), np.zeros(1, np.int64), np.ones(1, np.int64))  # the powers stay
+        tracemalloc.start()
+        found = repetition.measure(data, np.array([0, len(data)]))
+        assert tracemalloc.get_traced_memory()[1] < 30 * len(data) + 24 * textvec.PIECE
+        tracemalloc.stop()
+        assert found["longest_repeat"][0] == (1_199_997 if text[0] == "s" else 0)
+
+
+def test_span_hashes_piece_by_piece(monkeypatch):
+    from cubeloom.llm import textvec
+
+    r = np.random.default_rng(1)
+    data = r.integers(0, 256, 3000).astype(np.uint8)
+    cuts = np.unique(np.concatenate([[0, 700, 3000], r.integers(0, 3000, 40)]))
+    cuts = cuts[(cuts <= 300) | (cuts >= 700)]
+    whole = textvec.span_hashes(data, cuts[:-1], cuts[1:])
+    monkeypatch.setattr(textvec, "PIECE", 64)
+    assert textvec.span_hashes(data, cuts[:-1], cuts[1:]).tolist() == whole.tolist()
 
 
 def base_rules(text):
@@ -168,18 +195,6 @@ def test_rules_judge_short_repeats(spark):
     assert got[0].covered_words >= 190 and got[0].longest_repeat >= 19 and got[1].covered_words >= 300 and got[2].covered_words == got[3].covered_words == 0
 
 
-def test_threefold_repeats_against_brute_force():
-    r = random.Random(9)
-    for _ in range(100):
-        texts = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 25))] for _ in range(r.randint(1, 5))]
-        of = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        want = []
-        for t in texts:
-            same = lambda i, j: next((k for k in range(len(t)) if max(i, j) + k >= len(t) or t[i + k] != t[j + k]), len(t))  # noqa: B023, E731
-            want += [sorted([0, 0] + [same(i, j) for j in range(len(t)) if j != i])[-2] for i in range(len(t))]
-        assert repetition.repeats_of(np.array([ord(c) for t in texts for c in t], np.int64), of)[1].tolist() == want
-
-
 def test_rules_query_against_brute_force(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op9_repetition(spark, sf_dir).collect():
