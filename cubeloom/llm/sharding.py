@@ -7,7 +7,7 @@ is broadcast, and a key's shard is found by one hash and one lookup. A shard tha
 moves few keys besides its own.
 
 Defined results: a null key hashes like the empty one. Repeated keys share a shard. Columns slot and
-shard of the input are replaced; other columns pass through.
+shard of the input are replaced, and either may be the key; other columns pass through.
 """
 
 from __future__ import annotations
@@ -58,4 +58,5 @@ def slot_of(key: Column, size: int = TABLE) -> Column:
 def place(df: DataFrame, key: str, shards: dict[str, int], size: int = TABLE) -> DataFrame:
     """df with slot and shard."""
     table = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, size))), "slot int, shard string")
-    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(table), "slot")
+    others = [df[c] for c in df.columns if c not in ("slot", "shard")]
+    return df.select(*others, slot_of(df[key], size).alias("slot")).join(F.broadcast(table), "slot")
