@@ -53,7 +53,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return out.select("conv_id", "perspective", "segment", "n_turns", "text", spans.alias("mask"))
+    return out.select("conv_id", "perspective", "segment", "n_turns", "text_start", "text", spans.alias("mask"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +74,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_packing, op4_minhash, op5_vptree, op6_sharding, op7_perspectives, op8_line_dedup, op9_repetition, op10_byte_bpe)}
 
-_PIECE = "CASE WHEN t.role = c.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' ELSE '<|user name=' || coalesce(t.role, 'unknown') || '|>' END || chr(10)"
+_ESCAPED = "replace(replace({}, '<|', '<\\|'), '|>', '|\\>')"
+_PIECE = f"CASE WHEN t.role = c.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' ELSE '<|user name=' || coalesce(translate({_ESCAPED.format('t.role')}, chr(10) || chr(13), '  '), 'unknown') || '|>' END || chr(10)"
 ORACLE = {
     "op7_perspectives": f"""
         WITH t AS (
             SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS FIRST) - 1 AS rank FROM conversations),
         c AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
         p AS (
-            SELECT t.conv_id, c.perspective, t.rank // {chat.SEGMENT} AS segment, t.rank, {_PIECE} AS head, t.text || '<|end|>' || chr(10) AS body, t.role IS NOT DISTINCT FROM c.perspective AS own
+            SELECT t.conv_id, c.perspective, t.rank // {chat.SEGMENT} AS segment, t.rank, {_PIECE} AS head, {_ESCAPED.format('t.text')} || '<|end|>' || chr(10) AS body, t.role IS NOT DISTINCT FROM c.perspective AS own
             FROM t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id),
-        s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY rank) - length(body) AS low FROM p)
-        SELECT conv_id, perspective, CAST(segment AS BIGINT) AS segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY rank) AS text,
+        s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY rank) - length(body) AS low FROM p)
+        SELECT conv_id, perspective, CAST(segment AS BIGINT) AS segment, count(*) AS n_turns, CAST(min(low - length(head)) AS BIGINT) AS text_start, string_agg(head || body, '' ORDER BY rank) AS text,
             coalesce(string_agg(CASE WHEN own THEN CAST(low AS BIGINT) || '-' || CAST(low + length(body) AS BIGINT) END, ',' ORDER BY rank), '') AS mask
         FROM s GROUP BY ALL""",
     "op8_line_dedup": f"""
