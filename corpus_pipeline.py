@@ -31,8 +31,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs, k=5).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group stays, with the smallest doc_id; of repeated rows of that id, the smallest. Rows without an id all stay."""
+    found = Scratch(spark, "near").save(neardup.near_duplicates(docs, k=5), "found")
+    gone = found.where("NOT kept").select("doc_id", "text_hash")
+    several = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "set_id").agg(F.min("text_hash").alias("stays"), F.count("*").alias("rows")).where("rows > 1")
+    hashed = docs.withColumn("text_hash", neardup.text_hash())
+    if several.limit(1).count() == 0:
+        return hashed.join(gone, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
+    others = found.where("kept").join(several, ["doc_id", "set_id"]).where("text_hash <> stays").select("doc_id", "text_hash")
+    left = hashed.join(gone.unionAll(others), ["doc_id", "text_hash"], "left_anti")
+    repeated = several.select("doc_id", F.col("stays").alias("text_hash"))
+    ones = left.join(repeated, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return left.join(repeated, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS).unionByName(ones)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
