@@ -76,7 +76,20 @@ QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_warc, op3_packing, op4_m
 
 _ESCAPED = "replace(replace({}, '<|', '<\\|'), '|>', '|\\>')"
 _PIECE = f"CASE WHEN t.role = c.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' ELSE '<|user name=' || coalesce(translate({_ESCAPED.format('t.role')}, chr(10) || chr(13), '  '), 'unknown') || '|>' END || chr(10)"
+#: The lookup table as text, shards in the order of slots; the table is the operator's parameter as much as the shards' names.
+_SLOTS = ",".join(s[6:] for s in sharding.lookup_table(SHARDS))
 ORACLE = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
+    "op6_sharding": f"""
+        WITH s AS (SELECT doc_id, CAST(('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:8]) AS BIGINT) % {sharding.TABLE} AS slot FROM documents),
+        t AS (SELECT 'shard-' || unnest(l) AS shard, unnest(range(len(l))) AS slot FROM (SELECT string_split('{_SLOTS}', ',') AS l))
+        SELECT doc_id, CAST(slot AS INTEGER) AS slot, shard FROM s JOIN t USING (slot)""",
     "op7_perspectives": f"""
         WITH t AS (
             SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS FIRST) - 1 AS rank FROM conversations),
