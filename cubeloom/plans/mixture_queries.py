@@ -160,8 +160,28 @@ def _parallel(ring):
     return run
 
 
-query("pck02_parallel_packing")(_parallel(None))
-query("pck02_parallel_packing_zigzag")(_parallel("zigzag"))
+def _parallel_sql(multiple: int) -> str:
+    """State by state: a row joins the open bin (fits), or closes it with d dummies (dropped if still short of 4 images)."""
+    fits = "p.used + s.size <= 16384 AND NOT (p.video AND s.is_video) AND (p.images < 4 OR (p.images + s.images <= s.most AND p.used + s.size <= p.longest))"
+    full = lambda t: f"({t}.images + (16384 - {t}.used + 63) // 64 >= 4)"
+    filled = lambda t: f"{t}.used + 64 * greatest(4 - {t}.images, 0)"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, doc_id // 64 AS grp, n_chars + doc_id % 5 * 63 AS raw, doc_id % 5 AS images, doc_id % 7 = 0 AS is_video FROM documents),
+        e AS (SELECT *, (raw + {multiple - 1}) // {multiple} * {multiple} AS size, max(images) OVER (PARTITION BY grp) AS most, coalesce(max(raw) FILTER (WHERE raw <= 16384) OVER (PARTITION BY grp), 0) AS longest FROM d),
+        s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY raw DESC, doc_id) AS r FROM e WHERE size <= 16384),
+        p AS (SELECT doc_id, grp, r, size, CAST(0 AS BIGINT) AS bin, CAST(0 AS BIGINT) AS start, images, size AS used, is_video AND images > 0 AS video, longest FROM s WHERE r = 1
+            UNION ALL SELECT s.doc_id, s.grp, s.r, s.size, CASE WHEN {fits} THEN p.bin ELSE p.bin + 1 END, CASE WHEN {fits} THEN p.used ELSE 0 END,
+                CASE WHEN {fits} THEN p.images ELSE 0 END + s.images, CASE WHEN {fits} THEN p.used ELSE 0 END + s.size, ({fits} AND p.video) OR (s.is_video AND s.images > 0),
+                CASE WHEN {fits} OR NOT {full("p")} THEN p.longest ELSE greatest(p.longest, {filled("p")}) END
+            FROM p JOIN s ON s.grp = p.grp AND s.r = p.r + 1),
+        b AS (SELECT grp, bin, max(images) AS images, max(used) AS used FROM p GROUP BY grp, bin),
+        k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY bin) - 1 AS number FROM b WHERE {full("b")}),
+        x AS (SELECT grp, number, used, unnest(range(greatest(4 - images, 0))) AS i FROM k)
+        SELECT p.grp, p.doc_id, k.number AS bin, p.start, p.size AS length FROM p JOIN k ON k.grp = p.grp AND k.bin = p.bin
+        UNION ALL SELECT grp, NULL, number, used + 64 * i, 64 FROM x"""
+
+
+query("pck02_parallel_packing", _parallel_sql(1))(_parallel(None))
+query("pck02_parallel_packing_zigzag", _parallel_sql(8))(_parallel("zigzag"))
 
 
 @query("pck04_divisible_padding", "SELECT doc_id, (8 - n_chars % 8) % 8 AS ring, (16 - n_chars % 16) % 16 AS zigzag FROM documents")
@@ -190,7 +210,13 @@ def pck06(spark, sf_dir):
     return _ids(spark, sf_dir).select("l_orderkey", F.array_join(TK.restarting_positions(F.col("ids")), ",").alias("positions"))
 
 
-@query("pck07_balanced_batches")
+@query(
+    "pck07_balanced_batches",
+    """WITH r AS (SELECT doc_id, doc_id // 256 AS grp, n_chars, (row_number() OVER (PARTITION BY doc_id // 256 ORDER BY doc_id) - 1) // 8 AS slot FROM documents),
+        t AS (SELECT *, sum(n_chars) OVER (PARTITION BY grp) / (max(slot) OVER (PARTITION BY grp) + 1) + 1000 AS bound, sum(n_chars) OVER (PARTITION BY grp, slot) AS total,
+            sum(n_chars) OVER (PARTITION BY grp, slot ORDER BY doc_id) - n_chars AS before FROM r)
+        SELECT grp, doc_id, dense_rank() OVER (PARTITION BY grp ORDER BY slot, CASE WHEN total >= bound THEN floor(before / bound) ELSE 0 END) - 1 AS batch FROM t""",
+)
 def pck07(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 256).alias("grp"))
     return P.balanced_batches(d, "grp", "doc_id", "n_chars", 8)

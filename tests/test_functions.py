@@ -2,7 +2,10 @@
 
 import math
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cubeloom.functions import frames, spatial, text, tokens
@@ -108,7 +111,7 @@ def test_pack_parallel_invariants():
     bins = {}
     for key, b, start, size in out:
         bins.setdefault(b, []).append((key, start, size))
-    video = {k for k, *_, v in samples if v}
+    video = {k for k, _, n, v in samples if v and n}
     for rows in bins.values():
         assert sum(s for *_, s in rows) <= 16_384
         assert sum(k in video for k, *_ in rows) <= 1
@@ -121,10 +124,33 @@ def test_pack_parallel_invariants():
     assert len(keys) == len(set(keys))
 
 
-@pytest.mark.parametrize("lengths", [[], [5], [10] * 40, [4000, 1, 1, 1] * 10, list(range(0, 9000, 100))])
-def test_split_heavy_keeps_all(lengths):
-    batches = packing.split_heavy(lengths, 8)
-    assert sorted(i for b in batches for i in b) == list(range(len(lengths)))
+@given(st.lists(st.integers(1, 50), max_size=60), st.integers(50, 120))
+@settings(max_examples=100, deadline=None)
+def test_runs_that_fit_are_next_fit(sizes, capacity):
+    begins, used = [], 0
+    for i, n in enumerate(sizes):
+        if not i or used + n > capacity:
+            begins.append(i)
+            used = 0
+        used += n
+    assert packing.runs_that_fit(np.array(sizes, np.int64), capacity).tolist() == begins
+
+
+def test_a_video_without_images_keeps_no_other_out():
+    held = packing.pack_parallel([(1, 300, 0, True), (2, 90, 2, True), (3, 80, 2, False)], 4, 1000)
+    assert {k: b for k, b, *_ in held} == {1: 0, 2: 0, 3: 0}
+    apart = packing.pack_parallel([(1, 100, 4, True), (2, 90, 4, True)], 4, 1000)
+    assert {k: b for k, b, *_ in apart} == {1: 0, 2: 1}
+
+
+def test_balanced_batches_bound(spark):
+    rows = [(g, k, (k * 7919) % 3000 + (20_000 if k % 17 == 0 else 0)) for g in (1, 2) for k in range(100)]
+    out = packing.balanced_batches(spark.createDataFrame(rows, "g long, k long, n long"), "g", "k", "n", 8).collect()
+    size, batches = {(g, k): n for g, k, n in rows}, {}
+    for r in out:
+        batches.setdefault((r.g, r.batch), []).append(size[r.g, r.k])
+    mean = sum(n for g, _, n in rows if g == 1) / 13
+    assert len(out) == 200 and all(len(b) <= 8 and sum(b) < mean + 1000 + max(b) for b in batches.values())
 
 
 def test_round_mask_mismatch(spark):
