@@ -40,12 +40,16 @@ def keep_last(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
 def contained_name(clips: DataFrame, files: DataFrame, clip: str, file: str, size: int = 8) -> DataFrame:
     """Each clip with the last file (in name order) whose name contains the clip's.
 
-    A clip's first ``size`` characters must be a part of the file's name, so the join is on equal parts
-    of that size; shorter clip names are parts themselves. No pair is made without a shared part."""
+    Every part of ``size`` characters of a clip's name must be a part of the file's, so the join is on
+    equal parts: for each clip on the one that the fewest files have, so that a beginning that
+    all names share is no key. Shorter clip names are parts themselves. No pair is made without a shared part."""
     parts = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: c.substr(i, F.lit(size)))
-    short = clips.where(F.length(clip) < size)
-    long = clips.where(F.length(clip) >= size).withColumn("_part", F.substring(clip, 1, size))
     cut = files.withColumn("_part", F.explode(F.array_distinct(parts(F.col(file)))))
+    held = cut.groupBy("_part").agg(F.count("*").alias("_files"))
+    each = clips.where(F.length(clip) >= size).select(clip).distinct().withColumn("_part", F.explode(F.array_distinct(parts(F.col(clip))))).join(held, "_part", "left")
+    rarest = each.groupBy(clip).agg(F.min(F.struct(F.coalesce("_files", F.lit(0)).alias("n"), "_part")).alias("_r")).where("_r.n > 0")
+    short = clips.where(F.length(clip) < size)
+    long = clips.join(rarest.select(clip, F.col("_r._part").alias("_part")), clip).select(*clips.columns, "_part")
     pairs = long.join(cut, "_part").drop("_part")
     lengths = F.explode(F.sequence(F.lit(1), F.lit(size - 1))).alias("_n")
     pieces = files.select("*", lengths).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(file) - F.col("_n") + 1, F.lit(1))), lambda i: F.col(file).substr(i, F.col("_n")))).alias("_part")).drop("_n").distinct()

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Steps of a fold that appends to one array; beyond, arrays are joined, so that a long key isn't copied at every step.
+FOLD_BLOCK = 64
+
+
 def momentum(df: DataFrame, key: str, order: list[str], value: str, out: str = "m", rate: float = 0.8) -> DataFrame:
     """m_1 = x_1 - x_0, then m_t = rate * (x_t - x_(t-1)) + (1 - rate) * m_(t-1); null for each key's first frame.
 
-    One sort for each key, then a fold over its frames."""
+    One sort for each key, then a fold over its frames: first from block to block, then inside each block."""
     fields = [c for c in df.columns if c != key]
     seq = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order]))).alias("_s"))
-    zero = F.array().cast("array<double>")
-    step = lambda acc, i: F.concat(acc, F.array(
-        F.when(i == 1, F.get(F.col("_s"), i)[value] - F.get(F.col("_s"), i - 1)[value]).otherwise(rate * (F.get(F.col("_s"), i)[value] - F.get(F.col("_s"), i - 1)[value]) + (1 - rate) * F.element_at(acc, -1))))
-    folded = F.when(F.size("_s") > 1, F.aggregate(F.sequence(F.lit(1), F.size("_s") - 1), zero, step)).otherwise(zero)
+    number = lambda x: x.cast("double")
+    delta = lambda s, i: F.when(i > 0, number(s[value] - F.get(F.col("_s"), i - 1)[value]) * F.when(i == 1, 1.0).otherwise(rate))
+    seq = seq.withColumn("_d", F.slice(F.transform("_s", delta), 2, F.size("_s")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("_d") - 1, F.lit(0)) / FOLD_BLOCK).cast("int")), lambda b: F.slice("_d", b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+    seq = seq.withColumn("_b", blocks)
+    none, step = F.array().cast("array<double>"), lambda m, d: (1 - rate) * m + d
+    state = lambda m, seen: F.struct(m.alias("m"), seen.alias("seen"))
+    begins = F.aggregate("_b", state(F.lit(0.0), none), lambda acc, block: state(F.aggregate(block, acc["m"], step), F.concat(acc["seen"], F.array(acc["m"]))))["seen"]
+    inside = lambda block, begin: F.aggregate(block, state(begin, none), lambda acc, d: state(step(acc["m"], d), F.concat(acc["seen"], F.array(step(acc["m"], d)))))["seen"]
+    folded = F.flatten(F.zip_with("_b", begins, inside))
     joined = F.zip_with("_s", F.concat(F.array(F.lit(None).cast("double")), folded), lambda s, m: F.struct(s.alias("s"), m.alias(out)))
     return seq.select(key, F.explode(joined).alias("_e")).select(key, "_e.s.*", f"_e.{out}")
 
 
 def momentum_closed(df: DataFrame, key: str, order: list[str], value: str, out: str = "m", rate: float = 0.8) -> DataFrame:
-    """The same by a window: terms older than 60 frames are below a double's precision at the default rate, so a frame of 60 rows gives the whole sum."""
+    """The same by a window over the frames whose weight, (1 - rate) to the power of their age, a double can still show beside the newest (2**-60).
+
+    The window grows as the rate falls; at a small rate ``momentum`` is the better form."""
     w = Window.partitionBy(key).orderBy(*order)
     keep = 1 - rate
+    if not 0 < rate <= 1:
+        raise ValueError("a window needs a rate over 0 and up to 1")
+    frames = math.ceil(60 * math.log(2) / -math.log(keep)) if keep else 0
     deltas = df.withColumn("_t", F.row_number().over(w) - 1).withColumn("_d", F.col(value) - F.lag(value).over(w))
     deltas = deltas.withColumn("_d", F.when(F.col("_t") == 1, F.col("_d")).otherwise(F.col("_d") * rate))
-    near = w.rowsBetween(-60, 0)
+    near = w.rowsBetween(-frames, 0)
     terms = F.collect_list(F.struct("_t", "_d")).over(near)
     total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc * keep + F.coalesce(x["_d"], F.lit(0.0)))
     return deltas.withColumn(out, F.when(F.col("_t") > 0, total)).drop("_t", "_d")

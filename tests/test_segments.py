@@ -1,5 +1,6 @@
 """Order-dependent operators against plain loops."""
 
+import math
 import random
 
 import pytest
@@ -128,3 +129,31 @@ def test_megabatches_are_dealt_evenly(spark):
                 counts[pick] += 1
                 if counts[pick] == len(g) // 4:
                     loads[pick] = float("inf")
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.8, 1.0])
+def test_momentum_of_long_keys_at_any_rate(spark, rate):
+    rows = [(k, i, math.sin(i * (k + 1)) * 10) for k, n in enumerate((0, 1, 2, 64, 65, 66, 700)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, x double")
+    want = {}
+    for k, i, x in rows:
+        before = want.get((k, i - 1))
+        d = x - rows_at(rows, k, i - 1) if i else None
+        want[k, i] = None if i == 0 else d if i == 1 else rate * d + (1 - rate) * before
+    for f in (segments.momentum, segments.momentum_closed):
+        got = {(r.k, r.i): r.m for r in f(df, "k", ["i"], "x", rate=rate).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[x] is None if want[x] is None else got[x] == pytest.approx(want[x], abs=1e-9) for x in want)
+
+
+def rows_at(rows, k, i):
+    return next(x for key, at, x in rows if (key, at) == (k, i))
+
+
+def test_contained_name_with_a_beginning_that_all_share(spark):
+    clips = spark.createDataFrame([(i, f"video_000{i:03d}") for i in range(200)] + [(900, "zz"), (901, "video_999999"), (902, "0001")], "id long, clip string")
+    files = spark.createDataFrame([(f"video_000{i:03d}{c}.mp4",) for i in range(0, 200, 2) for c in "ab"], "file string")
+    got = {(r.id, r.file) for r in joins.contained_name(clips, files, "clip", "file").collect()}
+    names = [r.file for r in files.collect()]
+    want = {(r.id, max(f for f in names if r.clip in f)) for r in clips.collect() if any(r.clip in f for f in names)}
+    assert got == want and len(got) == 101
