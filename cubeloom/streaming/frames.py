@@ -3,7 +3,7 @@
 The batch operators see a whole video; these see its frames in order of arrival and keep what the
 next frame needs (the last value, the last momentum, the open segment). A video's segment is given out
 when the next one begins. Frames of one video that arrive
-in one micro-batch are sorted; later batches must not bring earlier frames."""
+in one micro-batch are gathered and sorted; later batches must not bring earlier frames."""
 
 from __future__ import annotations
 
@@ -17,20 +17,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.joins import remaining
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's frames of this micro-batch, which come in several chunks, in their order."""
+    return pd.concat(list(batches)).sort_values("frame", kind="stable", ignore_index=True)
+
+
 def momentum_stream(frames: DataFrame, rate: float = 0.8) -> DataFrame:
     """video, frame and m for a stream of video, frame (its order) and x."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, last, m = state.get if state.exists else (0, 0.0, 0.0)
-        for batch in batches:
-            batch = batch.sort_values("frame", kind="stable")
-            out = []
-            for x in batch["x"]:
-                out.append(None if seen == 0 else x - last if seen == 1 else rate * (x - last) + (1 - rate) * m)
-                m = out[-1] or 0.0
-                seen, last = seen + 1, x
-            yield pd.DataFrame({"video": key[0], "frame": batch["frame"], "m": pd.array(out, "Float64")})
+        rows, out = _in_order(batches), []
+        for x in rows["x"]:
+            out.append(None if seen == 0 else x - last if seen == 1 else rate * (x - last) + (1 - rate) * m)
+            m = out[-1] or 0.0
+            seen, last = seen + 1, x
         state.update((seen, float(last), float(m)))
+        yield pd.DataFrame({"video": key[0], "frame": rows["frame"], "m": pd.array(out, "Float64")})
 
     return frames.select("video", "frame", "x").groupBy("video").applyInPandasWithState(run, "video long, frame long, m double", "seen long, last double, m double", "append", GroupStateTimeout.NoTimeout)
 
@@ -43,12 +46,11 @@ def segment_stream(frames: DataFrame) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         segment, start, at = state.get if state.exists else (0, 0, 0)
         closed = []
-        for batch in batches:
-            for flag in batch.sort_values("frame", kind="stable")["flag"]:
-                if flag and at > start:
-                    closed.append((key[0], segment, start, at))
-                    segment, start = segment + 1, at
-                at += 1
+        for flag in _in_order(batches)["flag"]:
+            if flag and at > start:
+                closed.append((key[0], segment, start, at))
+                segment, start = segment + 1, at
+            at += 1
         state.update((segment, start, at))
         yield pd.DataFrame(closed, columns=["video", "segment", "start", "stop"])
 

@@ -9,11 +9,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _live: list["Scratch"] = []
+#: What was made inside the scopes that this thread or task is in, the innermost last.
+_scopes: ContextVar[tuple[list["Scratch"], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +58,8 @@ class Scratch:
         self.spark = importable(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _live.append(self)
+        for made in _scopes.get()[-1:]:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -70,14 +75,16 @@ class Scratch:
 
 @contextmanager
 def scope() -> Iterator[None]:
-    """Tables made inside are dropped at its end: what is returned from it must have been written elsewhere."""
-    mark = len(_live)
+    """Tables made inside, by this thread, are dropped at its end: what is returned from it must have been written elsewhere."""
+    made: list[Scratch] = []
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        for made in _live[mark:]:
-            made.drop()
-        del _live[mark:]
+        _scopes.reset(token)
+        for one in made:
+            one.drop()
+            _live.remove(one)
 
 
 @atexit.register

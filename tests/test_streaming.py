@@ -49,3 +49,13 @@ def test_append_missing(source):
 def test_event_rates_is_a_batch_query_too(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert st.event_rates(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_momentum_of_many_frames_in_any_order(spark, tmp_path):
+    """More frames of a key in a micro-batch than an Arrow chunk holds, the last first."""
+    rows = spark.range(25_000).select(F.lit(0).cast("long").alias("video"), (F.lit(24_999) - F.col("id")).alias("frame"), (F.col("id") * 7919 % 101).cast("double").alias("x")).coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("video long, frame long, x double").parquet(str(tmp_path / "in"))
+    got = {r.frame: r.m for r in run(st.momentum_stream(stream), "many", tmp_path)}
+    want = {r.frame: r.m for r in segments.momentum(rows, "video", ["frame"], "x").collect()}
+    assert got.keys() == want.keys() and all(want[k] is None or got[k] == pytest.approx(want[k]) for k in want)
