@@ -13,7 +13,7 @@ PREDICTION_COLUMNS = f"""
     conv_id, turn,
     CASE CAST(conv_id % 7 AS INT) WHEN 0 THEN concat('The answer is ', {_LETTER}) WHEN 1 THEN concat('(', {_LETTER}, ')') WHEN 2 THEN concat('Best answer: ', {_LETTER})
         WHEN 3 THEN lower({_LETTER}) WHEN 4 THEN '' WHEN 5 THEN concat(' ', {_LETTER}, '. ', text) ELSE text END AS pred,
-    concat('(', chr(CAST(65 + (conv_id + turn) % 5 AS INT)), ') ', substring(text, 1, 12)) AS answer,
+    concat('(', chr(CAST(65 + (conv_id + turn) % 5 AS INT)), ') ', text) AS answer,
     CASE CAST(conv_id % 3 AS INT) WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'long' END AS duration,
     concat('task', CAST(conv_id % 4 AS STRING)) AS task_type"""
 PREDICTIONS = f"SELECT {PREDICTION_COLUMNS} FROM conversations WHERE role = 'assistant'"

@@ -137,7 +137,7 @@ def win08_rounds(spark, sf_dir):
     return out.select("conv_id", "turn", "message", "from", F.array_join("values", "|").alias("joined"))
 
 
-@query("win09_sample_lengths", "SELECT l_orderkey, sample, CAST(len AS BIGINT) AS length FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS sample, l_quantity AS len FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL))")
+@query("win09_sample_lengths", "SELECT l_orderkey, sample, CAST(len AS BIGINT) AS length FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS sample, l_quantity AS len FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL))")
 def win09(spark, sf_dir):
     """Position ids of packed samples (a sample of l_quantity tokens for each line), and back."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("n"))

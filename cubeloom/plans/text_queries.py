@@ -129,7 +129,7 @@ def txt12(spark, sf_dir):
     return spark.createDataFrame(rows, "template string, style string, human string, gpt string, sep string, sep2 string, system string")
 
 
-@query("txt13_base64", "SELECT doc_id, base64(encode(text[1:30])) AS encoded, text[1:30] AS decoded FROM documents")
+@query("txt13_base64", "SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents")
 def txt13(spark, sf_dir):
     enc = F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")  # Spark may break long values into lines
     return table(spark, sf_dir, "documents").select("doc_id", enc.alias("encoded"), F.unbase64(enc).cast("string").alias("decoded"))
