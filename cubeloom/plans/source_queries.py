@@ -146,19 +146,12 @@ def snk09(spark, sf_dir):
     return readers.json_lines(spark, path, "n long, n_sources long")
 
 
-@query("cat_source_conversion", """SELECT CAST(o.o_orderkey AS VARCHAR) AS video, '<video>' || chr(10) || 'Look at ' || l.l_returnflag || ' What is part ' || l.l_partkey AS human, 'supplier ' || l.l_suppkey AS gpt, 'kinetics710' AS source, 'conversations' AS data_type
-    FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey % 3 <> 0""")
-def cat_conversion(spark, sf_dir):
-    qa = F.struct(F.concat(F.lit("Look at "), "l_returnflag").alias("i"), F.concat(F.lit("What is part "), F.col("l_partkey").cast("string")).alias("q"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("a"))
-    annotations = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("video")).agg(F.collect_list(qa).alias("QA"))
-    files = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("video"), F.concat(F.lit("v/"), F.col("o_orderkey").cast("string")).alias("path"))
-    out = catalogue.convert(catalogue.SOURCES["kinetics710"], annotations, files)
-    return out.select("video", F.col("conversations")[0]["value"].alias("human"), F.col("conversations")[1]["value"].alias("gpt"), "source", "data_type")
-
-
-@query("cat_source_specs")
+@query(
+    "cat_source_specs",
+    "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (s.name, s.prefix, s.category, s.key, s.miss, s.form)) + ")" for s in catalogue.QA_SOURCES.values()) + ") v(name, prefix, category, key, miss, form)",
+)
 def cat_specs(spark, sf_dir):
-    return spark.createDataFrame([(s.name, s.miss, s.form, s.output) for s in catalogue.SOURCES.values()], "name string, miss string, form string, output string")
+    return spark.createDataFrame([(s.name, s.prefix, s.category, s.key, s.miss, s.form) for s in catalogue.QA_SOURCES.values()], "name string, prefix string, category string, key string, miss string, form string")
 
 
 def _as_files(rows, name, payload, folder):

@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.operators import mixture
-from cubeloom.sources import blobs, catalogue, readers, writers
+from cubeloom.sources import blobs, catalogue, external, readers, writers
 
 
 def test_json_forms(spark, tmp_path):
@@ -82,15 +83,44 @@ def test_mixture_load(spark, tmp_path):
     assert [r.uid for r in rows] == ["a1", "a2", "a3", "a0", "a1", "b1", "b2", "b3", "b0", "b1"]
 
 
-def test_catalogue_specs(spark):
-    qa = [("v1", [("look", "what?", "x")]), ("v2", [("look", "why?", "y"), ("see", "who?", "z")])]
-    ann = spark.createDataFrame(qa, "video string, QA array<struct<i: string, q: string, a: string>>")
-    cat = spark.createDataFrame([("v2", "/d/v2.mp4")], "video string, path string")
-    out = catalogue.convert(catalogue.SOURCES["kinetics710"], ann, cat).collect()
-    assert sorted(r.conversations[0].value for r in out) == ["<video>\nlook why?", "<video>\nsee who?"]
-    (turns,) = catalogue.convert(catalogue.SOURCES["webvid"], ann, cat).collect()
-    assert [t.value for t in turns.conversations] == ["<video>\nlook", "y", "see", "z"]
-    assert catalogue.convert(catalogue.SOURCES["moviechat"], ann, cat).count() == 3
+QA = "i long, video string, QA array<struct<i: string, q: string, a: string>>"
+
+
+def test_source_misses(spark):
+    ann = spark.createDataFrame([(0, "k400/a/v1.mp4", [("look", "what?", "x")]), (1, "k400/b/v2.mp4", [("look", "why?", "y"), ("see", "who?", "z")])], QA)
+    cat = spark.createDataFrame([("b/v2.mp4", "/d/v2.mp4")], "key string, path string").withColumn("key", F.lit("a/v2.mp4"))
+    spec = catalogue.QA_SOURCES["kinetics710"]
+    assert catalogue.qa_source(spec, ann, cat).count() == 0
+    out = catalogue.qa_source(spec, ann, cat.withColumn("key", F.lit("b/v2.mp4"))).collect()
+    assert sorted(r.conversations[0].value for r in out) == ["look why?", "see who?"] and {r.uid for r in out} == {"VideoChat2IT_Kinetics710_b_1"}
+    assert {r.video for r in out} == {"/d/v2.mp4"}
+    with pytest.raises(Exception, match="no entry"):
+        catalogue.qa_source(catalogue.QA_SOURCES["clevrer_qa"], ann, cat).collect()
+
+
+def test_calls_are_repeated_and_reported(spark, tmp_path):
+    def call(name, n):
+        seen = tmp_path / f"{name}{n}"
+        tries = int(seen.read_text()) + 1 if seen.exists() else 1
+        seen.write_text(str(tries))
+        if tries < n:
+            raise OSError("busy")
+        return name * 2, tries
+
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 9), (None, 0)], "name string, n int").withColumn("tries", F.lit("clash")).coalesce(1)
+    out = {r.name: (r.twice, r.tries, r.error) for r in external.called(df, call, [F.col("name"), F.col("n")], "twice string, tries int", attempts=4).collect()}
+    assert out["a"] == ("aa", 1, None) and out["b"] == ("bb", 3, None) and out["c"] == (None, None, "OSError: busy")
+    assert out[None][2].startswith("TypeError")
+    assert external.called(df.limit(0), call, [F.col("name"), F.col("n")], "twice string, tries int").count() == 0
+
+
+def test_longvila_removes_the_first_tag_of_each_human_turn(spark):
+    rows = [(0, "y", [("human", "a \n <video> b <video>"), ("gpt", "c <video>"), ("human", "no tag "), ("human", "<video>")])]
+    ann = spark.createDataFrame(rows, "i long, id string, conversations array<struct<from: string, value: string>>")
+    files = spark.createDataFrame([("y", "/y.mp4", 2)], "id string, path string, frames int")
+    (out,) = catalogue.longvila(ann, files).collect()
+    assert [t.value for t in out.conversations] == ["a b <video>", "c <video>", "no tag ", ""]
+    assert catalogue.longvila(ann, files, low=3).count() == 0
 
 
 def test_write_media_once(spark, tmp_path):
