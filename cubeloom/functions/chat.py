@@ -1,4 +1,4 @@
-"""Chat templates: a style, two role names, two separators and a system text."""
+"""Chat templates: a style, two role names, two separators, a system text, and example turns that open every dialogue."""
 
 from __future__ import annotations
 
@@ -15,31 +15,43 @@ class Template:
     sep: str = "\n"
     sep2: str = ""
     system: str = ""
+    #: Values of human and gpt in turn.
+    examples: tuple[str, ...] = ()
 
 
 # The texts, names and separators of the named templates.
-_POLITE = "The assistant gives helpful, detailed, and polite answers to the {}'s questions."
-_HUMAN = "A chat between a curious human and an artificial intelligence assistant. " + _POLITE.format("human")
-_USER = "A chat between a curious user and an artificial intelligence assistant. " + _POLITE.format("user")
-_IM = ("<|im_start|>user\n", "<|im_start|>assistant\n")
-_TAGGED = (
-    "A chat between a curious user and an artificial intelligence assistant. "
-    "The assistant is able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language."
-    "The visual content will be provided with the following format: <Image>visual content</Image>."
+_HUMAN = "A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions."
+_USER = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."
+_TAGGED = "A chat between a curious user and an artificial intelligence assistant. The assistant is able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language.The visual content will be provided with the following format: <Image>visual content</Image>."
+_VISION = "You are a helpful language and vision assistant. You are able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language."
+_SAFE = """You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe.  Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature.
+
+If a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information."""
+_ENERGY = (
+    "What are the key differences between renewable and non-renewable energy sources?",
+    """Renewable energy sources are those that can be replenished naturally in a relatively short amount of time, such as solar, wind, hydro, geothermal, and biomass. Non-renewable energy sources, on the other hand, are finite and will eventually be depleted, such as coal, oil, and natural gas. Here are some key differences between renewable and non-renewable energy sources:
+1. Availability: Renewable energy sources are virtually inexhaustible, while non-renewable energy sources are finite and will eventually run out.
+2. Environmental impact: Renewable energy sources have a much lower environmental impact than non-renewable sources, which can lead to air and water pollution, greenhouse gas emissions, and other negative effects.
+3. Cost: Renewable energy sources can be more expensive to initially set up, but they typically have lower operational costs than non-renewable sources.
+4. Reliability: Renewable energy sources are often more reliable and can be used in more remote locations than non-renewable sources.
+5. Flexibility: Renewable energy sources are often more flexible and can be adapted to different situations and needs, while non-renewable sources are more rigid and inflexible.
+6. Sustainability: Renewable energy sources are more sustainable over the long term, while non-renewable sources are not, and their depletion can lead to economic and social instability.
+""",
 )
+_IM = ("<|im_start|>user\n", "<|im_start|>assistant\n")
 _V0 = Template("single", ("Human", "Assistant"), "###", system=_HUMAN)
+_OPENED = replace(_V0, examples=_ENERGY)
 _V1 = Template("two", ("USER", "ASSISTANT"), " ", "</s>", _USER)
-_LLAMA_2 = Template("llama_2", ("USER", "ASSISTANT"), "<s>", "</s>")
+_LLAMA_2 = Template("llama_2", ("USER", "ASSISTANT"), "<s>", "</s>", _SAFE)
 _PLAIN = Template("plain", sep="\n")
 _CHATML = Template("mpt", _IM, "<|im_end|>", system="<|im_start|>system\nAnswer the questions.")
-#: The long system text of llama_2 and the example turns of v0 are the caller's to give.
 TEMPLATES = {
-    "default": _V0,
-    "v0": _V0,
+    "default": _OPENED,
+    "v0": _OPENED,
     "v1": _V1,
     "vicuna_v1": _V1,
     "llama_2": _LLAMA_2,
-    "mistral_instruct": replace(_LLAMA_2, sep=""),
+    "mistral_instruct": replace(_LLAMA_2, sep="", system=""),
     "chatml_direct": _CHATML,
     "mistral_direct": _CHATML,
     "plain": _PLAIN,
@@ -48,7 +60,7 @@ TEMPLATES = {
     "v0_mmtag": replace(_V0, system=_TAGGED),
     "llava_v1": replace(_V1, system=_HUMAN),
     "v1_mmtag": replace(_V1, system=_TAGGED),
-    "llava_llama_2": _LLAMA_2,
+    "llava_llama_2": replace(_LLAMA_2, system=_VISION),
     "mpt": Template("mpt", _IM, "<|im_end|>", system="<|im_start|>system\nA conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers."),
     "plain_guided": _PLAIN,
     "llama_3_chat": Template("llama_3", ("<|start_header_id|>user<|end_header_id|>\n\n", "<|start_header_id|>system<|end_header_id|>\n\n"), "<|eot_id|>"),
@@ -64,6 +76,9 @@ def render(template: Template, turns: Column, system: str | None = None) -> Colu
     An empty value leaves the role's name, open for an answer. Separators of two and plain, and the
     wrapping of llama_2, go by the turn's place, not its role."""
     t, system = template, template.system if system is None else system
+    if t.examples:
+        opening = [F.struct(F.lit(("human", "gpt")[i % 2]).alias("from"), F.lit(v).alias("value")) for i, v in enumerate(t.examples)]
+        turns = F.concat(F.array(*opening), F.transform(turns, lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))))
     name = lambda x: F.when(x["from"] == "human", F.lit(t.roles[0])).otherwise(F.lit(t.roles[1]))
     blank = lambda x: F.coalesce(x["value"], F.lit("")) == ""
     by_place = lambda i: F.when(i % 2 == 0, F.lit(t.sep)).otherwise(F.lit(t.sep2))

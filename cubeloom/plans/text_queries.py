@@ -95,11 +95,15 @@ def _rendered(pieces: str, head: str = "") -> str:
 _NAME = "CASE WHEN t['from'] = 'human' THEN '{0}' ELSE '{1}' END"
 _ROLE = _NAME.format("user", "assistant")
 _SAYS = "'A chat between a curious {0} and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the {0}''s questions."
+_text = lambda x: "'" + x.replace("'", "''") + "'"
+_EXAMPLES = " || ".join(f"'{who}: ' || {_text(said)} || '###'" for who, said in zip(("Human", "Assistant"), chat.TEMPLATES["v0"].examples))
+_SYSTEM = f"'<<SYS>>' || chr(10) || {_text(chat.TEMPLATES['llama_2'].system)} || chr(10) || '<</SYS>>' || chr(10) || chr(10)"
 _RENDER = {
-    "v0": _rendered(f"{_NAME.format('Human', 'Assistant')} || ': ' || t['value'] || '###'", f"{_SAYS.format('human')}###' ||"),
+    "v0": _rendered(f"{_NAME.format('Human', 'Assistant')} || ': ' || t['value'] || '###'", f"{_SAYS.format('human')}###' || {_EXAMPLES} ||"),
+    "llava_v0": _rendered(f"{_NAME.format('Human', 'Assistant')} || ': ' || t['value'] || '###'", f"{_SAYS.format('human')}###' ||"),
     "v1": _rendered(f"{_NAME.format('USER', 'ASSISTANT')} || ': ' || t['value'] || CASE WHEN i % 2 = 1 THEN ' ' ELSE '</s>' END", f"{_SAYS.format('user')} ' ||"),
     "mpt": _rendered(f"'<|im_start|>' || {_ROLE} || chr(10) || t['value'] || '<|im_end|>'", "'<|im_start|>system' || chr(10) || 'A conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers.<|im_end|>' ||"),
-    "llama_2": _rendered("CASE WHEN i = 1 THEN '[INST] ' || t['value'] || ' [/INST]' WHEN i % 2 = 1 THEN '<s>[INST] ' || t['value'] || ' [/INST]' ELSE ' ' || t['value'] || ' </s>' END"),
+    "llama_2": _rendered(f"CASE WHEN i = 1 THEN '[INST] ' || {_SYSTEM} || t['value'] || ' [/INST]' WHEN i % 2 = 1 THEN '<s>[INST] ' || t['value'] || ' [/INST]' ELSE ' ' || t['value'] || ' </s>' END"),
     "llama_3_chat": _rendered(f"'<|start_header_id|>' || {_NAME.format('user', 'system')} || '<|end_header_id|>' || chr(10) || chr(10) || t['value'] || '<|eot_id|>'"),
     "qwen2": _rendered(f"'<|im_start|>' || {_ROLE} || chr(10) || t['value'] || '<|im_end|>' || chr(10)"),
     "plain": _rendered("t['value'] || CASE WHEN i % 2 = 1 THEN chr(10) ELSE '' END"),
@@ -123,10 +127,12 @@ def txt10(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.name_from_path(path).alias("name"))
 
 
-@query("txt12_template_registry")
+_REGISTRY = [(name, t.style, *t.roles, t.sep, t.sep2, t.system, "".join(t.examples)) for name, t in sorted(chat.TEMPLATES.items())]
+
+
+@query("txt12_template_registry", f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in _REGISTRY)}) v(template, style, human, gpt, sep, sep2, system, examples)")
 def txt12(spark, sf_dir):
-    rows = [(name, t.style, *t.roles, t.sep, t.sep2, t.system) for name, t in sorted(chat.TEMPLATES.items())]
-    return spark.createDataFrame(rows, "template string, style string, human string, gpt string, sep string, sep2 string, system string")
+    return spark.createDataFrame(_REGISTRY, "template string, style string, human string, gpt string, sep string, sep2 string, system string, examples string")
 
 
 @query("txt13_base64", "SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents")
