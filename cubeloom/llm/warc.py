@@ -33,6 +33,8 @@ SKIPPABLE, DICTIONARY, FRAME = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
 SAMPLE, DICT_BYTES, ARCHIVE_BYTES = 200, 32_768, 64_000_000
 #: Rows of about 60 bytes.
 BROADCAST_ROWS = 200_000
+#: Beyond that, payloads that more than one page in so many has, which are fewer than that, are broadcast; the others are shuffled.
+HOT_KEYS = 1_000
 DATE = "2024-01-01T00:00:00Z"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, error string"
@@ -144,14 +146,20 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, scratch: Scratch | None
     """page_id, url, payload (the html), refers_to and revisit.
 
     The payloads that several pages have are counted first; a table of up to BROADCAST_ROWS of them is
-    broadcast, so that pages aren't shuffled, and a larger one is joined by a shuffle."""
+    broadcast, so that pages aren't shuffled. Of a larger one, the payloads that very many pages have (the empty
+    one, say) are broadcast, and pages of the others are joined by a shuffle, no key of which is hot."""
     scratch = scratch or Scratch(pages.sparkSession, "revisits")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     base = base.withColumn("key", F.when(F.octet_length("payload") >= min_bytes, F.sha1("payload")))
-    several = base.where("key IS NOT NULL").groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "first")
+    several = base.where("key IS NOT NULL").groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "first", "n")
     several = scratch.save(several, "several")
-    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    joined = base.join(several, F.col("key") == F.col("_key"), "left")
+    if several.count() <= BROADCAST_ROWS:
+        joined = base.join(F.broadcast(several), F.col("key") == F.col("_key"), "left")
+    else:
+        hot = F.col("n") * HOT_KEYS > base.count()
+        tested = base.join(F.broadcast(several.where(hot)), F.col("key") == F.col("_key"), "left")
+        others = tested.where("_key IS NULL AND key IS NOT NULL").select(*base.columns).join(several.where(~hot), F.col("key") == F.col("_key"), "left")
+        joined = tested.where("_key IS NOT NULL OR key IS NULL").unionByName(others)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 

@@ -212,9 +212,10 @@ def expected_pages(rows, least=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least, rows", [(0, 200_000), (6, 200_000), (0, 0)])
-def test_warc_round_trip(spark, least, rows, monkeypatch):
+@pytest.mark.parametrize("least, rows, hot", [(0, 200_000, 1000), (6, 200_000, 1000), (0, 0, 1000), (0, 0, 0), (6, 0, 4)])
+def test_warc_round_trip(spark, least, rows, hot, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(warc, "HOT_KEYS", hot)
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("key", F.lit("clash")).repartition(2)
     got = warc.round_trip(df, least, payloads=True).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected_pages(PAGES, least)
