@@ -37,24 +37,27 @@ def keep_last(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in others])
 
 
-def contained_name(clips: DataFrame, files: DataFrame, clip: str, file: str, size: int = 8) -> DataFrame:
-    """Each clip with the last file (in name order) whose name contains the clip's.
+def contained_name(clips: DataFrame, files: DataFrame, clip: str, file: str, size: int = 8, within: tuple[str, ...] = ()) -> DataFrame:
+    """Each clip with the last file (in name order) whose name contains the clip's; of the same ``within`` columns (a folder, say) if given.
 
     Every part of ``size`` characters of a clip's name must be a part of the file's, so the join is on
     equal parts: for each clip on the one that the fewest files have, so that a beginning that
-    all names share is no key. Shorter clip names are parts themselves. No pair is made without a shared part."""
-    parts = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: c.substr(i, F.lit(size)))
-    cut = files.withColumn("_part", F.explode(F.array_distinct(parts(F.col(file)))))
-    held = cut.groupBy("_part").agg(F.count("*").alias("_files"))
-    each = clips.where(F.length(clip) >= size).select(clip).distinct().withColumn("_part", F.explode(F.array_distinct(parts(F.col(clip))))).join(held, "_part", "left")
-    rarest = each.groupBy(clip).agg(F.min(F.struct(F.coalesce("_files", F.lit(0)).alias("n"), "_part")).alias("_r")).where("_r.n > 0")
+    all names share is no key. Shorter clip names are parts themselves, and the last file of each part of
+    that length is found before the join. No pair is made without a shared part."""
+    on = [*within, "_part"]
+    # An exploded place and a substring stay in generated code, unlike an array of parts.
+    cut_up = lambda df, c, n: df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))))).withColumn("_part", F.col(c).substr(F.col("_i"), n)).drop("_i")
+    files, width = files.select(*within, file), F.lit(size)
+    cut = cut_up(files, file, width)
+    held = cut.groupBy(*on).agg(F.count("*").alias("_files"))
+    each = cut_up(clips.where(F.length(clip) >= size).select(*within, clip).distinct(), clip, width).join(held, on)
+    rarest = each.groupBy(*within, clip).agg(F.min_by("_part", F.struct("_files", "_part")).alias("_part"))
+    long = clips.join(rarest, [*within, clip]).join(cut, on).where(F.col(file).contains(F.col(clip))).groupBy(*clips.columns).agg(F.max(file).alias(file))
     short = clips.where(F.length(clip) < size)
-    long = clips.join(rarest.select(clip, F.col("_r._part").alias("_part")), clip).select(*clips.columns, "_part")
-    pairs = long.join(cut, "_part").drop("_part")
-    lengths = F.explode(F.sequence(F.lit(1), F.lit(size - 1))).alias("_n")
-    pieces = files.select("*", lengths).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(file) - F.col("_n") + 1, F.lit(1))), lambda i: F.col(file).substr(i, F.col("_n")))).alias("_part")).drop("_n").distinct()
-    pairs = pairs.unionByName(short.withColumn("_part", F.col(clip)).join(pieces, "_part").drop("_part"))
-    return pairs.where(F.col(file).contains(F.col(clip))).groupBy(*clips.columns).agg(F.max(file).alias(file))
+    lengths = short.select(F.length(clip).alias("_n")).distinct()  # at most size rows
+    pieces = files.withColumn("_n", F.explode(F.sequence(F.lit(0), F.least(F.length(file), F.lit(size - 1))))).join(F.broadcast(lengths), "_n", "left_semi")
+    last = cut_up(pieces, file, F.col("_n")).groupBy(*on).agg(F.max(file).alias(file))
+    return long.unionByName(short.withColumn("_part", F.col(clip)).join(last, on).select(*clips.columns, file).distinct())
 
 
 def by_priority(rows: DataFrame, candidates: DataFrame, key: str, suffix: str, order: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.convert import hash_choice, qa_to_dialogues, qa_to_one_dialogue, relative_times, turn, uid
 from ..operators.hygiene import admitted, first_whole_caption, routed, valid_frames, without_last_image
-from ..operators.joins import by_priority, lookup
+from ..operators.joins import by_priority, contained_name, lookup
 from .external import with_frames
 
 
@@ -75,7 +75,7 @@ def youcook2(annotations: DataFrame, listing: DataFrame, segments: DataFrame, de
     The file is the last in the folder whose name contains the video's. The clip's name has its end twice, as published."""
     part = lambda n: F.split("video", "/")[n]
     rows = annotations.withColumns({"folder": F.concat_ws("/", part(0), part(1)), "name": part(2), "id": F.regexp_extract(part(3), r".*?_(\d+)\..*", 1).cast("int"), "_uid": F.concat_ws("_", part(0), part(1), part(2), part(3))})
-    files = rows.select("folder", "name").distinct().join(listing, "folder").where(F.col("file").contains(F.col("name"))).groupBy("folder", "name").agg(F.max("file").alias("file"))
+    files = contained_name(rows.select("folder", "name").distinct(), listing, "name", "file", within=("folder",))
     rows = lookup(lookup(rows, files, ["folder", "name"], "skip"), segments, ["name", "id"], "abort")
     path = F.concat_ws("/", "folder", "file")
     rows = with_frames(qa_to_dialogues(rows, "QA", "i", tag=""), decode, [path, F.col("start"), F.col("stop")])

@@ -157,3 +157,14 @@ def test_contained_name_with_a_beginning_that_all_share(spark):
     names = [r.file for r in files.collect()]
     want = {(r.id, max(f for f in names if r.clip in f)) for r in clips.collect() if any(r.clip in f for f in names)}
     assert got == want and len(got) == 101
+
+
+def test_contained_name_within_a_folder(spark):
+    """Names of each length, the empty one too, repeated rows, nulls and a column that isn't used; files of another folder don't count."""
+    clips = spark.createDataFrame([(f, c) for f in ("p", "q", None) for c in ("", "a", "lip_01", "clip_0123", "clip_0124", "clip_9999", None)] * 2, "folder string, clip string")
+    files = spark.createDataFrame([("p", "clip_0123.avi", 1), ("p", "clip_0123.mkv", 2), ("p", "x", 3), ("q", "a_clip_0124", 4), ("q", None, 5), (None, "clip_9999", 6)] * 2, "folder string, file string, size int")
+    got = sorted(tuple(r) for r in joins.contained_name(clips, files, "clip", "file", within=("folder",)).collect())
+    held = {(f, n) for f, n, _ in map(tuple, files.collect()) if f and n}
+    pairs = {(f, c) for f, c in map(tuple, clips.collect()) if f and c is not None}
+    want = sorted((f, c, max(n for g, n in held if f == g and c in n)) for f, c in pairs if any(f == g and c in n for g, n in held))
+    assert got == want and len(got) == 8
