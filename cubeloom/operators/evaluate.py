@@ -37,3 +37,8 @@ def active_share(df: DataFrame, group: str, active: str, world: int) -> DataFram
     sums = df.groupBy(group).agg(F.sum(active).alias("n_active"))
     every = F.sum("n_active").over(Window.partitionBy())  # over the groups, a row each
     return sums.withColumn("share", F.try_divide(F.col("n_active") * world, every))
+
+
+def frames_per_video(df: DataFrame, name: str, frames: str, order: str) -> DataFrame:
+    """name and n_frames, the size of its frames; of rows with the same name the last one in order counts."""
+    return df.groupBy(name).agg(F.max_by(F.size(frames), order).cast("long").alias("n_frames"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from ..functions import frames as FR
+from ..functions import labels as L
 from ..functions import spatial as SP
 from ..functions import tokens as TK
+from ..functions.chat import TEMPLATES, render
 from ..registry import query, table
 
 _RATE = "[24.0, 25.0, 29.97, 30.0][p_partkey % 4 + 1]"
@@ -182,19 +187,14 @@ def spc13(spark, sf_dir):
 
 
 # Tokens: a word's length stands for its id, so that the oracle can tokenise too.
-def _lengths(text):
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.length(w))
-
-
-_TOK = "list_transform(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> ''), lambda w: len(w))"
-_TAGGED = "'one <image> ' || text || ' <image>'"
-_MERGED = f"list_concat([1], {_TOK.format(repr('one '))}, [-200], {_TOK.format('text')}, [-200])"
+_TOK = "list_transform(regexp_extract_all({0}, '<\\|[a-z_]+\\|>|\\n| ?[A-Za-z0-9]+| |[^A-Za-z0-9 \\n]'), lambda w: CAST(CAST('0x' || md5(w)[1:7] AS BIGINT) % 30000 + 1 AS BIGINT))"
+_MERGED = f"[1] || {_TOK.format(repr('one '))} || [-200] || {_TOK.format("' ' || text || ' '")} || [-200]"
 
 
 @query("tok01_image_ids", f"SELECT conv_id, turn, array_to_string({_MERGED}, ',') AS ids FROM conversations")
 def tok01(spark, sf_dir):
     text = F.concat(F.lit("one <image> "), "text", F.lit(" <image>"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(TK.with_image_ids(text, _lengths, bos=1), ",").alias("ids"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(TK.with_image_ids(text, bos=1), ",").alias("ids"))
 
 
 @query("tok02_expand_images", "SELECT conv_id, turn, 'one <s>' || repeat('<image>', CAST(turn % 3 + 1 AS INT)) || '</s> ' || trim(text) || ' <image>' AS text FROM conversations")
@@ -220,31 +220,76 @@ def tok03(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", TK.expand_video(F.concat(F.lit("<image>\n"), "text"), labels, thumbnail=True, start="<v>", end="</v>").alias("text"))
 
 
-def _spans(spark, sf_dir, extra=0):
-    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.size(_lengths(F.col("text"))).alias("n")))).alias("t"))
-    n = F.transform("t", lambda x: x["n"] + extra)
-    return t.select("conv_id", n.alias("n"), F.transform("t", lambda x: x["role"] == "assistant").alias("a"))
+_IDS = _TOK
 
 
-def _mask_sql(extra: int) -> str:
-    return f"""SELECT conv_id, CAST(sum(n + {extra}) AS BIGINT) AS n_tokens, CAST(coalesce(sum(n + {extra}) FILTER (WHERE role = 'assistant'), 0) * (CASE WHEN conv_id % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_active
-        FROM (SELECT conv_id, role, len({_TOK.format('text')}) AS n FROM conversations) GROUP BY conv_id"""
+def _alternating(spark, sf_dir):
+    """Dialogues without their system turns in which user and assistant take turns. In every fifth a text holds a separator."""
+    said = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("value", F.expr("if(conv_id % 5 = 0 AND turn = 2, concat(text, '<|im_end|>\\n<|eot_id|>'), text)"))
+    role = F.expr("CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END")
+    turns = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("from"), "value"))).alias("t"))
+    turns = turns.select("conv_id", L.answerable(F.transform("t", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value")))).alias("turns"))
+    return turns.where(L.alternating(F.col("turns")) & (F.size("turns") > 0))
 
 
-def _masked(extra):
-    def run(spark, sf_dir):
-        """Every fifth dialogue's length doesn't fit its spans, so that all its labels are ignored."""
-        s = _spans(spark, sf_dir, extra)
-        total = F.aggregate("n", F.lit(0), lambda acc, x: acc + x)
-        mask = TK.round_mask(F.col("n"), F.col("a"), total + F.expr("if(conv_id % 5 = 0, 1, 0)"))
-        return s.select("conv_id", total.cast("long").alias("n_tokens"), F.aggregate(mask, F.lit(0), lambda acc, x: acc + x).cast("long").alias("n_active"))
+_TURNS = """WITH t0 AS (SELECT conv_id, role = 'user' AS asks, CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN text || '<|im_end|>' || chr(10) || '<|eot_id|>' ELSE text END AS value, conv_id % 5 = 0 AND turn = 2 AS odd,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' AS cut FROM conversations WHERE role <> 'system'),
+        t1 AS (SELECT conv_id, asks, value, odd, i - CAST(cut AS INT) AS i FROM t0 WHERE NOT (cut AND i = 1)),
+        t2 AS (SELECT *, bool_and(asks = (i % 2 = 1)) OVER (PARTITION BY conv_id) AS good, count(*) OVER (PARTITION BY conv_id) % 2 = 0 AND NOT bool_or(odd) OVER (PARTITION BY conv_id) AS fits FROM t1),
+        t AS (SELECT * FROM t2 WHERE good)"""
+_LISTED = "array_to_string({0}, ',')"
+
+
+def _labels_sql(heads: tuple[str, str], end: str, bos: str = "[]") -> str:
+    """A round's head and question are ignored, its answer and what follows learned."""
+    return f"""{_TURNS},
+        p AS (SELECT conv_id, i, fits, {_IDS.format(f"CASE WHEN asks THEN {heads[0]} || value || {end} ELSE {heads[1]} END")} AS a, CASE WHEN asks THEN [] ELSE {_IDS.format(f"value || {end}")} END AS b FROM t),
+        g AS (SELECT conv_id, {bos} || flatten(list(a || b ORDER BY i)) AS ids, list_transform({bos}, lambda x: -100) || flatten(list(list_transform(a, lambda x: -100) || CASE WHEN fits THEN b ELSE list_transform(b, lambda x: -100) END ORDER BY i)) AS labels FROM p GROUP BY conv_id)
+        SELECT conv_id, {_LISTED.format("ids")} AS ids, {_LISTED.format("labels")} AS labels FROM g"""
+
+
+_CHATML = ("'<|im_start|>user' || chr(10)", "'<|im_start|>assistant' || chr(10)")
+_HEADERS = tuple(f"'<|start_header_id|>{r}<|end_header_id|>' || chr(10) || chr(10)" for r in ("user", "system"))
+
+
+def _listed(df):
+    return df.select("conv_id", F.array_join("ids", ",").alias("ids"), F.array_join("labels", ",").alias("labels"))
+
+
+@query("tok04_round_labels", _labels_sql(_CHATML, "'<|im_end|>' || chr(10)"))
+def tok04(spark, sf_dir):
+    return _listed(_alternating(spark, sf_dir).select("conv_id", L.round_labels(F.col("turns"), TEMPLATES["qwen2"]).alias("x")).select("conv_id", "x.*"))
+
+
+@query("tok05_header_labels", _labels_sql(_HEADERS, "'<|eot_id|>'", "[1]"))
+def tok05(spark, sf_dir):
+    return _listed(_alternating(spark, sf_dir).select("conv_id", L.header_labels(F.col("turns"), TEMPLATES["llama_3_chat"]).alias("x")).select("conv_id", "x.*"))
+
+
+@query(
+    "tok06_role_labels",
+    f"""{_TURNS},
+        p AS (SELECT conv_id, i, asks, {_IDS.format("'### ' || CASE WHEN asks THEN 'Human' ELSE 'Assistant' END || ': ' || value || chr(10)")} AS a FROM t),
+        g AS (SELECT conv_id, flatten(list(a ORDER BY i)) AS ids, flatten(list(CASE WHEN asks THEN list_transform(a, lambda x, k: CASE WHEN k <= 2 THEN x ELSE -100 END) ELSE a END ORDER BY i)) AS labels FROM p GROUP BY conv_id),
+        w AS (SELECT conv_id, ids, labels, {_IDS.format("'A chat.' || chr(10) || chr(10)")} AS h, {_IDS.format("'### '")} AS e FROM g)
+        SELECT conv_id, {_LISTED.format("h || ids || e")} AS ids, {_LISTED.format("list_transform(h, lambda x: -100) || labels || e")} AS labels FROM w""",
+)
+def tok06(spark, sf_dir):
+    return _listed(_alternating(spark, sf_dir).select("conv_id", L.role_labels(F.col("turns"), "A chat.", ("Human", "Assistant")).alias("x")).select("conv_id", "x.*"))
+
+
+def _piece_offsets(text):
+    """A tokenizer that gives offsets, with the ids of piece_ids."""
+    found = [(m[0], m.start(), m.end()) for m in re.finditer(TK.PIECES, text)]
+    return [int(md5(w.encode()).hexdigest()[:7], 16) % 30_000 + 1 for w, _, _ in found], [s for _, s, _ in found], [e for _, _, e in found]
 
-    return run
 
+@query("tok04_offset_labels", _labels_sql(_CHATML, "'<|im_end|>' || chr(10)").replace("% 2 = 0 AND NOT bool_or(odd) OVER (PARTITION BY conv_id) AS fits", "> 0 AS fits"))
+def tok04_offsets(spark, sf_dir):
+    """The same labels by spans of characters: every answer is learned, also in dialogues that end with a question or whose texts hold a separator."""
+    rows = _alternating(spark, sf_dir).select("conv_id", render(TEMPLATES["qwen2"], F.col("turns"), system="").alias("text"), L.answer_spans(F.col("turns"), TEMPLATES["qwen2"]).alias("spans"))
+    return _listed(L.offset_labels(rows, "conv_id", "text", "spans", _piece_offsets))
 
-query("tok04_round_labels", _mask_sql(0))(_masked(0))
-query("tok05_header_labels", _mask_sql(3))(_masked(3))
-query("tok06_role_labels", _mask_sql(1))(_masked(1))
 
 _SEQ = "(SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, event_type = 'click' AS img FROM events)"
 

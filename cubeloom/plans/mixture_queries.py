@@ -25,11 +25,12 @@ def _numbered_docs(spark, sf_dir, *columns):
 
 @query(
     "mix01_repeat_slice",
-    f"SELECT doc_id, r * n + i AS position FROM {_DOCS}, range(3) t(r) WHERE r * n + i >= 50 AND r * n + i < 700",
+    f"SELECT doc_id, r * n + i AS position FROM {_DOCS}, range(3) t(r) WHERE r * n + i >= n // 2 AND r * n + i < 2 * n + n // 3",
 )
 def mix01(spark, sf_dir):
-    (s,) = M.parse_mixture("documents.jsonl#50_700*3")
+    """A slice from the middle of the first repeat to a third of the last."""
     d, n = _numbered_docs(spark, sf_dir)
+    (s,) = M.parse_mixture(f"documents.jsonl#{n // 2}_{2 * n + n // 3}*3")
     return M.repeated_slice(d, "i", n, s).select("doc_id", F.col("position").cast("long").alias("position"))
 
 
@@ -42,33 +43,59 @@ def mix01_grammar(spark, sf_dir):
     return spark.createDataFrame([(s.path, s.first, s.last, s.repeat) for s in M.parse_mixture(spec)], "path string, first int, last int, repeat int")
 
 
-@query("mix02_routing", "SELECT doc_id, CASE WHEN contains(p, 'image') THEN 'image' ELSE 'video' END AS side FROM (SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN '/Image/' ELSE '/clip/' END AS q, lower(source || CASE WHEN doc_id % 2 = 0 THEN '/Image/' ELSE '/clip/' END) AS p FROM documents)")
+#: Paths of sources made of the documents' sources: image and video ones, letters as they are.
+_PATH = "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN concat('stage/ego4d_1fps512frames_', source, '/part/rows.jsonl') WHEN 1 THEN concat('video_data/', source, '.jsonl') WHEN 2 THEN concat('tsv_data/', source, '.json') WHEN 3 THEN concat('Video_Data/', source, '.jsonl') ELSE concat('image/', source, '.jsonl') END"
+
+
+@query(
+    "mix02_routing",
+    f"""WITH p AS (SELECT doc_id, {_PATH} AS path, CASE WHEN doc_id % 7 <> 0 THEN 'v_' || doc_id || '.mp4' END AS video FROM documents)
+        SELECT doc_id, CASE WHEN contains(path, 'ego4d_1fps512frames_') OR contains(path, 'video_data') OR contains(path, 'tsv_data') THEN 'video' ELSE 'image' END AS side,
+            CASE WHEN contains(path, 'ego4d_1fps512frames_') THEN string_split(path, '/')[-2] || '/' || video ELSE video END AS video FROM p""",
+)
 def mix02(spark, sf_dir):
-    path = F.concat("source", F.expr("if(doc_id % 2 = 0, '/Image/', '/clip/')"))
-    return table(spark, sf_dir, "documents").select("doc_id", M.route(path).alias("side"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH).alias("path"), F.expr("if(doc_id % 7 <> 0, concat('v_', doc_id, '.mp4'), null)").alias("video"))
+    return rows.select("doc_id", M.route(F.col("path")).alias("side"), M.routed_video(F.col("video"), F.col("path")).alias("video"))
+
+
+def permuted_sql(rows: str, seed: int) -> str:
+    """rows (a query with i and n, a number and its total) with position, the number's place in a shuffle."""
+    mixed = "s[2] + k[1]"
+    for multiplier, shift in zip(M.MULTIPLIERS, M.SHIFTS):
+        mixed = f"((({mixed}) * {multiplier}) >> {shift} & 2147483647)"
+    side = "CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT)"
+    keys = ", ".join(f"[CAST({k} AS BIGINT), 0]" for k in M.round_keys(seed))
+    out = lambda x: f"list_reduce([[{x} % {side}, {x} // {side}], {keys}], lambda s, k: [s[2], (s[1] + {mixed}) % {side}])"
+    number = lambda x: f"list_sum(list_transform([{out(x)}], lambda s: s[2] * {side} + s[1]))"
+    return f"""(WITH RECURSIVE _w AS (SELECT *, CAST({number("i")} AS BIGINT) AS _at FROM {rows} UNION ALL SELECT * EXCLUDE (_at), CAST({number("_at")} AS BIGINT) FROM _w WHERE _at >= n)
+        SELECT * EXCLUDE (_at), _at AS position FROM _w WHERE _at < n)"""
+
+
+_SIDES = "(SELECT doc_id AS id, CAST(doc_id % 3 <> 0 AS INT) AS side, row_number() OVER (PARTITION BY doc_id % 3 <> 0 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id % 3 <> 0) AS n FROM documents)"
 
 
 @query(
     "mix03_interleave",
-    """WITH a AS (SELECT 0 AS side, doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE doc_id % 3 = 0), b AS (SELECT 1 AS side, doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE doc_id % 3 <> 0),
-        k AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS m),
-        u AS (SELECT *, count(*) OVER (PARTITION BY side) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+    f"""WITH u AS (SELECT id, side, n, position AS i FROM {permuted_sql(f"(SELECT * FROM {_SIDES} WHERE side = 0)", 71)} UNION ALL SELECT id, side, n, position FROM {permuted_sql(f"(SELECT * FROM {_SIDES} WHERE side = 1)", 72)}),
+        k AS (SELECT min(n) AS m FROM u),
         p AS (SELECT u.*, CASE WHEN i < (n % m) * (n // m + 1) THEN i // (n // m + 1) ELSE n % m + (i - (n % m) * (n // m + 1)) // (n // m) END AS bucket FROM u, k)
         SELECT id, row_number() OVER (ORDER BY bucket, side, i) - 1 AS position FROM p""",
 )
 def mix03(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    a, b = d.where("id % 3 = 0"), d.where("id % 3 <> 0")
-    mixed = M.interleave(numbered(a, "i", "id"), numbered(b, "i", "id"), "i", a.count(), b.count())
-    return numbered(mixed, "position", "bucket", "side", "i").select("id", "position")
+    return M.shuffled_interleave(d.where("id % 3 = 0"), d.where("id % 3 <> 0"), "id", 71).select("id", "position")
 
 
-_HASH = "((doc_id % 2147483647) * 48271 + 7) % 2147483647"
+@query("mix04_shuffle", f"SELECT doc_id, position FROM {permuted_sql(_DOCS, 7)}")
+def mix04(spark, sf_dir):
+    return M.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7)
 
 
-@query("mix04_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {_HASH}, doc_id) - 1 AS position FROM documents")
-def mix04(spark, sf_dir):
-    return numbered(M.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7), "position", "shuffle", "doc_id").select("doc_id", "position")
+@query("mix04_shuffle_words", f"SELECT source, doc_id, position FROM {permuted_sql("(SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)", 9)}")
+def mix04_words(spark, sf_dir):
+    """A shuffle inside each source, by a key of letters."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("word"))
+    return M.shuffled(d, "word", 9, by=("source",)).select("source", "doc_id", "position")
 
 
 @query("smp01_uniform_sample", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(range(8), lambda i: CAST(floor(i * (n_chars / 8.0) + (n_chars / 8.0) / 2) AS BIGINT)))), ',') AS idx FROM documents WHERE n_chars > 0")
@@ -235,25 +262,25 @@ def _dealt_sql(rows: str) -> str:
             FROM (SELECT *, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS k FROM f) f JOIN r ON r.modality = f.modality AND r.megabatch = f.megabatch AND r.place = f.place + 1)"""
 
 
-_SHUFFLED = "((doc_id % 2147483647) * 48271 + 5) % 2147483647"
+def _grouped_sql(modality: str, where: str) -> str:
+    rows = f"(SELECT {modality} AS modality, doc_id, n_chars AS len, row_number() OVER (PARTITION BY {modality} ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY {modality}) AS n FROM documents WHERE {where})"
+    return f"(SELECT modality, doc_id, len, position AS g FROM {permuted_sql(rows, 5)})"
 
 
-@query(
-    "bkt01_02_length_grouped",
-    _dealt_sql(f"(SELECT 1 AS modality, doc_id, n_chars AS len, row_number() OVER (ORDER BY {_SHUFFLED}, doc_id) - 1 AS g FROM documents)") + " SELECT megabatch, doc_id, place, chunk FROM f WHERE place >= 0",
-)
+@query("bkt01_02_length_grouped", _dealt_sql(_grouped_sql("1", "true")) + " SELECT megabatch, doc_id, place, chunk FROM f WHERE place >= 0")
 def bkt02(spark, sf_dir):
     return M.megabatches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 64, 8, 5)
 
 
 _MODALITY = "CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE -1 END"
+_FULL = """(SELECT modality, megabatch, row_number() OVER (ORDER BY modality, megabatch) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT modality, megabatch FROM t WHERE NOT tail))"""
 
 
 @query(
     "bkt03_modality_grouped",
-    _dealt_sql(f"(SELECT {_MODALITY} AS modality, doc_id, n_chars AS len, row_number() OVER (PARTITION BY {_MODALITY} ORDER BY {_SHUFFLED}, doc_id) - 1 AS g FROM documents WHERE n_chars > 0)")
-    + """ SELECT modality, megabatch, doc_id, place, chunk, megabatch = most AS tail, CASE WHEN megabatch <> most THEN ((megabatch * 2 + CASE WHEN modality > 0 THEN 1 ELSE 0 END) * 48271 + 5) % 2147483647 END AS slot
-        FROM (SELECT *, max(megabatch) OVER (PARTITION BY modality) AS most FROM f) WHERE place >= 0""",
+    _dealt_sql(_grouped_sql(_MODALITY, "n_chars > 0"))
+    + f""", t AS (SELECT modality, megabatch, doc_id, place, chunk, megabatch = max(megabatch) OVER (PARTITION BY modality) AS tail FROM f WHERE place >= 0)
+        SELECT t.*, s.position AS slot FROM t LEFT JOIN {permuted_sql(_FULL, 5)} s ON s.modality = t.modality AND s.megabatch = t.megabatch AND NOT t.tail""",
 )
 def bkt03(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", M.signed_length(F.col("n_chars"), F.col("doc_id") % 3 != 0).alias("signed"))
@@ -277,7 +304,17 @@ def _shard(f):
 
 
 query("par01_even_shards", "SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) - 1 AS shard FROM documents")(_shard(lambda i, n: PA.even_shard(i, n, 7)))
-query("par02_video_range", _part_sql(f"CASE WHEN i < 100 THEN 0 WHEN i >= 905 THEN 6 ELSE {_even('(i - 100)', '805', 7)} END"))(_shard(lambda i, n: PA.video_shard(i, F.lit(100), F.lit(905), 7)))
+_VIDEOS = "(SELECT *, min(i) FILTER (WHERE n_chars >= 2000) OVER () AS lo, max(i) FILTER (WHERE n_chars >= 2000) OVER () + 1 AS hi FROM " + _DOCS + ")"
+
+
+@query("par02_video_range", f"SELECT doc_id, CASE WHEN i < lo THEN 0 WHEN i >= hi THEN 6 ELSE {_even('(i - lo)', '(hi - lo)', 7)} END AS shard FROM {_VIDEOS}")
+def par02(spark, sf_dir):
+    """The long documents stand for videos: from the first to the last of them rows are dealt, others go to the ends."""
+    d, _ = _numbered_docs(spark, sf_dir, "n_chars")
+    low, high = d.where("n_chars >= 2000").agg(F.min("i"), F.max("i") + 1).first()
+    return d.select("doc_id", PA.video_shard(F.col("i"), F.lit(low), F.lit(high), 7).alias("shard"))
+
+
 query("par03_zigzag_even", _part_sql(f"least({_even('i', 'n', 8)}, 7 - {_even('i', 'n', 8)})"))(_shard(lambda i, n: PA.zigzag_shard(i, n, 4)))
 query("par03_zigzag_ceil", _part_sql("least(i // CAST(ceil(n / 8.0) AS BIGINT), 7 - i // CAST(ceil(n / 8.0) AS BIGINT))"))(_shard(lambda i, n: PA.zigzag_shard(i, n, 4, even=False)))
 query("par05_ceil_chunks", _part_sql("i // CAST(ceil(n / 7.0) AS BIGINT)"))(_shard(lambda i, n: PA.ceil_shard(i, n, 7)))

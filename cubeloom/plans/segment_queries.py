@@ -231,9 +231,14 @@ def agg05(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg(F.col("doc_id") % 6), 6).alias("mean_score"))
 
 
-@query("agg06_frames_per_video", "SELECT user_id, count(*) AS n_frames FROM events GROUP BY user_id")
+@query(
+    "agg06_frames_per_video",
+    """SELECT name, n_frames FROM (SELECT source || '/' || doc_id // 4 AS name, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS n_frames, row_number() OVER (PARTITION BY source || '/' || doc_id // 4 ORDER BY doc_id DESC) AS k FROM documents) WHERE k = 1""",
+)
 def agg06(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_frames"))
+    """Frames (here lines) of each name; of rows with one name the last one counts."""
+    rows = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.floor(F.col("doc_id") / 4).cast("string")).alias("name"), F.filter(F.split("text", "\n", -1), lambda x: x != "").alias("frames"), "doc_id")
+    return E.frames_per_video(rows, "name", "frames", "doc_id")
 
 
 @query("agg07_batch_threshold", "SELECT round(avg(s), 6) AS mean_length, round(avg(s) + 1000, 6) AS threshold FROM (SELECT sum(n_chars) AS s FROM documents GROUP BY doc_id // 16)")

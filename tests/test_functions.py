@@ -151,9 +151,3 @@ def test_balanced_batches_bound(spark):
         batches.setdefault((r.g, r.batch), []).append(size[r.g, r.k])
     mean = sum(n for g, _, n in rows if g == 1) / 13
     assert len(out) == 200 and all(len(b) <= 8 and sum(b) < mean + 1000 + max(b) for b in batches.values())
-
-
-def test_round_mask_mismatch(spark):
-    n, a = F.array(F.lit(2), F.lit(1)), F.array(F.lit(False), F.lit(True))
-    assert one(spark, tokens.round_mask(n, a, F.lit(3))) == [0, 0, 1]
-    assert one(spark, tokens.round_mask(n, a, F.lit(4))) == [0, 0, 0, 0]
