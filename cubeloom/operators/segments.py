@@ -3,39 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Scratch
+from .scan import momentum, running
 
-#: Steps of a fold that appends to one array; beyond, arrays are joined, so that a long key isn't copied at every step.
-FOLD_BLOCK = 64
-
-
-def momentum(df: DataFrame, key: str, order: list[str], value: str, out: str = "m", rate: float = 0.8) -> DataFrame:
-    """m_1 = x_1 - x_0, then m_t = rate * (x_t - x_(t-1)) + (1 - rate) * m_(t-1); null for each key's first frame.
-
-    One sort for each key, then a fold over its frames: first from block to block, then inside each block."""
-    fields = [c for c in df.columns if c != key]
-    seq = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order]))).alias("_s"))
-    number = lambda x: x.cast("double")
-    delta = lambda s, i: F.when(i > 0, number(s[value] - F.get(F.col("_s"), i - 1)[value]) * F.when(i == 1, 1.0).otherwise(rate))
-    seq = seq.withColumn("_d", F.slice(F.transform("_s", delta), 2, F.size("_s")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("_d") - 1, F.lit(0)) / FOLD_BLOCK).cast("int")), lambda b: F.slice("_d", b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
-    seq = seq.withColumn("_b", blocks)
-    none, step = F.array().cast("array<double>"), lambda m, d: (1 - rate) * m + d
-    state = lambda m, seen: F.struct(m.alias("m"), seen.alias("seen"))
-    begins = F.aggregate("_b", state(F.lit(0.0), none), lambda acc, block: state(F.aggregate(block, acc["m"], step), F.concat(acc["seen"], F.array(acc["m"]))))["seen"]
-    inside = lambda block, begin: F.aggregate(block, state(begin, none), lambda acc, d: state(step(acc["m"], d), F.concat(acc["seen"], F.array(step(acc["m"], d)))))["seen"]
-    folded = F.flatten(F.zip_with("_b", begins, inside))
-    joined = F.zip_with("_s", F.concat(F.array(F.lit(None).cast("double")), folded), lambda s, m: F.struct(s.alias("s"), m.alias(out)))
-    return seq.select(key, F.explode(joined).alias("_e")).select(key, "_e.s.*", f"_e.{out}")
+__all__ = ["momentum"]
 
 
 def momentum_closed(df: DataFrame, key: str, order: list[str], value: str, out: str = "m", rate: float = 0.8) -> DataFrame:
-    """The same by a window over the frames whose weight, (1 - rate) to the power of their age, a double can still show beside the newest (2**-60).
+    """scan.momentum by a window over the frames whose weight, (1 - rate) to the power of their age, a double can still show beside the newest (2**-60).
 
-    The window grows as the rate falls; at a small rate ``momentum`` is the better form."""
+    The window grows as the rate falls; at a small rate, or for keys larger than a task, ``momentum`` is the better form."""
     w = Window.partitionBy(key).orderBy(*order)
     keep = 1 - rate
     if not 0 < rate <= 1:
@@ -49,27 +33,80 @@ def momentum_closed(df: DataFrame, key: str, order: list[str], value: str, out:
     return deltas.withColumn(out, F.when(F.col("_t") > 0, total)).drop("_t", "_d")
 
 
-def top_boundaries(df: DataFrame, key: str, order: list[str], score: str, per_cube: int = 5, out: str = "flag") -> DataFrame:
-    """1 for each key's first frame and its k frames of highest score; k = max(round(frames / per_cube) - 1, 1)."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumns({"_n": F.count("*").over(w), "_at": F.row_number().over(w.orderBy(*order)), "_r": F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), *order))})
+#: Rows of a key that one task ranks, and cells of a histogram.
+RANKED, CELLS = 100_000, 4096
+
+
+def top_boundaries(df: DataFrame, key: str, order: list[str], score: str, per_cube: int = 5, out: str = "flag", ranked: int = RANKED, first: bool = True) -> DataFrame:
+    """1 for each key's first frame and its k frames of highest score; k = max(round(frames / per_cube) - 1, 1). Equal scores go by order.
+
+    Keys of at most ``ranked`` rows are ranked by a window. In larger ones the k-th score is selected:
+    histograms of the scores between two bounds, refined until the cell that holds it has few rows or one
+    value; then only those rows are ranked, or counted in order if they are many equal ones."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    sized = df.join(counts, key)
     k = F.greatest(F.bround(F.col("_n") / per_cube) - 1, F.lit(1))
-    return ranked.withColumn(out, ((F.col("_at") == 1) | ((F.col("_r") <= k) & F.col(score).isNotNull())).cast("int")).drop("_n", "_at", "_r")
+    small = sized.where(F.col("_n") <= ranked)
+    w = Window.partitionBy(key)
+    small = small.withColumns({"_at": F.row_number().over(w.orderBy(*order)), "_r": F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), *order))})
+    flag = ((F.lit(first) & (F.col("_at") == 1)) | ((F.col("_r") <= k) & F.col(score).isNotNull())).cast("int")
+    done = small.withColumn(out, flag).drop("_n", "_at", "_r")
+    large = counts.where(F.col("_n") > ranked)
+    if large.limit(1).count() == 0:
+        return done
+    scratch = Scratch(df.sparkSession, "top")
+    rows = scratch.save(sized.where(F.col("_n") > ranked).drop("_n"), "large")
+    bounds = _kth(rows, scratch.save(large.withColumn("_k", k.cast("long")).drop("_n"), "keys"), key, score, ranked, scratch)
+    above = F.col(score) > F.col("_high")
+    tied = (F.col(score) >= F.col("_low")) & (F.col(score) <= F.col("_high"))
+    held = rows.join(bounds, key).withColumns({"_above": F.coalesce(above, F.lit(False)), "_tied": F.coalesce(tied, F.lit(False))})
+    # Rows of the last cell: few, which a window ranks, or all equal, whose order is a running count.
+    few = held.where("_tied AND _low < _high")
+    few = few.withColumn("_r", F.row_number().over(w.orderBy(F.col(score).desc(), *order))).select(key, *order, (F.col("_r") <= F.col("_left")).alias("_taken"))
+    placed = running(held.drop("_high"), key, order, scratch=Scratch(df.sparkSession, "ties"), _at=F.lit(1), _r=(F.col("_tied") & (F.col("_low") == F.col("_same"))).cast("int"))
+    placed = placed.join(few.where("_taken").select(key, *order).distinct().withColumn("_few", F.lit(True)), [key, *order], "left")
+    flag = (F.lit(first) & (F.col("_at") == 1)) | F.col("_above") | (F.col("_tied") & (F.col("_low") == F.col("_same")) & (F.col("_r") <= F.col("_left"))) | F.coalesce("_few", F.lit(False))
+    return done.unionByName(placed.withColumn(out, flag.cast("int")).select(*df.columns, out))
+
+
+def _kth(rows: DataFrame, keys: DataFrame, key: str, score: str, few: int, scratch: Scratch) -> DataFrame:
+    """For each key of keys (key, _k): _low and _high around its k-th highest score, _left, how many of the scores between them are among the k, and _same (_high).
+
+    Bounds are values that occur; between them there are at most ``few`` rows, or they are equal."""
+    spans = rows.where(F.col(score).isNotNull()).groupBy(key).agg(F.min(score).alias("_low"), F.max(score).alias("_high"), F.count("*").alias("_m"))
+    now = scratch.save(keys.join(spans, key, "left").withColumn("_left", F.least("_k", F.coalesce("_m", F.lit(0)))).drop("_k"), "kth-0")
+    step = 0
+    while True:
+        open_ = now.where(F.col("_low").isNotNull() & (F.col("_low") < F.col("_high")) & (F.col("_m") > few))
+        if open_.limit(1).count() == 0:
+            return now.select(key, "_low", "_high", "_left", F.col("_high").alias("_same"))
+        inside = rows.join(open_, key).where(F.col(score).between(F.col("_low"), F.col("_high")))
+        # Halves, so that a span near the largest double has a width.
+        share = (F.col(score) / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
+        cells = inside.groupBy(key, cell.alias("_cell")).agg(F.count("*").alias("_c"), F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+        w = Window.partitionBy(key).orderBy(F.col("_cell").desc())  # at most CELLS rows
+        ranked = cells.withColumn("_before", F.sum("_c").over(w) - F.col("_c")).join(open_.select(key, "_left"), key)
+        chosen = ranked.where((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_c") >= F.col("_left")))
+        chosen = chosen.select(key, F.col("_lo").alias("_low"), F.col("_hi").alias("_high"), F.col("_c").alias("_m"), (F.col("_left") - F.col("_before")).alias("_left"))
+        step += 1
+        now = scratch.save(now.join(open_.select(key), key, "left_anti").unionByName(chosen), f"kth-{step}")
 
 
 def flags_to_segments(df: DataFrame, key: str, order: list[str], flag: str, *aggregates: Column) -> DataFrame:
     """A row [start, stop) for each run that begins at a flag; the first frame begins one."""
-    w = Window.partitionBy(key).orderBy(*order)
-    placed = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("segment", F.sum(F.when(F.col("_i") == 0, 1).otherwise(F.col(flag))).over(w) - 1)
-    return placed.groupBy(key, "segment").agg(F.min("_i").cast("long").alias("start"), (F.max("_i") + 1).cast("long").alias("stop"), *aggregates)
+    placed = running(df, key, order, _i=F.lit(1), _s=F.col(flag)).withColumn("_i", F.col("_i") - 1)
+    first = df.groupBy(key).agg(F.min_by(F.coalesce(F.col(flag), F.lit(0)), F.struct(*order)).alias("_f"))
+    segment = F.when(F.col("_i") == 0, 0).otherwise(F.col("_s") - F.col("_f"))
+    placed = placed.join(first, key).withColumn("segment", segment.cast("long"))
+    return placed.groupBy(key, "segment").agg(F.min("_i").alias("start"), (F.max("_i") + 1).alias("stop"), *aggregates)
 
 
 def label_runs(df: DataFrame, key: str, order: list[str], label: Column) -> DataFrame:
     """Maximal runs [start, stop) of rows where label holds."""
-    w = Window.partitionBy(key).orderBy(*order)
-    placed = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_hit", F.coalesce(label, F.lit(False)))
-    island = F.col("_i") - F.row_number().over(Window.partitionBy(key, "_hit").orderBy(*order))
-    return placed.withColumn("_g", island).where("_hit").groupBy(key, "_g").agg(F.min("_i").cast("long").alias("start"), (F.max("_i") + 1).cast("long").alias("stop")).drop("_g")
+    hit = F.coalesce(label, F.lit(False))
+    placed = running(df.withColumn("_hit", hit), key, order, _i=F.lit(1), _h=F.col("_hit").cast("int"))
+    return placed.where("_hit").groupBy(key, (F.col("_i") - F.col("_h")).alias("_g")).agg((F.min("_i") - 1).alias("start"), F.max("_i").alias("stop")).drop("_g")
 
 
 def change_groups(df: DataFrame, key: str, order: list[str], kind: Column, out: str = "grp") -> DataFrame:
@@ -124,20 +161,83 @@ def sample_lengths(df: DataFrame, key: str, order: list[str], position: str) ->
     return real.withColumn("_b", begins).withColumn("sample", F.sum("_b").over(w) - 1).groupBy(key, "sample").agg(F.count("*").alias("length"))
 
 
+#: Keys whose partial softmax a task holds at once.
+HELD_KEYS = 100_000
+
+
+def merged_softmax(a: Column, b: Column) -> Column:
+    """Two partial states (m: greatest logit, e: summed exponents over it, v: summed values by them) as one. Any grouping gives the same."""
+    m = F.greatest(a["m"], b["m"])
+    scale = lambda s: F.when(s["m"] == m, 1.0).otherwise(F.exp(s["m"] - m))
+    return F.struct(m.alias("m"), (a["e"] * scale(a) + b["e"] * scale(b)).alias("e"), (a["v"] * scale(a) + b["v"] * scale(b)).alias("v"))
+
+
+def softmax_states(df: DataFrame, key: list[str], logit: str, value: str) -> DataFrame:
+    """key and state, a partial state for each key of a partition; HELD_KEYS of them at a time. Rows with a null logit or value don't count."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    state = pa.struct([("m", pa.float64()), ("e", pa.float64()), ("v", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[float, float, float]] = {}
+        types: list[pa.DataType] = []
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*held), types)]
+            states = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in zip(*held.values())], fields=list(state))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, states], [*key, "state"])
+
+        for batch in batches:
+            types = [batch.column(i).type for i in range(len(key))]
+            names: dict[tuple, int] = {}
+            of = np.array([names.setdefault(k, len(names)) for k in zip(*(batch.column(i).to_pylist() for i in range(len(key))))], np.int64)
+            x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (-2, -1))
+            m = np.full(len(names), -np.inf)
+            np.maximum.at(m, of, x)
+            weight = np.where(x == m[of], 1.0, np.exp(x - m[of]))
+            e, v = np.bincount(of, weight, len(names)), np.bincount(of, weight * y, len(names))
+            for k, new in zip(names, zip(m.tolist(), e.tolist(), v.tolist())):
+                old = held.get(k)
+                if old is not None:
+                    top = max(old[0], new[0])
+                    p, q = (1.0 if s[0] == top else math.exp(s[0] - top) for s in (old, new))
+                    new = (top, old[1] * p + new[1] * q, old[2] * p + new[2] * q)
+                held[k] = new
+            if len(held) >= HELD_KEYS:
+                yield flushed()
+        if held:
+            yield flushed()
+
+    rows = df.select(*key, F.col(logit).cast("double").alias("_x"), F.col(value).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    return rows.mapInArrow(run, f"{kinds}, state struct<m: double, e: double, v: double>")
+
+
 def online_softmax(df: DataFrame, key: list[str], logit: str, value: str) -> DataFrame:
-    """The softmax-weighted mean of value and the log of the summed exponents, for each key.
+    """The softmax-weighted mean of value (out) and the log of the summed exponents (lse), for each key.
+
+    One scan: each partition makes a state for each of its keys, and a key's states, as many as there are
+    partitions, are merged. A key with most rows is so spread over all partitions."""
+    states = softmax_states(df, key, logit, value).groupBy(*key).agg(F.collect_list("state").alias("_s"))
+    zero = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("e"), F.lit(0.0).alias("v"))
+    one = F.aggregate("_s", zero, merged_softmax)
+    return states.withColumn("_one", one).select(*key, (F.col("_one.v") / F.col("_one.e")).alias("out"), (F.col("_one.m") + F.log("_one.e")).alias("lse"))
+
+
+def uniform(seed: int, *place: Column) -> Column:
+    """A number strictly between 0 and 1 for each place, by 52 bits of an MD5 of seed and place: the same in every run and engine."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in place]).cast("binary")), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / float(1 << 52)
+
 
-    Two partial aggregates: the maximum, then sums relative to it."""
-    top = df.groupBy(*key).agg(F.max(logit).alias("_m"))
-    e = F.exp(F.col(logit) - F.col("_m"))
-    sums = df.join(top, key).groupBy(*key, "_m").agg(F.sum(e).alias("_e"), F.sum(e * F.col(value)).alias("_v"))
-    return sums.select(*key, (F.col("_v") / F.col("_e")).alias("out"), (F.col("_m") + F.log("_e")).alias("lse"))
+def gumbel(seed: int, *place: Column) -> Column:
+    """Standard Gumbel noise of a place."""
+    return -F.log(-F.log(uniform(seed, *place)))
 
 
-def gumbel_soft(score: Column, weight: float, temperature: float, uniform: Column | None = None) -> Column:
-    """Probability of a boundary: a two-class softmax of the score with Gumbel noise of a given weight."""
-    noise = F.lit(0.0) if uniform is None else -F.log(-F.log(uniform))
-    return 1 / (1 + F.exp(-(score + noise * weight) / temperature))
+def gumbel_soft(score: Column, weight: Column | float, temperature: float, noise: Column | None = None) -> Column:
+    """Probability of a boundary: a two-class softmax of the score with noise (the boundary's less the other class's) of a given weight."""
+    noisy = score if noise is None else score + noise * weight
+    return 1 / (1 + F.exp(-noisy / temperature))
 
 
 def cosine_anneal(step: Column, total: int, high: float, low: float, warm_up: int = 0) -> Column:

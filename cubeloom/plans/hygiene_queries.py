@@ -188,12 +188,6 @@ def prj16(spark, sf_dir):
     return d.select("doc_id", F.coalesce("path", F.lit("none")).alias("path"), F.expr("if(path IS NULL, if(doc_id % 2 = 0, 8, 2), 16)").alias("n_frames"))
 
 
-@query("snk05_blob_key", f"SELECT coalesce(c.path, d.source || '.jpg') AS key, d.doc_id % 4 AS n_frames FROM documents d LEFT JOIN ({inputs.CATALOGUE_SQL}) c USING (doc_id) WHERE d.doc_id % 4 > 0")
-def snk05(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(inputs.catalogue(spark, sf_dir), "doc_id", "left")
-    return d.where("doc_id % 4 > 0").select(F.coalesce("path", F.concat("source", F.lit(".jpg"))).alias("key"), (F.col("doc_id") % 4).alias("n_frames"))
-
-
 @query("snk06_routing", "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN source IN ('src0', 'src1') THEN 'caption' WHEN source IN ('src2', 'src3') THEN 'qa' ELSE 'other' END AS bucket FROM documents) GROUP BY bucket")
 def snk06(spark, sf_dir):
     bucket = H.routed(F.col("source"), {"caption": ("src0", "src1"), "qa": ("src2", "src3")}, "other")

@@ -121,13 +121,6 @@ def src10b(spark, sf_dir):
     return line_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "byte_offset", "line")
 
 
-@query("src11_blob_lookup", f"SELECT d.doc_id, c.path IS NOT NULL AS stored, CASE WHEN d.source = 'src0' THEN 'store_a' ELSE 'store_b' END AS store FROM documents d LEFT JOIN {_CAT} c ON d.doc_id = c.doc_id")
-def src11(spark, sf_dir):
-    c = inputs.catalogue(spark, sf_dir).select("doc_id", "path")
-    d = J.lookup(table(spark, sf_dir, "documents").select("doc_id", "source"), c, ["doc_id"], "keep")
-    return d.select("doc_id", F.col("path").isNotNull().alias("stored"), F.when(F.col("source") == "src0", "store_a").otherwise("store_b").alias("store"))
-
-
 @query("src13_name_before_dot", f"SELECT doc_id, split_part(split_part(path, '/', -1), '.', 1) AS key FROM {_CAT}")
 def src13(spark, sf_dir):
     return inputs.catalogue(spark, sf_dir).select("doc_id", F.substring_index(F.substring_index("path", "/", -1), ".", 1).alias("key"))

@@ -76,11 +76,27 @@ def cubes(spark, sf_dir):
     return S.flags_to_segments(_flagged(spark, sf_dir), "user_id", _ORDER, "flag", F.count("*").alias("n_frames"), span.alias("span_us"), F.round(F.avg("x"), 6).alias("mean_x"))
 
 
-@query("win06_gumbel_boundary", f"{_M} SELECT user_id, i, round(1 / (1 + exp(-m / 50 / 0.5)), 6) AS p FROM m")
+def _gumbel_sql(kind: int) -> str:
+    return f"-ln(-ln((CAST(('0x' || md5('11-' || user_id || '-' || i || '-{kind}')[1:13]) AS BIGINT) + 0.5) / 4503599627370496.0))"
+
+
+_WEIGHT = "(0.01 + (0.5 - 0.01) * 0.5 * (1 + cos(least(i / 60.0, 1.0) * pi())))"
+_SOFT = f"(SELECT user_id, event_id, i, round(1 / (1 + exp(-(m / 50 + ({_gumbel_sql(1)} - ({_gumbel_sql(0)})) * {_WEIGHT}) / 0.5)), 9) AS p FROM m JOIN f USING (user_id, i))"
+
+
+@query(
+    "win06_gumbel_boundary",
+    f"""{_M} SELECT user_id, i, round(p, 6) AS p, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY p DESC, i) <= greatest(round_even(count(*) OVER (PARTITION BY user_id) / 5.0, 0) - 1, 1) THEN 1 ELSE 0 END AS hard
+        FROM {_SOFT}""",
+)
 def win06(spark, sf_dir):
+    """Soft boundaries with noise whose weight falls along a video, and the hard ones, its k highest."""
     m = S.momentum(inputs.frames(spark, sf_dir), "user_id", _ORDER, "x")
-    at = m.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy(*_ORDER)) - 1).where("m IS NOT NULL")
-    return at.select("user_id", F.col("i").cast("long").alias("i"), F.round(S.gumbel_soft(F.col("m") / 50, 0.0, 0.5), 6).alias("p"))
+    at = S.running(m, "user_id", _ORDER, i=F.lit(1)).withColumn("i", F.col("i") - 1).where("m IS NOT NULL")
+    noise = S.gumbel(11, F.col("user_id"), F.col("i"), F.lit(1)) - S.gumbel(11, F.col("user_id"), F.col("i"), F.lit(0))
+    soft = S.gumbel_soft(F.col("m") / 50, S.cosine_anneal(F.col("i"), 60, 0.5, 0.01), 0.5, noise)
+    hard = S.top_boundaries(at.select("user_id", "i", F.round(soft, 9).alias("p")), "user_id", ["i"], "p", out="hard", first=False)
+    return hard.select("user_id", "i", F.round("p", 6).alias("p"), "hard")
 
 
 @query(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from ..operators import mixture as M
+from ..operators.convert import numbered
 from ..registry import query, table
-from ..sources import blobs, catalogue, readers, writers
+from ..sources import blobs, catalogue, readers, tsvstore, writers
+from ..sources.tsvstore import _opened as fs_of
 from ..workspace import Scratch
 from . import inputs
 
@@ -24,20 +29,70 @@ def src01(spark, sf_dir):
     return readers.json_lines(spark, path, "doc_id long, text string, source string")
 
 
-@query("src02_json_array", "SELECT n_nationkey, n_name FROM nation")
+def _one_file(rows, path, opening, closing):
+    """Rows (id, text) as one file in order of id: each partition's lines are written by its own task and the parts put together by the file system."""
+    n = rows.count()
+    lines = numbered(rows, "_n", "id")
+    value = F.concat(F.when(F.col("_n") == 0, opening).otherwise(""), "text", F.when(F.col("_n") == n - 1, closing).otherwise(","))
+    lines.select(value.alias("value"), "_n").repartitionByRange(4, "_n").sortWithinPartitions("_n").select("value").write.text(path + ".parts")
+    fs, base = fs_of(path)
+    parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base + ".parts")) if f.base_name.startswith("part-"))
+    with fs.open_output_stream(base) as out:
+        for part in parts:
+            with fs.open_input_stream(part) as f:
+                while block := f.read(1 << 22):
+                    out.write(block)
+
+
+_HARD = "n_name || '{[\"\\}]' || chr(10) || repeat('}', CAST(n_nationkey % 4 AS INT))"
+
+
+@query("src02_json_array", f"SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN {_HARD} ELSE n_name END AS note FROM orders JOIN nation ON n_nationkey = o_orderkey % 25")
 def src02(spark, sf_dir):
-    path = Scratch(spark, "src02").path("array")
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(path)
-    return readers.json_array(spark, path, "n_nationkey int, n_name string")
+    """All orders as one array in one file, whose texts hold brackets, quotes and escapes, read in ranges of 64 KB."""
+    path = Scratch(spark, "src02").path("array.json")
+    rows = _noted_orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice", "note")).alias("text"))
+    _one_file(rows, path, "[", "]")
+    with _small_ranges(spark):
+        return readers.json_array(spark, path, "o_orderkey long, o_custkey long, o_totalprice double, note string")
+
+
+def _noted_orders(spark, sf_dir):
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
+    hard = F.concat("n_name", F.lit('{["\\}]\n'), F.repeat(F.lit("}"), (F.col("n_nationkey") % 4).cast("int")))
+    return table(spark, sf_dir, "orders").join(nation, F.col("n_nationkey") == F.col("o_orderkey") % 25).withColumn("note", F.when(F.col("o_orderkey") % 3 == 0, hard).otherwise(F.col("n_name")))
+
 
+@contextmanager
+def _small_ranges(spark, size="64k"):
+    """Small files in several ranges, while a plan is made and its first pass runs."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-@query("src03_json_object", "SELECT CAST(r_regionkey AS VARCHAR) AS key, r_name AS name FROM region")
+
+@query("src03_json_object", f"SELECT 'order ' || o_orderkey AS key, o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN {_HARD} ELSE n_name END AS note FROM orders JOIN nation ON n_nationkey = o_orderkey % 25")
 def src03(spark, sf_dir):
-    path = Scratch(spark, "src03").path("object")
-    entry = F.struct(F.col("r_regionkey").cast("string"), F.struct(F.col("r_name").alias("name")))
-    table(spark, sf_dir, "region").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)
-    return readers.json_object(spark, path, "struct<name: string>").select("key", "value.name")
+    """All orders as one object keyed by order in one file."""
+    path = Scratch(spark, "src03").path("object.json")
+    value = F.to_json(F.struct("o_custkey", "o_totalprice", F.struct("note").alias("inner")))
+    _one_file(_noted_orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.concat(F.lit('"order '), "o_orderkey", F.lit('": '), value).alias("text")), path, "{", "}")
+    with _small_ranges(spark):
+        return readers.json_object(spark, path, "struct<o_custkey: bigint, o_totalprice: double, inner: struct<note: string>>").select("key", "value.o_custkey", "value.o_totalprice", "value.inner.note")
+
+
+@query("src03_json_numbers", "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_custkey AS value FROM orders")
+def src03_numbers(spark, sf_dir):
+    """An object of numbers, as a store's file of names and lines is one."""
+    path = Scratch(spark, "src03n").path("object.json")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit('"'), "o_orderkey", F.lit('": '), "o_custkey").alias("text"))
+    _one_file(rows, path, "{", "}")
+    with _small_ranges(spark):
+        return readers.json_object(spark, path, "bigint")
 
 
 @query("src06_parquet_tolerant", "SELECT o_orderkey, o_custkey FROM orders")
@@ -63,10 +118,63 @@ def src09(spark, sf_dir):
     return readers.csv_header(spark, path, "p_partkey long, p_name string, p_size int")
 
 
-@query("src10_line_access", "SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents) WHERE line IN (3, 17, 42)")
+def _framed(spark, sf_dir):
+    """Documents as frames by name: the text's words in two frames, in two stores by language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    frames = F.array(F.substring("text", F.lit(1), half).cast("binary"), F.substring("text", half + 1, F.length("text")).cast("binary"))
+    return d.select("doc_id", F.concat(F.when(F.col("lang") == "en", "sharegpt4video/").otherwise("YouCook2/"), "source", F.lit("/"), "doc_id").alias("name"), frames.alias("frames"))
+
+
+_NAMED = "(SELECT doc_id, CASE WHEN lang = 'en' THEN 'sharegpt4video/' ELSE 'YouCook2/' END || source || '/' || doc_id AS name, lang = 'en' AS first, coalesce(text, '') AS text FROM documents)"
+
+
+def _two_stores(spark, sf_dir, label):
+    """Each store written by documents of even ids, then appended to by the others, in order of ids."""
+    scratch, rows = Scratch(spark, label), _framed(spark, sf_dir)
+    stores = {"sharegpt4video": scratch.path("a"), "YouCook2": scratch.path("b")}
+    for word, path in stores.items():
+        for k in (0, 1):
+            part = rows.where(F.col("name").startswith(word) & (F.col("doc_id") % 2 == k)).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+            tsvstore.write_store(part, path, append=k == 1)
+    return stores
+
+
+_LINE = "row_number() OVER (PARTITION BY first ORDER BY doc_id % 2, doc_id) - 1"
+
+
+@query("src10_line_access", f"""WITH s AS (SELECT *, {_LINE} AS line, count(*) OVER (PARTITION BY first) AS n FROM {_NAMED})
+    SELECT a.doc_id AS asked, s.line, s.name, sha256(s.text) AS text_sha256 FROM s a JOIN s ON s.first AND s.line = a.doc_id * 7 % s.n WHERE a.doc_id % 100 = 0""")
 def src10(spark, sf_dir):
-    store = blobs.line_index(_docs(spark, sf_dir), "text", "doc_id")
-    return blobs.lines_at(store, [3, 17, 42]).select("doc_id", "text")
+    """A line of the first store for each document whose id is divisible by 100, by its number; only those lines' bytes are read."""
+    path = _two_stores(spark, sf_dir, "src10")["sharegpt4video"]
+    listed = tsvstore.names(spark, path)
+    n = sum(s.lines for s in tsvstore.segments(path))
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("asked"), (F.col("doc_id") * 7 % n).alias("line"))
+    found = tsvstore.fetched(asked.join(listed, "line").withColumn("path", F.lit(path)), ["asked", "line", "name"])
+    return found.select("asked", "line", "name", _joined_sha("frames").alias("text_sha256"))
+
+
+def _joined_sha(frames):
+    """SHA-256 of all frames' bytes, in hexadecimal digits."""
+    return F.sha2(F.aggregate(frames, F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x)), 256)
+
+
+@query("src11_store_lookup", f"""WITH s AS (SELECT *, {_LINE} AS line FROM {_NAMED}), a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(name, 'o', '0') WHEN doc_id % 7 = 1 THEN name || 'x' ELSE name END AS name FROM s)
+    SELECT a.doc_id, CASE WHEN s.name IS NULL THEN NULL WHEN s.first THEN 'sharegpt4video' ELSE 'YouCook2' END AS store, s.line, sha256(coalesce(s.text, 'decoded ' || a.doc_id)) AS text_sha256 FROM a LEFT JOIN s ON s.name = a.name""")
+def src11(spark, sf_dir):
+    """Every document's frames by name from the store that the name leads to, or decoded where the store has none or no store is meant."""
+    name = F.expr("CASE WHEN doc_id % 7 = 0 THEN replace(name, 'o', '0') WHEN doc_id % 7 = 1 THEN concat(name, 'x') ELSE name END")
+    asked = _framed(spark, sf_dir).select("doc_id", name.alias("name"), F.array(F.concat(F.lit("decoded "), "doc_id").cast("binary")).alias("decoded"))
+    found = blobs.stored_or(tsvstore.looked_up(asked, _two_stores(spark, sf_dir, "src11"), "name"), "decoded")
+    return found.select("doc_id", "store", "line", _joined_sha("frames").alias("text_sha256"))
+
+
+@query("src10_given_lines", f"SELECT name, {_LINE} AS line, sha256(text) AS text_sha256 FROM {_NAMED} WHERE first QUALIFY line IN (3, 5, 8)")
+def src10_given(spark, sf_dir):
+    """Lines given by number, which the source reads alone."""
+    store = tsvstore.read_store(spark, _two_stores(spark, sf_dir, "src10g")["sharegpt4video"], lines=[3, 5, 8])
+    return store.select("name", "line", _joined_sha("frames").alias("text_sha256"))
 
 
 @query("src12_media_listing")
@@ -114,12 +222,38 @@ def snk02(spark, sf_dir):
     return readers.json_lines(spark, path, "doc_id long, text string, source string")
 
 
-@query("snk04_tsv_store", "SELECT doc_id AS name, source || '|' || lang AS blob FROM documents")
+@query("snk04_tsv_store", f"SELECT name, first, {_LINE} AS line, sha256(text) AS text_sha256 FROM {_NAMED}")
 def snk04(spark, sf_dir):
-    path = Scratch(spark, "snk04").path("tsv")
-    blobs.write_tsv(table(spark, sf_dir, "documents").select("doc_id", F.array(F.col("source").cast("binary"), F.col("lang").cast("binary")).alias("frames")), path, "doc_id", "frames")
-    read = blobs.read_tsv(spark, path)
-    return read.select(F.col("name").cast("long").alias("name"), F.array_join(F.transform("frames", lambda x: x.cast("string")), "|").alias("blob"))
+    """Two stores written, appended to and read whole."""
+    first, second = (tsvstore.read_store(spark, path).withColumn("first", F.lit(k == 0)) for k, path in enumerate(_two_stores(spark, sf_dir, "snk04").values()))
+    return first.unionByName(second).select("name", "first", "line", _joined_sha("frames").alias("text_sha256"))
+
+
+@query("snk04_offsets", f"""WITH s AS (SELECT *, {_LINE} AS line, strlen(text) AS b, length(text) // 2 AS h FROM {_NAMED} WHERE first),
+    e AS (SELECT *, strlen(name) + 1 + 2 + 2 + 4 + 4 * ((strlen(substr(text, 1, h)) + 2) // 3) + 4 * ((b - strlen(substr(text, 1, h)) + 2) // 3) + 1 AS size FROM s)
+    SELECT name, line, CAST(sum(size) OVER (ORDER BY line) - size AS BIGINT) AS byte_offset, 2 AS n_frames FROM e""")
+def snk04_offsets(spark, sf_dir):
+    """Where each line begins, over all writes."""
+    return tsvstore.names(spark, _two_stores(spark, sf_dir, "snk04o")["sharegpt4video"]).select("name", "line", "byte_offset", F.col("n_frames").cast("int").alias("n_frames"))
+
+
+@query(
+    "snk05_dataset_store",
+    """WITH k AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'v/' || doc_id // 2 || '.mp4' END, CASE WHEN doc_id % 3 = 1 THEN 'i/' || doc_id || '.jpg' END, source || '-' || doc_id) AS name, doc_id % 4 AS n FROM documents WHERE doc_id % 4 > 0),
+        l AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS line, row_number() OVER (PARTITION BY name ORDER BY doc_id DESC) AS back FROM k)
+        SELECT c.doc_id, l.name, l.line, CAST(l.n AS INT) AS n_frames FROM l c JOIN l ON l.name = c.name AND l.back = 1""",
+)
+def snk05(spark, sf_dir):
+    """Rows with images as a store by name and rows without them; of a repeated name the last line counts, for all its rows."""
+    path = Scratch(spark, "snk05").path("set")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    images = F.slice(F.array(*[F.concat("source", F.lit(f" {i}")).cast("binary") for i in range(3)]), F.lit(1), (F.col("doc_id") % 4).cast("int"))
+    key = {"video": "if(doc_id % 3 = 0, concat('v/', doc_id div 2, '.mp4'), null)", "image": "if(doc_id % 3 = 1, concat('i/', doc_id, '.jpg'), null)", "filename": "concat(source, '-', doc_id)"}
+    rows = d.withColumns({k: F.expr(v) for k, v in key.items()} | {"images": images})
+    tsvstore.write_dataset(rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), path)
+    chat = readers.json_lines(spark, f"{path}/chat", "doc_id long, video string, image string, filename string")
+    named = chat.select("doc_id", F.coalesce("video", "image", "filename").alias("name"))
+    return named.join(tsvstore.names(spark, f"{path}/imgs"), "name").select("doc_id", "name", "line", "n_frames")
 
 
 @query("snk10_resume_missing", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM documents")

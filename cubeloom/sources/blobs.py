@@ -1,8 +1,8 @@
-"""Stores of frames by name, and the offset index of a line-based store."""
+"""Frames and media of stores and folders, and the offset index of a line-based file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import Scratch
@@ -26,35 +26,9 @@ def line_index(df: DataFrame, line: str, order: str) -> DataFrame:
     return out.select(*df.columns, "byte_offset", "line")
 
 
-def frame_store(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """key, frames and store of several stores written by write_blobs."""
-    parts = [spark.read.parquet(f"{p}/frames").withColumn("store", F.lit(name)) for name, p in paths.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
-def stored_or(df: DataFrame, store: DataFrame, key: str, decoded: str) -> DataFrame:
-    """df with frames from the store, or else its own decoded ones."""
-    return df.join(store.select(F.col("key").alias(key), F.col("frames").alias("_f")), key, "left").withColumn("frames", F.coalesce("_f", decoded)).drop("_f")
-
-
-def lines_at(store: DataFrame, lines: list[int], number: str = "line") -> DataFrame:
-    """The rows with the given line numbers: a filter that a Parquet store answers from its statistics."""
-    return store.where(F.col(number).isin(*lines))
-
-
-def write_tsv(df: DataFrame, path: str, name: str, frames: str) -> None:
-    """Lines of a name, a tab, and a JSON array of base64 payloads."""
-    payload = F.to_json(F.transform(frames, lambda x: F.base64(x)))
-    df.select(F.concat_ws("\t", F.col(name).cast("string"), payload).alias("value")).write.mode("overwrite").text(path)
-
-
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """name and frames (binary) of such lines."""
-    part = F.split("value", "\t", 2)
-    return spark.read.text(path).select(part[0].alias("name"), F.transform(F.from_json(part[1], "array<string>"), lambda x: F.unbase64(x)).alias("frames"))
+def stored_or(df: DataFrame, decoded: str, frames: str = "frames") -> DataFrame:
+    """df with frames from a store (tsvstore.looked_up), or else its own decoded ones."""
+    return df.withColumn(frames, F.coalesce(frames, decoded))
 
 
 def existing_frames(clips: DataFrame, listing: DataFrame, key: str) -> DataFrame:

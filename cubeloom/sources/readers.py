@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bigjson
+
 SAMPLE = """uid string, source string, data_type string, modality string, video string, images array<string>, caption string, captions array<string>,
     conversations array<struct<`from`: string, value: string>>, timestamps array<double>, start_sec double, end_sec double, video_len int, category string, metadata map<string,string>"""
 
@@ -17,14 +19,13 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files that are one JSON array of objects each, cut in ranges."""
+    return bigjson.array_rows(spark, path, schema)
 
 
 def json_object(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """key and value of a file that is one JSON object keyed by id; value is the values' type."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
+    """key and value of files that are one JSON object keyed by id, cut in ranges; value is the values' type."""
+    return bigjson.object_rows(spark, path, value)
 
 
 def json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -25,14 +25,6 @@ def write_routed(df: DataFrame, path: str, category: Column, routes: dict[str, t
     df.withColumn("bucket", routed(category, routes)).where("bucket IS NOT NULL").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def write_blobs(df: DataFrame, path: str, images: str = "images", payload: str = "frames") -> None:
-    """Frames by key, and the chat rows without them; rows without frames are dropped. The key is the video, or else the image, or else the file's name."""
-    key = F.coalesce("video", F.get(F.col(images), F.lit(0)), "filename").alias("key")
-    rows = df.where(F.size(payload) > 0)
-    rows.select(key, payload, F.size(payload).alias("n_frames")).write.mode("overwrite").parquet(f"{path}/frames")
-    rows.drop(payload).write.mode("overwrite").json(f"{path}/chat")
-
-
 def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 

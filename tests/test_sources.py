@@ -65,16 +65,6 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "k")).first().n == 10
 
 
-def test_blob_store(spark, tmp_path):
-    rows = [("v1", ["i1"], "f1", ["aa"]), (None, ["i2"], "f2", ["bb", "cc"]), (None, [], "f3", [])]
-    df = spark.createDataFrame(rows, "video string, images array<string>, filename string, frames array<string>")
-    writers.write_blobs(df, str(tmp_path / "b"))
-    store = blobs.frame_store(spark, {"main": str(tmp_path / "b")})
-    assert {r.key: r.n_frames for r in store.collect()} == {"v1": 1, "i2": 2}
-    asked = spark.createDataFrame([("v1", ["zz"]), ("v9", ["zz"])], "name string, decoded array<string>")
-    assert {r.name: r.frames for r in blobs.stored_or(asked, store, "name", "decoded").collect()} == {"v1": ["aa"], "v9": ["zz"]}
-
-
 def test_mixture_load(spark, tmp_path):
     for n in ("a", "b"):
         (tmp_path / f"{n}.jsonl").write_text("".join(json.dumps({"uid": f"{n}{i}"}) + "\n" for i in range(4)))
