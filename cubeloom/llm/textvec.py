@@ -1,8 +1,9 @@
-"""Words of many texts at once, as arrays: byte spans, hashes, and the document of each word."""
+"""Words of many texts at once, as arrays: byte spans, hashes, numbers, and the document of each word."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-#: Bytes that are hashed at a time, at 24 bytes each.
-PIECE = 1 << 22
+#: Spans that are looked up at a time, hashes remembered, and bytes of a remembered word.
+PIECE, REMEMBERED, KEPT = 1 << 18, 200_000, 64
 _P = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,22 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
-
-
-def _of_p(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, from exponent 0 to n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        out = []
-        for base in (_P, pow(_P, -1, 1 << 64)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        _powers[:] = out
-    return _powers[0], _powers[1]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, one text after the other, and where each starts; null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -87,31 +71,41 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+class _Hashes(dict):
+    """64 bits of BLAKE2b for each word: no texts are known, or feasible to find, that it takes for one another."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(blake2b(word, digest_size=8, person=b"word").digest(), "little")
+        if len(word) <= KEPT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_hashes = _Hashes()
+
+
+def _each(function, data: np.ndarray, first: np.ndarray, last: np.ndarray, kind: type) -> np.ndarray:
+    """function of each span's bytes."""
+    out = np.empty(len(first), kind)
+    for lo in range(0, len(first), PIECE):
+        i, j = first[lo : lo + PIECE], last[lo : lo + PIECE]
+        base = int(i[0])
+        raw = data[base : int(j[-1])].tobytes()
+        out[lo : lo + PIECE] = np.fromiter((function(raw[x:y]) for x, y in zip((i - base).tolist(), (j - base).tolist())), kind, len(i))
+    return out
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, the same wherever the span stands. Spans are in order and don't overlap."""
-    if len(data) <= PIECE:
-        return mix(_span_sums(data, first, last) + (last - first).astype(np.uint64))
-    out, i = np.empty(len(first), np.uint64), 0
-    while i < len(first):
-        j = max(i + 1, int(np.searchsorted(last, first[i] + PIECE, "right")))
-        low = int(first[i])
-        if j == i + 1:  # a long span, piece by piece
-            total = 0
-            for at in range(low, int(last[i]), PIECE):
-                piece = data[at : min(at + PIECE, int(last[i]))]
-                total += int(_span_sums(piece, np.zeros(1, np.int64), np.full(1, len(piece)))[0]) * pow(_P, at - low, 1 << 64)
-            out[i] = total % (1 << 64)
-        else:
-            out[i:j] = _span_sums(data[low : last[j - 1]], first[i:j] - low, last[i:j] - low)
-        i = j
-    return mix(out + (last - first).astype(np.uint64))
-
-
-def _span_sums(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    power, inverse = _of_p(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return (sums[last] - sums[first]) * inverse[first]
+    return _each(_hashes.__getitem__, data, first, last, np.uint64)
+
+
+def span_numbers(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for equal bytes and no others. Spans are in order and don't overlap."""
+    known: dict[bytes, int] = {}
+    return _each(lambda span: known.setdefault(span, len(known)), data, first, last, np.int64)
 
 
 def shingles(hashes: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import pytest
 from compare import assert_same
 from helpers import DOCS, edge_docs, edge_rows, edited, lower, prose, words_of
 from pyspark.sql import functions as F
@@ -148,3 +149,13 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {i: root(i) for i in parent if root(i) != i}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_that_hashes_confuse_are_told_apart(spark, n):
+    """Thue-Morse words and their complements, whose sums of powers of any odd number are equal modulo 2**64."""
+    bits = [i.bit_count() % 2 for i in range(2**n)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, f"{a} {a}", "", "", 0), (2, f"{b} {b}", "", "", 0), (3, f"{b}  {b}\n", "", "", 0)], DOCS)
+    got = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(docs, k=2).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (2, False)}
