@@ -51,7 +51,8 @@ class Tree:
         self.vantages, self.ranges = built or (np.zeros(2**self.depth - 1, np.int64), np.zeros((2**self.depth - 1, 4)))
         if built is None:
             self._build(np.random.default_rng(len(ids)))
-        self.norms = (self.rows**2).sum(1)
+        with np.errstate(over="ignore", under="ignore"):
+            self.norms = (self.rows**2).sum(1)
 
     def _build(self, random) -> None:
         order = np.argsort(self.ids, kind="stable")
@@ -79,7 +80,8 @@ class Tree:
         """Distances and ids of each query's k nearest, nearest first; missing ones are inf and -1. Rows farther than reach aren't needed."""
         queries = np.asarray(queries, np.float64)
         reach = np.full(len(ids), np.inf) if reach is None else reach
-        norms = (queries**2).sum(1)
+        with np.errstate(over="ignore", under="ignore"):
+            norms = (queries**2).sum(1)
         best, found = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
         todo = [(0, 0, len(self.ids), 0, np.arange(len(ids)), np.zeros(len(ids)))] if len(self.ids) else []
         while todo:
@@ -106,11 +108,13 @@ class Tree:
         step = max(1, 4_000_000 // max(1, high - low))
         for lo in range(0, len(every), step):
             at = every[lo : lo + step]
-            near = norms[at][:, None] + self.norms[None, low:high] - 2 * (queries[at] @ rows.T)
-            error = 8 * (rows.shape[1] + 8) * np.finfo(float).eps * (norms[at] + self.norms[low:high].max())
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                near = norms[at][:, None] + self.norms[None, low:high] - 2 * (queries[at] @ rows.T)
+                error = 8 * (rows.shape[1] + 8) * np.finfo(float).eps * (norms[at] + self.norms[low:high].max()) + np.finfo(float).tiny
             own = ids[at][:, None] == row_ids[None]
             near[own] = np.inf
-            limit = np.minimum(best[at, k - 1], reach[at]) ** 2 * (1 + 1e-12) + error
+            with np.errstate(over="ignore", under="ignore"):
+                limit = np.minimum(best[at, k - 1], reach[at]) ** 2 * (1 + 1e-12) + error
             if high - low > k:
                 limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * error)
             q, r = np.nonzero(~(near > limit[:, None]) & ~own)  # what overflows is computed, too
@@ -119,7 +123,7 @@ class Tree:
             exact = np.full(near.shape, np.inf)
             some = max(1, 2_000_000 // max(1, rows.shape[1]))
             for i in range(0, len(q), some):
-                exact[q[i : i + some], r[i : i + some]] = np.sqrt(((queries[at[q[i : i + some]]] - rows[r[i : i + some]]) ** 2).sum(-1))
+                exact[q[i : i + some], r[i : i + some]] = lengths(queries[at[q[i : i + some]]], rows[r[i : i + some]])
             better = np.unique(q)
             exact, at = exact[better], at[better]
             all_d = np.concatenate([best[at], exact], 1)
@@ -134,7 +138,7 @@ class Space:
     def __init__(self, rows: np.ndarray, leaves: int):
         tree = Tree(np.arange(len(rows)), rows, max(1, -(-len(rows) // leaves)))
         self.depth, self.points = tree.depth, tree.rows[tree.vantages]
-        self.splits = (tree.ranges[:, 1] + tree.ranges[:, 2]) / 2
+        self.splits = tree.ranges[:, 1] / 2 + tree.ranges[:, 2] / 2
 
     def route(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The leaf of each row, and the least distance that a row of each leaf can have from it."""
@@ -148,11 +152,30 @@ class Space:
         return home, gaps
 
 
+def lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances along the last axis. Where squares over- or underflow, both are scaled by a power of two first, which changes no digit."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = np.sqrt(((a - b) ** 2).sum(-1))
+        odd = ~(np.isfinite(out) & (out > 1e-140))
+        if odd.any():
+            x, y = (np.broadcast_to(v, np.broadcast_shapes(a.shape, b.shape))[odd] for v in (a, b))
+            high = np.maximum(np.abs(x).max(-1, initial=0), np.abs(y).max(-1, initial=0))
+            power = np.where(high > 0, -np.frexp(high)[1], 0)[:, None]
+            # Twice, since a power of two may be too large for one factor.
+            x, y = (np.ldexp(np.ldexp(v, power // 2), power - power // 2) for v in (x, y))
+            own = x - y
+            most = np.abs(own).max(-1, initial=0)
+            again = np.where(most > 0, -np.frexp(most)[1], 0)[:, None]
+            scaled = np.sqrt((np.ldexp(own, again) ** 2).sum(-1))
+            out[odd] = np.ldexp(scaled, -(power + again)[:, 0])
+    return out
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), len(b)))
     step = max(1, 1_000_000 // max(1, b.size))
     for lo in range(0, len(a), step):
-        out[lo : lo + step] = np.sqrt(((a[lo : lo + step, None, :] - b[None]) ** 2).sum(-1))
+        out[lo : lo + step] = lengths(a[lo : lo + step, None, :], b[None])
     return out
 
 
@@ -259,16 +282,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     leaves = min(LEAVES, -(-rows.count() // shard_rows))
     parts_of = spaces(rows, leaves) if leaves > 1 else {}
     rows, asked = routed(rows, parts_of, "0L"), routed(asked, parts_of, "twin").withColumn("reach", F.lit(float("inf")))
-    if leaves <= 1:  # one shard for each length of vector
-        return _ranked(searched(asked, built(rows, shard_rows), k, factor, block), k).select("query_id", "rank", "vec_id", "score")
+    if leaves <= 1:  # one shard for each length of vector; written, since the search reads it twice
+        trees = scratch.save(built(rows, shard_rows), "trees")
+        return _ranked(searched(asked, trees, k, factor, block), k).select("query_id", "rank", "vec_id", "score")
     trees = scratch.save(built(scratch.save(rows, "rows"), shard_rows), "trees")
     scratch.drop("rows")
     asked = scratch.save(asked, "asked")
     home = scratch.save(_ranked(searched(asked, trees, k, factor, block), k).drop("rank"), "home")
     reach = home.groupBy(F.col("query_id").alias("vec_id"), "twin").agg(F.when(F.count("*") == k, F.max("score")).otherwise(float("inf")).alias("reach"))
     wider = asked.drop("reach").join(reach, ["vec_id", "twin"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-    wider = wider.select("vec_id", "twin", "dim", "vector", "reach", F.col("leaf").alias("home"), F.posexplode("gaps").alias("leaf", "gap"))
-    wider = wider.where((F.col("leaf") != F.col("home")) & (F.col("gap") * SLACK <= factor * F.col("reach"))).withColumn("leaf", F.col("leaf").cast("long"))
+    near = F.transform("gaps", lambda gap, i: F.when((i != F.col("leaf")) & (gap * SLACK <= factor * F.col("reach")), i.cast("long")))
+    wider = wider.select("vec_id", "twin", "dim", "vector", "reach", F.explode(F.filter(near, lambda i: i.isNotNull())).alias("leaf"))
     away = scratch.save(searched(wider, trees, k, factor, block), "away")
     for name in ("trees", "asked"):
         scratch.drop(name)

@@ -380,6 +380,27 @@ def test_vptree_recall_in_a_full_shard(dim, structured):
     assert (found == want).all()
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1e-310, 5e307])
+def test_nearest_of_components_whose_squares_overflow(spark, scale):
+    """Distances against exact fractions, over components beyond what a square can hold."""
+    from fractions import Fraction
+
+    r = random.Random(3)
+    rows = [(i, [r.uniform(-1, 1) * scale for _ in range(3)]) for i in range(40)] + [(90, [0.0, scale, 0.0]), (91, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in vptree.nearest(df, df.where("vec_id % 10 = 0"), 5).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    vectors = dict(rows)
+    square = lambda a, b: sum((Fraction(x) - Fraction(y)) ** 2 for x, y in zip(a, b))
+    for q, found in got.items():
+        want = sorted((square(vectors[q], v), i) for i, v in rows if i != q)[:5]
+        assert [i for _, i, _ in sorted(found)] == [i for _, i in want]
+        for (_, i, score), (exact, _) in zip(sorted(found), want):
+            assert abs(Fraction(score) ** 2 - exact) <= exact / 10**9 or score < 1e-300
+    assert len(got) == 5
+
+
 def brute_table(shards, size):
     order = {s: itertools.cycle([(o + i * k) % size for i in range(size)]) for s in sorted(shards) for o, k in [sharding.preference(s, size)]}
     table = {}
