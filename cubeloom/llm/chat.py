@@ -8,7 +8,8 @@ prefix sums over each conversation's partitions, so that no task holds a whole c
 dialogue is rendered in segments of at most SEGMENT turns; its text is theirs in a row, and
 ``text_start`` and ``mask`` count from the dialogue's beginning. Where a segment begins follows from
 the lengths that each speaker adds to each segment, without the texts; a segment's texts meet its own
-row of each perspective, so that a long conversation is spread over as many keys as it has segments.
+row of each perspective, so that a long conversation is spread over as many keys as it has segments. A
+conversation of one segment needs none of this: its participants are those of its row.
 
 Defined results: turns with the same number are ordered by speaker, then text; a null turn comes
 last. A null text is empty. A null speaker is shown as ``unknown`` and is no participant. Rows with a
@@ -31,7 +32,7 @@ SYSTEM, ASSISTANT, END = "system", "<|assistant|>\n", "<|end|>\n"
 
 
 def ranked(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, role, text and rank, the turn's place in its conversation from 0."""
+    """conv_id, role, text, rank (the turn's place in its conversation, from 0) and total (the conversation's turns)."""
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text")]
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -39,8 +40,9 @@ def ranked(turns: DataFrame, scratch: Scratch) -> DataFrame:
     placed = scratch.save(placed, "placed")
     counts = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     base = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n") - F.col("low")
-    shift = counts.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), base.alias("shift"))
-    return placed.join(shift, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))).select("conv_id", "role", "text", (F.col("id") + F.col("shift")).alias("rank"))
+    total = F.sum("n").over(Window.partitionBy("conv_id"))
+    shift = counts.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), base.alias("shift"), total.alias("total"))
+    return placed.join(shift, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))).select("conv_id", "role", "text", (F.col("id") + F.col("shift")).alias("rank"), "total")
 
 
 def escaped(text: Column) -> Column:
@@ -73,9 +75,15 @@ def beginnings(turns: DataFrame) -> DataFrame:
 def rotate(turns: DataFrame, segment: int = SEGMENT, scratch: Scratch | None = None) -> DataFrame:
     """conv_id, perspective, segment, n_turns, text_start, text and mask (an array of start and end in the dialogue) for every participant."""
     scratch = scratch or Scratch(turns.sparkSession, "chat")
-    turns = ranked(turns, scratch).select("conv_id", "role", "rank", F.floor(F.col("rank") / segment).cast("long").alias("segment"), escaped(F.col("text")).alias("said"))
-    segments = turns.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("rank", "role", "said"))).alias("turns"))
-    each = segments.join(beginnings(turns), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("segment") == F.col("_segment")))
+    turns = ranked(turns, scratch).select("conv_id", "role", "rank", "total", F.floor(F.col("rank") / segment).cast("long").alias("segment"), escaped(F.col("text")).alias("said"))
+    grouped = lambda some: some.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("rank", "role", "said"))).alias("turns"))
+    columns = ["conv_id", "segment", "turns", "perspective", "text_start"]
+    cast = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r.isNotNull() & (r != SYSTEM)))
+    each = grouped(turns.where(F.col("total") <= segment)).withColumns({"perspective": F.explode(cast), "text_start": F.lit(0).cast("long")}).select(*columns)
+    long = turns.where(F.col("total") > segment)
+    if long.select(F.lit(1)).limit(1).count():
+        more = grouped(long).join(beginnings(long), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("segment") == F.col("_segment")))
+        each = each.unionByName(more.select(*columns))
     piece = lambda t: F.struct(_head(t["role"], F.col("perspective")).alias("head"), F.concat(t["said"], F.lit(END)).alias("body"), t["role"].eqNullSafe(F.col("perspective")).alias("own"))
     spans = """aggregate(pieces, struct(text_start AS at, cast(array() AS array<struct<start: bigint, end: bigint>>) AS spans), (acc, p) -> struct(
         acc.at + length(p.head) + length(p.body) AS at,
