@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+import math
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: The prefixes that answer extraction strips, in this order. Two of them are two phrases
 #: run together, so that neither phrase is stripped on its own; extraction depends on it.
@@ -103,13 +109,58 @@ def name_from_path(path: Column) -> Column:
     return F.when(last.startswith("checkpoint-") & (F.size(parts) > 1), F.concat_ws("_", F.try_element_at(parts, F.lit(-2)), last)).otherwise(last)
 
 
-def judge_prediction(text: Column) -> Column:
-    """pred of a judge's answer such as {'pred': 'yes', 'score': 4}."""
-    return F.regexp_extract(text, r"""['"]pred['"]\s*:\s*['"]([^'"]*)['"]""", 1)
-
-
-def judge_score(text: Column) -> Column:
-    return F.regexp_extract(text, r"""['"]score['"]\s*:\s*['"]?([0-9.]+)""", 1).try_cast("double")
+#: Kinds of text in a Python literal: white space, a string with its escapes, a number, a word, or one sign.
+_LITERAL = re.compile(r"""\s+|[rRuUbB]{0,2}(?:'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*")|[+-]?\s*(?:\d[\d_]*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[A-Za-z_]\w*|[{}\[\](),:]""", re.S)
+#: Opening and closing signs, and how deep a literal may go.
+_CLOSES, DEPTH = {"{": "}", "[": "]", "(": ")"}, 50
+
+
+def literal_fields(text: str | None) -> dict[str, object]:
+    """The entries of a text that is one Python dictionary of literals, by key; empty if it isn't one. Of a repeated key the last one counts.
+
+    The signs are followed first, so that nothing but brackets in pairs, strings, numbers and words is given to the evaluation."""
+    at, stack, text = 0, [], (text or "").strip()
+    while at < len(text):
+        found = _LITERAL.match(text, at)
+        if not found or not text.startswith("{"):
+            return {}
+        sign, at = found[0], found.end()
+        if sign in _CLOSES:
+            stack.append(_CLOSES[sign])
+            if len(stack) > DEPTH:
+                return {}
+        elif sign in _CLOSES.values() and (not stack or stack.pop() != sign):
+            return {}
+    try:
+        value = ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return {}
+    return {k: v for k, v in value.items() if isinstance(k, str)} if isinstance(value, dict) else {}
+
+
+def _number(value: object) -> float | None:
+    try:
+        out = float(value) if isinstance(value, (int, float, str)) and not isinstance(value, bool) else None
+    except (ValueError, OverflowError):
+        return None
+    return out if out is not None and math.isfinite(out) else None
+
+
+def judged(df: DataFrame, text: str, pred: str = "pred", score: str = "score") -> DataFrame:
+    """df with pred and score of a judge's answer such as {'pred': 'yes', 'score': 4}: a Python literal with quotes, escapes, signs and nesting of any kind.
+
+    An answer that is no dictionary, or lacks an entry, has nulls; so has a pred that isn't a string and a score that is neither a number nor a string of one."""
+    names, last = df.columns, len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [literal_fields(t) for t in batch.column(last).to_pylist()]
+            preds = pa.array([p if isinstance(p := f.get("pred"), str) else None for f in found], pa.string())
+            scores = pa.array([_number(f.get("score")) for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), preds, scores], [*names, pred, score])
+
+    schema = StructType([*df.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    return df.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def has_suffix(name: Column, suffixes: tuple[str, ...]) -> Column:

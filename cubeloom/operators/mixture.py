@@ -69,8 +69,9 @@ def load_mixture(spark: SparkSession, spec: str, schema) -> DataFrame:
 
     parts = []
     for s in parse_mixture(spec):
-        rows = spark.read.schema(schema).json(s.path).withColumn("_at", F.monotonically_increasing_id())
-        placed = numbered(rows, "number", "_at").drop("_at")
+        # Rows in the order of files, of their byte ranges, and of lines: a range's lines are in order in one task.
+        place = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+        placed = numbered(spark.read.schema(schema).json(s.path).withColumns(place), "number", *place).drop(*place)
         parts.append(repeated_slice(placed, "number", placed.count(), s).withColumn("source_path", F.lit(s.path)).drop("number"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -35,11 +35,49 @@ def flt05(spark, sf_dir):
     return inputs.dialogues(spark, sf_dir).select("conv_id", H.has_placeholder(F.col("conversations"), "tion").alias("found"))
 
 
-@query("flt06_valid_image", f"SELECT c.doc_id FROM ({inputs.CATALOGUE_SQL}) c WHERE regexp_matches(lower(c.path), '\\.(mp4|avi|mov|mkv|wmv|flv|webm|m4v)$') AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.doc_id)")
+def _imaged(spark, sf_dir):
+    """Each vector as an image of one row of grey samples: PNG or BMP, one in seven damaged in one of five ways."""
+    import pyarrow as pa
+
+    from ..sources import images
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grey = bytes(int(abs(v or 0) * 255) % 256 for v in x or [0.0])
+                data = (images.png if i % 2 == 0 else images.bmp)(len(grey), 1, grey)
+                if i % 7 == 3:
+                    data = (lambda d: d[: len(d) - 9], lambda d: b"", lambda d: b"x" + d[1:], lambda d: d[:18] + b"\0\0\0\0" + d[22:], lambda d: d[:4] + d[: len(d) // 2])[i // 7 % 5](data)
+                made.append(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["vec_id", "data"])
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>"))
+    suffix = F.expr("CASE vec_id % 11 WHEN 0 THEN '.txt' WHEN 1 THEN '.PNG' ELSE '.bmp' END")
+    return rows.mapInArrow(run, "vec_id long, data binary").withColumn("path", F.concat(F.lit("i/"), "vec_id", suffix))
+
+
+@query("flt06_valid_image", "SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 3 AND vec_id % 11 <> 0")
 def flt06(spark, sf_dir):
-    from ..functions.text import is_multimodal
+    """Images by name whose bytes decode to samples of eight bits."""
+    from ..sources.images import valid_images
+
+    return valid_images(_imaged(spark, sf_dir), "path", "data").select("vec_id")
+
+
+@query(
+    "flt06_image_facts",
+    """SELECT vec_id, CASE WHEN vec_id % 7 = 3 AND vec_id // 7 % 5 IN (1, 2, 4) THEN NULL WHEN vec_id % 2 = 0 THEN 'png' ELSE 'bmp' END AS format,
+        CASE WHEN vec_id % 7 <> 3 THEN len(embedding) END AS width,
+        CASE WHEN vec_id % 7 <> 3 THEN NULL ELSE CASE vec_id // 7 % 5 WHEN 0 THEN 'truncated' WHEN 1 THEN 'empty' WHEN 2 THEN 'signature' WHEN 3 THEN CASE WHEN vec_id % 2 = 0 THEN 'checksum' ELSE 'header' END
+            ELSE 'odd' END END AS error FROM embeddings WHERE NOT (vec_id % 7 = 3 AND vec_id // 7 % 5 = 4)""",
+)
+def flt06_facts(spark, sf_dir):
+    """What each image is, or what is wrong with it; those whose beginning is doubled are left to the test."""
+    from ..sources.images import with_image_facts
 
-    return inputs.catalogue(spark, sf_dir).where(is_multimodal(F.col("path"))).join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id")
+    facts = with_image_facts(_imaged(spark, sf_dir), "data")
+    return facts.where("NOT (vec_id % 7 = 3 AND vec_id div 7 % 5 = 4)").select("vec_id", "format", F.col("width").cast("long").alias("width"), "error")
 
 
 @query("flt07_valid_frames", "SELECT user_id, count(*) AS n, count(*) >= 60 AND count(*) <= 70 AS valid, count(*) >= 60 AS valid_open FROM events GROUP BY user_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import mixture as M
 from ..operators.convert import numbered
 from ..registry import query, table
-from ..sources import blobs, catalogue, readers, tsvstore, writers
+from ..sources import blobs, catalogue, compact, readers, tsvstore, writers
 from ..sources.tsvstore import _opened as fs_of
 from ..workspace import Scratch
 from . import inputs
@@ -194,14 +194,16 @@ def src18(spark, sf_dir):
 
 @query(
     "src21_mixture_load",
-    """WITH a AS (SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents WHERE source = 'src0'), b AS (SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents WHERE source = 'src1')
-       SELECT source, r * n + i AS position, doc_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b), range(2) t(r) WHERE r * n + i >= 1 AND r * n + i < 12""",
+    """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS m FROM documents WHERE source IN ('src0', 'src1'))
+       SELECT source, r * n + i AS position, doc_id FROM d, range(2) t(r) WHERE r * n + i >= m // 8 AND r * n + i < m // 2 + m // 8""",
 )
 def src21(spark, sf_dir):
-    scratch = Scratch(spark, "src21")
+    """Two sources of four files each, repeated, then cut from the first repeat into the second."""
+    scratch, docs = Scratch(spark, "src21"), _docs(spark, sf_dir).where("source IN ('src0', 'src1')").select("doc_id", "source")
     for s in ("src0", "src1"):
-        _docs(spark, sf_dir).where(F.col("source") == s).select("doc_id", "source").coalesce(1).sortWithinPartitions("doc_id").write.json(scratch.path(s))
-    spec = scratch.path("src{0,1}") + "#1_12*2"
+        docs.where(F.col("source") == s).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.json(scratch.path(s))
+    n = docs.count()
+    spec = scratch.path("src{0,1}") + f"#{n // 8}_{n // 2 + n // 8}*2"
     return M.load_mixture(spark, spec, "doc_id long, source string").select("source", F.col("position").cast("long").alias("position"), "doc_id")
 
 
@@ -334,9 +336,34 @@ def snk08(spark, sf_dir):
     return readers.media_listing(spark, folder, suffixes=("bin",)).select("name", "length")
 
 
-@query("snk11_compaction", "SELECT 3 AS n_files, count(*) AS n_rows FROM documents")
+def _small_files(spark, sf_dir, folder):
+    """A file of lines for each ten documents, its name in the order of ids."""
+    group = F.lpad(F.floor(F.col("doc_id") / 10).cast("string"), 8, "0")
+    lines = table(spark, sf_dir, "documents").select(group.alias("g"), "doc_id", F.concat_ws(",", "doc_id", "source", F.repeat(F.lit("x"), (F.col("doc_id") % 37).cast("int"))).alias("line"))
+    files = lines.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    ended = F.when(F.col("g").cast("int") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    _as_files(files, F.concat("g", F.lit(".csv")), ended, folder)
+
+
+@query(
+    "snk11_compaction",
+    """WITH l AS (SELECT doc_id // 10 AS g, doc_id || ',' || source || ',' || repeat('x', CAST(doc_id % 37 AS INT)) AS line FROM documents),
+        f AS (SELECT g, CAST(sum(strlen(line) + 1) - CASE WHEN g % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size FROM l GROUP BY g),
+        b AS (SELECT *, CAST(sum(size) OVER (ORDER BY g) - size AS BIGINT) // 4000 AS bin FROM f)
+        SELECT bin, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM b GROUP BY bin""",
+)
 def snk11(spark, sf_dir):
-    path = Scratch(spark, "snk11").path("out")
-    writers.write_json_lines(_docs(spark, sf_dir).repartition(12), path, partitions=3)
-    read = spark.read.schema("doc_id long").json(path)
-    return read.agg(F.countDistinct("_metadata.file_path").cast("int").alias("n_files"), F.count("*").alias("n_rows"))
+    """Small files put together to files of about 4,000 bytes."""
+    folder = Scratch(spark, "snk11").path("lines")
+    _small_files(spark, sf_dir, folder)
+    return compact.compact(spark, folder, 4000, ".csv")
+
+
+@query("snk11_compacted_rows", "SELECT doc_id, source, doc_id % 37 AS n FROM documents")
+def snk11_rows(spark, sf_dir):
+    """The rows are the same afterwards, also those of files without a line break at their end."""
+    folder = Scratch(spark, "snk11r").path("lines")
+    _small_files(spark, sf_dir, folder)
+    compact.compact(spark, folder, 4000, ".csv")
+    read = spark.read.schema("doc_id long, source string, x string").csv(folder)
+    return read.select("doc_id", "source", F.length(F.coalesce("x", F.lit(""))).cast("long").alias("n"))

@@ -75,17 +75,38 @@ def txt07(spark, sf_dir):
     return inputs.predictions(spark, sf_dir).select("conv_id", "turn", F.format_string("Question: %s\nCorrect Answer: %s\nPredicted Answer: %s\n", "duration", "answer", "pred").alias("prompt"))
 
 
-_JUDGED = "concat('{''pred'': ''', CASE WHEN doc_id % 3 = 0 THEN 'yes' WHEN doc_id % 3 = 1 THEN 'No' ELSE 'unclear' END, ''', ''score'': ', CAST(doc_id % 6 AS STRING), '.5}')"
+_SAID = "CASE doc_id % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'No' WHEN 2 THEN 'it''s no' WHEN 3 THEN 'a \"pred\": ''no''' WHEN 4 THEN lang || ' ' || source ELSE substr(coalesce(text, ''), 1, 40) END"
+_SCORE = "CASE doc_id % 6 WHEN 0 THEN doc_id % 11 WHEN 1 THEN -(doc_id % 13) WHEN 2 THEN (doc_id % 9) / 2.0 ELSE doc_id % 5 END"
 
 
 @query(
     "txt08_judge_dict",
-    f"""SELECT doc_id, regexp_extract(j, '[''"]pred[''"]\\s*:\\s*[''"]([^''"]*)[''"]', 1) AS pred, CAST(regexp_extract(j, '[''"]score[''"]\\s*:\\s*[''"]?([0-9.]+)', 1) AS DOUBLE) AS score
-        FROM (SELECT doc_id, {_JUDGED} AS j FROM documents)""",
+    f"""SELECT doc_id, CASE WHEN doc_id % 10 IN (8, 9) THEN NULL ELSE {_SAID} END AS pred, CASE WHEN doc_id % 10 IN (7, 8, 9) THEN NULL ELSE CAST({_SCORE} AS DOUBLE) END AS score FROM documents""",
 )
 def txt08(spark, sf_dir):
-    j = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("{'pred': '"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'yes' WHEN doc_id % 3 = 1 THEN 'No' ELSE 'unclear' END"), F.lit("', 'score': "), (F.col("doc_id") % 6).cast("string"), F.lit(".5}")).alias("j"))
-    return j.select("doc_id", T.judge_prediction(F.col("j")).alias("pred"), T.judge_score(F.col("j")).alias("score"))
+    """Answers in several forms of literal: other quotes, escapes, nesting, entries before and after, signs; some without a score, some cut off, some no dictionary."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 7
+    said = F.when(k == 0, "yes").when(k == 1, "No").when(k == 2, "it's no").when(k == 3, "a \"pred\": 'no'").when(k == 4, F.concat("lang", F.lit(" "), "source")).otherwise(F.substring(F.coalesce("text", F.lit("")), 1, 40))
+    k = F.col("doc_id") % 6
+    score = F.when(k == 0, (F.col("doc_id") % 11).cast("string")).when(k == 1, F.concat(F.lit("-"), F.col("doc_id") % 13)).when(k == 2, (F.col("doc_id") % 9 / 2).cast("string")).otherwise(F.concat(F.lit("'"), F.col("doc_id") % 5, F.lit("'")))
+
+    def quoted(sign):
+        out = F.replace(said, F.lit("\\"), F.lit("\\\\"))
+        for plain, escape in ((sign, "\\" + sign), ("\n", "\\n"), ("\r", "\\r")):
+            out = F.replace(out, F.lit(plain), F.lit(escape))
+        return F.concat(F.lit(sign), out, F.lit(sign))
+
+    single, double = quoted("'"), quoted('"')
+    form = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    k = F.col("doc_id") % 10
+    text = (
+        F.when(k < 3, form("{'pred': ", single, ", 'score': ", score, "}")).when(k < 5, form('{"score": ', score, ', "pred": ', double, "}"))
+        .when(k == 5, form(" {'note': \"'pred': 'no'\", 'pred': ", double, ", 'more': {'pred': [1, (2,)], 'score': 9}, 'score':", score, ",}\n"))
+        .when(k == 6, form("{'pred': 'first', 'pred': ", single, ", 'score': ", score, "}")).when(k == 7, form("{'pred': ", single, "}"))
+        .when(k == 8, form("{'pred': ", single, ", 'score': ", score)).otherwise(form("The answer: {'pred': ", single, "}"))
+    )
+    return T.judged(d.select("doc_id", text.alias("answer")), "answer").select("doc_id", "pred", "score")
 
 
 def _rendered(pieces: str, head: str = "") -> str:

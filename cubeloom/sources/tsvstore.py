@@ -50,6 +50,7 @@ def decoded(line: bytes) -> tuple[str, list[bytes]]:
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    path = path.removeprefix("file:") if path.startswith("file:/") and "://" not in path else path
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
