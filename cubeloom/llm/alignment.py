@@ -4,16 +4,18 @@ Both read a space and the text. Byte offsets where an A token and a B token end
 groups; in a group every A token is linked with every B token. An id pair's count is the number of
 documents that hold it linked.
 
-Texts are cut before a space that follows a character other than white space. No match of A's pattern
-and no piece of B spans such a place (the vocabulary is searched for one that would), so that each
-segment is encoded and aligned by itself, and each distinct one once in a while.
+Slices of documents are encoded and aligned together, as arrays: token ends are running sums of
+token sizes, groups end where both have one, and links are index arithmetic on groups. Long texts are
+cut before a space that follows a character other than white space; no match of A's pattern and no
+piece of B spans such a place (the vocabulary is searched for one that would).
 
 Method: postings, cogrouped. Each document's distinct pairs and how often it has them become postings
 by A id: one row for an A id and a slice of documents. Counts of pairs are added up before they are
-shuffled; an A id's counts are at most B's vocabulary. Counts and postings are then dealt by A id,
-those of a frequent A id by slices as well, with its counts in each, and sorted, counts first: one
-pass over a sorted stream, which Spark spills, holds the counts of one A id and turns postings into
-what they add to each document. Sums by document follow.
+shuffled; an A id's counts are at most B's vocabulary. Counts and postings are then dealt by A id to
+GROUPS groups, and by slices of documents to as many shares that a group's share has about SPLIT
+postings, each with the group's counts, and sorted, counts first: one pass over a sorted stream, which
+Spark spills, holds the counts of one A id and adds to the sums of the share's documents. A document
+so has a partial sum from each group, however many tasks there are; these are summed.
 
 Defined results: a null or empty text, and one whose tokens don't give a space and the text again
 (such as one with U+2581), has no tokens, zeros and an empty digest. Each row is a document of its
@@ -26,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,116 +38,154 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .wordbpe import byte_letters
 
-#: Documents in a slice, and their bytes of text; postings of an A id that one task meets; segments remembered, and characters of those.
-SLICE, SLICE_BYTES, SPLIT, REMEMBERED, KEPT = 1_024, 8_000_000, 1_000_000, 150_000, 48
-#: A space and what follows up to the next space behind a character that isn't white.
-_SEGMENT = re.compile(r"(?: |\A)(?:[^ ]+|(?<=[\s▁]) )*")
+#: Documents in a slice, and their characters; characters of a part of a long text; links that are expanded at once.
+SLICE, SLICE_CHARS, PART, EXPANDED = 1_024, 3_000_000, 200_000, 4_000_000
+#: Groups of A ids, and postings in a group's share.
+GROUPS, SPLIT = 16, 16_000_000
+#: A place before a space where a long text may be cut.
+_CUT = re.compile(r"[^\s▁](?= [^ ])")
+#: Characters that all versions of Unicode's tables see alike; texts with others are encoded by the tokenizer's own library.
+_KNOWN = re.compile(r"[\x00-\u052f\u2000-\u2064\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_loaded: dict[tuple[str, str], "Aligner"] = {}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
 
-class Segment:
-    """What a segment adds: tokens, groups and links, groups as text, pairs (A id times 2^32 plus B id) and how often."""
+class Side:
+    """What a tokenizer's ids stand for: their bytes, sizes, and their numbers followed by a comma or by the side's own end."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times", "bytes_b")
+    def __init__(self, known: dict[int, bytes], end: str):
+        n = max(known) + 1
+        self.bytes = np.array([known.get(i, b"") for i in range(n)], object)
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.inner, self.last = (np.array([f"{i}{c}" for i in range(n)], object) for c in (",", end))
 
-    def __init__(self, ids_a: list[int], ids_b: list[int], sizes_a: list[int], sizes_b: list[int], bytes_b: bytes | None):
-        self.n_a, self.n_b, self.bytes_b = len(ids_a), len(ids_b), bytes_b
-        groups, pairs, links = [], Counter(), 0
-        i = j = at_a = at_b = low_i = low_j = 0
-        while i < len(ids_a) or j < len(ids_b):
-            if at_a <= at_b:
-                at_a += sizes_a[i]
-                i += 1
-            else:
-                at_b += sizes_b[j]
-                j += 1
-            if at_a == at_b:
-                a, b = ids_a[low_i:i], ids_b[low_j:j]
-                groups.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-                links += len(a) * len(b)
-                if len(a) == len(b) == 1:
-                    pairs[a[0] << 32 | b[0]] += 1
-                else:
-                    of_b = Counter(b)
-                    for x, m in Counter(a).items():
-                        for y, n in of_b.items():
-                            pairs[x << 32 | y] += m * n
-                low_i, low_j = i, j
-        self.n_groups, self.n_links, self.groups = len(groups), links, ";".join(groups)
-        self.pairs = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        self.times = np.fromiter(pairs.values(), np.int64, len(pairs))
-
-
-class Aligner(dict):
-    """Segments by their text. bytes_b is only kept where B doesn't give the segment again."""
+
+class Tokenizers:
+    """Both tokenizers. A's merges are done by tiktoken's core where its vocabulary's ids are in the order of the merges, which comes to the same."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path_a)
+        self.whole.encode_special_tokens = True
         with open(path_a, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, special = file["model"]["vocab"], {t["content"] for t in file["added_tokens"]}
         letters = byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items() if all(c in letters for c in token)}
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) and self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        #: Whether no piece goes on over a space, so that segments are independent.
-        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
-
-    def __missing__(self, text: str) -> Segment:
-        ids_a = self.a.encode(text, add_special_tokens=False).ids
-        ids_b = self.b.encode(text[1:])
-        a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        joined, own = b"".join(b), text.encode()
-        good = joined == own and b"".join(a) == own
-        out = Segment(ids_a, ids_b, list(map(len, a)), list(map(len, b)), None) if good else Segment([], [], [], [], joined)
-        if len(text) <= KEPT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[text] = out
-        return out
-
-    def segments(self, text: str) -> list[str]:
-        if not self.apart:
-            return [" " + text]
-        out = [s for s in _SEGMENT.findall(" " + text) if s]
-        return [*out[:-2], out[-2] + " "] if out[-1] == " " else out  # B's own space wouldn't stand for a last one
-
-
-def load(path_a: str, path_b: str) -> Aligner:
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        made = [vocabulary[x + y] for x, y in (m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"])]
+        own = file["pre_tokenizer"]
+        ordered = made == sorted(set(made)) and len(made) + 256 == len(ranks) and own["type"] == "ByteLevel" and own["use_regex"] and not own["add_prefix_space"] and not file["normalizer"]
+        self.fast = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
+        self.a = Side({i: token for token, i in ranks.items()}, "|")
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        listed = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
+        self.b = Side({i: bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) and self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(listed)}, ";")
+        #: Whether no piece goes on over a space, so that parts of a text are independent.
+        self.apart = not any("▁" in p.lstrip("▁") for p in listed)
+
+    def parts(self, text: str, size: int = PART) -> list[str]:
+        """A space and the text, cut in parts that begin with a space."""
+        text, out, lo = " " + text, [], 0
+        while self.apart and len(text) - lo > size and (cut := _CUT.search(text, lo + size)):
+            out.append(text[lo : cut.end()])
+            lo = cut.end()
+        return [*out, text[lo:]]
+
+    def ids_a(self, part: str) -> list[int]:
+        if self.fast is not None and _KNOWN.fullmatch(part):
+            return self.fast.encode_ordinary(part)
+        return self.whole.encode(part, add_special_tokens=False).ids
+
+
+def load(path_a: str, path_b: str) -> Tokenizers:
     """Both tokenizers, once in each Python worker."""
     if (path_a, path_b) not in _loaded:
-        _loaded[path_a, path_b] = Aligner(path_a, path_b)
+        _loaded[path_a, path_b] = Tokenizers(path_a, path_b)
     return _loaded[path_a, path_b]
 
 
-def aligned(text: str, own: Aligner) -> tuple[list, np.ndarray, np.ndarray]:
-    """n_a, n_b, n_groups, n_links and groups_sha256 of a text, its distinct pairs in order and how often it has each."""
-    nothing = np.zeros(0, np.int64)
-    if not text:
-        return [0, 0, 0, 0, ""], nothing, nothing
-    listed = own.segments(text)
-    times = Counter(listed)
-    held = {s: own[s] for s in times}
-    # A gives every segment again, and B only ever shortens one (U+2581 becomes a space), so that no segment makes up for another.
-    if any(s.bytes_b is not None for s in held.values()):
-        return [0, 0, 0, 0, ""], nothing, nothing
-    digest = hashlib.sha256()
-    for lo in range(0, len(listed), 4096):
-        digest.update((";" * (lo > 0) + ";".join([held[s].groups for s in listed[lo : lo + 4096]])).encode())
-    each = [(held[s], n) for s, n in times.items()]
-    pairs = np.concatenate([s.pairs for s, _ in each])
-    counts = np.concatenate([s.times * n for s, n in each])
-    pairs, where = np.unique(pairs, return_inverse=True)
-    total = np.zeros(len(pairs), np.int64)
-    np.add.at(total, where, counts)
-    sums = [sum(getattr(s, c) * n for s, n in each) for c in ("n_a", "n_b", "n_groups", "n_links")]
-    return [*sums, digest.hexdigest()], pairs, total
+def _encoded_texts(texts: list[str], own: Tokenizers) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Ids of each text by both, none where they don't give the text again."""
+    parts = [own.parts(t) if t else [] for t in texts]
+    ids_b = iter(own.pieces.encode([p[1:] for listed in parts for p in listed], num_threads=1))
+    a, b = [], []
+    for text, listed in zip(texts, parts):
+        x = np.array([i for p in listed for i in own.ids_a(p)], np.int64)
+        y = np.array([i for _ in listed for i in next(ids_b)], np.int64)
+        whole = (" " + text).encode()
+        if own.a.sizes[x].sum() != len(whole) or b"".join(own.b.bytes[y]) != whole:
+            x = y = x[:0]
+        a.append(x)
+        b.append(y)
+    return a, b
+
+
+def _distinct(doc: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct (document, A id, B id) in order of A id, B id and document, and how often."""
+    order = np.lexsort((doc, b, a))
+    doc, a, b = doc[order], a[order], b[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(new, len(doc))) if times is None else np.add.reduceat(times[order], new) if len(new) else new
+    return doc[new], a[new], b[new], sums
+
+
+def aligned(texts: list[str], own: Tokenizers) -> tuple[list[list], tuple[np.ndarray, ...]]:
+    """n_a, n_b, n_groups, n_links and groups_sha256 of each text; and all distinct pairs: text's place, A id, B id, times."""
+    lists_a, lists_b = _encoded_texts(texts, own)
+    a, b = np.concatenate(lists_a), np.concatenate(lists_b)
+    first_a, first_b = (np.concatenate([[0], np.cumsum([len(x) for x in lists])]) for lists in (lists_a, lists_b))
+    ends_a, ends_b = np.cumsum(own.a.sizes[a]), np.cumsum(own.b.sizes[b])
+    cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
+    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    p, q = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+    start_b = np.concatenate([[0], np.cumsum(q)])[:-1]
+    # Groups as text: numbers in order, each with what follows it.
+    last_a = np.append(group_a[1:] != group_a[:-1], True)[: len(a)]
+    last_b = np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
+    listed = np.empty(len(a) + len(b), object)
+    listed[np.arange(len(a)) + start_b[group_a]] = np.where(last_a, own.a.last[a], own.a.inner[a])
+    listed[np.arange(len(b)) + np.cumsum(p)[group_b]] = np.where(last_b, own.b.last[b], own.b.inner[b])
+    bounds = np.searchsorted(group_a, np.arange(len(cuts)))
+    links = np.concatenate([[0], np.cumsum(p * q)])
+    counts, found = [], []
+    for k in range(len(texts)):
+        lo, hi, lo_b, hi_b = first_a[k], first_a[k + 1], first_b[k], first_b[k + 1]
+        if lo == hi:
+            counts.append([0, 0, 0, 0, ""])
+            continue
+        groups = (int(group_a[lo]), int(group_a[hi - 1]) + 1)
+        text = "".join(listed[lo + lo_b : hi + hi_b])[:-1]
+        counts.append([int(hi - lo), int(hi_b - lo_b), groups[1] - groups[0], int(links[groups[1]] - links[groups[0]]), hashlib.sha256(text.encode()).hexdigest()])
+    of = np.repeat(np.arange(len(texts)), np.diff(first_a))
+    # Groups whose tokens are expanded to links, and large ones, whose distinct ids are paired instead.
+    large = p * q > EXPANDED // 64
+    for lo, hi in _spans(np.where(large, 0, p * q)):
+        some = slice(int(bounds[lo]), int(bounds[hi]) if hi < len(cuts) else len(a))
+        g = group_a[some]
+        n = np.where(large[g], 0, q[g])
+        ends = np.cumsum(n)
+        at = np.repeat(start_b[g] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        found.append(_distinct(np.repeat(of[some], n), np.repeat(a[some], n), b[at]))
+    for g in np.flatnonzero(large).tolist():
+        lo = int(bounds[g])
+        (x, m), (y, n) = (np.unique(v, return_counts=True) for v in (a[lo : lo + p[g]], b[start_b[g] : start_b[g] + q[g]]))
+        found.append((np.full(len(x) * len(y), of[lo]), np.repeat(x, len(y)), np.tile(y, len(x)), np.outer(m, n).ravel()))
+    if not found:
+        return counts, _distinct(*[np.zeros(0, np.int64)] * 3)
+    return counts, found[0] if len(found) == 1 else _distinct(*map(np.concatenate, zip(*found)))
+
+
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of groups with about EXPANDED links each."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + EXPANDED, "right")))
+        yield lo, hi
+        lo = hi
 
 
 _ENCODED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, offsets array<int>, b array<int>, times array<long>"
@@ -157,99 +196,106 @@ def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     kinds = [pa.int64()] * 6 + [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in _ENCODED.split(", ")]
 
-    def flushed(rows: list[list], found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        n = len(rows)
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+    def flushed(held: list[tuple], own: Tokenizers) -> Iterator[pa.RecordBatch]:
+        n = len(held)
+        ids, texts = [(row, doc) for row, doc, _ in held], [t for _, _, t in held]
+        counts, (doc, a, b, times) = aligned(texts, own)
+        columns = [pa.array(c, t) for c, t in zip(zip(*[(*x, *y) for x, y in zip(ids, counts)]), kinds)]
         yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, t) for t in kinds[7:])], names)
-        pairs = np.concatenate([p for _, p, _ in found])
-        if not len(pairs):
+        if not len(a):
             return
-        times = np.concatenate([t for _, _, t in found])
-        row = np.repeat(np.array([r for r, _, _ in found], np.int64), [len(p) for _, p, _ in found])
-        order = np.argsort(pairs, kind="stable")
-        a, b = pairs[order] >> 32, pairs[order] & 0xFFFFFFFF
         starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         offsets = pa.array(np.append(starts, len(a)).astype(np.int32))
-        base = int(row.min())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in ((row[order] - base).astype(np.int32), b.astype(np.int32), times[order])]
+        rows = np.array([row for row, _ in ids], np.int64)
+        base = int(rows.min())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in ((rows[doc] - base).astype(np.int32), b.astype(np.int32), times.astype(np.int64))]
         k = len(starts)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(k, base)), *(pa.nulls(k, t) for t in kinds[1:7]), pa.array(a[starts].astype(np.int32)), *lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path_a, path_b)
-        rows, found, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = text.as_py() or ""
-                counts, pairs, times = aligned(text, own)
-                rows.append([row, doc, *counts])
-                found.append((row, pairs, times))
-                size += len(text)
-                if len(rows) >= SLICE or size >= SLICE_BYTES:
-                    yield from flushed(rows, found)
-                    rows, found, size = [], [], 0
-        if rows:
-            yield from flushed(rows, found)
+                held.append((row, doc, text.as_py() or ""))
+                size += len(held[-1][2])
+                if len(held) >= SLICE or size >= SLICE_CHARS:
+                    yield from flushed(held, own)
+                    held, size = [], 0
+        if held:
+            yield from flushed(held, own)
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, _ENCODED)
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What sorted postings add to each document: a, salt, row, offsets, b, times; counts of an A id come first, with a null row and counts as times."""
-    now, ids, counts = None, None, None
+    """What sorted postings add to each document of a share: grp, share, a, row, offsets, b, times; counts of an A id come first, with a null row and counts as times."""
+    share = now = ids = counts = None
+    best: dict[int, np.ndarray] = {}
+    total: dict[int, np.ndarray] = {}
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for base in list(total):
+            x, y = best.pop(base), total.pop(base)
+            at = np.flatnonzero(y)
+            yield pa.RecordBatch.from_arrays([pa.array(at + base), pa.array(x[at]), pa.array(y[at])], ["row", "n_best", "count_sum"])
+
     for batch in batches:
-        heads = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        base = batch.column(2)
+        shares = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        heads = batch.column(2).to_pylist()
+        base = batch.column(3)
         is_count = np.asarray(base.is_null())
         base = np.asarray(base.fill_null(0))
-        edge = {name: np.asarray(batch.column(i).offsets) for i, name in ((3, "offsets"), (4, "b"), (5, "times"))}
-        flat = {name: np.asarray(batch.column(i).values) for i, name in ((3, "offsets"), (4, "b"), (5, "times"))}
-        rows, best, total = [], [], []
+        edge, flat = ({n: np.asarray(f(batch.column(i))) for i, n in ((4, "offsets"), (5, "b"), (6, "times"))} for f in (lambda c: c.offsets, lambda c: c.values))
         i = 0
         while i < len(heads):
+            if shares[i] != share:
+                yield from flushed()
+                share = shares[i]
             if is_count[i]:
-                now = heads[i]
+                now = (share, heads[i])
                 ids, counts = (flat[c][edge[c][i] : edge[c][i + 1]] for c in ("b", "times"))
                 order = np.argsort(ids)
                 ids, counts = ids[order], counts[order]
                 i += 1
                 continue
-            if heads[i] != now:
+            if (share, heads[i]) != now:
                 raise ValueError("postings without their counts")
             j = i + 1
-            while j < len(heads) and heads[j] == now and not is_count[j]:
+            while j < len(heads) and shares[j] == share and heads[j] == heads[i] and not is_count[j]:
                 j += 1
-            cut = lambda c: flat[c][edge[c][i] : edge[c][j]]  # noqa: B023,E731
-            sizes = np.diff(edge["b"][i : j + 1])
-            count, times = counts[np.searchsorted(ids, cut("b"))], cut("times")
-            rows.append(np.repeat(base[i:j], sizes) + cut("offsets"))
-            best.append(np.where(count == counts.max(), times, 0))
-            total.append(times * count)
+            lo, hi = edge["b"][i], edge["b"][j]
+            count, times, offsets = counts[np.searchsorted(ids, flat["b"][lo:hi])], flat["times"][edge["times"][i] : edge["times"][j]], flat["offsets"][edge["offsets"][i] : edge["offsets"][j]]
+            top = np.where(count == counts.max(), times, 0)
+            sums = times * count
+            for k in range(i, j):
+                own = slice(edge["b"][k] - lo, edge["b"][k + 1] - lo)
+                key, size = int(base[k]), int(offsets[own].max()) + 1
+                if key not in total or len(total[key]) < size:
+                    for held in (best, total):
+                        held[key] = np.concatenate([held.get(key, np.zeros(0, np.int64)), np.zeros(max(SLICE, size) - len(held.get(key, ())), np.int64)])
+                np.add.at(best[key], offsets[own], top[own])
+                np.add.at(total[key], offsets[own], sums[own])
             i = j
-        if rows:
-            row, where = np.unique(np.concatenate(rows), return_inverse=True)
-            sums = []
-            for values in (best, total):
-                s = np.zeros(len(row), np.int64)
-                np.add.at(s, where, np.concatenate(values))
-                sums.append(pa.array(s))
-            yield pa.RecordBatch.from_arrays([pa.array(row), *sums], ["row", "n_best", "count_sum"])
+    yield from flushed()
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, split: int = SPLIT, scratch: Scratch | None = None) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, split: int = SPLIT, groups: int = GROUPS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of docs."""
     scratch = scratch or Scratch(docs.sparkSession, "align")
     every = scratch.save(encoded(docs, path_a, path_b), "encoded")
     postings = every.where("a IS NOT NULL").select("a", "row", "offsets", "b", "times")
     counts = postings.select("a", F.explode("b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     listed = counts.groupBy("a").agg(F.sum("n").alias("postings"), F.collect_list("b").alias("b"), F.collect_list("n").alias("times"))
-    listed = scratch.save(listed.withColumn("salts", F.ceil(F.col("postings") / F.lit(split)).cast("int")), "counts")
-    salts = listed.where("salts > 1").select("a", "salts")  # an A id in more than ``split`` postings: at most the vocabulary
-    dealt = postings.join(F.broadcast(salts), "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), "salts"), F.lit(0)).cast("int"))
-    each = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    first = each.select("a", "salt", F.lit(None).cast("long").alias("row"), F.expr("transform(b, x -> 0)").alias("offsets"), "b", "times")
-    stream = first.unionByName(dealt.select("a", "salt", "row", "offsets", "b", "times"))
-    stream = stream.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("row").asc_nulls_first())
+    group = F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int").alias("grp")
+    listed = scratch.save(listed.withColumn("grp", group), "counts")
+    most = listed.groupBy("grp").agg(F.sum("postings").alias("n")).agg(F.max("n")).first()[0] or 0
+    shares = -(-most // split) or 1
+    each = listed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    first = each.select("grp", "share", "a", F.lit(None).cast("long").alias("row"), F.expr("transform(b, x -> 0)").alias("offsets"), "b", "times")
+    dealt = postings.select(group, F.pmod(F.xxhash64("row"), F.lit(shares)).cast("int").alias("share"), "a", "row", "offsets", "b", "times")
+    stream = first.unionByName(dealt).repartition(4 * groups * shares, "grp", "share")
+    stream = stream.sortWithinPartitions("grp", "share", "a", F.col("row").asc_nulls_first())
     sums = stream.mapInArrow(_contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     out = every.where("a IS NULL").join(sums, "row", "left")
     none = F.lit(0).cast("long")

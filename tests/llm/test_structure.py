@@ -269,7 +269,7 @@ def fields(df):
     return [(r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in df.collect()]
 
 
-@pytest.mark.parametrize("split", [alignment.SPLIT, 3])
+@pytest.mark.parametrize("split", [alignment.SPLIT, 1_000])
 def test_alignment(spark, tokenizers, split, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE", 7)
     texts = [r[1] for r in edge_rows()] + HARD + [prose(80, i) for i in range(25)]
@@ -283,15 +283,30 @@ def test_alignment_query(spark, sf_dir, tokenizers):
     assert fields(queries.op13_alignment(spark, sf_dir).orderBy("doc_id")) == align_by_force([r.text for r in docs], tokenizers)
 
 
-def test_segments_are_the_text(tokenizers):
+def test_parts_are_the_text(tokenizers):
+    """Parts of a few characters give the whole's ids, and tiktoken's core those of the tokenizer's own library."""
     own = alignment.load(*map(queries.vocabulary, queries.ALIGNED_VOCABULARIES))
-    assert own.apart
+    assert own.apart and own.fast is not None
     r = random.Random(8)
-    for _ in range(3000):
-        text = "".join(r.choice(["a", "b ", " ", "\n", "▁", "\xa0", "é", "'s", "1", ".", "日", "\t"]) for _ in range(r.randrange(1, 25)))
-        assert "".join(own.segments(text)) == " " + text
-        assert [i for s in own.segments(text) for i in own.a.encode(s).ids] == own.a.encode(" " + text).ids
-        assert [i for s in own.segments(text) for i in own.b.encode(s[1:])] == own.b.encode(text)
+    letters = ["a", "b ", " ", "\n", "▁", "\xa0", "é", "'s", "1", ".", "日", "\t", "\x1c", "\x85", "\u2028", "я", "ʼ", "½", "'ll", "A", "한", "\u200b", "\ufeff"]
+    for _ in range(6000):
+        text = "".join(r.choice(letters) for _ in range(r.randrange(1, 25)))
+        parts = own.parts(text, 3)
+        assert "".join(parts) == " " + text
+        whole = own.whole.encode(" " + text, add_special_tokens=False).ids
+        assert [i for p in parts for i in own.ids_a(p)] == whole and own.ids_a(" " + text) == whole
+        assert [i for p in parts for i in own.pieces.encode(p[1:])] == own.pieces.encode(text)
+
+
+def test_large_groups(tokenizers, monkeypatch):
+    """Groups beyond the bound, and links expanded piece by piece."""
+    own = alignment.load(*map(queries.vocabulary, queries.ALIGNED_VOCABULARIES))
+    texts = ["  " * 40 + "end", "日本語" * 30, prose(50, 1), "", "x▁y", " " * 33, prose(20, 2)]
+    want = alignment.aligned(texts, own)
+    for bound in (64, 640):
+        monkeypatch.setattr(alignment, "EXPANDED", bound)
+        got = alignment.aligned(texts, own)
+        assert got[0] == want[0] and all((x == y).all() for x, y in zip(got[1], want[1]))
 
 
 def test_alignment_of_nothing(spark):
