@@ -11,8 +11,10 @@
 4. Where a bucket still holds members of different components, pairs that aren't of the star are
    tested on the full sets, each pair in its first shared bucket only: strays (members outside of
    the bucket's largest component) against those of other components. Members go in blocks to each
-   block of strays, so that rows and time grow with strays times members, and with members alone
-   where a bucket's strays fit in a block. Only links that join two components leave the task.
+   block of strays, so that rows grow with strays times members, and with members alone where a
+   bucket's strays fit in a block. In a block only sets that share one of their rarest elements are
+   compared (as many of these as two similar sets can't both do without). Only links that join two
+   components leave the task.
 
 With 32 bands of 5 rows, a pair at similarity 0.8 misses all buckets with a chance of 3e-6.
 
@@ -37,7 +39,7 @@ from .components import components
 
 BANDS, ROWS, PERCENT = 32, 5, 80
 #: Shingles and members in a block of a bucket, and members that one copy of a star's set meets.
-BLOCK_SHINGLES, BLOCK_MEMBERS, STAR_MEMBERS = 250_000, 1_000, 500
+BLOCK_SHINGLES, BLOCK_MEMBERS, STAR_MEMBERS = 500_000, 4_000, 500
 _C = [np.uint64(c) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -160,30 +162,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sent.join(stars, ["b", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def prefixes(where: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Places of each set's rarest elements, as many as two similar sets must have one of in common: all but percent of its elements, and one.
+
+    Elements are ranked by how many of the block's sets hold them, then by their number, alike in all sets."""
+    order = np.lexsort((where, counts[where], owner))
+    first = np.concatenate([[0], np.cumsum(n)])[:-1]
+    place = np.arange(len(order)) - first[owner[order]]
+    return order[place < (n + (-percent * n // 100) + 1)[owner[order]]]
+
+
 def block_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join components among a block's rows: node, component, n, set, bands, bucket, stray, and asks (a stray's row for its side of the block)."""
+    """Links that join components among a block's rows: node, component, n, set, bands, bucket, stray, and asks (a stray's row for its side of the block).
+
+    Only rows that share an element of their prefixes are compared, so that what all of a bucket's sets have in common costs nothing."""
     node, comp, n, stray, asks = (table.column(c).to_numpy() for c in ("node", "component", "n", "stray", "asks"))
     bands = np.stack([np.asarray(x.values) for x in table.column("bands")])
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
-    values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    of = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    of = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sets)), sizes)
     band = int(np.flatnonzero((bands == bands[0]).all(0) & (bands[0] == table.column("bucket")[0].as_py()))[0])
     names, comp_ids = np.unique(comp, return_inverse=True)
     group = np.arange(len(names))  # components joined in this task
+    # Answering rows by the elements of their prefixes, and each asking row's own prefix.
+    held = prefixes(where, counts, owner, sizes, percent)
+    ask = asks[owner[held]]
+    mine, theirs = held[ask], held[~ask]
+    theirs = theirs[np.argsort(where[theirs], kind="stable")]
+    keys, rows = where[theirs], owner[theirs]
+    own_of = np.searchsorted(owner[mine], np.arange(len(sets) + 1))
     links = []
     mark = np.zeros(len(values), np.int32)
     for x in np.flatnonzero(asks).tolist():
-        other = ~asks & (group[comp_ids] != group[comp_ids[x]]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-        other &= ~stray | (node > node[x])  # two strays meet twice
-        at = np.flatnonzero(other)
+        wanted = where[mine[own_of[x] : own_of[x + 1]]]
+        low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+        at = np.unique(np.concatenate([rows[i:j] for i, j in zip(low.tolist(), high.tolist())])) if len(wanted) else wanted
+        other = (group[comp_ids[at]] != group[comp_ids[x]]) & (100 * np.minimum(n[at], n[x]) >= percent * np.maximum(n[at], n[x]))
+        other &= ~stray[at] | (node[at] > node[x])  # two strays meet twice
+        at = at[other]
         at = at[~(bands[at, :band] == bands[x, :band]).any(1)] if len(at) else at
         if not len(at):
             continue
         mark[where[of[x] : of[x + 1]]] = 1
-        sizes = of[at + 1] - of[at]
-        ends = np.cumsum(sizes)
-        places = np.repeat(of[at] - ends + sizes, sizes) + np.arange(ends[-1])
-        common = np.add.reduceat(mark[where[places]], ends - sizes)
+        ends = np.cumsum(sizes[at])
+        places = np.repeat(of[at] - ends + sizes[at], sizes[at]) + np.arange(ends[-1])
+        common = np.add.reduceat(mark[where[places]], ends - sizes[at])
         mark[where[of[x] : of[x + 1]]] = 0
         for y in at[_similar(common, n[x], n[at], percent)].tolist():
             if group[comp_ids[y]] != group[comp_ids[x]]:
