@@ -13,7 +13,7 @@
    the bucket's largest component) against those of other components. Members go in blocks to each
    block of strays, so that rows grow with strays times members, and with members alone where a
    bucket's strays fit in a block. In a block only sets that share one of their rarest elements are
-   compared (as many of these as two similar sets can't both do without). Only links that join two
+   compared (as many of these as two similar sets can't both do without), and enough is left from it on. Only links that join two
    components leave the task.
 
 With 32 bands of 5 rows, a pair at similarity 0.8 misses all buckets with a chance of 3e-6.
@@ -162,14 +162,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sent.join(stars, ["b", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def prefixes(where: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Places of each set's rarest elements, as many as two similar sets must have one of in common: all but percent of its elements, and one.
+def prefixes(where: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each set's rarest elements, as many as two similar sets must have one of in common (all but percent of its elements, and one), and each one's rank in its set.
 
     Elements are ranked by how many of the block's sets hold them, then by their number, alike in all sets."""
     order = np.lexsort((where, counts[where], owner))
     first = np.concatenate([[0], np.cumsum(n)])[:-1]
     place = np.arange(len(order)) - first[owner[order]]
-    return order[place < (n + (-percent * n // 100) + 1)[owner[order]]]
+    taken = place < (n + (-percent * n // 100) + 1)[owner[order]]
+    return order[taken], place[taken]
 
 
 def block_links(table: pa.Table, percent: int) -> pa.Table:
@@ -187,18 +188,25 @@ def block_links(table: pa.Table, percent: int) -> pa.Table:
     names, comp_ids = np.unique(comp, return_inverse=True)
     group = np.arange(len(names))  # components joined in this task
     # Answering rows by the elements of their prefixes, and each asking row's own prefix.
-    held = prefixes(where, counts, owner, sizes, percent)
+    held, rank = prefixes(where, counts, owner, sizes, percent)
     ask = asks[owner[held]]
-    mine, theirs = held[ask], held[~ask]
-    theirs = theirs[np.argsort(where[theirs], kind="stable")]
+    mine, my_rank = held[ask], rank[ask]
+    by = np.argsort(where[held[~ask]], kind="stable")
+    theirs, their_rank = held[~ask][by], rank[~ask][by]
     keys, rows = where[theirs], owner[theirs]
+    #: What is left of an answering set from an element on.
+    rest = sizes[rows] - their_rank
     own_of = np.searchsorted(owner[mine], np.arange(len(sets) + 1))
     links = []
     mark = np.zeros(len(values), np.int32)
     for x in np.flatnonzero(asks).tolist():
-        wanted = where[mine[own_of[x] : own_of[x + 1]]]
+        own = slice(own_of[x], own_of[x + 1])
+        wanted = where[mine[own]]
         low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
-        at = np.unique(np.concatenate([rows[i:j] for i, j in zip(low.tolist(), high.tolist())])) if len(wanted) else wanted
+        met = np.repeat(high - np.cumsum(high - low), high - low) + np.arange((high - low).sum())
+        # Sets whose first common element this is have no more in common than what is left of either from it on.
+        most = np.minimum(rest[met], np.repeat(sizes[x] - my_rank[own], high - low))
+        at = np.unique(rows[met[(100 + percent) * most >= percent * (sizes[x] + sizes[rows[met]])]])
         other = (group[comp_ids[at]] != group[comp_ids[x]]) & (100 * np.minimum(n[at], n[x]) >= percent * np.maximum(n[at], n[x]))
         other &= ~stray[at] | (node[at] > node[x])  # two strays meet twice
         at = at[other]
