@@ -1,8 +1,9 @@
 """Secret scan: candidates by patterns, false positives removed by a random forest.
 
-One regular expression finds candidates: known key formats, values assigned to telling names (which
-may have a prefix, as in DB_PASSWORD=), passwords in URLs, values of NAME=value where that is long,
-and long bare tokens; a name is no part of its value. Each is described by its length, its character
+One regular expression finds candidates: known key formats, private keys with or without their end
+line, values of VALUE_LENGTH characters or more assigned to telling names (which may have a prefix or
+a tail, as in DB_PASSWORD= and secret_key:), passwords in URLs, values of NAME=value where that is
+long, and long bare tokens; a name is no part of its value. Each is described by its length, its character
 classes and transitions, the part covered by dictionary words, its path, and the neighbouring words;
 a random forest trained on labelled findings says whether it is a secret.
 
@@ -35,23 +36,32 @@ TRAINING_ROWS, TREES, DEPTH, SEED = 6_000, 24, 7, 11
 THRESHOLD = 0.5
 MARK = "[SECRET]"
 CONTEXT = 48
-_NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?"
-#: Up to the end line, or not at all; its header lines (RFC 1421) may hold hyphens, the body doesn't.
-_PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+){0,9}[^-]*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_NAMES = "token|secret|passwd|password|passphrase|passcode|pass|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|(?<![a-z0-9])key|credentials?"
+#: What may stand between a telling name and the sign: secret_key, token2, passwordHash, credentials.
+_TAIL = "(?:[_-][A-Za-z0-9_-]{0,31}|[A-Z0-9][A-Za-z0-9]{0,31}|s)?"
+_NAMED = rf"(?:(?i:{_NAMES})|(?<=[a-z])Key){_TAIL}"
+#: The least length of a value behind a telling name.
+VALUE_LENGTH = 4
+#: Header lines (RFC 1421) may hold hyphens, the body doesn't.
+_HEADERS = r"(?:\s*+[A-Za-z][A-Za-z-]{0,30}+:(?:(?!-----BEGIN)[^\n])*+)*+"
+#: A key without its end line: full lines of base64, and a shorter one that is padded or ends the text.
+_CUT = r"""(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{40,}+)++(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{1,39}+(?:={1,2}|(?=["'\s]*+(?![\s\S]))))?"""
+_PEM = rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----{_HEADERS}(?:[^-]*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|{_CUT})"
 _KNOWN = rf"{_PEM}|(?<![A-Za-z0-9_])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{{36,}}+|(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{{10,}}+|(?<![A-Za-z0-9_])sk_live_[0-9A-Za-z]{{16,}}+|(?<![A-Za-z0-9_])AIza[0-9A-Za-z_-]{{35}}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{{10,}}+\.[A-Za-z0-9_-]{{10,}}+\.[A-Za-z0-9_-]{{10,}}+"
 #: A long name in front is a bare match of its own, so the name can lie before the match. Looking ahead first is what's cheap.
-_ASSIGNED = rf"""(?:(?i:{_NAMES})|(?=["'\s:=])(?<=(?i:{_NAMES})))["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?:{_PEM}|[^\s"'<>,;]{{8,}}+)"""
+_SIGN = r"""["']?\s{0,3}[:=]"""
+_ASSIGNED = rf"""(?:{_NAMED}|(?={_SIGN})(?<={_NAMED})){_SIGN}\s{{0,3}}["']?(?:{_PEM}|[^\s"'<>,;]{{{VALUE_LENGTH},}}+)"""
 #: The password in scheme://user:password@host.
 _URL = r"""://[^\s/:@"'<>]*+:[^\s/@"'<>]{3,}+(?=@)"""
 #: NAME=value of 20 characters or more under any other name; telling names and known keys inside it are left to their own patterns.
-_PAIR = rf"""(?:(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/=-]{{20}})(?![A-Za-z0-9_+/=-]*?(?:(?i:{_NAMES})["']?\s{{0,3}}[:=]|=(?:{_KNOWN})))[A-Za-z0-9_+/-]{{0,19}}|(?==)(?<=[A-Za-z0-9_+/-]{{20}})(?!=(?:{_KNOWN})))=[A-Za-z0-9_+/=-]{{8,}}+"""
+_PAIR = rf"""(?:(?<![A-Za-z0-9_+/=-])(?=[A-Za-z0-9_+/=-]{{20}})(?![A-Za-z0-9_+/=-]*?(?:{_NAMED}{_SIGN}|=(?:{_KNOWN})))[A-Za-z0-9_+/-]{{0,19}}|(?==)(?<=[A-Za-z0-9_+/-]{{20}})(?!=(?:{_KNOWN})))=[A-Za-z0-9_+/=-]{{8,}}+"""
 #: '=' is padding at the end only, not what stands between a name and a value.
 _BARE = r"""(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?:={1,2}(?!=|["']?[^\s"'<>,;:.)\]}&]))?"""
 PATTERN = f"{_KNOWN}|{_ASSIGNED}|{_URL}|{_PAIR}|{_BARE}"
 #: Whatever PATTERN matches has a sign of an assignment, or one of these: a test that is much cheaper, for texts that have none.
 _HINT = r"[A-Za-z0-9_+/=-]{20}|xox[abprs]-|eyJ|-----BEGIN"
 #: The part of an assignment before its value.
-_PREFIX = rf"""^(?:://[^\s/:@"'<>]*:|(?i:{_NAMES})?["']?\s{{0,3}}[:=]\s{{0,3}}["']?|[A-Za-z0-9_+/-]{{0,19}}=(?=.{{8}}))"""
+_PREFIX = rf"""^(?:://[^\s/:@"'<>]*:|(?:(?i:{_NAMES}|key){_TAIL})?{_SIGN}\s{{0,3}}["']?|[A-Za-z0-9_+/-]{{0,19}}=(?=.{{8}}))"""
 #: Words of the dictionary, and the least length of one.
 DICTIONARY_WORDS, DICTIONARY_FILE, WORD_LENGTH = 8_000, "word_bpe_49k.json", 4
 _BIGRAMS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le"
@@ -136,15 +146,20 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
     key = lambda salt: f"sha2(concat('{seed}-{salt}-', id), 256)"
     b64 = lambda salt, n: f"substring(regexp_replace(base64(unhex(concat({key(salt)}, {key(salt + 'x')}))), '\\\\s', ''), 1, {n})"
     pick = lambda salt, *options: f"element_at(array({', '.join(repr(o) for o in options)}), cast(conv(substring({key(salt)}, 1, 6), 16, 10) AS int) % {len(options)} + 1)"
-    name = f"concat({pick('name', 'token', 'secret', 'api_key', 'apikey', 'password', 'passwd', 'pwd', 'access_key', 'auth_key', 'credential', 'private_key')}, {pick('sign', '=', ' = ', ': ', ':', '\": ')}, {pick('open', '', '\"', chr(39))})"
+    name = f"concat({pick('name', 'token', 'secret', 'api_key', 'apikey', 'password', 'passwd', 'pwd', 'access_key', 'auth_key', 'credential', 'private_key', 'secret_key', 'token_v2', 'passphrase', 'db_pass', 'key', 'clientSecret', 'pass')}, {pick('sign', '=', ' = ', ': ', ':', '\": ')}, {pick('open', '', '\"', chr(39))})"
     quote = pick("quote", "\"", "'", " ", "\n")
     hash_ = pick("hash", "commit ", "sha1 ", "md5: ", "sha256-", "checksum = ", "uuid ", "revision: ", "etag=\"")
     words = lambda *sep: f"concat_ws({pick('sep', *sep)}, {', '.join(pick(f'w{i}', 'service', 'client', 'user', 'data', 'config', 'module', 'handler', 'value', 'index', 'public', 'version', 'component', 'sample', 'there', 'other', 'entire', 'station') for i in range(5))}, cast(id % 97 AS string))"
-    env = pick("env", "DB_PASSWORD=", "AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN=", "export API_KEY=", "STRIPE_SECRET='", "MY_SERVICE_AUTH_KEY=\"")
+    env = pick("env", "DB_PASSWORD=", "AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN=", "export API_KEY=", "STRIPE_SECRET='", "MY_SERVICE_AUTH_KEY=\"", "DB_PASS=", "SECRET_KEY_BASE=", "ENCRYPTION_KEY: ")
     plain = pick("plain", "LOG_LEVEL=", "class=", "DATA_DIR=", "export MODULE=", "target='", "href=\"")
     phrase = f"concat({', '.join(pick(f'x{i}', 'correct', 'horse', 'battery', 'staple', 'purple', 'monkey', 'dragon', 'winter', 'coffee', 'guitar', 'pepper', 'velvet', 'zebra', 'cactus', 'quartz', 'jigsaw') for i in range(4))})"
     prose = f"concat({', '.join(pick(f'y{i}', 'ein', 'heit', 'ver', 'erbe', 'be', 'keit', 'en', 'ung', 'tion', 'ing', 'than', 'and', 'ly', 'ment', 'ge', 'der', 'schaft', 'ist', 're', 'con') for i in range(8))})"
     long = "least(64, 20 + id % 44)"
+    # Short ones: a word with digits, or letters and digits mixed.
+    mixed = f"translate({b64('short', '6 + id % 5')}, '/+', '{{}}')"
+    joined = f"concat({pick('t1', 'hunter', 'dragon', 'admin', 'qwerty', 'summer', 'letme', 'pepper', 'tiger', 'p4ss', 'r00t', 'blue', 'Monkey')}, {pick('t2', '2', '#', '@', '!', '', '_', '')}, cast(id * 37 % 997 AS string), {pick('t3', '', '!', 'x9', '$', '')})"
+    said = pick("said", "true", "false", "null", "none", "None", "string", "required", "optional", "text", "value", "hidden", "undefined", "name", "default", "number", "expired", "invalid", "missing", "yours", "please", "never", "about", "something")
+    code = pick("code", "get_token()", "os.environ[", "os.getenv(", "${PASSWORD}", "$SECRET", "{{ token }}", "process.env.API_KEY", "config.get(", "self.password", "request.token", "getpass()", "settings.SECRET_KEY", "lambda", "args.key", "%(token)s", "{token}", "str(value)", "item[0]", "row.key", "[REDACTED]", "x[1]")
     kinds = [
         (1, name, f"substring({key('a')}, 1, element_at(array(32, 40, 64), cast(id % 3 AS int) + 1))"),
         (1, name, b64("b", long)),
@@ -167,16 +182,27 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
         (1, pick("u2", "https://user:", "amqp://worker:", "redis://default:"), phrase),
         (0, pick("u3", "https://user:", "https://name:", "postgres://user:", "ftp://login:"), pick("ph2", "password", "pass", "secret", "your_password", "********", "changeme", "xxxxxxxx", "<password>")),
         (1, pick("pk", "", "private_key = \"", "\n"), f"concat('-----BEGIN RSA PRIVATE KEY-----', chr(10), repeat(concat({b64('s', 64)}, chr(10)), cast(1 + id % 30 AS int)), '-----END RSA PRIVATE KEY-----')"),
+        (1, pick("pk2", "", "private_key = \"", "\n", "key: "), f"concat('-----BEGIN PRIVATE KEY-----', chr(10), repeat(concat({b64('v', 64)}, chr(10)), cast(1 + id % 12 AS int)), {b64('w', 40)})"),
+        (1, name, mixed),
+        (1, name, joined),
+        (0, name, said),
+        (0, name, code),
+        (0, env, said),
         (0, env, words("_", "-", "")),
         (0, plain, words("_", "-", "/", "")),
         (0, pick("n5", "", "the ", "mit ", "of "), prose),
         (0, pick("n4", "", "export ", "\n", "$"), f"upper({words('_')})"),
         (0, pick("n3", "", "=== ", "\n"), pick("rule", "--------------------1", "====================2", "____________________3", "////////////////////4")),
     ]
-    case = lambda i: "CASE " + " ".join(f"WHEN id % {len(kinds)} = {n} THEN {k[i]}" for n, k in enumerate(kinds)) + " END"
-    path = f"CASE WHEN {case(0)} = 1 THEN {pick('p', 'web', 'config/env', 'deploy/settings', 'app/main', 'forum', '')} ELSE {pick('q', 'web', 'tests/fixture', 'docs/example', 'app/main', 'forum', '', 'config/env')} END"
-    base = spark.range(0, rows, 1, 1)
-    return base.select(F.expr(case(2)).alias("candidate"), F.expr(case(1)).alias("left"), F.expr(quote).alias("right"), F.expr(path).alias("path"), F.expr(case(0)).cast("double").alias("label"))
+    def made(low: int, high: int) -> DataFrame:
+        case = lambda i: "CASE " + " ".join(f"WHEN id % {len(kinds)} = {n} THEN {kinds[n][i]}" for n in range(low, high)) + " END"
+        path = f"CASE WHEN {case(0)} = 1 THEN {pick('p', 'web', 'config/env', 'deploy/settings', 'app/main', 'forum', '')} ELSE {pick('q', 'web', 'tests/fixture', 'docs/example', 'app/main', 'forum', '', 'config/env')} END"
+        base = spark.range(0, rows, 1, 1).where(f"id % {len(kinds)} >= {low} AND id % {len(kinds)} < {high}")
+        return base.select(F.expr(case(2)).alias("candidate"), F.expr(case(1)).alias("left"), F.expr(quote).alias("right"), F.expr(path).alias("path"), F.expr(case(0)).cast("double").alias("label"))
+
+    # In three parts, since one expression for all kinds is more than generated code can hold.
+    cuts = [len(kinds) * i // 3 for i in range(4)]
+    return made(cuts[0], cuts[1]).unionAll(made(cuts[1], cuts[2])).unionAll(made(cuts[2], cuts[3]))
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, words: str | None = None) -> Model:
