@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def lookup(rows: DataFrame, catalogue: DataFrame, on: list[str], miss: str = "sk
     return found.drop("_hit")
 
 
+def multiplied(df: DataFrame) -> DataFrame:
+    """df, whose rows an explode has multiplied, as a side of a join that is never broadcast: Catalyst estimates it by the scan below."""
+    return df.hint("merge")
+
+
 def existing(rows: DataFrame, catalogue: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(catalogue, on, "left_semi")
 
@@ -47,12 +53,15 @@ def contained_name(clips: DataFrame, files: DataFrame, clip: str, file: str, siz
     on = [*within, "_part"]
     # An exploded place and a substring stay in generated code, unlike an array of parts.
     cut_up = lambda df, c, n: df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))))).withColumn("_part", F.col(c).substr(F.col("_i"), n)).drop("_i")
-    files, width = files.select(*within, file), F.lit(size)
-    cut = cut_up(files, file, width)
-    held = cut.groupBy(*on).agg(F.count("*").alias("_files"))
-    each = cut_up(clips.where(F.length(clip) >= size).select(*within, clip).distinct(), clip, width).join(held, on)
+    files, width = files.select(*within, file).distinct(), F.lit(size)  # dealt out anew: a small file's names are many parts
+    # By 64 bits of a part, which are counted and joined sooner; whether a file holds the name is seen from both.
+    hashed = lambda df, c: cut_up(df, c, width).withColumn("_part", F.xxhash64(*on))
+    cut = hashed(files.where(F.col(file).isNotNull()), file).select("_part", F.struct(*within, file).alias("_f"))
+    held = cut.groupBy("_part").agg(F.count("*").alias("_files"))
+    each = multiplied(hashed(clips.where(F.length(clip) >= size).select(*within, clip).distinct(), clip)).join(held, "_part")
     rarest = each.groupBy(*within, clip).agg(F.min_by("_part", F.struct("_files", "_part")).alias("_part"))
-    long = clips.join(rarest, [*within, clip]).join(cut, on).where(F.col(file).contains(F.col(clip))).groupBy(*clips.columns).agg(F.max(file).alias(file))
+    holds = reduce(lambda a, c: a & (F.col("_f")[c] == F.col(c)), within, F.col("_f")[file].contains(F.col(clip)))
+    long = clips.join(rarest, [*within, clip]).join(multiplied(cut), "_part").where(holds).groupBy(*clips.columns).agg(F.max(F.col("_f")[file]).alias(file))
     short = clips.where(F.length(clip) < size)
     lengths = short.select(F.length(clip).alias("_n")).distinct()  # at most size rows
     pieces = files.withColumn("_n", F.explode(F.sequence(F.lit(0), F.least(F.length(file), F.lit(size - 1))))).join(F.broadcast(lengths), "_n", "left_semi")

@@ -159,6 +159,16 @@ def test_contained_name_with_a_beginning_that_all_share(spark):
     assert got == want and len(got) == 101
 
 
+def test_parts_of_names_are_never_broadcast(spark, tmp_path):
+    """A scan of names is small by its file, their parts aren't: only the short names' join, on an aggregate that is measured, may broadcast a side."""
+    spark.range(1000).select(F.concat(F.lit("folder_clip_"), "id").alias("file")).write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    clips = files.select(F.col("file").alias("clip"))
+    out = joins.contained_name(clips, files, "clip", "file")
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin [_part") <= 1
+    assert {(r.clip, r.file) for r in out.collect()} >= {("folder_clip_1", "folder_clip_199"), ("folder_clip_998", "folder_clip_998")}
+
+
 def test_contained_name_within_a_folder(spark):
     """Names of each length, the empty one too, repeated rows, nulls and a column that isn't used; files of another folder don't count."""
     clips = spark.createDataFrame([(f, c) for f in ("p", "q", None) for c in ("", "a", "lip_01", "clip_0123", "clip_0124", "clip_9999", None)] * 2, "folder string, clip string")
