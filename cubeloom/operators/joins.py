@@ -84,7 +84,7 @@ def in_ranges(points: DataFrame, ranges: DataFrame, key: str, point: str, low: s
     if cell:
         on.append("_cell")
         points = points.withColumn("_cell", F.floor(F.col(point) / cell))
-        ranges = ranges.where(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(high) - 1) / cell))))
+        ranges = multiplied(ranges.where(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(high) - 1) / cell)))))
     return points.join(ranges, on).drop("_cell").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
 
 

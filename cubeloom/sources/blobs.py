@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import multiplied
 from ..workspace import Scratch
 
 
@@ -35,7 +36,7 @@ def existing_frames(clips: DataFrame, listing: DataFrame, key: str) -> DataFrame
     """Each clip's wanted frame numbers that have a file, ascending, in frames; clips without any are left out.
 
     clips: key and wanted (an array). listing: key and frame."""
-    each = clips.select(key, F.explode("wanted").alias("frame")).join(listing, [key, "frame"], "left_semi")
+    each = clips.select(key, F.explode("wanted").alias("frame")).join(multiplied(listing), [key, "frame"], "left_semi")
     return each.groupBy(key).agg(F.sort_array(F.collect_list("frame")).alias("frames"))
 
 

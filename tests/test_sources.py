@@ -118,3 +118,13 @@ def test_write_media_once(spark, tmp_path):
     assert {r.written for r in blobs.write_media(df, f"file://{tmp_path}/m", "name", "data").collect()} == {True}
     assert {r.written for r in blobs.write_media(df, f"file://{tmp_path}/m", "name", "data").collect()} == {False}
     assert (tmp_path / "m" / "b.bin").read_bytes() == b"22"
+
+
+def test_frames_of_a_listing_are_never_broadcast(spark, tmp_path):
+    """A small file's rows can be many frames."""
+    spark.range(100).write.parquet(str(tmp_path / "p"))
+    clips = spark.read.parquet(str(tmp_path / "p")).select("id", F.array(F.lit(1), F.lit(7), F.lit(90)).alias("wanted"))
+    listing = spark.read.parquet(str(tmp_path / "p")).select("id", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("frame")).where("frame % 4 <> 0")
+    out = blobs.existing_frames(clips, listing, "id")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, tuple(r.frames)) for r in out.collect()} == {(i, (1, 7)) for i in range(100)}
