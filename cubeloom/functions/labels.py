@@ -51,25 +51,45 @@ def _repeat(flag: bool, n: Column) -> Column:
     return F.array_repeat(F.lit(flag), F.greatest(n, F.lit(0)).cast("int"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _by_rounds(turns: Column, template: Template, tokenizer: Tokenizer, limit: int | None, bos: int | None, after: Callable[[Column], Column | int]) -> Column:
-    """Questions and headers of each round are ignored. after: tokens between rounds, by the number of rounds."""
-    text = render(template, turns, system="")
-    ids = _with_bos(tokenizer(text), bos)
-    ids = ids if limit is None else F.slice(ids, 1, limit)
-    parts = F.split(text, re.escape(template.sep), -1)
-    rounds = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(2)), lambda i: F.array_join(F.slice(parts, i, F.lit(2)), template.sep))
+    """Questions and headers of each round are ignored. after: tokens between rounds, by the number of rounds.
+
+    Catalyst puts an expression in every place that names its column, so that a round's work would be that of the whole text: values are bound."""
     mark = template.sep + template.roles[1]
-    good = lambda r: (r != "") & (F.size(F.split(r, re.escape(mark), -1)) == 2)
-    first_bad = F.array_position(F.transform(rounds, good), F.lit(False)).cast("int")
-    used = F.when(first_bad > 0, F.slice(rounds, F.lit(1), first_bad - 1)).otherwise(rounds)
-    head = lambda r: F.concat(F.element_at(F.split(r, re.escape(mark), -1), 1), F.lit(mark))
+    cut = lambda text: F.split(text, re.escape(template.sep), -1)
+    second = lambda parts, i: F.coalesce(F.concat(F.lit(template.sep), F.get(parts, i + 1)), F.lit(""))
+    paired = lambda parts: F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), lambda i: F.concat(F.get(parts, i), second(parts, i)))
     start = lambda i: F.when(i == 0, F.lit(0 if bos is None else 1)).otherwise(F.lit(0))
-    asked = lambda r, i: F.size(tokenizer(head(r))) + start(i)
-    whole = lambda r, i: F.size(tokenizer(r)) + start(i) + after(F.size(rounds))
-    learned = F.flatten(F.transform(used, lambda r, i: F.concat(_repeat(False, asked(r, i)), _repeat(True, whole(r, i) - asked(r, i)))))
-    fits = F.size(learned) == F.size(ids)
-    fits = fits if limit is None else fits | (F.size(learned) >= limit)
-    return F.struct(ids.alias("ids"), _labelled(ids, learned, fits).alias("labels"))
+
+    def flags(one: Column, i: Column, between: Column) -> Column:
+        """Null for a round that isn't one question and one answer."""
+        asked = lambda sides: F.size(tokenizer(F.concat(F.get(sides, F.lit(0)), F.lit(mark)))) + start(i)
+        whole = F.size(tokenizer(one)) + start(i) + between
+        sized = lambda sides: _bound(F.struct(asked(sides).alias("asked"), whole.alias("whole")), lambda n: F.concat(_repeat(False, n["asked"]), _repeat(True, n["whole"] - n["asked"])))
+        return _bound(F.split(one, re.escape(mark), -1), lambda sides: F.when((one != "") & (F.size(sides) == 2), sized(sides)))
+
+    def learned_of(rounds: Column) -> Column:
+        each = _bound(F.size(rounds), lambda n: _bound(F.lit(0) + after(n), lambda between: F.transform(rounds, lambda one, i: flags(one, i, between))))
+        # Rounds behind the first bad one don't count.
+        until = lambda all_: F.array_position(F.transform(all_, lambda x: x.isNull()), F.lit(True)).cast("int")
+        return _bound(each, lambda all_: F.flatten(_bound(until(all_), lambda bad: F.when(bad > 0, F.slice(all_, F.lit(1), bad - 1)).otherwise(all_))))
+
+    def labelled(ids: Column, learned: Column) -> Column:
+        fits = F.size(learned) == F.size(ids)
+        fits = fits if limit is None else fits | (F.size(learned) >= limit)
+        return F.struct(ids.alias("ids"), _bound(fits, lambda f: _labelled(ids, learned, f)).alias("labels"))
+
+    def made(text: Column) -> Column:
+        ids = _with_bos(tokenizer(text), bos)
+        ids = ids if limit is None else F.slice(ids, 1, limit)
+        return _bound(ids, lambda own: _bound(_bound(cut(text), lambda parts: _bound(paired(parts), learned_of)), lambda learned: labelled(own, learned)))
+
+    return _bound(render(template, turns, system=""), made)
 
 
 def round_labels(turns: Column, template: Template, tokenizer: Tokenizer = piece_ids, limit: int | None = None) -> Column:

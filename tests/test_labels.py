@@ -76,6 +76,17 @@ def test_rounds_and_headers(spark, name, limit):
     assert any(set(labels) - {L.IGNORE} for _, labels in want.values()) and any(set(labels) == {L.IGNORE} for _, labels in want.values())
 
 
+@pytest.mark.parametrize("name", ["qwen2"])
+def test_long_dialogues_are_tokenized_by_rounds(spark, name):
+    """The tokenizer stands in the plan once for the prompt, a round, its head and the separator, and a round's work is its own."""
+    template, header = TEMPLATES[name], name != "qwen2"
+    rows = [(0, [("human" if k % 2 == 0 else "gpt", f"turn {k} says so") for k in range(600)])]
+    made = L.header_labels(F.col("turns"), template) if header else L.round_labels(F.col("turns"), template)
+    out = spark.createDataFrame(rows, DIALOGUE).select("id", made.alias("x"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
+    assert {r.id: (r.x.ids, r.x.labels) for r in out.collect()} == {i: by_rounds(template, turns, 1 if header else None, None, header) for i, turns in rows}
+
+
 @pytest.mark.parametrize("bos", [None, 7])
 def test_roles(spark, bos):
     rows = dialogues(2) + [(900, [("system", "rules"), ("human", "a"), ("gpt", "b")])]
