@@ -7,11 +7,29 @@ from pyspark.sql import functions as F
 
 from ..operators.hygiene import routed
 from ..operators.joins import keep_last, remaining
+from ..workspace import Scratch
 
 
-def write_json_lines(df: DataFrame, path: str, append: bool = False, partitions: int | None = None) -> None:
-    """partitions: compacts the output to so many files."""
-    (df.coalesce(partitions) if partitions else df).write.mode("append" if append else "overwrite").json(path)
+#: Bytes of lines that one file of a compacted output holds, about.
+FILE_BYTES = 128 << 20
+
+
+def write_json_lines(df: DataFrame, path: str, append: bool = False, partitions: int | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """partitions: compacts the output to so many files, or to more, where those would be larger than file_bytes.
+
+    The rows are written beside first, by all tasks, so that their size is known and none reads more than a file's."""
+    mode = "append" if append else "overwrite"
+    if not partitions:
+        df.write.mode(mode).json(path)
+        return
+    scratch = Scratch(df.sparkSession, "lines")
+    try:
+        rows = scratch.save(df, "rows")
+        size = rows.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        files = max(partitions, -(-(size[0] + size[1]) // file_bytes))
+        rows.repartition(files).write.mode(mode).json(path)
+    finally:
+        scratch.drop()
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

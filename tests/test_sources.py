@@ -128,3 +128,16 @@ def test_frames_of_a_listing_are_never_broadcast(spark, tmp_path):
     out = blobs.existing_frames(clips, listing, "id")
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, tuple(r.frames)) for r in out.collect()} == {(i, (1, 7)) for i in range(100)}
+
+
+def test_compacted_lines_are_cut_by_size(spark, tmp_path):
+    """So many files as are asked for, or more where one would be larger than a file should be."""
+    df = spark.range(4000, numPartitions=8).select("id", F.repeat(F.lit("é"), 100).alias("text"))
+    files = lambda name: [f.stat().st_size for f in (tmp_path / name).glob("part-*")]
+    writers.write_json_lines(df, str(tmp_path / "a"), partitions=1)
+    assert len(files("a")) == 1
+    writers.write_json_lines(df, str(tmp_path / "a"), append=True, partitions=1, file_bytes=100_000)
+    assert len(files("a")) == 10 and sorted(files("a"))[-2] < 110_000
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "a")).collect()) == sorted([*range(4000)] * 2)
+    writers.write_json_lines(df.limit(0), str(tmp_path / "e"), partitions=1)
+    assert sum(files("e")) == 0
