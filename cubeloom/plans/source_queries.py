@@ -29,12 +29,16 @@ def src01(spark, sf_dir):
     return readers.json_lines(spark, path, "doc_id long, text string, source string")
 
 
+#: Rows of a part that one task sorts and writes, about.
+_PART_ROWS = 200_000
+
+
 def _one_file(rows, path, opening, closing):
     """Rows (id, text) as one file in order of id: each partition's lines are written by its own task and the parts put together by the file system."""
     n = rows.count()
     lines = numbered(rows, "_n", "id")
     value = F.concat(F.when(F.col("_n") == 0, opening).otherwise(""), "text", F.when(F.col("_n") == n - 1, closing).otherwise(","))
-    lines.select(value.alias("value"), "_n").repartitionByRange(4, "_n").sortWithinPartitions("_n").select("value").write.text(path + ".parts")
+    lines.select(value.alias("value"), "_n").repartitionByRange(max(4, n // _PART_ROWS), "_n").sortWithinPartitions("_n").select("value").write.text(path + ".parts")
     fs, base = fs_of(path)
     parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base + ".parts")) if f.base_name.startswith("part-"))
     with fs.open_output_stream(base) as out:
@@ -49,11 +53,11 @@ _HARD = "n_name || '{[\"\\}]' || chr(10) || repeat('}', CAST(n_nationkey % 4 AS
 
 @query("src02_json_array", f"SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN {_HARD} ELSE n_name END AS note FROM orders JOIN nation ON n_nationkey = o_orderkey % 25")
 def src02(spark, sf_dir):
-    """All orders as one array in one file, whose texts hold brackets, quotes and escapes, read in ranges of 64 KB."""
+    """All orders as one array in one file, whose texts hold brackets, quotes and escapes, read in ranges of 64 KB or more."""
     path = Scratch(spark, "src02").path("array.json")
     rows = _noted_orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice", "note")).alias("text"))
     _one_file(rows, path, "[", "]")
-    with _small_ranges(spark):
+    with _small_ranges(spark, path):
         return readers.json_array(spark, path, "o_orderkey long, o_custkey long, o_totalprice double, note string")
 
 
@@ -63,12 +67,23 @@ def _noted_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(nation, F.col("n_nationkey") == F.col("o_orderkey") % 25).withColumn("note", F.when(F.col("o_orderkey") % 3 == 0, hard).otherwise(F.col("n_name")))
 
 
+#: Bytes of the smallest range, and how many ranges a file has before they grow.
+_LEAST_RANGE, _RANGES = 64 << 10, 256
+
+
+def _range_bytes(file_bytes, most):
+    """Small files in several ranges; of larger ones the ranges grow, since each costs a task and an entry of the fold, up to the session's own size."""
+    return max(_LEAST_RANGE, min(most, -(-file_bytes // _RANGES)))
+
+
 @contextmanager
-def _small_ranges(spark, size="64k"):
-    """Small files in several ranges, while a plan is made and its first pass runs."""
+def _small_ranges(spark, path):
+    """Ranges by the file's size, while a plan is made and its first pass runs."""
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
-    spark.conf.set(name, size)
+    fs, base = fs_of(path)
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    spark.conf.set(name, str(_range_bytes(fs.get_file_info(base).size, most)))
     try:
         yield
     finally:
@@ -81,7 +96,7 @@ def src03(spark, sf_dir):
     path = Scratch(spark, "src03").path("object.json")
     value = F.to_json(F.struct("o_custkey", "o_totalprice", F.struct("note").alias("inner")))
     _one_file(_noted_orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.concat(F.lit('"order '), "o_orderkey", F.lit('": '), value).alias("text")), path, "{", "}")
-    with _small_ranges(spark):
+    with _small_ranges(spark, path):
         return readers.json_object(spark, path, "struct<o_custkey: bigint, o_totalprice: double, inner: struct<note: string>>").select("key", "value.o_custkey", "value.o_totalprice", "value.inner.note")
 
 
@@ -91,7 +106,7 @@ def src03_numbers(spark, sf_dir):
     path = Scratch(spark, "src03n").path("object.json")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit('"'), "o_orderkey", F.lit('": '), "o_custkey").alias("text"))
     _one_file(rows, path, "{", "}")
-    with _small_ranges(spark):
+    with _small_ranges(spark, path):
         return readers.json_object(spark, path, "bigint")
 
 

@@ -109,8 +109,10 @@ def elements(spark: SparkSession, path: str, mark: str = BRACE) -> DataFrame:
     """file and text of each element directly inside a file's outer array or object; in an object the text begins with the key.
 
     A file that ends inside an element is an error, as soon as its rows are read."""
-    first = beginnings(pieces(spark, path, mark).mapInArrow(_summed(mark), f"{_RANGE}, down long, ends boolean, down_inside long, ends_inside boolean"))
-    cut = Scratch(spark, "json").save(pieces(spark, path, mark).mapInArrow(_cut(first, mark), f"{_RANGE}, part int, text string"), "elements")
+    scratch = Scratch(spark, "json")
+    # Written, since a sort samples its rows first, which would sum all ranges up twice.
+    first = beginnings(scratch.save(pieces(spark, path, mark).mapInArrow(_summed(mark), f"{_RANGE}, down long, ends boolean, down_inside long, ends_inside boolean"), "ranges"))
+    cut = scratch.save(pieces(spark, path, mark).mapInArrow(_cut(first, mark), f"{_RANGE}, part int, text string"), "elements")
     # At most two rows for each range: its first element's end, and its last one's beginning.
     w = Window.partitionBy("file").orderBy("start", F.col("part") == BEGINNING).rowsBetween(Window.unboundedPreceding, -1)
     edges = cut.where(F.col("part") != WHOLE).withColumn("element", F.count_if(F.col("part") == END).over(w))  # an element lasts up to its end

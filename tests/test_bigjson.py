@@ -70,3 +70,13 @@ def test_several_files(spark, tmp_path, ranges):
     for k in range(3):
         (tmp_path / f"{k}.json").write_text(json.dumps([{"id": 10 * k + i, "text": "}"} for i in range(4)]))
     assert sorted(r.id for r in bigjson.array_rows(spark, str(tmp_path), SCHEMA).collect()) == [10 * k + i for k in range(3) for i in range(4)]
+
+
+def test_ranges_grow_with_the_file():
+    """Small files have several ranges; a large one's number of ranges is bounded, until they are as large as the session's."""
+    from cubeloom.plans.source_queries import _range_bytes
+
+    most = 128 << 20
+    assert _range_bytes(1_000_000, most) == 64 << 10
+    assert all(-(-n // _range_bytes(n, most)) <= 256 for n in (10**7, 10**9, 6 * 10**9))
+    assert _range_bytes(10**12, most) == most
