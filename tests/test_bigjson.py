@@ -80,3 +80,12 @@ def test_ranges_grow_with_the_file():
     assert _range_bytes(1_000_000, most) == 64 << 10
     assert all(-(-n // _range_bytes(n, most)) <= 256 for n in (10**7, 10**9, 6 * 10**9))
     assert _range_bytes(10**12, most) == most
+
+
+def test_ranges_are_summed_up_once(spark, tmp_path, monkeypatch):
+    """What the fold sorts is written before: a sort samples its rows, and would read the file once more."""
+    plans, fold = [], bigjson.beginnings
+    monkeypatch.setattr(bigjson, "beginnings", lambda r: plans.append(r._jdf.queryExecution().optimizedPlan().toString()) or fold(r))
+    (tmp_path / "a.json").write_text('[{"id": 1}, {"id": 2}]')
+    assert bigjson.array_rows(spark, str(tmp_path / "a.json"), "id long").count() == 2
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
