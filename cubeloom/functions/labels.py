@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chat import Template, render
-from .tokens import IGNORE, piece_ids
+from .tokens import IGNORE, piece_count, piece_ids
 
 Tokenizer = Callable[[Column], Column]
 #: Tokens at the start of a question that stay learned in the role style: the sign and the name (a fixed value).
@@ -51,6 +51,11 @@ def _repeat(flag: bool, n: Column) -> Column:
     return F.array_repeat(F.lit(flag), F.greatest(n, F.lit(0)).cast("int"))
 
 
+def _count(tokenizer: Tokenizer, text: Column) -> Column:
+    """How many tokens a text has."""
+    return piece_count(text) if tokenizer is piece_ids else F.size(tokenizer(text))
+
+
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is worked out once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -68,8 +73,8 @@ def _by_rounds(turns: Column, template: Template, tokenizer: Tokenizer, limit: i
 
     def flags(one: Column, i: Column, between: Column) -> Column:
         """Null for a round that isn't one question and one answer."""
-        asked = lambda sides: F.size(tokenizer(F.concat(F.get(sides, F.lit(0)), F.lit(mark)))) + start(i)
-        whole = F.size(tokenizer(one)) + start(i) + between
+        asked = lambda sides: _count(tokenizer, F.concat(F.get(sides, F.lit(0)), F.lit(mark))) + start(i)
+        whole = _count(tokenizer, one) + start(i) + between
         sized = lambda sides: _bound(F.struct(asked(sides).alias("asked"), whole.alias("whole")), lambda n: F.concat(_repeat(False, n["asked"]), _repeat(True, n["whole"] - n["asked"])))
         return _bound(F.split(one, re.escape(mark), -1), lambda sides: F.when((one != "") & (F.size(sides) == 2), sized(sides)))
 
@@ -94,7 +99,7 @@ def _by_rounds(turns: Column, template: Template, tokenizer: Tokenizer, limit: i
 
 def round_labels(turns: Column, template: Template, tokenizer: Tokenizer = piece_ids, limit: int | None = None) -> Column:
     """ids and labels of a prompt whose rounds end with the separator, which is learned with the answer."""
-    return _by_rounds(turns, template, tokenizer, limit, None, lambda _: F.size(tokenizer(F.lit(template.sep))))
+    return _by_rounds(turns, template, tokenizer, limit, None, lambda _: _count(tokenizer, F.lit(template.sep)))
 
 
 def header_labels(turns: Column, template: Template, tokenizer: Tokenizer = piece_ids, bos: int = 1, limit: int | None = None) -> Column:
@@ -110,7 +115,7 @@ def role_labels(turns: Column, system: str, names: tuple[str, str], tokenizer: T
     said = F.transform(turns, lambda t: F.struct(F.concat(F.lit(ROLE_SIGN), name(t), F.lit(": "), t["value"], F.lit("\n")).alias("text"), (t["from"] == "human").alias("asks")))
     head = F.lit(f"{system}\n\n")
     ids = _with_bos(tokenizer(F.concat(head, F.array_join(F.transform(said, lambda s: s["text"]), ""), F.lit(ROLE_SIGN))), bos)
-    size = lambda text: F.size(tokenizer(text)) + (0 if bos is None else 1)
+    size = lambda text: _count(tokenizer, text) + (0 if bos is None else 1)
     piece = lambda s: F.when(s["asks"], F.concat(_repeat(True, F.least(size(s["text"]), F.lit(ROLE_KEPT))), _repeat(False, size(s["text"]) - ROLE_KEPT))).otherwise(_repeat(True, size(s["text"])))
     learned = F.concat(_repeat(False, size(head)), F.flatten(F.transform(said, piece)), _repeat(True, F.size(ids)))
     return F.struct(ids.alias("ids"), _labelled(ids, learned, F.lit(True)).alias("labels"))

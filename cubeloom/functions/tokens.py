@@ -20,6 +20,11 @@ def piece_ids(text: Column, vocabulary: int = 30_000) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda w: (bits(w) % vocabulary + 1).cast("int"))
 
 
+def piece_count(text: Column) -> Column:
+    """How many ids piece_ids gives a text, without their hashes."""
+    return F.regexp_count(text, F.lit(PIECES))
+
+
 def with_image_ids(text: Column, tokenizer: Callable[[Column], Column] = piece_ids, tag: str = "<image>", bos: int | None = None) -> Column:
     """Ids of the text between the tags, an image id for each tag; bos once, at the start."""
     chunks = F.transform(F.split(text, tag, -1), lambda c: tokenizer(c))

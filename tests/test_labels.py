@@ -87,6 +87,18 @@ def test_long_dialogues_are_tokenized_by_rounds(spark, name):
     assert {r.id: (r.x.ids, r.x.labels) for r in out.collect()} == {i: by_rounds(template, turns, 1 if header else None, None, header) for i, turns in rows}
 
 
+@pytest.mark.parametrize("name", ["qwen2", "llama_3_chat"])
+def test_only_the_prompt_is_hashed(spark, name):
+    """Rounds and their heads are counted, not made into ids once more; another tokenizer's tokens are counted by its own ids."""
+    template, header = TEMPLATES[name], name != "qwen2"
+    rows, made = dialogues(4), L.header_labels if header else L.round_labels
+    own = lambda text: TK.piece_ids(text)
+    df = spark.createDataFrame(rows, DIALOGUE).select("id", made(F.col("turns"), template).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    other = spark.createDataFrame(rows, DIALOGUE).select("id", made(F.col("turns"), template, own).alias("x"))
+    assert {r.id: r.x for r in df.collect()} == {r.id: r.x for r in other.collect()}
+
+
 @pytest.mark.parametrize("bos", [None, 7])
 def test_roles(spark, bos):
     rows = dialogues(2) + [(900, [("system", "rules"), ("human", "a"), ("gpt", "b")])]
