@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +23,26 @@ from ..workspace import Scratch
 
 #: Marks at which pieces end: BRACE for elements that are objects, COMMA for any.
 BRACE, COMMA = "}", ","
-_STRING, _ESCAPED = re.compile(r'"(?:[^"\\]|\\.)*+"?', re.S), re.compile(r"\\.", re.S)
+_OPENING = re.compile(rb"(?:\s|\xef\xbb\xbf)*[\[{]")
+#: How far each byte goes down.
+_DOWN = np.zeros(256, np.int8)
+_DOWN[list(b"{[")], _DOWN[list(b"}]")] = 1, -1
+#: What may stand around an element.
+_BLANK = " \t\n\x0b\f\r,"
 _RANGE = "file string, start long"
 #: What a cut piece of text is: a whole element, the end of one from an earlier range, the beginning of one, or a range's whole text.
 WHOLE, END, BEGINNING, MIDDLE = range(4)
 
 
-def step(piece: str, inside: bool, mark: str) -> tuple[int, bool]:
-    """How far a piece and the mark behind it go down, and whether a string is open after it."""
-    text = _STRING.sub("", '"' + piece if inside else piece)
-    inside ^= bool(_ESCAPED.sub("", piece).count('"') % 2)
-    down = text.count("{") + text.count("[") - text.count("}") - text.count("]")
-    return down - (mark == BRACE and not inside), inside
+def brackets(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's bytes: the places of the quotes that open or close a string, of the brackets, and whether each bracket has an odd number of those quotes before it."""
+    quotes, back = np.flatnonzero(text == ord('"')), np.flatnonzero(text == ord("\\"))
+    if len(back):
+        first = np.flatnonzero(np.diff(back, prepend=-2) != 1)  # of each run of backslashes; an odd run escapes what follows it
+        length = np.diff(first, append=len(back))
+        quotes = np.setdiff1d(quotes, (back[first] + length)[length % 2 == 1], assume_unique=True)
+    places = np.flatnonzero(_DOWN[text])
+    return quotes, places, np.searchsorted(quotes, places) % 2 == 1
 
 
 def pieces(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -41,15 +51,31 @@ def pieces(spark: SparkSession, path: str, mark: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("piece"))
 
 
+def _texts(batch: pa.RecordBatch, mark: str) -> Iterator[tuple[tuple[str, int], bytes]]:
+    """Each range that a batch has pieces of, and these as one text with their marks: a piece is small, and work is done by batch."""
+    file, start, piece = batch.columns
+    if not len(piece):
+        return
+    changes = (np.diff(start.to_numpy()) != 0) | (np.diff(file.dictionary_encode().indices.to_numpy()) != 0)
+    edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(piece)]
+    for low, high in zip(edges, edges[1:]):
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), piece.slice(low, high - low)), mark)
+        yield (file[low].as_py(), start[low].as_py()), (joined[0].as_py() + mark).encode()
+
+
 def _summed(mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[tuple[str, int], list] = {}
         for batch in batches:
-            for file, start, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                ways = state.setdefault((file, start), [0, False, 0, True])
-                for k in (0, 2):
-                    down, ways[k + 1] = step(piece, ways[k + 1], mark)
-                    ways[k] += down
+            for at, data in _texts(batch, mark):
+                text = np.frombuffer(data, np.uint8)
+                quotes, places, odd = brackets(text)
+                down = _DOWN[text[places]].astype(np.int64)
+                ways = state.setdefault(at, [0, False, 0, True])
+                ways[0] += int(down[odd == ways[1]].sum())
+                ways[2] += int(down[odd == ways[3]].sum())
+                if len(quotes) % 2:
+                    ways[1], ways[3] = ways[3], ways[1]
         rows = [(*at, *ways) for at, ways in state.items()]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["file", "start", "down", "ends", "down_inside", "ends_inside"])
@@ -70,37 +96,44 @@ def beginnings(ranges: DataFrame) -> dict[tuple[str, int], tuple[bool, int]]:
 
 def _cut(first: dict[tuple[str, int], tuple[bool, int]], mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
         now, inside, depth, held, ended = None, False, 0, [], False
 
-        def rest() -> None:
-            if held:
-                out.append((*now, BEGINNING if ended else MIDDLE, "".join(held)))
+        def made(parts: list[int], texts: pa.Array) -> pa.RecordBatch:
+            n = len(texts)
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now[0], pa.string()), n), pa.repeat(pa.scalar(now[1], pa.int64()), n), pa.array(parts, pa.int32()), texts], ["file", "start", "part", "text"])
 
-        def flushed() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int32(), pa.string()))], ["file", "start", "part", "text"])
-            out.clear()
-            return made
+        def rest() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield made([BEGINNING if ended else MIDDLE], pa.array([b"".join(held).decode()]))
 
         for batch in batches:
-            for file, start, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, start) != now:
-                    rest()
-                    now, held, ended = (file, start), [], False
+            for at, data in _texts(batch, mark):
+                if at != now:
+                    yield from rest()
+                    now, held, ended = at, [], False
                     inside, depth = first[now]
-                if depth == 0 and not inside and (own := re.match(r"[\s﻿]*[\[{]", piece)):
-                    depth, piece = 1, piece[own.end() :]
-                down, inside = step(piece, inside, mark)
-                depth += down
-                held.append(piece + mark)
-                if not inside and (depth == 1 or (mark == COMMA and depth == 0)):
-                    out.append((*now, WHOLE if ended else END, "".join(held)))
-                    held, ended = [], True
-            if len(out) >= 5000:
-                yield flushed()
-        rest()
-        if out:
-            yield flushed()
+                own = _OPENING.match(data) if depth == 0 and not inside else None
+                text = np.frombuffer(data, np.uint8)
+                quotes, places, odd = brackets(text)
+                places = places[odd == inside]
+                depths = depth + np.cumsum(_DOWN[text[places]], dtype=np.int64)
+                if mark == BRACE:
+                    cuts = places[(text[places] == ord(BRACE)) & (depths == 1)] + 1
+                else:
+                    commas = np.flatnonzero(text == ord(COMMA))
+                    commas = commas[(np.searchsorted(quotes, commas) % 2 == 1) == inside]
+                    cuts = commas[np.isin(np.append(depth, depths)[np.searchsorted(places, commas)], (0, 1))] + 1
+                begin = own.end() if own else 0
+                if len(cuts):
+                    held.append(data[begin : cuts[0]])
+                    others = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
+                    yield made([WHOLE if ended else END, *[WHOLE] * len(others)], pa.concat_arrays([pa.array([b"".join(held).decode()]), others]))
+                    begin, held, ended = int(cuts[-1]), [], True
+                if begin < len(data):
+                    held.append(data[begin:])
+                depth = int(depths[-1]) if len(depths) else depth
+                inside ^= len(quotes) % 2 == 1
+        yield from rest()
 
     return run
 
@@ -122,9 +155,7 @@ def elements(spark: SparkSession, path: str, mark: str = BRACE) -> DataFrame:
     open_ = ~F.element_at("p", -1)["part"].eqNullSafe(END) & text.rlike(r"[^\s,\]}]")
     joined = joined.select("file", F.when(open_, F.raise_error(F.concat(F.lit("a JSON file ends inside an element: "), "file")).cast("string")).otherwise(text).alias("text"))
     every = cut.where(F.col("part") == WHOLE).select("file", "text").unionByName(joined)
-    own = F.regexp_replace("text", r"^[\s,]+|[\s,]+$", "")
-    own = own if mark == BRACE else F.regexp_replace(own, r"\s+$", "")
-    return every.select("file", own.alias("text")).where(~F.col("text").rlike(r"\A[\s,\]}]*\z"))
+    return every.where(F.ltrim("text", F.lit(_BLANK + "]}")) != "").select("file", F.btrim("text", F.lit(_BLANK)).alias("text"))
 
 
 def array_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:

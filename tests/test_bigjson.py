@@ -2,7 +2,9 @@
 
 import json
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 
 from cubeloom.sources import bigjson
@@ -89,3 +91,37 @@ def test_ranges_are_summed_up_once(spark, tmp_path, monkeypatch):
     (tmp_path / "a.json").write_text('[{"id": 1}, {"id": 2}]')
     assert bigjson.array_rows(spark, str(tmp_path / "a.json"), "id long").count() == 2
     assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
+def test_texts_of_marks(spark, tmp_path, ranges):
+    """Runs of backslashes, quotes and brackets at the ends of pieces, ranges and batches."""
+    r = random.Random(4)
+    want = [{"id": i, "text": "".join(r.choice('\\"{}[],: é') for _ in range(r.randrange(40)))} for i in range(10)]
+    (tmp_path / "a.json").write_text(json.dumps(want, ensure_ascii=False))
+    (tmp_path / "o.json").write_text(json.dumps({x["text"] + str(x["id"]): x["text"] for x in want}, ensure_ascii=False))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = bigjson.array_rows(spark, str(tmp_path / "a.json"), "id long, text string").collect()
+        named = bigjson.object_rows(spark, str(tmp_path / "o.json"), "string").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(({"id": x.id, "text": x.text} for x in got), key=lambda x: x["id"]) == want
+    assert {x.key: x.value for x in named} == {x["text"] + str(x["id"]): x["text"] for x in want}
+
+
+@pytest.mark.parametrize("mark", [bigjson.BRACE, bigjson.COMMA])
+def test_work_is_by_batch(mark):
+    """A range's pieces are not stepped through in Python: calls don't grow with them."""
+    pieces = json.dumps([{"id": i, "text": 'a "b" }'} for i in range(5000)]).split(mark)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(pieces)), pa.array([0] * len(pieces), pa.int64()), pa.array(pieces)], ["file", "start", "piece"])
+    calls, found = [], []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        for run in (bigjson._summed(mark), bigjson._cut({("f", 0): (False, 0)}, mark)):
+            found.append(list(run(iter([batch]))))
+    finally:
+        sys.setprofile(None)
+    assert sum(x.num_rows for x in found[1]) >= 5000
+    assert len(calls) < 2000
