@@ -8,7 +8,6 @@ from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from ..operators import mixture as M
-from ..operators.convert import numbered
 from ..registry import query, table
 from ..sources import blobs, catalogue, compact, readers, tsvstore, writers
 from ..sources.tsvstore import _opened as fs_of
@@ -31,21 +30,24 @@ def src01(spark, sf_dir):
 
 #: Rows of a part that one task sorts and writes, about.
 _PART_ROWS = 200_000
+_BLOCK = 1 << 22
 
 
 def _one_file(rows, path, opening, closing):
-    """Rows (id, text) as one file in order of id: each partition's lines are written by its own task and the parts put together by the file system."""
-    n = rows.count()
-    lines = numbered(rows, "_n", "id")
-    value = F.concat(F.when(F.col("_n") == 0, opening).otherwise(""), "text", F.when(F.col("_n") == n - 1, closing).otherwise(","))
-    lines.select(value.alias("value"), "_n").repartitionByRange(max(4, n // _PART_ROWS), "_n").sortWithinPartitions("_n").select("value").write.text(path + ".parts")
+    """Rows (id, text) as one file in order of id: each range's lines are written by its own task and the parts put together by the file system, a closing bracket for the last comma."""
+    parts = max(4, rows.count() // _PART_ROWS)
+    rows.repartitionByRange(parts, "id").sortWithinPartitions("id").select(F.concat("text", F.lit(",")).alias("value")).write.text(path + ".parts")
     fs, base = fs_of(path)
-    parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base + ".parts")) if f.base_name.startswith("part-"))
+    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base + ".parts")) if f.base_name.startswith("part-"))
     with fs.open_output_stream(base) as out:
-        for part in parts:
+        held = opening.encode()
+        for part in found:
             with fs.open_input_stream(part) as f:
-                while block := f.read(1 << 22):
-                    out.write(block)
+                while block := f.read(_BLOCK):
+                    block = held + block
+                    out.write(block[:-2])
+                    held = block[-2:]  # the last comma and line end, however blocks fall
+        out.write(held.removesuffix(b",\n") + closing.encode() + b"\n")
 
 
 _HARD = "n_name || '{[\"\\}]' || chr(10) || repeat('}', CAST(n_nationkey % 4 AS INT))"

@@ -125,3 +125,15 @@ def test_work_is_by_batch(mark):
         sys.setprofile(None)
     assert sum(x.num_rows for x in found[1]) >= 5000
     assert len(calls) < 2000
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 1 << 22])
+def test_one_file(spark, tmp_path, monkeypatch, block):
+    """Rows in order of id, commas between them alone, however the blocks fall; without rows, an empty array."""
+    from cubeloom.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "_BLOCK", block, raising=False)
+    for n in (0, 1, 9):
+        path = tmp_path / f"{n}.json"
+        source_queries._one_file(spark.range(n).selectExpr("(id * 7) % 9 AS id", "to_json(struct((id * 7) % 9 AS a)) AS text"), f"file://{path}", "[", "]")
+        assert json.loads(path.read_text()) == [{"a": x} for x in sorted(i * 7 % 9 for i in range(n))]
