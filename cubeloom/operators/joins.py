@@ -43,30 +43,87 @@ def keep_last(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_r")).select(*key, *[F.col("_r")[c].alias(c) for c in others])
 
 
+#: Bits of the bitmaps by which places and pieces of names are ruled out, and different lengths up to which names are tried whole.
+_BITS, _LENGTHS = 1 << 16, 32
+
+
+def _is_set(bits: list[int], at: Column) -> Column:
+    """Whether the bit is one of the given ones. The bitmap is a literal of _BITS bits, so that no join is needed."""
+    words = [0] * (_BITS // 64)
+    for n in bits:
+        words[n // 64] |= 1 << n % 64
+    held = F.split(F.lit(",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)), ",").cast("array<bigint>")
+    return F.getbit(F.get(held, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+
+
+def _start(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c.substr(1, 1)), F.lit(_BITS))
+
+
+def _frame(c: Column, n: Column) -> Column:
+    """A bit for n and the first two and last two of c's first n characters."""
+    two = F.least(n, F.lit(2))
+    return F.pmod(F.xxhash64(n, c.substr(F.lit(1), two), c.substr(n - two + 1, two)), F.lit(_BITS))
+
+
 def contained_name(clips: DataFrame, files: DataFrame, clip: str, file: str, size: int = 8, within: tuple[str, ...] = ()) -> DataFrame:
-    """Each clip with the last file (in name order) whose name contains the clip's; of the same ``within`` columns (a folder, say) if given.
+    """Each different clip with the last file (in name order) whose name contains the clip's; of the same ``within`` columns (a folder, say) if given."""
+    found = last_files(clips, files, clip, file, size, within)
+    return clips.distinct().join(found, [*within, clip]).select(*clips.columns, file)
+
+
+def last_files(clips: DataFrame, files: DataFrame, clip: str, file: str, size: int = 8, within: tuple[str, ...] = ()) -> DataFrame:
+    """``within``, clip and file: for each clip's name the last file (in name order) whose name contains it, and some names that no clip has.
+
+    It is for a join with clips. A clip's name is a piece of the file's, and the last file of each piece is found before the join. Pieces are cut in the
+    lengths that clips have, and only those leave a task that begin, end and are as long as some clip's name. Names shorter than
+    ``size`` are found so, and of other lengths those whose pieces, which are counted first, are together no more than the files' parts of ``size``
+    characters; the names left are found by one such part (see _by_parts). Nothing is broadcast, and no pair is made without a shared part."""
+    files = files.select(*within, file).where(F.col(file).isNotNull())
+    found = clips.agg(F.collect_set(F.length(clip)).alias("lengths"), F.collect_set(_start(F.col(clip))).alias("starts"), F.collect_set(_frame(F.col(clip), F.length(clip))).alias("frames")).first()
+    lengths = sorted(found.lengths)
+    # Of the rest of a name and a length, not of the piece: conditions on a join's key would be tried on the other side's rows too.
+    begins, fits = _is_set(found.starts, _start(F.col("_rest"))), _is_set(found.frames, _frame(F.col("_rest"), F.col("_n")))
+
+    def pieces(of: list[int]) -> DataFrame:
+        # Exploded places and substrings stay in generated code, unlike arrays of pieces.
+        places = files.where(F.length(file) > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(file))))
+        rests = places.withColumn("_rest", F.col(file).substr(F.col("_i"), F.lit(max(of, default=0)))).where(begins)
+        cut = rests.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in of if n]).cast("array<int>"))).where((F.col("_n") <= F.length("_rest")) & fits)
+        cut = cut.select(*within, file, "_n", F.col("_rest").substr(F.lit(1), F.col("_n")).alias("_piece"))
+        return cut.unionByName(files.withColumns({"_n": F.lit(0), "_piece": F.lit("")})) if 0 in of else cut  # the empty name is in every file's
+
+    whole, longer = [n for n in lengths if n < size], [n for n in lengths if n >= size]
+    if longer and len(lengths) <= _LENGTHS:
+        left = files.agg(F.sum(F.greatest(F.length(file) - size + 1, F.lit(0)).cast("long")).alias("n")).first().n or 0
+        counted = {r["_n"]: r["count"] for r in pieces(longer).groupBy("_n").count().collect()}
+        for n in sorted(longer, key=lambda n: counted.get(n, 0)):
+            if (left := left - counted.get(n, 0)) < 0:
+                break
+            whole.append(n)
+    rest = [n for n in longer if n not in whole]
+    last = pieces(whole).groupBy(*within, F.col("_piece").alias(clip)).agg(F.max(file).alias(file))
+    if rest:
+        last = last.unionByName(_by_parts(clips.select(*within, clip).where(F.length(clip).isin(rest)).distinct(), files, clip, file, size, within))
+    return multiplied(last)
+
+
+def _by_parts(clips: DataFrame, files: DataFrame, clip: str, file: str, size: int, within: tuple[str, ...]) -> DataFrame:
+    """last_files for different names of ``size`` characters or more.
 
     Every part of ``size`` characters of a clip's name must be a part of the file's, so the join is on
     equal parts: for each clip on the one that the fewest files have, so that a beginning that
-    all names share is no key. Shorter clip names are parts themselves, and the last file of each part of
-    that length is found before the join. No pair is made without a shared part."""
+    all names share is no key."""
     on = [*within, "_part"]
-    # An exploded place and a substring stay in generated code, unlike an array of parts.
-    cut_up = lambda df, c, n: df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))))).withColumn("_part", F.col(c).substr(F.col("_i"), n)).drop("_i")
-    files, width = files.select(*within, file).distinct(), F.lit(size)  # dealt out anew: a small file's names are many parts
+    files, width = files.distinct(), F.lit(size)  # dealt out anew: a small file's names are many parts
     # By 64 bits of a part, which are counted and joined sooner; whether a file holds the name is seen from both.
-    hashed = lambda df, c: cut_up(df, c, width).withColumn("_part", F.xxhash64(*on))
-    cut = hashed(files.where(F.col(file).isNotNull()), file).select("_part", F.struct(*within, file).alias("_f"))
+    hashed = lambda df, c: df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))))).withColumn("_part", F.col(c).substr(F.col("_i"), width)).drop("_i").withColumn("_part", F.xxhash64(*on))
+    cut = hashed(files, file).select("_part", F.struct(*within, file).alias("_f"))
     held = cut.groupBy("_part").agg(F.count("*").alias("_files"))
-    each = multiplied(hashed(clips.where(F.length(clip) >= size).select(*within, clip).distinct(), clip)).join(held, "_part")
+    each = multiplied(hashed(clips, clip)).join(held, "_part")
     rarest = each.groupBy(*within, clip).agg(F.min_by("_part", F.struct("_files", "_part")).alias("_part"))
     holds = reduce(lambda a, c: a & (F.col("_f")[c] == F.col(c)), within, F.col("_f")[file].contains(F.col(clip)))
-    long = clips.join(rarest, [*within, clip]).join(multiplied(cut), "_part").where(holds).groupBy(*clips.columns).agg(F.max(F.col("_f")[file]).alias(file))
-    short = clips.where(F.length(clip) < size)
-    lengths = short.select(F.length(clip).alias("_n")).distinct()  # at most size rows
-    pieces = files.withColumn("_n", F.explode(F.sequence(F.lit(0), F.least(F.length(file), F.lit(size - 1))))).join(F.broadcast(lengths), "_n", "left_semi")
-    last = cut_up(pieces, file, F.col("_n")).groupBy(*on).agg(F.max(file).alias(file))
-    return long.unionByName(short.withColumn("_part", F.col(clip)).join(last, on).select(*clips.columns, file).distinct())
+    return clips.join(rarest, [*within, clip]).join(multiplied(cut), "_part").where(holds).groupBy(*clips.columns).agg(F.max(F.col("_f")[file]).alias(file))
 
 
 def by_priority(rows: DataFrame, candidates: DataFrame, key: str, suffix: str, order: list[str]) -> DataFrame:

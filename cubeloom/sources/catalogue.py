@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.convert import hash_choice, qa_to_dialogues, qa_to_one_dialogue, relative_times, turn, uid
 from ..operators.hygiene import admitted, first_whole_caption, routed, valid_frames, without_last_image
-from ..operators.joins import by_priority, contained_name, lookup
+from ..operators.joins import by_priority, last_files, lookup
 from .external import with_frames
 
 
@@ -74,14 +74,18 @@ def youcook2(annotations: DataFrame, listing: DataFrame, segments: DataFrame, de
 
     The file is the last in the folder whose name contains the video's. The clip's name has its end twice, as published."""
     part = lambda n: F.split("video", "/")[n]
-    rows = annotations.withColumns({"folder": F.concat_ws("/", part(0), part(1)), "name": part(2), "id": F.regexp_extract(part(3), r".*?_(\d+)\..*", 1).cast("int"), "_uid": F.concat_ws("_", part(0), part(1), part(2), part(3))})
-    files = contained_name(rows.select("folder", "name").distinct(), listing, "name", "file", within=("folder",))
-    rows = lookup(lookup(rows, files, ["folder", "name"], "skip"), segments, ["name", "id"], "abort")
-    path = F.concat_ws("/", "folder", "file")
-    rows = with_frames(qa_to_dialogues(rows, "QA", "i", tag=""), decode, [path, F.col("start"), F.col("stop")])
+    folder, name = F.concat_ws("/", part(0), part(1)), part(2)
+    number = F.regexp_extract(part(3), r".*?_(\d+)\..*", 1).cast("int")
+    files = last_files(annotations.select(folder.alias("folder"), name.alias("name")), listing, "name", "file", within=("folder",))
+    # Keys follow from video, so that rows are dealt out without them and have them made behind the shuffle.
+    rows = annotations.repartition(folder, name).withColumns({"folder": folder, "name": name})
+    rows = lookup(rows, files, ["folder", "name"], "skip").drop("folder", "name")
+    rows = rows.repartition(name, number).withColumns({"name": name, "id": number})
+    rows = lookup(rows, segments, ["name", "id"], "abort").drop("name", "id")
+    rows = with_frames(qa_to_dialogues(rows, "QA", "i", tag=""), decode, [F.concat_ws("/", folder, "file"), F.col("start"), F.col("stop")])
     clip = F.concat(F.lit("_"), F.col("stop").cast("string"), F.lit(":"), F.col("stop").cast("string"))
-    rows = rows.withColumns({"video": F.replace(path, F.col("name"), F.concat("name", clip)), "timestamps": relative_times(F.col("timestamps"), F.col("start"))})
-    return _samples(rows, uid("VideoChat2IT_YouCook2", F.col("_uid"), F.col("i"))).drop("folder", "name", "id", "file", "start", "stop", "_uid")
+    rows = rows.withColumns({"_uid": F.concat_ws("_", part(0), part(1), part(2), part(3)), "video": F.replace(F.concat_ws("/", folder, "file"), name, F.concat(name, clip)), "timestamps": relative_times(F.col("timestamps"), F.col("start"))})
+    return _samples(rows, uid("VideoChat2IT_YouCook2", F.col("_uid"), F.col("i"))).drop("file", "start", "stop", "_uid")
 
 
 def webvid(annotations: DataFrame, catalogue: DataFrame, decode: Callable) -> DataFrame:

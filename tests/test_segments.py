@@ -169,6 +169,49 @@ def test_parts_of_names_are_never_broadcast(spark, tmp_path):
     assert {(r.clip, r.file) for r in out.collect()} >= {("folder_clip_1", "folder_clip_199"), ("folder_clip_998", "folder_clip_998")}
 
 
+def shuffled(spark):
+    """Rows written to shuffles by the stages that the session still knows, by stage."""
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    known = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(known.apply(i).stageId(), known.apply(i).attemptId()): known.apply(i).shuffleWriteRecords() for i in range(known.size())}
+
+
+def test_only_pieces_that_may_be_a_clips_name_leave_a_task(spark):
+    """Names of three to seven characters in files of up to thirteen: all their pieces of those lengths are over 40 for each file."""
+    clips = spark.range(5000).select(F.concat(F.lit("n"), "id", F.lit("z")).alias("clip"))
+    files = spark.range(20000).select(F.explode(F.array(F.concat(F.lit("n"), "id", F.lit("zx.mkv")), F.concat(F.lit("n"), "id", F.lit("z.avi")))).alias("file"))
+    before = shuffled(spark)
+    got = {(r.clip, r.file) for r in joins.contained_name(clips, files, "clip", "file").collect()}
+    assert got == {(f"n{i}z", f"n{i}zx.mkv") for i in range(5000)}
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 1.5 * (5000 + 40000)
+
+
+@pytest.mark.parametrize(("lengths", "letters", "whole"), [(7, "ab\u00e9\U0001f600", "all"), (30, "ab", "some"), (60, "ab\u00e9\U0001f600", "short")])
+def test_contained_name_of_many_lengths(spark, monkeypatch, lengths, letters, whole):
+    """Random names, few of whose pieces are ruled out by their ends: up to 32 lengths some are tried whole, and the others are found by parts."""
+    rng, by_parts = random.Random(lengths), []
+    name = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    monkeypatch.setattr(joins, "_by_parts", lambda c, *a, f=joins._by_parts: by_parts.append({r[0] for r in c.select(F.length("clip")).distinct().collect()}) or f(c, *a))
+    files = [("pq"[i % 2], name(rng.randint(0, 2 * lengths))) for i in range(150)]
+    cut = [(w, f[i : i + rng.randint(1, lengths)]) for w, f in files for i in (0, len(f) // 2) if f]
+    clips = cut + [("qp"[w == "q"], c) for w, c in cut[:50]] + [("p", name(n)) for n in range(lengths)] + [("p", "")]
+    want = {(w, c, max(f for v, f in files if v == w and c in f)) for w, c in clips if any(v == w and c in f for v, f in files)}
+    clips, files = spark.createDataFrame(clips, "folder string, clip string"), spark.createDataFrame(files, "folder string, file string")
+    got = [tuple(r) for r in joins.contained_name(clips, files, "clip", "file", within=("folder",)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    used = {len(c) for c in {r.clip for r in clips.collect()}}
+    left = by_parts[0] if by_parts else set()
+    assert {"all": not left, "some": set() < left < {n for n in used if n >= 8}, "short": left == {n for n in used if n >= 8}}[whole]
+
+
+def test_contained_name_without_clips_or_files(spark):
+    none, some = spark.createDataFrame([(None,)], "clip string"), spark.createDataFrame([("clip_0123",)], "clip string")
+    files = some.select(F.concat("clip", F.lit(".mp4")).alias("file"))
+    for c, f in ((none, files), (none.where("false"), files), (some, files.where("false"))):
+        assert joins.contained_name(c, f, "clip", "file").collect() == []
+
+
 def test_contained_name_within_a_folder(spark):
     """Names of each length, the empty one too, repeated rows, nulls and a column that isn't used; files of another folder don't count."""
     clips = spark.createDataFrame([(f, c) for f in ("p", "q", None) for c in ("", "a", "lip_01", "clip_0123", "clip_0124", "clip_9999", None)] * 2, "folder string, clip string")
