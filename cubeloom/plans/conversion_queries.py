@@ -85,7 +85,9 @@ def videochatgpt(spark, sf_dir):
 def youcook2(spark, sf_dir):
     qa = F.array(F.struct(F.concat(F.lit("Look at "), "l_returnflag").alias("i"), F.lit("").alias("q"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("a")))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), "l_linenumber", F.expr("concat('training/', l_orderkey % 4, '/n', l_orderkey, 'z/split_', l_linenumber, '.mp4')").alias("video"), qa.alias("QA"))
-    segments = rows.select(F.concat(F.lit("n"), F.col("i").cast("string"), F.lit("z")).alias("name"), F.col("l_linenumber").cast("int").alias("id"), (F.col("l_linenumber") * 10.0).alias("start"), (F.col("l_linenumber") * 10 + 5).alias("stop")).dropDuplicates(["name", "id"])
+    # Dealt out first: lines of an order are far apart, so that what a task could leave out isn't worth its spilling.
+    segments = rows.select(F.concat(F.lit("n"), F.col("i").cast("string"), F.lit("z")).alias("name"), F.col("l_linenumber").cast("int").alias("id")).repartition("name", "id").distinct()
+    segments = segments.withColumns({"start": F.col("id") * 10.0, "stop": F.col("id") * 10 + 5})
     listing = _videos(spark, sf_dir, "skip").select(F.expr("concat('training/', l_orderkey % 4)").alias("folder"), F.expr("explode(array(concat('n', l_orderkey, 'zx.mkv'), concat('n', l_orderkey, 'z.avi')))").alias("file"))
     clips = C.youcook2(rows.drop("l_linenumber"), listing, segments, _stub)
     return _dialogue(clips, F.size("images").cast("long").alias("n_images"), F.array_join(F.transform("timestamps", lambda t: t.cast("string")), ",").alias("times"))
